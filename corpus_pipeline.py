@@ -1,12 +1,50 @@
-"""A corpus pipeline over the documents table: each stage works on all that the one before kept."""
+"""A corpus pipeline over the documents table: each stage works on all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
+shared folder and read again as the next stage's docs.  All but the last return docs' own columns.
+Null and empty texts, ties, repeated rows and empty tables have the results that each operator states.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import byte_bpe, mixing, quality, simhash, toxicity
 from tidemark.llm import textbatch as tb
 
-STAGES: list = []
+#: Scores at which a document goes (toxicity) or stays (quality).
+TOXIC_FROM, GOOD_FROM = 0.5, 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the limit."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.annotate(docs, model, into="_score").where(f"_score < {TOXIC_FROM}").drop("_score")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the limit."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.annotate(docs, model, into="_score").where(f"_score >= {GOOD_FROM}").drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the bytes decoded from them."""
+    return byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("simhash", drop_near_duplicates), ("mixing", mix_sources), ("byte_bpe", encode)]
 
 #: No stage's models are expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -14,8 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         out = tb.shared_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

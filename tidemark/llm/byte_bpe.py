@@ -152,7 +152,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
     One narrow pass: no shuffle.  A column already named ``into`` is replaced.
     """
     kept = docs.drop(into)
-    schema = kept.schema.add(into, "array<int>")
+    schema = tb.widened(kept.schema, into, "array<int>")
     where = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
 def decode_ids(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """All columns and, as ``into``, the bytes that each row's ids stand for (null ids: no bytes)."""
     kept = coded.drop(into)
-    schema = kept.schema.add(into, "binary")
+    schema = tb.widened(kept.schema, into, "binary")
     where = kept.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,19 +185,24 @@ def decode_ids(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "toke
     return kept.mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of decoded bytes, made slice by slice: what
-    ``encode_texts`` and ``decode_ids`` give, without the token lists passing through Spark."""
+    ``encode_texts`` and ``decode_ids`` give, without token lists passing through Spark.
+
+    with_ids adds ``token_ids``: the ids as little-endian unsigned 32-bit integers, in one binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
         for batch in tb.slices(batches, "text"):
             ids, at = bpe.encode(batch.column(1))
             data, ends = bpe.decode(ids, at)
-            raw, back = ids.astype("<u4").view(np.uint8).data, np.ascontiguousarray(data).data
-            of_ids = [hashlib.sha256(raw[4 * b : 4 * e]).hexdigest() for b, e in zip(at[:-1], at[1:], strict=True)]
+            raw, back = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8), np.ascontiguousarray(data).data
+            of_ids = [hashlib.sha256(raw.data[4 * b : 4 * e]).hexdigest() for b, e in zip(at[:-1], at[1:], strict=True)]
             of_text = [hashlib.sha256(back[b:e]).hexdigest() for b, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(np.diff(at)), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+            if with_ids:
+                columns["token_ids"] = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(np.ascontiguousarray(4 * at).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return given.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * with_ids)

@@ -111,15 +111,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return model
 
 
+def _texts(column: pa.Array) -> list[bytes]:
+    data, at = tb.utf8(column)
+    raw = data.tobytes()
+    return [raw[b:e] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def score(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for each row.  Empty and null texts score the share of label 1.  Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text"):
-            data, at = tb.utf8(batch.column(1))
-            raw = data.tobytes()
-            made = model.scores([raw[b:e] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            made = model.scores(_texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], names=["doc_id", "score"])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return given.mapInArrow(run, "doc_id long, score double")
+
+
+def annotate(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "quality") -> DataFrame:
+    """All columns of docs and, as ``into``, each text's score; a column already named so is replaced."""
+    kept = docs.drop(into)
+    where = kept.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches, text):
+            made = model.scores(_texts(batch.column(where)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, into])
+
+    return kept.mapInArrow(run, tb.widened(kept.schema, into, "double"))

@@ -237,3 +237,13 @@ def near_duplicates(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", te
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(of_root, "root").select("fp", "component_id")
     return each.join(of_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """The rows of docs that stay: of each group of near-duplicates the one of least doc_id.
+
+    A row that repeats another in every column counts once.  A null doc_id stays only where its whole
+    group has none.  Texts pass one shuffle, by doc_id."""
+    found = near_duplicates(docs, radius, doc_id, text, words)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, docs[doc_id].eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates()

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a task turns into arrays at once; only one longer document exceeds it.
 SLICE_BYTES = 8 << 20
@@ -50,6 +51,11 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
 
 
+def widened(schema: StructType, name: str, kind: str) -> StructType:
+    """A schema with one more column, its type in DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; text i is bytes[offsets[i]:offsets[i + 1]]."""
     if isinstance(column, pa.ChunkedArray):

@@ -228,3 +228,16 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return given.mapInArrow(run, "doc_id long, score double, passages int")
+
+
+def annotate(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """All columns of docs and, as ``into``, each text's score; a column already named so is replaced."""
+    kept = docs.drop(into)
+    where = kept.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches, text):
+            made = model.scores(batch.column(where))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, into])
+
+    return kept.mapInArrow(run, tb.widened(kept.schema, into, "double"))
