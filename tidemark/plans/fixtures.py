@@ -1,0 +1,73 @@
+"""File-collection tables derived from the driver's tables, by integer arithmetic that any engine repeats.
+
+Each derivation is plain SQL text: Spark runs it with selectExpr, the oracles as a common table
+expression.  ``SHA(x)`` stands for the engine's SHA-256 of a text, as lowercase hex.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.sources.tables import read_table
+
+_ID = "cast(doc_id as string)"
+_PATH = f"concat(source, '/', lang, '/', {_ID}, '.txt')"
+_LOCAL = "CASE WHEN doc_id % 11 = 0 THEN concat(text, '#L') ELSE text END"
+_REMOTE = "CASE WHEN doc_id % 13 = 0 THEN concat(text, '#R') ELSE text END"
+_NAMES = {
+    0: "'/.env'", 1: "'/auth.json'", 2: f"concat('/data/', {_ID}, '.sqlite')", 3: "'/.DS_Store'", 4: f"concat('/', {_ID}, '.tc')",
+    5: "'/repo/.git/HEAD'", 6: f"concat('/repo/.git/refs/heads/b', {_ID})", 7: "'/repo/.git/index'", 8: "concat('/repo/.git/objects/pack/pack-', substring(SHA(text), 1, 40), '.pack')",
+    9: "'/repo/.git/worktrees/w/HEAD'", 10: "'/repo/.git/index.lock'", 11: f"concat('/target/', {_ID}, '.o')", 12: f"concat('/.ssh/id', {_ID})", 13: f"concat('/.cache/', {_ID})",
+    14: f"concat('/node_modules/', {_ID}, '.js')", 15: f"concat('/', {_ID}, '.log')", 16: f"concat('/', {_ID}, '.jsonl')", 17: f"concat('/img/', {_ID}, '.iso')", 18: f"concat('/bin/', {_ID}, '.bin')",
+    19: f"concat('/build/', {_ID}, '.txt')", 20: "concat('/repo/.git/objects/pack/pack-', substring(SHA(text), 1, 40), '.idx')", 21: "'/repo/.git/packed-refs'", 22: f"concat('/', {_ID}, '.db-wal')", 23: f"concat('/Data/', {_ID}, '.tmp')",
+    24: f"concat('/repo/.git/objects/', substring(SHA(text), 1, 2), '/', substring(SHA(text), 3, 38))",
+}
+_INVENTORY = "CASE " + " ".join(f"WHEN doc_id % 37 = {k} THEN concat(source, {v})" for k, v in _NAMES.items()) + f" ELSE {_PATH} END"
+
+#: name: (driver table, columns, condition)
+TABLES: dict[str, tuple[str, list[str], str]] = {
+    "tree": ("documents", ["doc_id", f"{_PATH} AS rel_path", "n_chars AS size", "doc_id AS mtime", "text", "SHA(text) AS hash", "source", "lang"], "true"),
+    "local_side": ("documents", ["doc_id", f"{_PATH} AS rel_path", f"SHA({_LOCAL}) AS hash", "1 + doc_id % 3 AS ca", "doc_id % 2 AS cb"], "doc_id % 7 <> 0"),
+    "remote_side": ("documents", ["doc_id", f"{_PATH} AS rel_path", f"concat('m', {_ID}) AS manifest_key", f"SHA({_REMOTE}) AS hash", "1 + doc_id % 2 AS ca", "doc_id % 3 AS cb", "CASE WHEN doc_id % 10 = 0 THEN 'deleted' ELSE 'committed' END AS state"], "doc_id % 5 <> 0 OR doc_id % 10 = 0"),
+    "tracked": ("documents", ["doc_id", f"{_PATH} AS rel_path", "SHA(text) AS hash", "CASE doc_id % 10 WHEN 6 THEN 'not_synced' WHEN 7 THEN 'active' WHEN 8 THEN 'locked' WHEN 9 THEN 'conflict' ELSE 'synced' END AS status", "doc_id * 3600 AS last_synced", "n_chars + CASE WHEN doc_id % 17 = 1 THEN 1 ELSE 0 END AS size", "doc_id + CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS mtime", f"CASE WHEN doc_id % 10 = 9 THEN concat('c', {_ID}) END AS conflict", "doc_id % 4 = 0 AS exempt", "doc_id % 6 <> 0 AS on_disk", "doc_id % 9 = 0 AS dirty", f"CASE WHEN doc_id % 14 = 1 THEN concat('m', cast(doc_id + 1 as string)) ELSE concat('m', {_ID}) END AS manifest_key", f"concat(CASE WHEN doc_id % 8 = 3 THEN 'old/' ELSE 'store/' END, {_PATH}) AS remote_path", f"CASE WHEN doc_id % 8 = 5 THEN concat('/tmp/', {_ID}) ELSE {_PATH} END AS path"], "doc_id % 3 <> 0"),
+    "inventory": ("documents", ["doc_id", f"{_INVENTORY} AS path", "n_chars AS size", "doc_id % 31 = 0 AS is_symlink", "SHA(text) AS hash"], "true"),
+    "policy_rows": ("documents", ["source AS folder", "CASE length(source) % 2 WHEN 0 THEN 'on_demand' ELSE 'always' END AS sync_mode", "cast(2000 as bigint) AS download_threshold"], "true"),
+    "policy_overrides": ("documents", ["concat(source, '/de') AS folder", "'never' AS sync_mode", "cast(NULL as bigint) AS download_threshold"], "lang = 'de'"),
+    "log_events": ("events", ["event_id AS seq", "concat('dev', cast(user_id % 8 as string)) AS device_id", "CASE event_type WHEN 'click' THEN 'file_synced' WHEN 'view' THEN 'file_synced' WHEN 'purchase' THEN 'conflict_resolved' WHEN 'error' THEN 'file_deleted' ELSE 'device_online' END AS type", "CASE WHEN event_type = 'signup' THEN NULL WHEN event_id % 19 = 0 THEN concat('u', cast(user_id as string), '/.ssh/key') ELSE concat('u', cast(user_id as string), '/f', cast(event_id % 7 as string)) END AS rel_path", "user_id", "event_type", "event_id"], "true"),
+    "trash": ("orders", ["concat('p', cast(o_custkey as string)) AS path", "cast(o_orderkey as string) AS trash_key", "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey * 3600 END AS trashed_at", "concat('h', cast(o_orderkey % 3 as string)) AS hash", "o_custkey"], "true"),
+    "devices": ("supplier", ["cast(s_suppkey as string) AS device_id", "s_name AS name", "CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('k', cast(s_suppkey as string)) END AS public_key", "s_suppkey % 4 = 0 AS placeholder", "s_suppkey % 5 = 0 AS revoked", "s_suppkey AS sequence", "s_suppkey % 3 <> 0 AS capable"], "s_suppkey % 6 <> 0"),
+    "incoming_devices": ("supplier", ["cast(s_suppkey as string) AS device_id", "CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS name", "CASE WHEN s_suppkey % 7 = 0 THEN 'other' ELSE concat('k', cast(s_suppkey as string)) END AS public_key", "false AS placeholder", "s_suppkey % 8 = 0 AS revoked", "s_suppkey + 3 AS sequence"], "s_suppkey % 5 <> 0"),
+    "push_log": ("lineitem", ["l_orderkey * 10 + l_linenumber AS seq", "concat('p', cast(l_partkey as string)) AS path", "cast(l_quantity as bigint) AS chunks", "cast(l_quantity as bigint) * 1000 AS bytes", "CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE cast(l_quantity as bigint) * 900 END AS uploaded_bytes", "l_partkey % 977 AS elapsed_ms", "CASE l_returnflag WHEN 'R' THEN 'true' WHEN 'A' THEN 'false' END AS flag", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey"], "true"),
+    "commits": ("orders", ["concat('n', cast(o_orderkey as string)) AS child", "concat('n', cast(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey / 2 ELSE (o_orderkey - 1) / 2 END as bigint)) AS parent"], "o_orderkey > 1"),
+}
+
+
+def _spark_text(sql: str) -> str:
+    return re.sub(r"SHA\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"sha2(\1, 256)", sql)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table, columns, where = TABLES[name]
+    found = read_table(spark, sf_dir, table).where(where).selectExpr(*map(_spark_text, columns))
+    if name in ("local_side", "remote_side"):
+        found = found.withColumn("clock", F.create_map(F.lit("a"), "ca", F.lit("b"), "cb").cast("map<string,bigint>"))
+    return found
+
+
+def cte(*names: str) -> str:
+    """The tables as common table expressions of an oracle."""
+    parts = []
+    for name in names:
+        table, columns, where = TABLES[name]
+        parts.append(f"{name} AS (SELECT {', '.join(columns)} FROM {table} WHERE {where})".replace("SHA(", "sha256("))
+    return ",\n".join(parts)
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "policy_rows").unionByName(load(spark, sf_dir, "policy_overrides")).distinct()
+
+
+POLICIES = "policies AS (SELECT DISTINCT * FROM (SELECT * FROM policy_rows UNION ALL SELECT * FROM policy_overrides))"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import core  # noqa: F401  (registers its queries)
+from tidemark.plans.catalog import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
