@@ -175,7 +175,7 @@ def duration_text(s: Column) -> Column:
 
 def bytes_text(n: Column) -> Column:
     """B, or KB, MB, GB with one decimal."""
-    scaled = lambda unit, label: F.concat(F.format_string("%.1f", n / F.lit(float(unit))), F.lit(f" {label}"))
+    scaled = lambda unit, label: F.concat(F.format_string("%.1f", F.bround(n / F.lit(float(unit)), 1)), F.lit(f" {label}"))
     return F.when(n >= 1 << 30, scaled(1 << 30, "GB")).when(n >= 1 << 20, scaled(1 << 20, "MB")).when(n >= 1 << 10, scaled(1 << 10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 

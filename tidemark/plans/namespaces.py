@@ -1,0 +1,208 @@
+"""Ingress rules, paths, policies, listings and registries over the derived tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import ingress, paths
+from tidemark.operators import namespace, reconcile
+from tidemark.plans.catalog import query
+from tidemark.plans.core import SIDES, _plan_sql, plan
+from tidemark.plans.fixtures import POLICIES, load, policies
+from tidemark.sources.tables import read_table
+
+GLOBS = ["*.tmp", "img?"]
+
+#: One name's reason (name n, directory flag d), with the rules in their order.
+_SECURITY = """CASE WHEN lower(n) IN ('.ssh', '.gnupg', 'sops-nix') THEN concat('security: ', lower(n)) WHEN lower(n) IN ('.credentials.json', 'auth.json', '.netrc', '.pgpass', 'master.key') THEN concat('security: ', lower(n))
+ WHEN lower(n) LIKE '%.rotate-pending' THEN 'security: rotation-pending-key' WHEN lower(n) LIKE '%.rotate-state.json' THEN 'security: rotation-state'
+ WHEN regexp_matches(lower(n), '^\\..*\\.tmp\\.[0-9a-f]{32}$') THEN 'security: atomic-write-temp' WHEN lower(n) = '.env' OR lower(n) LIKE '.env.%' OR lower(n) LIKE '%.env' THEN 'security: dotenv'
+ WHEN regexp_matches(lower(n), '\\.(sqlite|sqlite3|sqlite-wal|sqlite-shm|db|db-wal|db-shm)$') THEN 'security: live-db' END"""
+_NAME = f"""coalesce({_SECURITY}, CASE WHEN d AND lower(n) IN ('target', 'node_modules') THEN concat('built-in: ', lower(n)) WHEN lower(n) = '.ds_store' THEN 'built-in: .DS_Store' WHEN lower(n) = '.dir_marker' THEN 'directory marker'
+ WHEN regexp_matches(n, '^.+\\.(tc|tcf)$') THEN 'stub extension' WHEN n LIKE '%.tmp' THEN 'glob: *.tmp' WHEN regexp_matches(n, '^img.$') THEN 'glob: img?' WHEN lower(n) = '.git' AND NOT d THEN 'gitfile pointer' WHEN lower(n) = '.git' THEN '.git directory'
+ WHEN d AND n LIKE '.%' THEN 'hidden directory' END)"""
+_FENCE = """CASE WHEN concat('/', lower(path), '/') LIKE '%/.git/worktrees/%' THEN '.git/worktrees admin area' WHEN regexp_matches(concat('/', lower(path), '/'), '/\\.git/.*\\.lock/$') THEN 'git lockfile' END"""
+_BY_NAME = f"rows_of AS (SELECT doc_id, path, {_FENCE} AS fence, string_split(path, '/')[-1] AS n, false AS d FROM inventory)"
+_BY_PART = "parts AS (SELECT doc_id, path, string_split(path, '/')[i] AS n, true AS d, i FROM inventory, unnest(range(1, len(string_split(path, '/')) + 1)) AS u(i))"
+
+
+@query(f"WITH {_BY_NAME} SELECT reason, count(*) AS n FROM (SELECT coalesce(fence, {_NAME}) AS reason FROM rows_of) GROUP BY reason", "inventory")
+def deny_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "inventory").groupBy(ingress.path_reason(F.col("path"), F.lit(False), globs=GLOBS).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_BY_PART}, hits AS (SELECT doc_id, min(i) AS i FROM (SELECT *, {_NAME} AS reason FROM parts) WHERE reason IS NOT NULL GROUP BY doc_id) SELECT v.doc_id, coalesce({_FENCE}, (SELECT {_NAME} FROM parts p WHERE p.doc_id = h.doc_id AND p.i = h.i)) AS reason FROM inventory v LEFT JOIN hits h ON h.doc_id = v.doc_id", "inventory")
+def deny_components(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "inventory").select("doc_id", ingress.component_reason(F.col("path"), globs=GLOBS).alias("reason"))
+
+
+_SECURITY_HITS = f"{_BY_PART}, hits AS (SELECT doc_id, arg_min(reason, i) AS reason FROM (SELECT *, {_SECURITY} AS reason FROM parts) WHERE reason IS NOT NULL GROUP BY doc_id)"
+
+
+@query(f"WITH {_SECURITY_HITS} SELECT v.doc_id, coalesce(CASE WHEN concat('/', lower(path), '/') LIKE '%/.git/worktrees/%' THEN '.git/worktrees admin area' END, h.reason) AS security, coalesce({_FENCE}, h.reason) AS fixed FROM inventory v LEFT JOIN hits h ON h.doc_id = v.doc_id", "inventory")
+def deny_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "inventory").select("doc_id", ingress.security_reason(F.col("path")).alias("security"), ingress.fixed_ingress_reason(F.col("path")).alias("fixed"))
+
+
+@query(f"WITH {_BY_PART}, hits AS (SELECT doc_id, arg_min(reason, i) AS reason FROM (SELECT *, {_NAME} AS reason FROM parts) WHERE reason IS NOT NULL GROUP BY doc_id) SELECT v.path AS rel_path, coalesce({_FENCE}, h.reason) AS reason FROM inventory v LEFT JOIN hits h ON h.doc_id = v.doc_id WHERE coalesce({_FENCE}, h.reason) IS NOT NULL", "inventory")
+def denied_remote(spark: SparkSession, d: str) -> DataFrame:
+    return namespace.denied_remote(load(spark, d, "inventory").withColumnRenamed("path", "rel_path"), globs=GLOBS)
+
+
+@query(_plan_sql(False, False) + " SELECT rel_path, action, NULL::VARCHAR AS fault FROM p WHERE false", SIDES)
+def unsafe_actions(spark: SparkSession, d: str) -> DataFrame:
+    """A plan over clean paths has no unsafe action."""
+    return reconcile.unsafe_actions(plan(spark, d)).select("rel_path", "action", "fault")
+
+
+@query("""SELECT doc_id, decision, reason FROM (SELECT doc_id, path, string_split(path, '/')[-1] AS n, string_split(path, '/') AS c, is_symlink,
+ CASE WHEN list_has_any(c, ['.ssh', '.gnupg', 'cache', 'backups', 'log', 'logs', 'node_modules', 'sops-nix', 'target', 'tmp', 'worktrees']) THEN 'deny/secret-or-runtime-dir' WHEN list_has_any(c, ['.artifacts', '.svelte-kit', 'build', 'dist', 'result']) THEN 'deny/generated-output'
+ WHEN n IN ('.credentials.json', '.netrc', '.pgpass', 'auth.json', 'mcp-auth.json', 'mcp-needs-auth-cache.json', 'session-env') OR n = '.env' OR n LIKE '.env.%' OR n LIKE '%.env' THEN 'deny/credential-or-env' WHEN n LIKE '%-wal' OR n LIKE '%-shm' THEN 'deny/live-db-sidecar'
+ WHEN regexp_matches(n, '\\.(sqlite|sqlite3|db)$') THEN 'snapshot/sqlite-backup-required' WHEN n LIKE '%.log' THEN 'deny/runtime-log' WHEN is_symlink THEN 'deny/symlink-deferred' WHEN n LIKE '%.jsonl' THEN 'allow/append-log-active-writer-check-required' ELSE 'allow/default-allow' END AS x,
+ split_part(x, '/', 1) AS decision, split_part(x, '/', 2) AS reason FROM inventory)""", "inventory")
+def inventory_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "inventory").select("doc_id", ingress.inventory_decision(F.col("path"), F.col("is_symlink")).alias("x")).select("doc_id", "x.*")
+
+
+@query("SELECT doc_id, array_to_string(string_split(rel_path, '/')[1:i], '/') AS ancestor FROM tree, unnest(range(1, len(string_split(rel_path, '/')))) AS u(i)", "tree")
+def ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "tree").select("doc_id", F.explode(paths.ancestors(F.col("rel_path"))).alias("ancestor"))
+
+
+_NEAREST = f"WITH {POLICIES}, near AS (SELECT t.rel_path AS path, t.size, coalesce(b.sync_mode, a.sync_mode) AS sync_mode, CASE WHEN b.folder IS NOT NULL THEN b.download_threshold ELSE a.download_threshold END AS download_threshold, coalesce(b.folder, a.folder) AS policy_folder FROM tree t LEFT JOIN policies a ON a.folder = t.source LEFT JOIN policies b ON b.folder = concat(t.source, '/', t.lang))"
+
+
+@query(_NEAREST + " SELECT path, sync_mode, download_threshold, policy_folder FROM near", "tree policy_rows policy_overrides")
+def nearest_policy(spark: SparkSession, d: str) -> DataFrame:
+    return namespace.nearest_policy(load(spark, d, "tree").select(F.col("rel_path").alias("path")), policies(spark, d))
+
+
+@query(_NEAREST + " SELECT path, CASE sync_mode WHEN 'always' THEN true WHEN 'never' THEN false ELSE size <= coalesce(download_threshold, 1000) END AS download FROM near", "tree policy_rows policy_overrides")
+def auto_download(spark: SparkSession, d: str) -> DataFrame:
+    found = namespace.nearest_policy(load(spark, d, "tree").select(F.col("rel_path").alias("path"), "size"), policies(spark, d))
+    return found.select("path", namespace.auto_download(F.col("sync_mode"), F.col("size"), F.col("download_threshold"), F.lit(1000)).alias("download"))
+
+
+@query("""WITH cased AS (SELECT CASE WHEN doc_id % 9 = 0 THEN upper(path) ELSE path END AS path FROM inventory), claims AS (SELECT path AS claim, 'file' AS role FROM cased UNION SELECT array_to_string(string_split(path, '/')[1:i], '/'), 'directory' FROM cased, unnest(range(1, len(string_split(path, '/')))) AS u(i))
+SELECT lower(claim) AS folded, count(DISTINCT claim) AS spellings, count(DISTINCT role) AS roles FROM claims GROUP BY lower(claim) HAVING count(DISTINCT claim) > 1 OR count(DISTINCT role) > 1""", "inventory")
+def namespace_collisions(spark: SparkSession, d: str) -> DataFrame:
+    cased = F.when(F.col("doc_id") % 9 == 0, F.upper("path")).otherwise(F.col("path"))
+    return namespace.namespace_faults(load(spark, d, "inventory").withColumn("path", cased), F.lower("path"))
+
+
+@query("""WITH both_ AS (SELECT rel_path AS path FROM tree UNION ALL SELECT source FROM tree WHERE doc_id % 10 = 3), up AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/') AS path FROM both_, unnest(range(1, len(string_split(path, '/')))) AS u(i))
+SELECT path, count(*) AS n FROM both_ WHERE path IN (SELECT path FROM up) GROUP BY path""", "tree")
+def ancestor_collisions(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "tree")
+    both = t.select(F.col("rel_path").alias("path")).unionByName(t.where("doc_id % 10 = 3").select(F.col("source").alias("path")))
+    return namespace.ancestor_collisions(both).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT concat(split_part(path, '/', 1), '/') AS entry, true AS is_dir FROM inventory", "inventory")
+def dir_listing(spark: SparkSession, d: str) -> DataFrame:
+    return namespace.rollup(load(spark, d, "inventory"))
+
+
+@query("""WITH below AS (SELECT substring(path, 6) AS rest FROM inventory WHERE path LIKE 'src1/%' AND doc_id % 4 <> 0)
+SELECT split_part(rest, '/', 1) AS name, bool_or(rest LIKE '%/%') AS is_dir FROM below WHERE rest <> '' GROUP BY 1""", "inventory")
+def readdir_children(spark: SparkSession, d: str) -> DataFrame:
+    index = load(spark, d, "inventory").withColumn("state", F.when(F.col("doc_id") % 4 == 0, "deleted").otherwise("committed"))
+    return namespace.read_dir(index, "src1")
+
+
+@query("""WITH names AS (SELECT DISTINCT string_split(path, '/')[-1] AS name FROM inventory UNION SELECT 'absent.txt'), per AS (SELECT string_split(path, '/')[-1] AS name, count(*) AS n, min(path) AS one FROM inventory GROUP BY 1)
+SELECT names.name, CASE WHEN n = 1 THEN one END AS path, CASE WHEN n = 1 THEN 'ok' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome FROM names LEFT JOIN per ON per.name = names.name""", "inventory")
+def basename_ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    files = load(spark, d, "inventory")
+    names = files.select(paths.name(F.col("path")).alias("name")).distinct().unionByName(spark.range(1).select(F.lit("absent.txt").alias("name")))
+    return namespace.by_basename(names, files)
+
+
+@query("""SELECT doc_id, CASE WHEN path LIKE '%/.git/%' THEN regexp_extract(path, '^(.*?)/\\.git/', 1) END AS repo_root, CASE WHEN path LIKE '%/.git/refs/heads/%' THEN concat('refs/heads/', regexp_extract(path, '\\.git/refs/heads/(.+)$', 1)) END AS head_ref,
+ regexp_matches(path, '/\\.git/(refs/.*|packed-refs|HEAD)$') AS ref_class, regexp_matches(path, '/\\.git/objects/([0-9a-f]{2}/[0-9a-f]{38}|pack/pack-[0-9a-f]{40}\\.(pack|idx|rev))$') AS object_class FROM inventory""", "inventory")
+def git_classes(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return load(spark, d, "inventory").select("doc_id", paths.repo_root(p).alias("repo_root"), paths.head_ref(p).alias("head_ref"), paths.is_git_ref_class(p).alias("ref_class"), paths.is_git_object_class(p).alias("object_class"))
+
+
+@query("""SELECT doc_id, CASE WHEN mtime = 0 THEN 'unknown' WHEN s >= 86400 THEN concat((s // 86400)::VARCHAR, 'd') WHEN s >= 3600 THEN concat((s // 3600)::VARCHAR, 'h') WHEN s >= 60 THEN concat((s // 60)::VARCHAR, 'm') ELSE '<1m' END AS age,
+ CASE WHEN size < 60 THEN concat(size::VARCHAR, 's') WHEN size < 3600 THEN concat((size // 60)::VARCHAR, 'm') WHEN size < 86400 THEN concat((size // 3600)::VARCHAR, 'h') ELSE concat((size // 86400)::VARCHAR, 'd') END AS duration,
+ CASE WHEN length(rel_path) > 10 THEN concat(substr(rel_path, 1, 9), '…') ELSE rel_path END AS short, substr(hash, 1, 16) AS prefix, substr(hash, 1, 2) AS shard, concat(rel_path, '.tc') AS stub FROM (SELECT *, greatest(100000 - mtime * 97, 0) AS s FROM (SELECT doc_id, rel_path, size, hash, doc_id AS mtime FROM tree))""", "tree")
+def path_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "tree")
+    p = F.col("rel_path")
+    since = F.when(F.col("mtime") == 0, 0).otherwise(F.col("mtime") * 97)
+    return t.select("doc_id", paths.age_text(since, F.lit(100_000)).alias("age"), paths.duration_text(F.col("size")).alias("duration"), paths.truncate(p, 10).alias("short"), paths.hash_prefix(F.col("hash")).alias("prefix"), paths.shard(F.col("hash")).alias("shard"), paths.stub_name(p).alias("stub"))
+
+
+@query("SELECT doc_id, bytes AS n, CASE WHEN bytes >= 1048576 THEN printf('%.1f MB', bytes / 1048576.0) WHEN bytes >= 1024 THEN printf('%.1f KB', bytes / 1024.0) ELSE concat(bytes::VARCHAR, ' B') END AS shown FROM (SELECT doc_id, size * 1000 AS bytes FROM tree)", "tree")
+def byte_texts(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "tree").select("doc_id", (F.col("size") * 1000).alias("n")).withColumn("shown", paths.bytes_text(F.col("n")))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS endpoint, url AS plain FROM (SELECT page_id, url FROM pages)")
+def redacted_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    secret = F.concat(F.regexp_replace("url", "^(https?://)", "$1user:pw@"), F.lit("?token=1#x"))
+    return read_table(spark, d, "pages").select("page_id", paths.redact_endpoint(secret).alias("endpoint"), F.col("url").alias("plain"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'not_relative' WHEN doc_id % 8 = 1 THEN 'dot_component' WHEN doc_id % 8 = 2 THEN 'trailing_dot_or_space' WHEN doc_id % 8 = 3 THEN 'forbidden_character' WHEN doc_id % 8 = 4 THEN 'device_name' WHEN doc_id % 8 = 5 THEN 'git_alias' WHEN doc_id % 8 = 6 THEN 'git_metadata_alias' END AS fault FROM tree""", "tree")
+def canonical_faults(spark: SparkSession, d: str) -> DataFrame:
+    p, k = F.col("rel_path"), F.col("doc_id") % 8
+    shaped = F.when(k == 0, F.concat(F.lit("/"), p)).when(k == 1, F.concat(F.lit("../"), p)).when(k == 2, F.concat(p, F.lit("."))).when(k == 3, F.concat(p, F.lit("?"))).when(k == 4, F.concat(p, F.lit("/nul.txt"))).when(k == 5, F.concat(p, F.lit("/.GIT/x"))).when(k == 6, F.concat(p, F.lit("/.git/Head"))).otherwise(p)
+    return load(spark, d, "tree").select("doc_id", paths.canonical_fault(shaped).alias("fault"))
+
+
+@query("SELECT doc_id, nfc_normalize(concat(rel_path, 'e', chr(769))) AS path FROM tree", "tree")
+def nfc_paths(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "tree").select("doc_id", paths.nfc(F.concat("rel_path", F.lit("e\u0301"))).alias("path"))
+
+
+@query("SELECT doc_id, concat(lower(rel_path), 'strasse') AS path FROM tree", "tree")
+def casefold_paths(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "tree").select("doc_id", paths.casefold(F.concat("rel_path", F.lit("Straße"))).alias("path"))
+
+
+@query("""SELECT r.rel_path, r.manifest_key, coalesce(t.status, 'not_synced') AS status, t.last_synced FROM remote_side r LEFT JOIN tracked t ON t.rel_path = r.rel_path AND t.manifest_key = r.manifest_key""", "remote_side tracked")
+def listing_enriched(spark: SparkSession, d: str) -> DataFrame:
+    return namespace.enrich(load(spark, d, "remote_side").select("rel_path", "manifest_key"), load(spark, d, "tracked"))
+
+
+@query("SELECT rel_path, 'not_synced' AS status FROM remote_side WHERE rel_path NOT IN (SELECT rel_path FROM tracked)", "remote_side tracked")
+def discovery(spark: SparkSession, d: str) -> DataFrame:
+    return namespace.discover(load(spark, d, "remote_side").select("rel_path"), load(spark, d, "tracked"))
+
+
+@query("""WITH live AS (SELECT rel_path AS path FROM remote_side WHERE state <> 'deleted'), up AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/') AS path FROM live, unnest(range(1, len(string_split(path, '/')))) AS u(i)), wanted AS (SELECT rel_path AS path FROM tree UNION SELECT source FROM tree)
+SELECT path, CASE WHEN path IN (SELECT path FROM live) THEN 'file' WHEN path IN (SELECT path FROM up) THEN 'directory' ELSE 'not_found' END AS kind FROM wanted""", "remote_side tree")
+def path_attributes(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "tree")
+    wanted = t.select(F.col("rel_path").alias("path")).unionByName(t.select(F.col("source").alias("path"))).distinct()
+    return namespace.get_attributes(wanted, load(spark, d, "remote_side").select(F.col("rel_path").alias("path"), "state"))
+
+
+@query("SELECT rel_path AS path, substr(text, 11, 20) AS part FROM tree WHERE rel_path LIKE 'src1/%'", "tree")
+def read_slices(spark: SparkSession, d: str) -> DataFrame:
+    """M02 with S10: a slice of each file below a folder."""
+    rows = namespace.children_of(load(spark, d, "tree").withColumnRenamed("rel_path", "path"), "src1")
+    return rows.select("path", namespace.read_slice(F.col("text"), F.lit(10), F.lit(20)).alias("part"))
+
+
+@query("""SELECT doc_id, rel_path = 'src1' OR rel_path LIKE 'src1/%' OR rel_path LIKE 'src2/en/%' AS watched, CASE WHEN rel_path LIKE 'src1/%' THEN substring(rel_path, 6) END AS rest, remote_path LIKE 'store/%' AS "within" FROM tracked""", "tracked")
+def prefix_filters(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("rel_path")
+    return load(spark, d, "tracked").select("doc_id", namespace.within_roots(p, ["src1", "src2/en"]).alias("watched"), namespace.remainder(p, "src1").alias("rest"), namespace.key_within(F.col("remote_path"), "store").alias("within"))
+
+
+@query("""SELECT coalesce(a.device_id, b.device_id) AS device_id, coalesce(nullif(a.name, ''), b.name, a.name) AS name, CASE WHEN a.public_key <> '' THEN a.public_key WHEN b.public_key <> '' THEN b.public_key ELSE a.public_key END AS public_key, coalesce(a.revoked, false) OR coalesce(b.revoked, false) AS revoked, greatest(a.sequence, b.sequence) AS sequence,
+ coalesce(a.public_key <> '' AND b.public_key <> '' AND a.public_key <> b.public_key, false) AS key_clash, a.device_id IS NULL AS added FROM devices a FULL OUTER JOIN incoming_devices b ON a.device_id = b.device_id""", "devices incoming_devices")
+def registry_merge(spark: SparkSession, d: str) -> DataFrame:
+    return namespace.merge_registry(load(spark, d, "devices").drop("capable"), load(spark, d, "incoming_devices")).drop("changed")
+
+
+@query("""SELECT seq, e.rel_path, CASE WHEN i.state IS NULL THEN 'missing' WHEN i.state = 'deleted' THEN 'deleted' ELSE 'live' END AS "now" FROM log_events e LEFT JOIN (SELECT rel_path, max(CASE WHEN seq % 3 = 0 THEN 'deleted' ELSE 'committed' END) AS state FROM log_events WHERE rel_path IS NOT NULL AND seq % 5 = 0 GROUP BY rel_path) i ON i.rel_path = e.rel_path""", "log_events")
+def rebound_events(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "log_events")
+    index = e.where("rel_path IS NOT NULL AND seq % 5 = 0").groupBy("rel_path").agg(F.max(F.when(F.col("seq") % 3 == 0, "deleted").otherwise("committed")).alias("state")).withColumn("manifest_key", F.col("rel_path"))
+    return namespace.rebind_events(e.select("seq", "rel_path"), index).select("seq", "rel_path", "now")
