@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import core, lifecycles, namespaces  # noqa: F401  (they register their queries)
+from tidemark.plans import core, events, lifecycles, namespaces  # noqa: F401  (they register their queries)
 from tidemark.plans.catalog import ORACLES, QUERIES, Query
 
 
