@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import textbatch as tb
+
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -41,3 +43,25 @@ class Calibration:
 def hashed_sample(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """At most n rows, those of least key hash: the same rows at every run, whatever the partitions."""
     return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.col(key)).limit(n)
+
+
+def labelled_ids(labels: DataFrame, label: str, n: int, classes: tuple[int, ...] | None = None) -> DataFrame:
+    """(doc_id, y) of labelled rows outside the held-out fifth: at most n rows, or n of each class given.
+
+    Chosen by a hash of doc_id alone, so no text is read; the result is bounded, so it may be broadcast."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~tb.held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    if classes is None:
+        return hashed_sample(known, n)
+    found = [hashed_sample(known.where(F.col("y") == k), n) for k in classes]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def labelled_texts(docs: DataFrame, ids: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """(doc_id, y, text) of the documents with those ids and a text: texts stay where they are read."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    if most_chars is not None:
+        texts = texts.where(F.length("text") <= most_chars)
+    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")

@@ -8,6 +8,7 @@ dictionary has seen.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
-from tidemark.llm.calibrate import Calibration, hashed_sample
+from tidemark.llm.calibrate import Calibration, labelled_ids, labelled_texts
 
 #: Bounds of the fit: labelled texts of each class, and characters of a text that may enter the fit.
 SAMPLE_TEXTS, SAMPLE_CHARS = 2500, 20_000
@@ -84,16 +85,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     Rows without text or label are skipped.  Without both classes every score is the share of label 1
     (0.5 without labels).
     """
-    seen = docs.select("doc_id", F.col("text").alias("text")).where(~tb.held_out(F.col("doc_id")) & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
-    counts = {r.y: r.n for r in known.where(~tb.held_out(F.col("doc_id"))).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~tb.held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    both = seen.join(known, "doc_id")
-    texts, y = [], []
-    for k in (0, 1):  # bounded: 2 * sample texts of at most SAMPLE_CHARS characters
-        for row in hashed_sample(both.where(F.col("y") == k), sample).select("text").collect():
-            texts.append(row.text.encode())
-            y.append(k)
+    # bounded: 2 * sample texts of at most SAMPLE_CHARS characters
+    rows = labelled_texts(docs, labelled_ids(labels, label, sample, (0, 1)), SAMPLE_CHARS).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.text))
+    texts, y = [r.text.encode() for r in rows], [r.y for r in rows]
     labels_of = np.array(y)
     for_fit = np.arange(len(texts)) % 3 > 0  # a third calibrates
     good = _dictionary([t for t, k, f in zip(texts, y, for_fit, strict=True) if k == 1 and f]) if 1 in y else b""
