@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
-from tidemark.llm.calibrate import hashed_sample
+from tidemark.llm.calibrate import labelled_ids, labelled_texts
 
 #: Bounds of the fit: labelled texts of each class, and characters of a text that may enter it.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 20_000
@@ -266,14 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS, rounds:
     """Fit on a bounded sample of texts with a quality label, outside the held-out fifth.
 
     Without such texts all weights are zero, and every line is content."""
-    seen = docs.select("doc_id", F.col("text").alias("text")).where(~tb.held_out(F.col("doc_id")) & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
-    both = seen.join(known, "doc_id")
-    texts, good = [], []
-    for k in (0, 1):  # bounded: 2 * sample texts of at most SAMPLE_CHARS characters
-        for row in hashed_sample(both.where(F.col("y") == k), sample).select("text").collect():
-            texts.append(row.text)
-            good.append(k)
+    # bounded: 2 * sample texts of at most SAMPLE_CHARS characters
+    rows = labelled_texts(docs, labelled_ids(labels, "quality", sample, (0, 1)), SAMPLE_CHARS).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text))
+    texts, good = [r.text for r in rows], [r.y for r in rows]
     lines = measure(pa.array(texts, pa.string()))
     of = np.repeat(np.arange(len(texts)), np.diff(lines.first))
     bad_text = ~np.array(good, bool)
