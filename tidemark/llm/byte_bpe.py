@@ -5,13 +5,16 @@ pair of tokens whose joined bytes are a token too, with that token's rank; the r
 adjacent rows with it and contracts each word's leftmost pair of least rank until no pair is left.
 Decoding joins ids with the vocabulary and aggregates the bytes in position order.
 
-Each distinct word is encoded once a slice; a bounded cache keeps words between slices.
+Each distinct word is encoded once a slice; a bounded cache keeps words between slices.  Words over
+LONGEST_WORD bytes (no natural word) are contracted by the same rule with a heap, in memory linear in
+the word.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
 
-#: Words in one recursive query: bounds the rows that it keeps.
-WORDS_AT_ONCE = 40_000
+#: Words in one recursive query, and rows that its steps may keep (a word of n bytes: n * n / 2 at most).
+WORDS_AT_ONCE, ROWS_AT_ONCE = 40_000, 3_000_000
+#: Longer words (bytes) would make the recursion's rows grow with their square: they are contracted
+#: by the same rule with a heap.
+LONGEST_WORD = 512
 #: White space as the rank files' own library reads \s (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -79,6 +85,7 @@ class ByteBPE:
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.merged = {(a, b): rank for a, b, rank in pairs}
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("given", pa.table({"pair": left * 16777216 + right, "rank": rank.astype(np.int32)}))
@@ -89,22 +96,53 @@ class ByteBPE:
         spaced = [rank for t, rank in ranks.items() if t[:1] == b" "]
         self.starts_run = np.zeros(max(ranks.values()) + 1, bool)
         self.starts_run[spaced] = True
-        self.words, self.pieces, self.runs = tb.Cache(150_000), tb.Cache(150_000), tb.Cache(150_000)
+        self.words, self.pieces, self.runs = tb.Cache(200_000), tb.Cache(150_000), tb.Cache(150_000)
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            some = words[i : i + WORDS_AT_ONCE]
-            sizes = np.fromiter(map(len, some), np.int64, len(some))
-            data = np.frombuffer(b"".join(some), np.uint8)
-            w = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
-            pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            self.db.register("bytes_of_words", pa.table({"w": w, "pos": pos, "tok": self.byte[data]}))
-            ids = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
-            raw, ends = np.asarray(ids.flatten(), "<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
-            out += [raw[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
+        out: list[bytes] = [self._contract_long(w) if len(w) > LONGEST_WORD else b"" for w in words]
+        short = [i for i, w in enumerate(words) if len(w) <= LONGEST_WORD]
+        sizes = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
+        kept = np.cumsum(sizes * sizes // 2 + 1)
+        begin = 0
+        while begin < len(short):
+            before = kept[begin - 1] if begin else 0
+            end = max(begin + 1, min(begin + WORDS_AT_ONCE, int(np.searchsorted(kept, before + ROWS_AT_ONCE, side="right"))))
+            for i, ids in zip(short[begin:end], self._contract_words([words[i] for i in short[begin:end]], sizes[begin:end]), strict=True):
+                out[i] = ids
+            begin = end
         return out
 
+    def _contract_words(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        """The recursive query over the words' rows."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        self.db.register("bytes_of_words", pa.table({"w": w, "pos": pos, "tok": self.byte[data]}))
+        ids = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
+        raw, ends = np.asarray(ids.flatten(), "<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
+        return [raw[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _contract_long(self, word: bytes) -> bytes:
+        """Least rank first, then leftmost, with a heap of candidate pairs and links between tokens."""
+        tok = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(tok)
+        right, left = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(rank, i, tok[i], tok[i + 1]) for i in range(n - 1) if (rank := self.merged.get((tok[i], tok[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if tok[i] != a or j < 0 or tok[j] != b:
+                continue  # one of the two has been merged meanwhile
+            tok[i], tok[j] = rank, -1
+            right[i] = right[j]
+            if right[i] >= 0:
+                left[right[i]] = i
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y >= 0 and (again := self.merged.get((tok[x], tok[y]))) is not None:
+                    heapq.heappush(heap, (again, x, tok[x], tok[y]))
+        return np.array([t for t in tok if t >= 0], "<u4").tobytes()
+
     def _segments(self, pieces: list[bytes]) -> list[bytes]:
         split = [[m.encode() for m in self.pattern.findall(p.decode())] for p in pieces]
         distinct = list({w for ws in split for w in ws})
