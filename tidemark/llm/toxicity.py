@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
-from tidemark.llm.calibrate import Calibration, hashed_sample
+from tidemark.llm.calibrate import Calibration, labelled_ids, labelled_texts
 
 #: Tokens (largest |z| first) that the lexicon may hold: bounds what tasks receive.
 LEXICON_TOKENS = 200_000
@@ -29,7 +29,9 @@ PRIOR, LEAST_Z = 0.05, 3.0
 DRIFT = 0.7
 #: Lengths of the letter prefixes that stand in for words outside the lexicon.
 PREFIXES = (4, 5, 6)
-#: Labelled texts that fit the extreme-value law and the calibration.
+#: Labelled texts from which the token counts are learned (chosen by a hash of their ids).
+LABELLED_TEXTS = 60_000
+#: Those of them that fit the extreme-value law and the calibration.
 CALIBRATION_TEXTS = 6000
 #: A segment counts as significant up to this E-value.
 SIGNIFICANT = 1.0
@@ -124,10 +126,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(r - s)) for b, e, s, r in held]
 
 
-def token_table(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(token, y0, y1): counts in labelled texts outside the held-out fifth, once a text and token."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
-    both = docs.where(~tb.held_out(F.col("doc_id"))).select("doc_id", F.col("text").alias("text")).join(known, "doc_id").select("y", "text")
+def token_table(labelled: DataFrame) -> DataFrame:
+    """(token, y0, y1): texts of each label that have the token, over rows (y, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text"):
@@ -147,24 +147,24 @@ def token_table(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Dat
                         got[1] += a
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["token", "y0", "y1"])
 
-    return both.mapInArrow(run, "token binary, y0 long, y1 long").groupBy("token").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
+    return labelled.select("y", "text").mapInArrow(run, "token binary, y0 long, y1 long").groupBy("token").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", lexicon_tokens: int = LEXICON_TOKENS, calibration_texts: int = CALIBRATION_TEXTS) -> ToxicityModel:
-    """Learn from all labelled texts outside the held-out fifth; the lexicon's size and the calibration
-    sample are bounded.  Without labels of both kinds every score is the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED_TEXTS, lexicon_tokens: int = LEXICON_TOKENS, calibration_texts: int = CALIBRATION_TEXTS) -> ToxicityModel:
+    """Learn from labelled texts outside the held-out fifth, at most ``labelled`` of them; the lexicon and
+    the calibration sample are bounded too.  Without labels of both kinds every score is the share of
+    label 1."""
     # one row a token: written once, read for the totals and for the log-odds
     spark = docs.sparkSession
     out = tb.shared_dir(spark, "toxic-tokens")
-    token_table(docs, labels, label).write.parquet(out)
+    token_table(labelled_texts(docs, labelled_ids(labels, label, labelled))).write.parquet(out)
     table = spark.read.parquet(out)
     sums = table.agg(F.sum("y0").alias("n0"), F.sum("y1").alias("n1")).first()
     n0, n1 = sums.n0 or 0, sums.n1 or 0
     model = ToxicityModel()
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", F.col("text").alias("text")).where(~tb.held_out(F.col("doc_id")))
     if not n0 or not n1:
-        counts = {r.y: r.n for r in known.where(~tb.held_out(F.col("doc_id"))).groupBy("y").agg(F.count("*").alias("n")).collect()}
+        known = labels.where(~tb.held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).where(F.col(label).isin(0, 1))
+        counts = {r.y: r.n for r in known.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
         model.prior = counts.get(1, 0) / max(1, sum(counts.values()))
         return model
     share = (F.col("y0") + F.col("y1")) * PRIOR
@@ -174,18 +174,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", lexicon_tokens
     clear = table.select("token", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "token").limit(lexicon_tokens)
     got = clear.toArrow()  # bounded by lexicon_tokens
     model.lexicon = dict(zip(got.column("token").to_pylist(), zip(got.column("odds").to_pylist(), got.column("z").to_pylist(), strict=True), strict=True))
-    _calibrate(model, rows, known, calibration_texts)
+    _calibrate(model, labelled_texts(docs, labelled_ids(labels, label, calibration_texts)).select("y", "text"))
     return model
 
 
-def _calibrate(model: ToxicityModel, rows: DataFrame, known: DataFrame, n: int) -> None:
+def _calibrate(model: ToxicityModel, some: DataFrame) -> None:
     """lambda and K from the best segments of non-toxic texts, then P(toxic) from the evidence.
 
     log n + log K - lambda M is minus a standard Gumbel variable, so lambda is fitted by the spread of
     the best segments (between 0.3 and 3, and 3 when they do not vary), K by its likelihood.
     """
-    ids = hashed_sample(known.where(~tb.held_out(F.col("doc_id"))), n)
-    some = rows.join(ids, "doc_id").select("y", "text")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text"):
