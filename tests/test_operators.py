@@ -1,0 +1,238 @@
+"""Properties and edge cases that the driver's tables do not hold."""
+
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.functions import clocks, ingress, paths
+from tidemark.operators import cas, conflicts, lifecycle, namespace, reconcile
+from tidemark.sources import tables
+from tidemark.streaming import events as ev
+
+CLOCK = "map<string,bigint>"
+
+
+def random_clocks(n, seed):
+    rng = random.Random(seed)
+    one = lambda: {rng.choice("abcd"): rng.randint(0, 3) for _ in range(rng.randint(0, 4))}
+    return [(one(), one(), one()) for _ in range(n)]
+
+
+def test_clock_laws(spark):
+    """Merge is commutative, associative and idempotent and dominates; compare is antisymmetric; tick advances."""
+    df = spark.createDataFrame(random_clocks(400, 1), f"x {CLOCK}, y {CLOCK}, z {CLOCK}")
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    m, text = clocks.merge, clocks.text
+    rows = df.select(
+        (text(m(x, y)) == text(m(y, x))).alias("commutative"),
+        (text(m(m(x, y), z)) == text(m(x, m(y, z)))).alias("associative"),
+        (text(m(x, x)) == text(x)).alias("idempotent"),
+        clocks.compare(m(x, y), x).isin("greater", "equal").alias("dominates"),
+        ((clocks.compare(x, y) == "greater") == (clocks.compare(y, x) == "less")).alias("antisymmetric"),
+        (clocks.is_concurrent(x, y) == clocks.is_concurrent(y, x)).alias("symmetric"),
+        (clocks.compare(clocks.tick(x, F.lit("a")), x) == "greater").alias("advances"),
+    )
+    for r in rows.collect():
+        assert all(r.asDict().values()), r
+
+
+def test_clock_edges(spark):
+    df = spark.createDataFrame([({"a": 1, "z": 0}, {"a": 1}), ({}, {}), (None, {"a": 1}), (None, None)], f"x {CLOCK}, y {CLOCK}")
+    assert [r[0] for r in df.select(clocks.compare(F.col("x"), F.col("y"))).collect()] == ["equal", "equal", "less", "equal"]
+
+
+def side(spark, rows, cols):
+    return spark.createDataFrame(rows, cols)
+
+
+def test_reconcile_cells(spark):
+    """All presence cells, git refs, tombstones, content equal under any clocks, and the inferred tick."""
+    local = side(spark, [("new", "h", {}), ("same", "h", {"a": 9}), ("r/.git/refs/heads/x", "h2", {}), ("gone", "h", {}), ("tick", "h2", {"a": 1}), ("tie", "h1", {"a": 1})], f"rel_path string, hash string, clock {CLOCK}")
+    remote = side(spark, [("there", "h", {}, "committed"), ("orphan", "h", {}, "committed"), ("same", "h", {"b": 1}, "committed"), ("gone", None, None, "deleted"), ("tick", "h3", {"a": 1, "b": 1}, "committed"), ("tie", "h2", {"a": 1}, "committed")], f"rel_path string, hash string, clock {CLOCK}, state string")
+    tracked = side(spark, [("orphan", "h"), ("r/.git/refs/heads/x", "h1"), ("gone", "h"), ("ghost", "h"), ("tick", "h1")], "rel_path string, hash string")
+    got = {r.rel_path: (r.action, r.reason) for r in reconcile.plan(local, remote, tracked, "a").collect()}
+    assert got == {"new": ("push", "new_local"), "there": ("pull", "new_remote"), "orphan": ("up_to_date", "up_to_date"), "same": ("up_to_date", "up_to_date"), "r/.git/refs/heads/x": ("push", "local_newer"), "gone": ("up_to_date", "up_to_date"), "ghost": ("up_to_date", "up_to_date"), "tick": ("conflict", "conflict"), "tie": ("conflict", "conflict")}
+    got = {r.rel_path: r.action for r in reconcile.plan(local, remote, tracked, "a", delete_local_orphans=True, delete_remote_orphans=True).collect()}
+    assert got["gone"] == "delete_local" and got["orphan"] == "delete_remote"
+
+
+def test_reconcile_empty(spark):
+    empty = side(spark, [], f"rel_path string, hash string, clock {CLOCK}")
+    remote = side(spark, [], f"rel_path string, hash string, clock {CLOCK}, state string")
+    assert reconcile.plan(empty, remote, side(spark, [], "rel_path string, hash string"), "a").count() == 0
+
+
+def test_deny_rules(spark):
+    """A hidden file, and a file named like a build folder, are denied by component but allowed by path."""
+    names = [".bashrc", "target", "src/target/x", "a/.ssh/id", "b/.env.local", "c/x.sqlite", "d/.git", "d/.git/index.lock", "Cargo.lock", "e/.x.tmp." + "0" * 32, "f/y.tc", "g/n.tmp", "ok.txt"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    by_path = [r[0] for r in df.select(ingress.path_reason(F.col("p"), F.lit(False), globs=["*.tmp"])).collect()]
+    by_part = [r[0] for r in df.select(ingress.component_reason(F.col("p"), globs=["*.tmp"])).collect()]
+    assert by_path == [None, None, None, None, "security: dotenv", "security: live-db", "gitfile pointer", "git lockfile", None, "security: atomic-write-temp", "stub extension", "glob: *.tmp", None]
+    assert by_part == ["hidden directory", "built-in: target", "built-in: target", "security: .ssh", "security: dotenv", "security: live-db", ".git directory", "git lockfile", None, "security: atomic-write-temp", "stub extension", "glob: *.tmp", None]
+
+
+@given(st.text(alphabet="ab.*?[]!-_", max_size=8), st.text(alphabet="ab.-_x", max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_glob_is_a_regex(pattern, name):
+    import re
+
+    try:
+        re.compile(ingress.glob_regex(pattern))
+    except re.error as e:
+        assert "bad character range" in str(e)  # as [b-a], which no name matches
+        return
+    if not any(c in pattern for c in "*?["):
+        assert bool(re.match(ingress.glob_regex(pattern), name)) == (pattern == name)
+
+
+def test_unicode_paths(spark):
+    df = spark.createDataFrame([("Straße/é",), (None,)], "p string")
+    assert [r[0] for r in df.select(paths.casefold("p")).collect()] == ["strasse/é", None]
+    assert df.select(paths.normalise(F.col("p"))).first()[0] == "Straße/é"
+    df = spark.createDataFrame([("a/b",), ("",), ("/a",), ("a//b",), ("a/../b",), ("a/b.",), ("x:y",), ("nul",), ("GIT~1",), ("r/.Git/x",), ("r/.git/Refs/x",), ("r/.git/y.LOCK",)], "p string")
+    assert [r[0] for r in df.select(paths.canonical_fault(F.col("p"))).collect()] == [None, "not_relative", "not_relative", "dot_component", "dot_component", "trailing_dot_or_space", "forbidden_character", "device_name", "git_short_name", "git_alias", "git_metadata_alias", "git_lock_alias"]
+
+
+def test_path_functions(spark):
+    df = spark.createDataFrame([("root/a\\b", "root"), ("/x/y", None)], "p string, r string")
+    assert [r[0] for r in df.select(paths.relative(F.col("p"), F.col("r"))).collect()] == ["a/b", "x/y"]
+    one = spark.range(1)
+    assert one.select(paths.ref_sha(F.lit("a" * 40 + "\n"))).first()[0] == "a" * 40
+    assert one.select(paths.ref_sha(F.lit("ref: refs/heads/x"))).first()[0] is None
+    stub = "version 2\nsize 5\nbad\nsize 6\noid sha256:ab\n"
+    m = one.select(paths.parse_stub(F.lit(stub))).first()[0]
+    assert m == {"version": "2", "size": "6", "oid": "sha256:ab"}
+    assert one.select(paths.format_stub(paths.parse_stub(F.lit(stub)))).first()[0] == "version 2\noid sha256:ab\nsize 6\n"
+    assert one.select(paths.oid_hex(F.lit("sha256:ab")), paths.oid_hex(F.lit("ab"))).first()[:] == ("ab", None)
+    assert one.select(paths.chunk_profile(F.lit("r/.git/objects/pack/tmp_pack_1")), paths.real_name(F.lit("a/b.tcf")), paths.is_stub(F.lit(".tc"))).first()[:] == ("large", "a/b", False)
+
+
+@given(st.binary(max_size=60_000))
+@settings(max_examples=40, deadline=None)
+def test_chunks_cover(data):
+    """Contiguous cover, sizes within bounds, deterministic; nothing for empty input."""
+    least, average, most = cas.PROFILES["small"]
+    ends = cas.cut_points(data, least, average, most)
+    assert ends == cas.cut_points(data, least, average, most)
+    sizes = [e - s for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    assert sum(sizes) == len(data) and all(0 < s <= most for s in sizes) and all(s >= least for s in sizes[:-1])
+
+
+def test_chunks_are_local():
+    """An insertion near the front moves few boundaries."""
+    rng = random.Random(5)
+    data = bytes(rng.randrange(256) for _ in range(200_000))
+    x = cas.cut_points(data, *cas.PROFILES["small"])
+    old = {hashlib.sha256(data[s:e]).digest() for s, e in zip([0, *x[:-1]], x, strict=True)}
+    new = data[:1000] + b"inserted" + data[1000:]
+    y = cas.cut_points(new, *cas.PROFILES["small"])
+    parts = [hashlib.sha256(new[s:e]).digest() for s, e in zip([0, *y[:-1]], y, strict=True)]
+    assert sum(p not in old for p in parts) <= 4
+
+
+def test_cas_edges(spark):
+    """Empty files have no chunk and no frame; a missing chunk shows; ranges read across frames."""
+    files = spark.createDataFrame([("e", ""), ("n", None), ("x", "abc" * 1000)], "path string, content string")
+    chunks = cas.fixed_chunks(files, 512)
+    assert chunks.select("path").distinct().collect()[0].path == "x" and chunks.count() == 6
+    m = cas.manifests(chunks)
+    short = cas.reassemble(m, chunks.where("pos <> 2")).first()
+    assert short.missing == 1
+    frames = cas.compress_frames(files, frame_bytes=700)
+    assert cas.read_range(frames, 690, 1410).first().content == ("abc" * 1000)[690:1410].encode()
+    plan = cas.cleanup_plan(spark.createDataFrame([("a", None), ("b", 0), ("c", 10**9)], "hash string, last_modified bigint"), 100_000, cas.grace(0))
+    assert [r.plan for r in plan.orderBy("hash").collect()] == ["skip", "delete", "within_grace"]
+    assert cas.grace(0, indexed=False) == 0
+
+
+def test_debounce_gap(spark):
+    """Exactly the gap ends a period; repeated and out-of-order delivery change nothing else."""
+    rows = [("p", 0, 1, "created"), ("p", 99, 2, "modified"), ("p", 199, 3, "deleted"), ("q", 5, 4, "created")]
+    df = spark.createDataFrame(rows[::-1], "path string, ts_micros bigint, seq bigint, kind string")
+    got = sorted((r.path, r.started, r.ended, r.n, r.kind) for r in ev.debounce(df, 100).collect())
+    assert got == [("p", 0, 99, 2, "modified"), ("p", 199, 199, 1, "deleted"), ("q", 5, 5, 1, "created")]
+
+
+def test_replay_is_idempotent(spark):
+    log = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 3, "y"), ("b", 2, "x")], "rel_path string, seq bigint, type string")
+    assert sorted((r.rel_path, r.seq, r.type) for r in ev.latest_by_path(log).collect()) == [("a", 3, "y"), ("b", 2, "x")]
+
+
+def test_manifest_forms(spark):
+    """JSON, the older text form, and malformed JSON (no fall-back)."""
+    body = ['{"version":2,"chunks":["c1","c2"],"file_hash":"h","file_size":5,"rel_path":"a"}', "c1\nc2\n\n", '{"version":2,', ""]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(body)], "i int, b string")
+    rows = [r.m for r in df.select("i", tables.parse_manifest(F.col("b")).alias("m")).orderBy("i").collect()]
+    assert rows[0].chunks == ["c1", "c2"] and rows[0].file_size == 5 and rows[1].chunks == ["c1", "c2"] and rows[1].version == 1 and rows[2].chunks is None and rows[3].chunks == []
+
+
+def test_scan_fails_whole(spark):
+    entries = spark.createDataFrame([("s/index/../x", "manifest_hash=m")], "key string, content string")
+    with pytest.raises(Exception, match="unreadable index entry"):
+        tables.scan_index(entries, "s").collect()
+
+
+def test_tree_scan(spark, tmp_path):
+    for name in ["a/x.txt", "a/.ssh/id", "b/.env", "c/node_modules/y.js", "d/z.log"]:
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(name)
+    found = tables.local_set(tables.scan_tree(spark, str(tmp_path)))
+    assert sorted((r.rel_path, r.size) for r in found.select("rel_path", "size").collect()) == [("a/x.txt", 7), ("d/z.log", 7)]
+    twice = spark.createDataFrame([("é", 1), ("é", 1)], "rel_path string, size int")
+    with pytest.raises(Exception, match="duplicate path"):
+        tables.local_set(twice).collect()
+
+
+def test_eviction_forms_agree(spark):
+    rng = random.Random(3)
+    rows = [(f"k{i}", rng.randint(0, 50), rng.randint(0, 40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, size bigint, mtime bigint")
+    total, gone = sum(r[1] for r in rows), set()
+    left = total
+    for key, size, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if left <= 2000:
+            break
+        gone.add(key)
+        left -= size
+    assert {r.key for r in lifecycle.evict(df, 2000).collect()} == gone
+    assert {r.key for r in lifecycle.evict(df.withColumn("g", F.lit(1)), 2000, group="g").collect()} == gone
+    assert lifecycle.evict(df.limit(0), 2000).count() == 0
+
+
+def test_ancestry_and_policies(spark):
+    edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "a")], "child string, parent string")
+    pairs = spark.createDataFrame([("c", "a"), ("a", "c"), ("c", "x"), ("c", "c"), ("zz", "a")], "local string, remote string")
+    got = {(r.local, r.remote): r.direction for r in conflicts.ancestry(edges, pairs).collect()}
+    assert got == {("c", "a"): "local_ahead", ("a", "c"): "remote_ahead", ("c", "x"): "neither", ("c", "c"): "neither", ("zz", "a"): "neither"}
+    files = spark.createDataFrame([("a/b/c",), ("ab/c",), ("a",)], "path string")
+    policy = spark.createDataFrame([("a", "always", 5), ("a/b", "on_demand", None)], "folder string, sync_mode string, download_threshold bigint")
+    got = {r.path: (r.sync_mode, r.download_threshold) for r in namespace.nearest_policy(files, policy).collect()}
+    assert got == {"a/b/c": ("on_demand", None), "ab/c": (None, None), "a": ("always", 5)}
+    far = namespace.nearest_policy(files, policy, broadcast_rows=10**9)
+    assert {r.path: (r.sync_mode, r.download_threshold) for r in far.collect()} == got
+
+
+def test_registry_merge_rules(spark):
+    cols = "device_id string, name string, public_key string, placeholder boolean, revoked boolean, sequence bigint"
+    a = spark.createDataFrame([("1", "", "", True, False, 1), ("2", "n", "k2", False, True, 5), ("3", "n", "k3", False, False, 1)], cols)
+    b = spark.createDataFrame([("1", "x", "k1", False, False, 3), ("2", "m", "k2", False, False, 2), ("3", "n", "other", False, False, 1), ("4", "z", "k4", False, False, 1)], cols)
+    got = {r.device_id: r for r in namespace.merge_registry(a, b).collect()}
+    assert (got["1"].public_key, got["1"].name, got["1"].sequence) == ("k1", "x", 3)
+    assert got["2"].revoked and got["2"].sequence == 5 and not got["2"].changed
+    assert got["3"].key_clash and got["4"].added
+
+
+def test_entry_without_llm():
+    """The library works without the training-data subpackage; nothing outside imports it."""
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "tidemark"
+    for f in root.rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            assert "tidemark.llm" not in f.read_text(), f

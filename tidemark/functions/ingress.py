@@ -27,10 +27,10 @@ def glob_regex(pattern: str) -> str:
             out += ".*"
         elif c == "?":
             out += "."
-        elif c == "[" and "]" in pattern[i + 2 :]:
-            end = pattern.index("]", i + 2)
-            inner = pattern[i + 1 : end].replace("\\", "\\\\")
-            out += "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]"
+        elif c == "[" and (end := pattern.find("]", i + (3 if pattern[i + 1 : i + 2] == "!" else 2))) > 0:
+            inner = pattern[i + 1 : end]
+            deny = inner[0] == "!"
+            out += "[" + "^" * deny + "".join(x if x.isalnum() or x == "-" else "\\" + x for x in inner[deny:]) + "]"
             i = end
         else:
             out += c if c.isalnum() or c == "_" else "\\" + c
