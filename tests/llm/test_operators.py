@@ -218,7 +218,7 @@ def test_op4_targets_and_taken(spark, docs, texts):
         assert r.size == size[i] and r.source_size == total[source[i]] and r.target == pytest.approx(target[source[i]]) and r.taken <= 2 * r.size
         taken[source[i]] += r.taken
     for s in names:
-        assert taken[s] == pytest.approx(target[s], rel=0.01, abs=30)
+        assert taken[s] == pytest.approx(target[s], rel=0.03)  # ten documents a source
     again = {r.doc_id: r for r in registry.op4_source_mixing(spark, SF).collect()}
     assert again == rows
 

@@ -111,7 +111,8 @@ def group_copies(groups: DataFrame, targets: DataFrame, tilts: DataFrame, n_sour
     """(source_key, size, docs, copies): whole copies of each group, near each source's target.
 
     Rounding takes the group's exact number up or down by a hash of the group; then, while a source is
-    off target, the largest groups that still fit take or give copies, in passes over the groups.
+    off target, the largest groups that still fit take or give copies, in passes over the groups, and
+    at last the smallest group takes one step past the target if that comes nearer.
     """
     rate = F.coalesce(_rate(F.col("tilt"), F.col("z"), most_copies), F.when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.lit(float(most_copies))))
     luck = F.pmod(F.xxhash64("source_key", "size", F.lit("round")), F.lit(1 << 20)).cast("double") / (1 << 20)
@@ -127,7 +128,15 @@ def group_copies(groups: DataFrame, targets: DataFrame, tilts: DataFrame, n_sour
         left = F.abs("gap") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(largest_first), F.lit(0))
         moved = F.when(fits & (left > 0), F.least(F.col("room"), F.floor(left / F.col("size")))).otherwise(F.lit(0)).cast("long")
         now = offered.withColumn("moved", moved).select("source_key", "size", "docs", "target", (F.col("copies") + F.when(F.col("gap") > 0, F.col("moved")).otherwise(-F.col("moved"))).alias("copies"))
-    return now.select("source_key", "size", "docs", "copies").checkpoint()
+    # what is left is smaller than any group that fits: one step past the target where that is nearer
+    now = now.checkpoint()
+    gaps = now.groupBy("source_key").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken")).select("source_key", F.round(F.col("t") - F.col("taken")).cast("long").alias("gap"))
+    offered = now.join(_by_source(gaps, n_sources), "source_key")
+    able = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < F.col("docs") * most_copies).otherwise(F.col("copies") > 0)
+    steps = offered.where(able).groupBy("source_key").agg(F.min("size").alias("step_size"))
+    stepped = offered.join(_by_source(steps, n_sources), "source_key", "left")
+    step = F.when(F.col("size") == F.col("step_size"), F.sign("gap")).otherwise(F.lit(0)).cast("long")
+    return stepped.select("source_key", "size", "docs", (F.col("copies") + step).alias("copies")).checkpoint()
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES) -> DataFrame:
