@@ -218,6 +218,9 @@ def document_media(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str
     """
     store_media(docs, out, text)
     pages = docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_page(F.col(doc_id), F.col(text), F.concat(F.lit("text of document "), F.coalesce(F.col(doc_id).cast("string"), F.lit("?")))).alias("html"))
-    features = media_features(docs.sparkSession.read.parquet(out))
+    spark = docs.sparkSession
+    kept = f"{out}-features"
+    media_features(spark.read.parquet(out)).write.parquet(kept)  # so that the join's skew can be split
+    features = spark.read.parquet(kept)
     found = resolve(sequences(pages), features, "doc_id").where("kind = 'audio'")
     return found.select("doc_id", "pos", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
