@@ -10,6 +10,7 @@ toxicity, E = K n exp(-lambda S); the significant ones are aggregated and calibr
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,9 @@ from tidemark.llm.calibrate import Calibration, labelled_ids, labelled_texts
 #: Tokens (largest |z| first) that the lexicon may hold: bounds what tasks receive.
 LEXICON_TOKENS = 200_000
 #: Strength of the Dirichlet prior (pseudo-counts for each counted token), least |z| of a token that is not neutral.
-PRIOR, LEAST_Z = 0.05, 3.0
+PRIOR, LEAST_Z = 0.05, 4.0
+#: Words of a shingle, and min-hashes by which copies of a text are found before counting.
+SHINGLE, MIN_HASHES = 5, 3
 #: Taken from each token's log-odds, so that ordinary text drifts down.
 DRIFT = 0.7
 #: Lengths of the letter prefixes that stand in for words outside the lexicon.
@@ -126,6 +129,41 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(r - s)) for b, e, s, r in held]
 
 
+def min_hashes(column: pa.Array) -> np.ndarray:
+    """By text: MIN_HASHES least hashes of its word shingles (of all its words if it has fewer)."""
+    found = tb.words(*tb.utf8(column))
+    seeds = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9][:MIN_HASHES], np.uint64)
+    out = np.zeros((len(found.first) - 1, MIN_HASHES), np.uint64)
+    word = np.fromiter(map(zlib.crc32, found.values.to_pylist()), np.uint64, len(found.values))[found.ids] if len(found.values) else np.zeros(0, np.uint64)
+    for i, (b, e) in enumerate(zip(found.first[:-1], found.first[1:], strict=True)):
+        size = min(SHINGLE, e - b)
+        if size:
+            h = np.zeros(e - b - size + 1, np.uint64)
+            for k in range(size):
+                h = (h ^ word[b + k : e - size + k + 1]) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            out[i] = ((h[:, None] ^ seeds) * seeds).min(0)
+    return out
+
+
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """(doc_id, y) of one text of each set of near-copies among rows (doc_id, y, text): a text that was
+    copied a thousand times must not make its ordinary words look toxic.
+
+    Rows of equal min-hash are one, for each min-hash in turn; the texts stay where they are read."""
+    names = [f"h{i}" for i in range(MIN_HASHES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches, "text"):
+            h = min_hashes(batch.column(2)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(h[:, i]) for i in range(MIN_HASHES))], names=["doc_id", "y", *names])
+
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id long, y int, {', '.join(f'{n} long' for n in names)}")
+    for name in names:
+        rows = rows.groupBy(name).agg(F.min(F.struct("doc_id", "y", *[n for n in names if n != name])).alias("r")).select(name, "r.*")
+    return rows.select("doc_id", "y")
+
+
 def token_table(labelled: DataFrame) -> DataFrame:
     """(token, y0, y1): texts of each label that have the token, over rows (y, text)."""
 
@@ -157,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     # one row a token: written once, read for the totals and for the log-odds
     spark = docs.sparkSession
     out = tb.shared_dir(spark, "toxic-tokens")
-    token_table(labelled_texts(docs, labelled_ids(labels, label, labelled))).write.parquet(out)
+    ids = without_copies(labelled_texts(docs, labelled_ids(labels, label, labelled)))
+    token_table(labelled_texts(docs, ids)).write.parquet(out)
     table = spark.read.parquet(out)
     sums = table.agg(F.sum("y0").alias("n0"), F.sum("y1").alias("n1")).first()
     n0, n1 = sums.n0 or 0, sums.n1 or 0
