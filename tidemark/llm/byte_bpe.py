@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,23 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
 
-#: Words in one recursive query, and rows that its steps may keep (a word of n bytes: n * n / 2 at most).
-WORDS_AT_ONCE, ROWS_AT_ONCE = 40_000, 3_000_000
+
+class Room(NamedTuple):
+    """What a worker may hold: bytes of text at once, words in one recursive query, and entries of the
+    caches of words, segments and decoded runs.  Results do not depend on it."""
+
+    slice_bytes: int
+    words_at_once: int
+    words: int
+    pieces: int
+    runs: int
+
+
+#: About 0.4 GB a worker, for executors that other stages share; about 0.9 GB, for fewer words encoded twice.
+FRUGAL = Room(2 << 20, 10_000, 100_000, 40_000, 40_000)
+ROOMY = Room(12 << 20, 60_000, 450_000, 150_000, 250_000)
+#: Rows that the steps of one recursive query may keep (a word of n bytes: n * n / 2 at most).
+ROWS_AT_ONCE = 4_000_000
 #: Longer words (bytes) would make the recursion's rows grow with their square: they are contracted
 #: by the same rule with a heap.
 LONGEST_WORD = 512
@@ -64,7 +80,7 @@ GROUP BY w ORDER BY w
 """
 
 DECODE = """
-SELECT d.run, string_agg(v.chars, '' ORDER BY d.pos) AS chars
+SELECT d.run, array_to_string(list(v.chars ORDER BY d.pos), '') AS chars
 FROM ids_of_runs d JOIN vocabulary v ON v.tok = d.tok GROUP BY d.run ORDER BY d.run
 """
 
@@ -78,16 +94,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encoder and decoder of one rank file and pre-token pattern; holds its own DuckDB connection."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, room: Room = FRUGAL):
         import duckdb
 
+        self.room = room
+
         ranks = read_ranks(ranks_path)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.merged = {(a, b): rank for a, b, rank in pairs}
+        self.merged: dict[tuple[int, int], int] = {}  # filled by the first very long word
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.register("given", pa.table({"pair": left * 16777216 + right, "rank": rank.astype(np.int32)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.register("given", pa.table({"tok": np.array([*ranks.values()], np.int32), "chars": [t.decode("latin-1") for t in ranks]}))
@@ -96,7 +114,7 @@ class ByteBPE:
         spaced = [rank for t, rank in ranks.items() if t[:1] == b" "]
         self.starts_run = np.zeros(max(ranks.values()) + 1, bool)
         self.starts_run[spaced] = True
-        self.words, self.pieces, self.runs = tb.Cache(200_000), tb.Cache(150_000), tb.Cache(150_000)
+        self.words, self.pieces, self.runs = tb.Cache(room.words), tb.Cache(room.pieces), tb.Cache(room.runs)
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [self._contract_long(w) if len(w) > LONGEST_WORD else b"" for w in words]
@@ -106,7 +124,7 @@ class ByteBPE:
         begin = 0
         while begin < len(short):
             before = kept[begin - 1] if begin else 0
-            end = max(begin + 1, min(begin + WORDS_AT_ONCE, int(np.searchsorted(kept, before + ROWS_AT_ONCE, side="right"))))
+            end = max(begin + 1, min(begin + self.room.words_at_once, int(np.searchsorted(kept, before + ROWS_AT_ONCE, side="right"))))
             for i, ids in zip(short[begin:end], self._contract_words([words[i] for i in short[begin:end]], sizes[begin:end]), strict=True):
                 out[i] = ids
             begin = end
@@ -124,6 +142,8 @@ class ByteBPE:
 
     def _contract_long(self, word: bytes) -> bytes:
         """Least rank first, then leftmost, with a heap of candidate pairs and links between tokens."""
+        if not self.merged:
+            self.merged = {(pair >> 24, pair & 0xFFFFFF): rank for pair, rank in self.db.sql("SELECT pair, rank FROM merges").fetchall()}
         tok = self.byte[np.frombuffer(word, np.uint8)].tolist()
         n = len(tok)
         right, left = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -174,13 +194,13 @@ class ByteBPE:
         return tb.expand(runs, self.runs.encode(runs.values.to_pylist(), self._join), np.uint8)
 
 
-_coders: dict[tuple[str, str], ByteBPE] = {}
+_coders: dict[tuple[str, str, Room], ByteBPE] = {}
 
 
-def coder(ranks_path: str, pattern: str) -> ByteBPE:
+def coder(ranks_path: str, pattern: str, room: Room = FRUGAL) -> ByteBPE:
     """One coder a worker process, kept between tasks."""
-    if (key := (ranks_path, pattern)) not in _coders:
-        _coders[key] = ByteBPE(ranks_path, pattern)
+    if (key := (ranks_path, pattern, room)) not in _coders:
+        _coders[key] = ByteBPE(ranks_path, pattern, room)
     return _coders[key]
 
 
@@ -195,7 +215,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
-        for batch in tb.slices(batches, text):
+        for batch in tb.slices(batches, text, FRUGAL.slice_bytes):
             ids, at = bpe.encode(batch.column(where))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, into])
@@ -223,15 +243,15 @@ def decode_ids(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "toke
     return kept.mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, room: Room = FRUGAL) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of decoded bytes, made slice by slice: what
     ``encode_texts`` and ``decode_ids`` give, without token lists passing through Spark.
 
     with_ids adds ``token_ids``: the ids as little-endian unsigned 32-bit integers, in one binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(ranks_path, pattern)
-        for batch in tb.slices(batches, "text"):
+        bpe = coder(ranks_path, pattern, room)
+        for batch in tb.slices(batches, "text", room.slice_bytes):
             ids, at = bpe.encode(batch.column(1))
             data, ends = bpe.decode(ids, at)
             raw, back = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8), np.ascontiguousarray(data).data

@@ -6,6 +6,7 @@ millions of words with a few numpy calls instead of one Python object a word.  N
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
 #: Bytes of text that a task turns into arrays at once; only one longer document exceeds it.
 SLICE_BYTES = 8 << 20
 
@@ -82,6 +85,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             stop = max(row + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(row, stop - row)
             row = stop
+            give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a reused worker does not keep a slice's peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 class Pieces:
