@@ -175,6 +175,19 @@ def test_language_model_is_kneser_ney():
         assert model.word_scores([word])[0][0, 0] == pytest.approx(want, rel=1e-4)
 
 
+def test_language_model_keeps_all(spark, docs, odd):
+    """However few n-grams tasks may receive, no count is lost: a rare language stays, and scores stay the same."""
+    rare = docs.limit(3).select((F.lit(10**6) + F.col("doc_id")).alias("doc_id"), F.lit("xx").alias("lang"), F.lit("żółw gżegżółka źdźbło jaźń").alias("text"))
+    given = docs.select("doc_id", "lang", "text").unionByName(rare.where(~tb.held_out(F.col("doc_id"))))
+    seen = given.select("doc_id", "text").unionByName(odd.select((F.lit(2 * 10**6) + F.col("doc_id")).alias("doc_id"), "text")).unionByName(spark.createDataFrame([(3 * 10**6, "gżegżółka żółw"), (3 * 10**6 + 1, "日本 \u0436\u0443\u043a")], "doc_id long, text string"))
+    whole, tables = language.fit(given), language.fit(given, model_ngrams=100)
+    assert tables.langs == whole.langs and "xx" in tables.langs
+    want, got = ({r.doc_id: r for r in language.identify(seen, m).collect()} for m in (whole, tables))
+    assert len(got) == len(want) and got[3 * 10**6].lang_pred == "xx"
+    for i, r in want.items():
+        assert (got[i].lang_pred, got[i].accepted) == (r.lang_pred, r.accepted) and got[i].cross_entropy == pytest.approx(r.cross_entropy, rel=1e-4, abs=1e-6) and got[i].score == pytest.approx(r.score, abs=1e-3)
+
+
 def test_maximal_segments():
     def brute(x):
         best = None
