@@ -218,6 +218,36 @@ def test_ancestry_and_policies(spark):
     assert {r.path: (r.sync_mode, r.download_threshold) for r in far.collect()} == got
 
 
+def test_ancestry_of_long_histories(spark):
+    """A line of 300 commits with a merge of a side line, beyond any fixed number of generations."""
+    edges = [(f"c{i}", f"c{i - 1}") for i in range(1, 300)] + [(f"s{i}", f"s{i - 1}") for i in range(1, 100)] + [("s0", "c50"), ("c250", "s99")]
+    pairs = [("c299", "c0"), ("c0", "c299"), ("c299", "s0"), ("s99", "c51"), ("s99", "c50"), ("c249", "s5"), ("c65", "c0"), ("c64", "c0"), ("c7", "c7")]
+    got = {(r.local, r.remote): r.direction for r in conflicts.ancestry(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame(pairs, "local string, remote string")).collect()}
+    assert got == {p: d for p, d in zip(pairs, ["local_ahead", "remote_ahead", "local_ahead", "neither", "local_ahead", "neither", "local_ahead", "local_ahead", "neither"], strict=True)}
+
+
+def test_ancestry_of_all_orders(spark):
+    """Every order is classified as walking its parents one by one says."""
+    from tidemark import registry
+
+    sf = "/root/testdata/sf0.001"
+    known = {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+
+    def above(n):
+        found = set()
+        while n in known and n > 1:
+            n //= 2
+            found.add(n)
+        return found
+
+    want = {}
+    for n in known:
+        other = n // 4 if n % 3 == 0 else n * 2 if n % 3 == 1 else n + 1
+        want[f"n{n}", f"n{other}"] = "local_ahead" if other in above(n) else "remote_ahead" if n in above(other) else "neither"
+    got = registry.queries()["commit_ancestry_all"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.local, r.remote): r.direction for r in got} == want
+
+
 def test_registry_merge_rules(spark):
     cols = "device_id string, name string, public_key string, placeholder boolean, revoked boolean, sequence bigint"
     a = spark.createDataFrame([("1", "", "", True, False, 1), ("2", "n", "k2", False, True, 5), ("3", "n", "k3", False, False, 1)], cols)

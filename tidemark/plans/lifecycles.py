@@ -240,12 +240,22 @@ up AS (SELECT local, remote, local AS at_, 'local_ahead' AS side FROM pairs UNIO
 met AS (SELECT DISTINCT local, remote, side FROM up WHERE local <> remote AND at_ = CASE WHEN side = 'local_ahead' THEN remote ELSE local END)
 SELECT p.local, p.remote, coalesce(m.side, 'neither') AS direction FROM pairs p LEFT JOIN met m ON m.local = p.local AND m.remote = p.remote""")
 def commit_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that its recursive SQL can follow; ``commit_ancestry_all`` has those of all orders."""
+    return _ancestry(spark, d, "o_orderkey < 200")
+
+
+@query()
+def commit_ancestry_all(spark: SparkSession, d: str) -> DataFrame:
+    return _ancestry(spark, d, "true")
+
+
+def _ancestry(spark: SparkSession, d: str, which: str) -> DataFrame:
     from tidemark.sources.tables import read_table
 
     k = F.col("o_orderkey")
     other = F.when(k % 3 == 0, F.floor(k / 4)).when(k % 3 == 1, k * 2).otherwise(k + 1)
     name = lambda x: F.concat(F.lit("n"), x.cast("long").cast("string"))
-    pairs = read_table(spark, d, "orders").where("o_orderkey < 200").select(name(k).alias("local"), name(other).alias("remote"))
+    pairs = read_table(spark, d, "orders").where(which).select(name(k).alias("local"), name(other).alias("remote"))
     return conflicts.ancestry(load(spark, d, "commits"), pairs)
 
 
