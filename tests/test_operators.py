@@ -158,6 +158,28 @@ def test_debounce_gap(spark):
     assert got == [("p", 0, 99, 2, "modified"), ("p", 199, 199, 1, "deleted"), ("q", 5, 5, 1, "created")]
 
 
+@pytest.mark.parametrize("files_a_batch", [None, 1])
+def test_rate_limit_in_any_order(spark, tmp_path, files_a_batch):
+    """More rows a device than a chunk holds, from shuffled files, in one batch or several: as lockout_log says."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(8)
+    rows = [(d, ts, rng.random() < 0.2 and ts < 24_990) for d in ("busy", "late") for ts in range(25_000)] + [("quiet", 1, False), ("never", 3, True)]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "device string, ts long, ok boolean")
+    log.repartition(4).write.parquet(f"{tmp_path}/in")
+    reader = spark.readStream.schema("device string, ts long, ok boolean")
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    limited = reader.parquet(f"{tmp_path}/in").groupBy("device").transformWithStateInPandas(ev.rate_limit_state(), "device string, failures long, locked_until long", "Update", "None")
+    limited.writeStream.outputMode("update").foreachBatch(ev.idempotent_writer(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cursor").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").groupBy("device").agg(F.max_by("failures", "batch").alias("failures"), F.max_by("locked_until", "batch").alias("locked_until"))
+    want = {}
+    for r in ev.lockout_log(log.withColumnRenamed("ts", "seq")).orderBy("device", "seq").collect():
+        until = 0 if r.ok else r.seq + r.lockout_seconds if r.lockout_seconds else want.get(r.device, (0, 0))[1]
+        want[r.device] = (r.failures, until)
+    assert {r.device: (r.failures, r.locked_until) for r in found.collect()} == want and want["busy"][0] >= 10
+
+
 def test_replay_is_idempotent(spark):
     log = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 3, "y"), ("b", 2, "x")], "rel_path string, seq bigint, type string")
     assert sorted((r.rel_path, r.seq, r.type) for r in ev.latest_by_path(log).collect()) == [("a", 3, "y"), ("b", 2, "x")]

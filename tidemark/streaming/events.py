@@ -144,27 +144,40 @@ def idempotent_writer(out: str) -> Callable[[DataFrame, int], None]:
 
 def rate_limit_state(limit: int = 5, base_seconds: int = 300):
     """ST06 as a stateful processor for ``transformWithStateInPandas`` keyed by device: input rows
-    (device, ts seconds, ok), output (device, failures, locked_until)."""
+    (device, ts seconds, ok), output (device, failures, locked_until).
+
+    Rows may come in any order, across chunks and batches: the state holds the last success and the
+    failures after it (earlier attempts no longer matter), and the lockout follows from their order by time."""
     from collections.abc import Iterator
 
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     class RateLimit(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.held = handle.getValueState("failures", "failures long, locked_until long")
+            self.success = handle.getValueState("success", "ts long")
+            self.failed = handle.getListState("failed", "ts long")
 
         def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-            failures, until = self.held.get() if self.held.exists() else (0, 0)
+            last = self.success.get()[0] if self.success.exists() else None
+            failed = np.fromiter((r[0] for r in self.failed.get()), np.int64) if self.failed.exists() else np.zeros(0, np.int64)
+            parts = [failed]
             for batch in rows:
-                for ts, ok in sorted(zip(batch["ts"], batch["ok"], strict=True)):
-                    if ok:
-                        failures, until = 0, 0
-                    else:
-                        failures += 1
-                        if failures % limit == 0:
-                            until = int(ts) + base_seconds * 2 ** (failures // limit - 1)
-            self.held.update((failures, until))
+                ts, ok = batch["ts"].to_numpy(np.int64), batch["ok"].to_numpy(bool)
+                if ok.any():
+                    last = int(ts[ok].max()) if last is None else max(last, int(ts[ok].max()))
+                parts.append(ts[~ok] if last is None else ts[~ok & (ts > last)])
+            failed = np.sort(np.concatenate(parts))
+            if last is not None:
+                failed = failed[failed > last]
+                self.success.update((last,))
+            if len(failed):
+                self.failed.put([(int(x),) for x in failed])
+            else:
+                self.failed.clear()
+            failures, hits = len(failed), len(failed) // limit
+            until = int(failed[hits * limit - 1]) + base_seconds * 2 ** (hits - 1) if hits else 0
             yield pd.DataFrame({"device": [key[0]], "failures": [failures], "locked_until": [until]})
 
         def close(self) -> None:
