@@ -285,6 +285,38 @@ def test_encoders_equal_their_libraries():
         bpe.decode(np.array([60_000], "<u4"), np.array([0, 1]))
 
 
+def test_cuts_keep_every_pre_token():
+    """Pieces put together give what the libraries give for whole texts, whatever stands at the cuts."""
+    import tiktoken
+
+    rng = random.Random(5)
+    parts = ["a", "Zq", "é", "ß", "ж", "日", " ", "  ", "\n", "\n\n", "\t", "\r", "'", "'s", "'ll", "'re", ".", ",", "...", "-", "_", "1", "42", "\u00a0", "\u3000", "\x1c", "\u2028", "ª", "ǆ", "×", "the", " of"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    enc, bpe = token_files.TextEncoder(JSON), byte_bpe.ByteBPE(RANKS, PATTERN)
+    assert enc.cuts and bpe.cuts
+    lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    (ids, at), (own, ends) = enc.encode(pa.array(some)), bpe.encode(pa.array(some))
+    want = enc.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+    for i, t in enumerate(some):
+        assert ids[at[i] : at[i + 1]].tolist() == want[i].ids, t
+        assert own[ends[i] : ends[i + 1]].tolist() == lib.encode_ordinary(t), t
+
+
+def test_other_patterns_and_tokenizers_get_whole_texts():
+    """A pattern that crosses the usual cuts, and a tokenizer that drops white space and case."""
+    import tiktoken
+
+    pattern = r"\p{L}+[.,]?| ?[^\p{L}]+|\s"
+    bpe = byte_bpe.ByteBPE(RANKS, pattern)
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    some = ["one. two, 3\nfour", "a b. c", ""]
+    own, ends = bpe.encode(pa.array(some))
+    assert not bpe.cuts and [own[ends[i] : ends[i + 1]].tolist() for i in range(3)] == [lib.encode_ordinary(t) for t in some]
+    enc = token_files.TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, at = enc.encode(pa.array(some))
+    assert not enc.cuts and [ids[at[i] : at[i + 1]].tolist() for i in range(3)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_op5_files(spark, texts):
     from tokenizers import Tokenizer
 

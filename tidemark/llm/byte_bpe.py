@@ -98,6 +98,7 @@ class ByteBPE:
         import duckdb
 
         self.room = room
+        self.cuts = pattern == tb.CUT_PATTERN
 
         ranks = read_ranks(ranks_path)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
@@ -171,8 +172,8 @@ class ByteBPE:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offset of each text's ids)."""
-        pieces = tb.segments(*tb.utf8(column))
-        return tb.expand(pieces, self.pieces.encode(pieces.values.to_pylist(), self._segments), "<u4")
+        pieces = tb.segments(*tb.utf8(column), cuts=self.cuts)
+        return tb.expand(pieces, self.pieces.encode(pieces.distinct(), self._segments), "<u4")
 
     def _join(self, runs: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
@@ -191,7 +192,7 @@ class ByteBPE:
         at = np.flatnonzero(cut)
         raw = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8)
         runs = tb.Pieces(raw, 4 * at, np.searchsorted(at, offsets))
-        return tb.expand(runs, self.runs.encode(runs.values.to_pylist(), self._join), np.uint8)
+        return tb.expand(runs, self.runs.encode(runs.distinct(), self._join), np.uint8)
 
 
 _coders: dict[tuple[str, str, Room], ByteBPE] = {}

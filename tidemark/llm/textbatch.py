@@ -31,6 +31,16 @@ CUT_BEFORE = np.ones(256, bool)
 CUT_BEFORE[:0x21] = False
 CUT_BEFORE[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
+#: ASCII letters, the marks that may follow one at a cut (an apostrophe may open a contraction), visible ASCII.
+LETTER, MARK, VISIBLE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+VISIBLE[0x21:0x7F] = True
+
+#: The pre-token pattern for which ``segments`` is proved: contractions, letters, numbers and other visible runs,
+#: each after at most one space, and white space.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels no model may see (a null id is not held out)."""
@@ -110,6 +120,13 @@ class Pieces:
         self.first = first
         self.lengths = np.diff(ends)
 
+    def distinct(self) -> list[bytes]:
+        """``values`` as Python bytes."""
+        _, ends, data = self.values.buffers()
+        at = np.frombuffer(ends, np.int64)[self.values.offset : self.values.offset + len(self.values) + 1].tolist() if len(self.values) else [0]
+        raw = memoryview(data)[at[0] : at[-1]].tobytes() if data is not None else b""
+        return [raw[b - at[0] : e - at[0]] for b, e in zip(at[:-1], at[1:], strict=True)]
+
     def sums(self, each: np.ndarray) -> np.ndarray:
         """Per document, the sum of a number that each piece has (0 without pieces)."""
         return segment_sums(each, self.first)
@@ -132,18 +149,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Pieces:
     return Pieces(data[solid], before[at] - 1 if len(at) else at, np.searchsorted(at, offsets))
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> Pieces:
-    """Texts cut before each space that a visible character follows.
+def segments(data: np.ndarray, offsets: np.ndarray, cuts: bool = True) -> Pieces:
+    """Texts cut where CUT_PATTERN always ends a match, so that encoding the pieces one by one equals
+    encoding the whole text (cuts=False, for any other pattern: texts stay whole).
 
-    Such a cut is always a boundary of the byte-level pre-token pattern: no letter, number or symbol
-    run holds an inner space, and a run of white space before a visible character gives up its last
-    space.  So encoding the segments one by one equals encoding the whole text.
+    - Before a space that a visible character follows: no run holds an inner space, and a run of white
+      space before a visible character gives up its last space.
+    - Between an ASCII letter and a mark other than the apostrophe: no alternative holds both.
+    - Before and after a single line feed between visible ASCII characters: it is a match of its own.
     """
     cut = np.zeros(len(data), bool)
     if len(data):
-        cut[:-1] = (data[:-1] == 0x20) & CUT_BEFORE[data[1:]]
         last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-        cut[last] = False
+        if cuts:
+            cut[:-1] = (data[:-1] == 0x20) & CUT_BEFORE[data[1:]]
+            cut[1:] |= LETTER[data[:-1]] & MARK[data[1:]]
+            feed = np.flatnonzero(data[1:-1] == 0x0A) + 1
+            feed = feed[VISIBLE[data[feed - 1]] & VISIBLE[data[feed + 1]]]
+            feed = feed[~np.isin(feed, last) & ~np.isin(feed - 1, last)]  # neighbours of the same text
+            cut[feed] = cut[feed + 1] = True
+            ends = last[data[last] == 0x20]
+            cut[ends] = False  # what follows it is another text
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     at = np.flatnonzero(cut)
     return Pieces(data, at, np.searchsorted(at, offsets))

@@ -8,7 +8,10 @@ select, and the planes together answer access, counting and occurrence lookup wi
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm import textbatch as tb
 
-#: Ids below 2 ** BITS fit a shard; the public vocabularies here have at most 50,257.
+#: Bits of an id unless the vocabulary needs more (``TextEncoder.bits``).
 BITS = 16
 #: Tokens after which a shard is closed; only one longer document exceeds it.
 SHARD_TOKENS = 1 << 19
@@ -52,7 +55,8 @@ class WaveletMatrix:
             planes[k, : len(packed)] = packed
             counts = np.bitwise_count(planes[k].view(np.uint64)).reshape(-1, RANK_STEP // 64).sum(1) if width else np.zeros(0, np.uint32)
             ranks.append(np.concatenate(([0], np.cumsum(counts))).astype("<u4"))
-            order = np.concatenate((order[~one], order[one]))
+            if k + 1 < bits:
+                order = np.concatenate((order.take(np.flatnonzero(~one)), order.take(np.flatnonzero(one))))
         return cls(n, bits, planes.tobytes(), np.array(ranks, "<u4").tobytes())
 
     def rank1(self, k: int, i: int) -> int:
@@ -110,16 +114,30 @@ class WaveletMatrix:
         """All ids in order: from the last plane up, each plane's stable partition is undone."""
         value = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in reversed(range(self.bits)):
-            one = np.unpackbits(self.planes[k], bitorder="little")[: self.n].astype(bool)
+            one = np.unpackbits(self.planes[k], bitorder="little")[: self.n].view(bool)
             above = np.empty_like(value)
-            above[~one] = value[: self.zeros[k]]
-            above[one] = value[self.zeros[k] :] | value.dtype.type(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~one)] = value[: self.zeros[k]]
+            above[np.flatnonzero(one)] = value[self.zeros[k] :] | value.dtype.type(1 << (self.bits - 1 - k))
             value = above
         return value
 
 
+#: A piece that is one pre-token whatever stands around it: a space or none, then letters of Latin blocks.
+ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+")
+
+
+def _byte_characters() -> str:
+    """A byte-level vocabulary's character for each byte: itself if visible in Latin-1, else the next from U+0100."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in visible else next(spare)) for b in range(256))
+
+
 class TextEncoder:
-    """Whole texts to ids with the tokenizers library; each distinct segment is encoded once a task or so."""
+    """Whole texts to ids with the tokenizers library; each distinct segment is encoded once a task or so.
+
+    Texts are cut only for a byte-level tokenizer of the pattern for which cuts are proved (no normalizer, no
+    prefix space, no added token but special ones); any other tokenizer gets whole texts."""
 
     def __init__(self, path: str):
         import os
@@ -129,32 +147,31 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.n_bytes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
+        self.bits = max(BITS, (self.tokenizer.get_vocab_size() - 1).bit_length())
+        said = json.loads(self.tokenizer.to_str())
+        split, kind = said["pre_tokenizer"] or {}, said["model"]["type"]
+        self.cuts = said["normalizer"] is None and kind == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in said["added_tokens"])
+        self.characters = _byte_characters()
+        self.model = self.tokenizer.model
         self.cache = tb.Cache()
 
     def _many(self, pieces: list[bytes]) -> list[bytes]:
-        """Segments that start with a space are encoded in runs: one starts where the bytes before it end."""
-        inner = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and tb.CUT_BEFORE[p[1]]]
-        rest = sorted(set(range(len(pieces))) - set(inner))
+        """One-word pieces go to the library's model itself, the rest through its pre-tokenizer too."""
         out: list[bytes] = [b""] * len(pieces)
+        rest = []
+        word, tokenize, characters = ONE_WORD.fullmatch, self.model.tokenize, self.characters
+        for i, piece in enumerate(pieces):
+            if self.cuts and word(piece):
+                out[i] = array("I", [t.id for t in tokenize(piece.decode("latin-1").translate(characters))]).tobytes()
+            else:
+                rest.append(i)
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(x.ids, "<u4").tobytes()
-        runs = [inner[i : i + 2000] for i in range(0, len(inner), 2000)]
-        for run in runs:
-            text = [pieces[i] for i in run]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(text).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))) + 1
-            raw, at = ids.tobytes(), 0
-            for i, end in zip(run, (4 * ends).tolist(), strict=True):
-                out[i] = raw[at:end]
-                at = end
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        pieces = tb.segments(*tb.utf8(column))
-        return tb.expand(pieces, self.cache.encode(pieces.values.to_pylist(), self._many), "<u4")
+        pieces = tb.segments(*tb.utf8(column), cuts=self.cuts)
+        return tb.expand(pieces, self.cache.encode(pieces.distinct(), self._many), "<u4")
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -177,18 +194,18 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: i
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, done = TaskContext.get().partitionId(), 0, 0
+        enc = encoder(tokenizer_path)
         ids: list[np.ndarray] = []
         docs_in: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
         def shard() -> pa.RecordBatch:
             all_ids = np.concatenate(ids)
-            m = WaveletMatrix.build(all_ids)
+            m = WaveletMatrix.build(all_ids, max(enc.bits, int(end_id or 0).bit_length()))
             row = {"part": [part], "shard": [made], "start_in_part": [done], "n_tokens": [len(all_ids)], "doc_ids": [np.concatenate(docs_in).astype("<i8").tobytes()], "doc_ends": [np.cumsum(np.concatenate(sizes)).astype("<i8").tobytes()], "bits": [m.bits], "planes": [m.planes.tobytes()], "ranks": [m.ranks.tobytes()]}
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-        enc = encoder(tokenizer_path)
         for batch in tb.slices(batches, "text"):
             got, at = enc.encode(batch.column(1))
             if end_id is not None:  # after each document

@@ -78,7 +78,7 @@ class ToxicityModel:
     def passages(self, column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float, float]]]]:
         """(words of each text, its significant segments: first word, word after, score, E-value)."""
         found = tb.words(*tb.utf8(column))
-        each = self.token_scores(found.values.to_pylist())[found.ids] if len(found.values) else np.zeros(0)
+        each = self.token_scores(found.distinct())[found.ids] if len(found.values) else np.zeros(0)
         sizes = np.diff(found.first)
         out: list[list[tuple[int, int, float, float]]] = [[] for _ in sizes]
         high = np.flatnonzero(each > 0)
@@ -134,7 +134,7 @@ def min_hashes(column: pa.Array) -> np.ndarray:
     found = tb.words(*tb.utf8(column))
     seeds = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9][:MIN_HASHES], np.uint64)
     out = np.zeros((len(found.first) - 1, MIN_HASHES), np.uint64)
-    word = np.fromiter(map(zlib.crc32, found.values.to_pylist()), np.uint64, len(found.values))[found.ids] if len(found.values) else np.zeros(0, np.uint64)
+    word = np.fromiter(map(zlib.crc32, found.distinct()), np.uint64, len(found.values))[found.ids] if len(found.values) else np.zeros(0, np.uint64)
     for i, (b, e) in enumerate(zip(found.first[:-1], found.first[1:], strict=True)):
         size = min(SHINGLE, e - b)
         if size:
@@ -177,7 +177,7 @@ def token_table(labelled: DataFrame) -> DataFrame:
             ones = np.bincount(once % size, y[once // size], size).astype(np.int64)
             both = np.bincount(once % size, minlength=size)
             seen: dict[bytes, list[int]] = {}
-            for token, a, n in zip(_tokens(found.values.to_pylist()), ones.tolist(), both.tolist(), strict=False):
+            for token, a, n in zip(_tokens(found.distinct()), ones.tolist(), both.tolist(), strict=False):
                 if token:
                     for key in (token, *_prefixes(token)):
                         got = seen.setdefault(key, [0, 0])
@@ -227,7 +227,7 @@ def _calibrate(model: ToxicityModel, some: DataFrame) -> None:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text"):
             found = tb.words(*tb.utf8(batch.column(1)))
-            each = model.token_scores(found.values.to_pylist())[found.ids] if len(found.values) else np.zeros(0)
+            each = model.token_scores(found.distinct())[found.ids] if len(found.values) else np.zeros(0)
             top = [max((s for _, _, s in maximal_segments(each[b:e])), default=0.0) for b, e in zip(found.first[:-1], found.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(found.first)), pa.array(top, pa.float64())], names=["y", "n", "best"])
 
