@@ -250,6 +250,67 @@ def test_op4_rates_are_exponential_tilts(spark):
         assert sum(size * n * min(2, np.exp(tilt[s] * z)) for k, size, n, z in groups if k == s) == pytest.approx(target, rel=1e-4)
 
 
+def brute_tilt(groups, target):
+    """The dual's root by bisection over a bracket that holds it."""
+    low, high = -1.0, 1.0
+    got = lambda t: sum(size * n * min(2.0, np.exp(min(50.0, t * z))) for size, n, z in groups)
+    while got(low) > target:
+        low *= 2
+    while got(high) < target:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if got(mid) < target else (low, mid)
+    return low
+
+
+def test_op4_tilts_of_short_and_uneven_texts(spark):
+    """Sources of 1 to 5 words, and of 1 to 100,000, meet their targets exactly as the dual's root says."""
+    rng = random.Random(9)
+    sized = {"short": [(s, 50 + s) for s in range(1, 6)], "wide": [(1, 3000), (2, 900), (7, 40), (90_000, 2), (100_000, 1)], "long": [(rng.randint(5000, 90_000), 1) for _ in range(30)], "one": [(4, 10)]}
+    for share in (0.02, 0.5, 1.3, 1.9, 1.999):
+        rows, targets = [], []
+        for name, groups in sized.items():
+            total, docs = sum(s * n for s, n in groups), sum(n for _, n in groups)
+            rows += [(name, s, n, s * docs / total) for s, n in groups]
+            targets.append((name, share * total, 2.0 * total))
+        g, t = spark.createDataFrame(rows, "source_key string, size bigint, docs bigint, z double"), spark.createDataFrame(targets, "source_key string, target double, limit double")
+        mixing.tb.use_checkpoints(spark)
+        tilt = {r.source_key: r.tilt for r in mixing.solve_tilts(g, t, 4).collect()}
+        for name, target, _ in targets:
+            own = [(s, n, z) for k, s, n, z in rows if k == name]
+            rate = lambda x, z: min(2.0, np.exp(min(50.0, x * z)))
+            want = brute_tilt(own, target)
+            assert sum(s * n * rate(tilt[name], z) for s, n, z in own) == pytest.approx(target, rel=2e-7, abs=2e-3)
+            assert all(rate(tilt[name], z) == pytest.approx(rate(want, z), rel=1e-3, abs=1e-3) for _, _, z in own)
+
+
+def test_op4_unsolved_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 4)
+    g = spark.createDataFrame([("a", 1, 10**6, 1e-4), ("a", 10**5, 3, 10.0)], "source_key string, size bigint, docs bigint, z double")
+    mixing.tb.use_checkpoints(spark)
+    with pytest.raises(RuntimeError):
+        mixing.solve_tilts(g, spark.createDataFrame([("a", 1000.0, 2.6e6)], "source_key string, target double, limit double"), 1)
+
+
+def test_op4_short_texts_beside_long_ones(spark):
+    """Sources of posts beside books: whole copies come near each target, and no size takes all of them."""
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(1, 5), "posts") for i in range(1500)] + [(5000 + i, "w " * rng.randint(400, 3000), f"books{i % 2}") for i in range(60)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r.source_size].append(r)
+    for of in by.values():
+        assert sum(r.taken for r in of) == pytest.approx(of[0].target, rel=0.01, abs=3) and all(r.taken <= 2 * r.size for r in of)
+    posts = [r for r in found if r.size <= 5]
+    mean = [np.mean([r.copies for r in posts if r.size == s]) for s in range(1, 6)]
+    tilt = brute_tilt([(s, sum(r.size == s for r in posts), s * len(posts) / sum(r.size for r in posts)) for s in range(1, 6)], posts[0].target) if posts[0].target < 2 * posts[0].source_size else None
+    for s in range(1, 6):
+        z = s * len(posts) / sum(r.size for r in posts)
+        assert mean[s - 1] == pytest.approx(2.0 if tilt is None else min(2, np.exp(tilt * z)), abs=0.05)
+
+
 # --- op5, op7
 
 

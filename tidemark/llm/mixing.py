@@ -1,7 +1,7 @@
 """Mixing sources to target sizes by entropy balancing, with DataFrame and SQL functions only.
 
 Of all document rates r (0 to 2 copies), the ones nearest to 1 in relative entropy that give each
-source its target words are r = min(2, exp(t size / mean size)) with one tilt t a source: the dual is
+source its target words are r = min(2, exp(t size / its mean size)) with one tilt t a source: the dual is
 convex, and Newton steps solve it for all sources at once.  Each step is an aggregation over the table
 of (source, size) counts, which is made once, so a step costs what the distinct sizes cost.
 
@@ -24,12 +24,15 @@ from tidemark.llm import textbatch as tb
 WEIGHTS, SHARE_PERCENT, MOST_COPIES = (3, 1, 2), 150, 2
 #: Blocks into which a group of documents of one source and size is split.
 BLOCKS = 256
-#: Newton steps at most, and the relative gap to a target at which they stop.
-NEWTON_STEPS, GAP = 40, 1e-7
+#: Newton steps before the solution counts as failed, steps in one job, and the gap to a target at which they
+#: stop (relative, and in words).
+NEWTON_STEPS, STEPS_A_JOB, GAP, GAP_WORDS = 80, 4, 1e-7, 1e-3
 #: Fixed-point digits of the sums: whole numbers add up alike in any order, so reruns agree.
 FIXED = 1_000_000
 #: Sources up to which their table (a row a source) is broadcast; beyond it the joins shuffle.
 BROADCAST_SOURCES = 100_000
+#: Sources at most: their targets depend on one order of all of them, which one task sorts (a short row each).
+MOST_SOURCES = 5_000_000
 #: Greedy passes that close the gap left by rounding.
 CLOSING_PASSES = 6
 
@@ -40,13 +43,13 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES) -> DataFrame:
-    """(source, source_size, target) from rows (source, size, docs).
+    """(source, source_size, source_docs, target) from rows (source, size, docs).
 
     Sources in code-point order, null last, take the weights in turn.  A target stops at most_copies
     times its source's size, and the excess goes to the others by weight until none is above: with
     sources ordered by limit / weight, those below the final level are full.  One row a source.
     """
-    per_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
+    per_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("source_docs"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = per_source.withColumn("place", F.row_number().over(by_name) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
@@ -65,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_p
     return (
         levelled.withColumn("place_by_limit", F.row_number().over(by_limit))
         .withColumn("open_level", open_level)
-        .select("source", "source_size", F.least("limit", F.coalesce(F.col("open_level") * F.col("weight"), "limit")).alias("target"))
+        .select("source", "source_size", "source_docs", F.least("limit", F.coalesce(F.col("open_level") * F.col("weight"), "limit")).alias("target"))
     )
 
 
@@ -86,25 +89,31 @@ def _whole(x: Column) -> Column:
 def solve_tilts(groups: DataFrame, targets: DataFrame, n_sources: int, most_copies: int = MOST_COPIES) -> DataFrame:
     """(source_key, tilt): the dual's solution by safeguarded Newton steps, one aggregation a step.
 
-    Each step keeps a bracket of the root; a Newton step that leaves it becomes a bisection.  A target
-    at a source's limit has an unbounded tilt: its rate is the limit itself (tilt null).
+    groups: (source_key, size, docs, z), z > 0 where size > 0; targets: (source_key, target, limit).  With q
+    the target's share of the source, the root lies between 0 and log(q) / least z, since there even the
+    least size is tilted by q.  Each step keeps a bracket; a Newton step that leaves it becomes a bisection.
+    A target at a source's limit has an unbounded tilt: its rate is the limit itself (no row).  Sources that
+    do not meet their targets are an error, never a result.
     """
     data = groups.join(_by_source(targets, n_sources), "source_key").where("target > 0 AND target < limit AND size > 0").select("source_key", "z", (F.col("size") * F.col("docs")).cast("double").alias("mass"), "target").checkpoint()
-    state = data.groupBy("source_key").agg(F.min("z").alias("least_z")).select("source_key", F.lit(0.0).alias("tilt"), F.lit(-60.0).alias("low"), F.least(F.lit(60.0), F.lit(1.0) / F.col("least_z")).alias("high"), F.lit(1.0).alias("gap")).checkpoint()
-    for _ in range(NEWTON_STEPS):
+    edge = F.log(F.first("target") / F.sum("mass")) / F.min("z")
+    zero = F.lit(0.0)
+    state = data.groupBy("source_key").agg(edge.alias("edge")).select("source_key", zero.alias("tilt"), F.least("edge", zero).alias("low"), F.greatest("edge", zero).alias("high"), F.lit(True).alias("open"))
+    for step in range(1, NEWTON_STEPS + 1):
         rate = _rate(F.col("tilt"), F.col("z"), most_copies)
         slope = F.when(rate < most_copies, F.col("mass") * F.col("z") * rate).otherwise(0.0)
         sums = data.join(_by_source(state, n_sources), "source_key").groupBy("source_key").agg(F.sum(_whole(F.col("mass") * rate)).cast("double").alias("got"), F.sum(_whole(slope)).cast("double").alias("slope"), F.first("target").alias("target"), F.first("tilt").alias("tilt"), F.first("low").alias("low"), F.first("high").alias("high"))
         over = F.col("got") / FIXED - F.col("target")
         low, high = F.when(over < 0, F.col("tilt")).otherwise(F.col("low")), F.when(over >= 0, F.col("tilt")).otherwise(F.col("high"))
-        step = F.col("tilt") - F.try_divide(over, F.col("slope") / FIXED)
-        inside = F.coalesce((step > F.col("low")) & (step < F.col("high")), F.lit(False))
-        moved = sums.withColumn("gap", F.abs(over) / F.col("target")).withColumn("low", low).withColumn("high", high).withColumn("step", step)
-        done = F.col("gap") <= GAP
-        state = moved.select("source_key", F.when(done, F.col("tilt")).when(inside & (F.col("step") > F.col("low")) & (F.col("step") < F.col("high")), F.col("step")).otherwise((F.col("low") + F.col("high")) / 2).alias("tilt"), "low", "high", "gap").checkpoint()
-        if not (state.agg(F.max("gap").alias("g")).first().g or 0) > GAP:
-            break
-    return state.select("source_key", "tilt")
+        newton = F.col("tilt") - F.try_divide(over, F.col("slope") / FIXED)
+        moved = sums.select("source_key", "tilt", low.alias("low"), high.alias("high"), newton.alias("newton"), (F.abs(over) > F.greatest(F.lit(GAP) * F.col("target"), F.lit(GAP_WORDS))).alias("open"))
+        inside = F.coalesce((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.lit(False))
+        state = moved.select("source_key", F.when(~F.col("open"), F.col("tilt")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2).alias("tilt"), "low", "high", "open")
+        if step % STEPS_A_JOB == 0:
+            state = state.checkpoint()
+            if state.where("open").isEmpty():
+                return state.select("source_key", "tilt")
+    raise RuntimeError(f"{state.where('open').count()} sources have not met their targets after {NEWTON_STEPS} steps")
 
 
 def group_copies(groups: DataFrame, targets: DataFrame, tilts: DataFrame, n_sources: int, most_copies: int = MOST_COPIES) -> DataFrame:
@@ -112,31 +121,32 @@ def group_copies(groups: DataFrame, targets: DataFrame, tilts: DataFrame, n_sour
 
     Rounding takes the group's exact number up or down by a hash of the group; then, while a source is
     off target, the largest groups that still fit take or give copies, in passes over the groups, and
-    at last the smallest group takes one step past the target if that comes nearer.
+    at last the smallest group takes one step past the target if that comes nearer.  All passes are
+    windows over a source's distinct sizes in one order, so they share one shuffle and one sort; no
+    more rows of a source meet than it has distinct sizes.
     """
     rate = F.coalesce(_rate(F.col("tilt"), F.col("z"), most_copies), F.when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.lit(float(most_copies))))
     luck = F.pmod(F.xxhash64("source_key", "size", F.lit("round")), F.lit(1 << 20)).cast("double") / (1 << 20)
     exact = F.col("docs") * rate
     now = groups.join(_by_source(targets, n_sources), "source_key").join(_by_source(tilts, n_sources), "source_key", "left").select("source_key", "size", "docs", "target", F.when(F.col("size") == 0, F.col("docs")).otherwise(F.least(F.floor(exact + luck), F.col("docs") * most_copies)).cast("long").alias("copies"))
-    largest_first = Window.partitionBy("source_key").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    source = Window.partitionBy("source_key").orderBy(F.col("size").desc())
+    larger, all_of_it = source.rowsBetween(Window.unboundedPreceding, -1), source.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gap = F.round(F.col("target") - F.sum(F.col("size") * F.col("copies")).over(all_of_it)).cast("long")
+    sign = F.sign("gap").cast("long")
     for _ in range(CLOSING_PASSES):
-        now = now.checkpoint()
-        gaps = now.groupBy("source_key").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken")).select("source_key", F.round(F.col("t") - F.col("taken")).cast("long").alias("gap"))
+        now = now.withColumn("gap", gap)
         room = F.when(F.col("gap") > 0, F.col("docs") * most_copies - F.col("copies")).otherwise(F.col("copies"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap"))
-        offered = now.join(_by_source(gaps, n_sources), "source_key").withColumn("room", F.when(fits, room).otherwise(F.lit(0)))
-        left = F.abs("gap") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(largest_first), F.lit(0))
-        moved = F.when(fits & (left > 0), F.least(F.col("room"), F.floor(left / F.col("size")))).otherwise(F.lit(0)).cast("long")
-        now = offered.withColumn("moved", moved).select("source_key", "size", "docs", "target", (F.col("copies") + F.when(F.col("gap") > 0, F.col("moved")).otherwise(-F.col("moved"))).alias("copies"))
+        now = now.withColumn("room", F.when(fits, room).otherwise(F.lit(0)))
+        now = now.withColumn("left", F.abs("gap") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0)))
+        moved = F.when(fits & (F.col("left") > 0), F.least(F.col("room"), F.floor(F.col("left") / F.col("size")))).otherwise(F.lit(0)).cast("long")
+        now = now.select("source_key", "size", "docs", "target", (F.col("copies") + sign * moved).alias("copies"))
     # what is left is smaller than any group that fits: one step past the target where that is nearer
-    now = now.checkpoint()
-    gaps = now.groupBy("source_key").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken")).select("source_key", F.round(F.col("t") - F.col("taken")).cast("long").alias("gap"))
-    offered = now.join(_by_source(gaps, n_sources), "source_key")
+    now = now.withColumn("gap", gap)
     able = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < F.col("docs") * most_copies).otherwise(F.col("copies") > 0)
-    steps = offered.where(able).groupBy("source_key").agg(F.min("size").alias("step_size"))
-    stepped = offered.join(_by_source(steps, n_sources), "source_key", "left")
-    step = F.when(F.col("size") == F.col("step_size"), F.sign("gap")).otherwise(F.lit(0)).cast("long")
-    return stepped.select("source_key", "size", "docs", (F.col("copies") + step).alias("copies")).checkpoint()
+    now = now.withColumn("step_size", F.min(F.when(able, F.col("size"))).over(all_of_it))
+    step = F.when(F.col("size") == F.col("step_size"), sign).otherwise(F.lit(0))
+    return now.select("source_key", "size", "docs", (F.col("copies") + step).alias("copies")).checkpoint()
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES) -> DataFrame:
@@ -157,10 +167,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     blocks = given.groupBy("source", "source_key", "size", block.alias("block")).agg(F.count("*").alias("in_block"))
     sizes = blocks.groupBy("source", "source_key", "size").agg(F.sum("in_block").alias("docs")).checkpoint()
     targets = source_targets(sizes, weights, share_percent, most_copies)
-    targets = targets.select("source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("source_key"), "source_size", "target", (F.lit(float(most_copies)) * F.col("source_size")).alias("limit")).checkpoint()
+    mean = F.col("source_size") / F.col("source_docs")
+    targets = targets.select("source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("source_key"), "source_size", mean.alias("mean"), "target", (F.lit(float(most_copies)) * F.col("source_size")).alias("limit")).checkpoint()
     n_sources = targets.count()
-    mean = sizes.agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("m")).first().m or 1.0
-    groups = sizes.select("source_key", "size", "docs", (F.col("size") / F.lit(float(mean))).alias("z"))
+    if n_sources > MOST_SOURCES:
+        raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be ordered")
+    groups = sizes.join(_by_source(targets.select("source_key", "mean"), n_sources), "source_key").select("source_key", "size", "docs", F.coalesce(F.try_divide(F.col("size"), F.col("mean")), F.lit(0.0)).alias("z"))
     of_source = targets.select("source_key", "target", "limit")
     copies = group_copies(groups, of_source, solve_tilts(groups, of_source, n_sources, most_copies), n_sources, most_copies)
     # copies by block: the running share of the group's documents, so blocks add up to the group
