@@ -563,6 +563,35 @@ def test_links_of_random_fingerprints(spark):
     assert found == {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3}
 
 
+def test_large_shards_are_split(spark):
+    """A dense cluster among random values, split down to the last block: no link is lost, no shard stays large."""
+    rng = random.Random(8)
+    centre, weak = rng.getrandbits(64), rng.sample(range(64), 20)
+    fps = {rng.getrandbits(64) for _ in range(100)}
+    for _ in range(900):
+        fps.add(centre ^ sum(1 << b for b in rng.sample(weak, rng.randint(0, 5))))
+    for _ in range(60):  # far from the cluster, or bridging to it
+        fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(3, 9))))
+    fps = sorted(fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    distinct = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    want = brute_components(signed, fps)
+    for most in (20, 100):
+        root = {r.node: r.root for r in simhash.components(simhash.links(distinct, most=most)).collect()}
+        assert {x: root.get(x, x) for x in signed} == want
+    mixing.tb.use_checkpoints(spark)
+    largest = lambda df: df.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest(simhash.split_shards(distinct, most=100)) <= 100 < largest(simhash.split_shards(distinct))
+
+
+def test_fingerprint_of_a_long_text(monkeypatch):
+    """Bits are counted in runs: the same fingerprint as at once."""
+    text = " ".join(f"w{i % 977}" for i in range(5000))
+    whole = simhash.fingerprint(text.encode())
+    monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 700)
+    assert simhash.fingerprints([b"", text.encode(), b"a b c d", text.encode()]).tolist() == [0, whole, reference_fingerprint("a b c d"), whole] and whole == reference_fingerprint(text)
+
+
 # --- edges, for every operator
 
 

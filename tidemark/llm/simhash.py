@@ -3,7 +3,9 @@
 Fingerprints are grouped into classes of equal value first, so copies never meet each other.  The
 distinct fingerprints go to shards: two that differ in at most r bits agree in one of r + 1 blocks of
 bits, and among the other bits again in one of r + 1 blocks, so a shard is keyed by those two blocks
-and every link lies in some shard (an exact cover; nothing is capped).  Each shard becomes a BK-tree:
+and every link lies in some shard (an exact cover; nothing is capped).  A shard of over MOST_IN_SHARD is
+split by a block of its members' other bits, again and again: at the fifth block 15 bits are left (r = 3), so no
+shard can hold more than MOST_IN_SHARD or 2 ** 15 fingerprints.  Each shard becomes a BK-tree:
 a node's children are keyed by their Hamming distance to it, and a search follows only the edges
 within the radius.  Shard trees travel by shuffle: broadcasting them would collect every document's
 fingerprint on the driver.  A shard reports a star for each of its connected sets; the stars' links
@@ -12,6 +14,7 @@ are then joined into components by alternating large-star and small-star steps.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,10 @@ from tidemark.llm import textbatch as tb
 
 #: Queries that walk a forest together; bounds the frontier of a search.
 QUERIES_AT_ONCE = 1024
+#: Shingles whose bits are counted together; bounds the memory of long texts.
+SHINGLES_AT_ONCE = 1 << 17
+#: Fingerprints of a shard that one task may hold; larger shards are split, up to so many blocks.
+MOST_IN_SHARD, MOST_BLOCKS = 1 << 17, 5
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -35,7 +42,7 @@ def fingerprints(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarr
     import xxhash
 
     xxh64 = xxhash.xxh64_intdigest
-    hashes: list[int] = []
+    hashes = array("Q")
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         split = text.lower().split()
@@ -49,19 +56,15 @@ def fingerprints(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarr
             begins = [0, *[e + 1 for e in ends[: -words]]]
             made = [xxh64(joined[b:e], seed) for b, e in zip(begins, ends[words - 1 :], strict=True)]
         counts[i] = len(made)
-        hashes += made
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        first = (np.cumsum(counts) - counts)[full]
-        each = np.array(hashes, "<u8")
-        for begin in range(0, len(full), 256):  # in runs, so that the unpacked bits stay small
-            some = full[begin : begin + 256]
-            low, high = first[begin], first[begin + 256] if begin + 256 < len(full) else len(each)
-            bits = np.unpackbits(each[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, first[begin : begin + 256] - low, axis=0, dtype=np.int32)
-            out[some] = np.packbits(2 * ones > counts[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+        hashes.extend(made)
+    ones = np.zeros((len(texts), 64), np.int64)
+    of_text = np.repeat(np.arange(len(texts)), counts)
+    for begin in range(0, len(hashes), SHINGLES_AT_ONCE):
+        some, of = np.array(hashes[begin : begin + SHINGLES_AT_ONCE], "<u8"), of_text[begin : begin + SHINGLES_AT_ONCE]
+        head = np.flatnonzero(np.diff(of, prepend=-1))
+        bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[of[head]] += np.add.reduceat(bits, head, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0] if len(texts) else np.zeros(0, np.uint64)
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -155,17 +158,81 @@ def shard_keys(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def _other_bits(fp: np.ndarray, numbers: tuple[int, ...], radius: int) -> tuple[np.ndarray, int]:
+    """(the bits outside the numbered blocks, how many they are)."""
+    rest, bits = fp.view(np.uint64), 64
+    for n in numbers:
+        shift, width = _blocks(bits, radius + 1)[n]
+        above = (rest >> np.uint64(shift + width)) << np.uint64(shift) if shift + width < 64 else np.zeros_like(rest)
+        rest, bits = above | (rest & np.uint64((1 << shift) - 1)), bits - width
+    return rest, bits
+
+
+def _split(shards: DataFrame, radius: int) -> DataFrame:
+    """(path, key, fp) of shards, each split by the agreeing blocks of its members' other bits: an exact cover
+    of the links of each.  A new key is a hash: shards that share one by chance are searched together."""
+    per = radius + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, key, fp = (batch.column(i).to_numpy() for i in range(3))
+            for here in np.unique(path):  # path: the numbers of the blocks so far, in base per after a leading 1
+                digits, x = [], int(here)
+                while x > 1:
+                    x, n = divmod(x, per)
+                    digits.append(n)
+                own = path == here
+                rest, bits = _other_bits(fp[own], tuple(reversed(digits)), radius)
+                for n, (shift, width) in enumerate(_blocks(bits, per)):
+                    part = (rest >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                    mixed = (key[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (part * np.uint64(per) + np.uint64(n))
+                    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), int(here) * per + n)), pa.array(mixed.view(np.int64)), pa.array(fp[own])], names=["path", "key", "fp"])
+
+    return shards.mapInArrow(run, "path long, key long, fp long")
+
+
+def split_shards(distinct: DataFrame, radius: int = 3, most: int = MOST_IN_SHARD) -> DataFrame:
+    """(key, fp): the shards of all distinct fingerprints, none above ``most`` as long as bits are left.
+
+    Members are counted by a hash of the key in so many buckets that one above ``most`` is rare unless a
+    shard is large; only the shards of such buckets are counted by key, so little is shuffled for it."""
+    per = radius + 1
+    total = distinct.count()
+    keyed = distinct.select(F.posexplode(shard_keys(F.col("fp"), radius)).alias("number", "key"), "fp").select((F.lit(per * per) + F.col("number")).cast("long").alias("path"), "key", "fp")
+    done: list[DataFrame] = []
+    for blocks in range(2, MOST_BLOCKS):
+        buckets = max(1 << 14, 8 * per**blocks * total // most)
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
+        full = keyed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket").checkpoint()
+        if full.isEmpty():
+            break
+        # at most a bucket for each ``most`` rows, and as many keys: bounded by rows / most
+        hot = keyed.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("path", "key").checkpoint()
+        if hot.isEmpty():
+            break
+        done.append(keyed.join(hot, ["path", "key"], "left_anti"))
+        keyed = _split(keyed.join(hot, ["path", "key"], "left_semi"), radius).checkpoint()
+    for other in done:
+        keyed = keyed.unionByName(other)
+    return keyed.select("key", "fp")
+
+
+def links(distinct: DataFrame, radius: int = 3, most: int = MOST_IN_SHARD) -> DataFrame:
     """Links (a, b), a > b as signed numbers, that connect all distinct fingerprints within the radius.
 
     distinct: one row for each fp.  Of the links of a shard, a star for each connected set is given,
-    which has the same components; their number is linear in the shard.
+    which has the same components; their number is linear in the shard.  A search yields each near pair
+    once, in runs that union-find takes up at once: a member has at most C(b, 1) + ... + C(b, radius) near
+    ones, b being the bits in which a shard may differ (36, 27, 20, 15), whatever the shard's size.
     """
+    tb.use_checkpoints(distinct.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def found() -> pa.RecordBatch:
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             same = np.zeros(len(key), bool)
             same[1:] = key[1:] == key[:-1]
             same[:-1] |= same[1:]
@@ -176,18 +243,19 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            key = np.concatenate((held_key, batch.column(0).to_numpy()))
-            fp = np.concatenate((held_fp, batch.column(1).to_numpy()))
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(key):
                 continue
             whole = int(np.searchsorted(key, key[-1]))  # the last shard may go on in the next batch
-            held_key, held_fp = key[whole:], fp[whole:]
-            if whole:
-                yield found(key[:whole], fp[:whole])
-        if len(held_key):
-            yield found(held_key, held_fp)
-
-    shards = distinct.select(F.explode(shard_keys(F.col("fp"), radius)).alias("key"), "fp")
+            if whole or (held and held[-1][0][-1] != key[0]):
+                held.append((key[:whole], fp[:whole]))
+                yield found()
+                held.clear()
+            held.append((key[whole:], fp[whole:]))
+        if held:
+            yield found()
+
+    shards = split_shards(distinct, radius, most)
     return shards.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -232,6 +300,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", te
     with_fingerprints(docs, doc_id, text, words).write.parquet(out)  # used twice; the texts are read once
     each = spark.read.parquet(out)
     classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes.write.parquet(f"{out}-classes")  # read for the shards, their counts and the result
+    classes = spark.read.parquet(f"{out}-classes")
     joined = components(links(classes.select("fp"), radius))
     rooted = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
