@@ -180,7 +180,7 @@ def test_language_model_keeps_all(spark, docs, odd):
     rare = docs.limit(3).select((F.lit(10**6) + F.col("doc_id")).alias("doc_id"), F.lit("xx").alias("lang"), F.lit("żółw gżegżółka źdźbło jaźń").alias("text"))
     given = docs.select("doc_id", "lang", "text").unionByName(rare.where(~tb.held_out(F.col("doc_id"))))
     seen = given.select("doc_id", "text").unionByName(odd.select((F.lit(2 * 10**6) + F.col("doc_id")).alias("doc_id"), "text")).unionByName(spark.createDataFrame([(3 * 10**6, "gżegżółka żółw"), (3 * 10**6 + 1, "日本 \u0436\u0443\u043a")], "doc_id long, text string"))
-    whole, tables = language.fit(given), language.fit(given, model_ngrams=100)
+    whole, tables = language.fit(given), language.fit(given, model_cells=100)
     assert tables.langs == whole.langs and "xx" in tables.langs
     want, got = ({r.doc_id: r for r in language.identify(seen, m).collect()} for m in (whole, tables))
     assert len(got) == len(want) and got[3 * 10**6].lang_pred == "xx"
@@ -188,6 +188,18 @@ def test_language_model_keeps_all(spark, docs, odd):
         assert (got[i].lang_pred, got[i].accepted) == (r.lang_pred, r.accepted) and got[i].cross_entropy == pytest.approx(r.cross_entropy, rel=1e-4, abs=1e-6) and got[i].score == pytest.approx(r.score, abs=1e-3)
 
 
+def test_language_scores_in_runs(spark, docs, monkeypatch):
+    """However few events are scored at once, and for a language with a hundredth of the text, nothing changes."""
+    rare = spark.createDataFrame([(10**6 + i, "zz", "żółw gżegżółka źdźbło jaźń " * 3) for i in range(6)], "doc_id long, lang string, text string")
+    model = language.fit(docs.select("doc_id", "lang", "text").unionByName(rare))
+    some = [b"the", b"und", "źdźbło".encode(), b"", b"x" * 300, b"a1b2"]
+    want = model.word_scores(some)
+    monkeypatch.setattr(language, "CELLS_AT_ONCE", 7)
+    got = model.word_scores(some)
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert model.predict(pa.array(["gżegżółka źdźbło żółw", "1 2 3", None]))[0] == ["zz", "und", "und"]
+
+
 def test_maximal_segments():
     def brute(x):
         best = None
@@ -206,6 +218,26 @@ def test_maximal_segments():
         assert [(b, e) for b, e, _ in toxicity.maximal_segments(np.array(x))] == brute(x)
 
 
+def test_copies_are_counted_once(spark):
+    """Near-copies of a label count once; texts that share a passage, or differ in label, all count."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    own = lambda k, n=200: " ".join(f"o{k}x{i}" for i in range(n))
+    rows = [(1, 1, own(1)), (2, 1, own(1)), (3, 0, own(1)), (4, 1, own(1) + " tail"), (5, 1, f"{own(5)} {passage}"), (6, 1, f"{own(6)} {passage}"), (7, 0, f"{own(7)} {passage}"), (8, 0, "short one"), (9, 0, "short one"), (10, 0, "")]
+    kept = toxicity.without_copies(spark.createDataFrame(rows, "doc_id bigint, y int, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 5, 6, 7, 8, 10]
+
+
+def test_op9_cross_validation_sees_no_held_out_row(spark, docs):
+    """Texts and labels of the held-out fifth change no loss, and the losses order the constants."""
+    given = spark.read.parquet(f"{SF}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    grid = [toxicity.Constants(), toxicity.Constants(0.2, 5.0, 0.5, 1.0)]
+    flipped = given.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    blank = docs.withColumn("text", F.when(out, F.lit("x")).otherwise(F.col("text")))
+    found = toxicity.cross_validate(docs, given, grid)
+    assert found == toxicity.cross_validate(blank, flipped, grid) == sorted(found) and {c for _, c in found} == set(grid)
+
+
 # --- op4
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
-from tidemark.llm.calibrate import Calibration, labelled_ids, labelled_texts
-
-#: Tokens (largest |z| first) that the lexicon may hold: bounds what tasks receive.
-LEXICON_TOKENS = 200_000
-#: Strength of the Dirichlet prior (pseudo-counts for each counted token), least |z| of a token that is not neutral.
-PRIOR, LEAST_Z = 0.05, 4.0
-#: Words of a shingle, and min-hashes by which copies of a text are found before counting.
-SHINGLE, MIN_HASHES = 5, 3
-#: Taken from each token's log-odds, so that ordinary text drifts down.
-DRIFT = 0.7
+from tidemark.llm.calibrate import Calibration, hashed_sample, labelled_ids, labelled_texts
+
+
+
+class Constants(NamedTuple):
+    """What the fit takes as given; the values below are those of least summed log-loss in
+    ``cross_validate`` over the learnable rows of the 0.1 and 0.01 test tables (see the README)."""
+
+    #: Pseudo-counts of the Dirichlet prior for each counted token.
+    prior: float = 0.05
+    #: Least |z| of a token that is not neutral.
+    least_z: float = 3.0
+    #: Taken from each token's log-odds, so that ordinary text drifts down.
+    drift: float = 1.0
+    #: A segment counts as significant up to this E-value.
+    significant: float = 1.0
+
+
+#: Words of a shingle; min-hashes of a text, those that lead to copies of it, and the share of equal ones in a copy.
+SHINGLE, MIN_HASHES, LEADING, ALIKE = 5, 30, 3, 0.8
 #: Lengths of the letter prefixes that stand in for words outside the lexicon.
 PREFIXES = (4, 5, 6)
 #: Labelled texts from which the token counts are learned (chosen by a hash of their ids).
 LABELLED_TEXTS = 60_000
 #: Those of them that fit the extreme-value law and the calibration.
 CALIBRATION_TEXTS = 6000
-#: A segment counts as significant up to this E-value.
-SIGNIFICANT = 1.0
 _OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -58,12 +67,13 @@ class ToxicityModel:
     scale: float = 0.1  # its K
     calibration: Calibration | None = None
     prior: float = 0.0
+    constants: Constants = Constants()
 
     def token_scores(self, words: list[bytes]) -> np.ndarray:
         """By word: log-odds less the drift; 0 for words of punctuation alone.
 
         A word in the lexicon has its own log-odds; any other the clearest of its prefixes'."""
-        out = np.full(len(words), -DRIFT)
+        out = np.full(len(words), -self.constants.drift)
         for i, token in enumerate(_tokens(words)):
             if not token:
                 out[i] = 0.0
@@ -86,7 +96,7 @@ class ToxicityModel:
             begin, end = found.first[doc], found.first[doc + 1]
             for b, e, s in maximal_segments(each[begin:end]):
                 value = self.scale * sizes[doc] * np.exp(-self.rate * s)
-                if value <= SIGNIFICANT:
+                if value <= self.constants.significant:
                     out[doc].append((b, e, s, float(value)))
         return sizes, out
 
@@ -132,7 +142,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def min_hashes(column: pa.Array) -> np.ndarray:
     """By text: MIN_HASHES least hashes of its word shingles (of all its words if it has fewer)."""
     found = tb.words(*tb.utf8(column))
-    seeds = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9][:MIN_HASHES], np.uint64)
+    seeds = np.arange(1, 2 * MIN_HASHES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     out = np.zeros((len(found.first) - 1, MIN_HASHES), np.uint64)
     word = np.fromiter(map(zlib.crc32, found.distinct()), np.uint64, len(found.values))[found.ids] if len(found.values) else np.zeros(0, np.uint64)
     for i, (b, e) in enumerate(zip(found.first[:-1], found.first[1:], strict=True)):
@@ -142,26 +152,30 @@ def min_hashes(column: pa.Array) -> np.ndarray:
             for k in range(size):
                 h = (h ^ word[b + k : e - size + k + 1]) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
-            out[i] = ((h[:, None] ^ seeds) * seeds).min(0)
+            out[i] = [((h ^ seed) * seed).min() for seed in seeds]
     return out
 
 
 def without_copies(labelled: DataFrame) -> DataFrame:
-    """(doc_id, y) of one text of each set of near-copies among rows (doc_id, y, text): a text that was
-    copied a thousand times must not make its ordinary words look toxic.
+    """(doc_id, y) of rows (doc_id, y, text) without near-copies: a text that was copied a thousand times must
+    not make its ordinary words look toxic.
 
-    Rows of equal min-hash are one, for each min-hash in turn; the texts stay where they are read."""
-    names = [f"h{i}" for i in range(MIN_HASHES)]
+    A row goes if, among the rows of its label that share a leading min-hash with it, the one of least doc_id
+    (null first) is another and agrees in ALIKE of all min-hashes.  Texts that only share a passage stay."""
+    names = [f"h{i}" for i in range(LEADING)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text"):
             h = min_hashes(batch.column(2)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(h[:, i]) for i in range(MIN_HASHES))], names=["doc_id", "y", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(h[:, i]) for i in range(LEADING)), pa.array(list(h), pa.list_(pa.int64()))], names=["doc_id", "y", *names, "sign"])
 
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id long, y int, {', '.join(f'{n} long' for n in names)}")
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id long, y int, {', '.join(f'{n} long' for n in names)}, sign array<long>")
     for name in names:
-        rows = rows.groupBy(name).agg(F.min(F.struct("doc_id", "y", *[n for n in names if n != name])).alias("r")).select(name, "r.*")
-    return rows.select("doc_id", "y")
+        first = rows.groupBy("y", name).agg(F.min(F.struct("doc_id", "sign")).alias("first"))
+        equal = F.size(F.filter(F.zip_with("sign", F.col("first.sign"), lambda a, b: a == b), lambda x: x))
+        copy = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (equal >= ALIKE * MIN_HASHES)
+        rows = rows.join(first, ["y", name]).where(~copy).drop("first")
+    return rows.select("doc_id", "y").distinct()
 
 
 def token_table(labelled: DataFrame) -> DataFrame:
@@ -188,33 +202,84 @@ def token_table(labelled: DataFrame) -> DataFrame:
     return labelled.select("y", "text").mapInArrow(run, "token binary, y0 long, y1 long").groupBy("token").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED_TEXTS, lexicon_tokens: int = LEXICON_TOKENS, calibration_texts: int = CALIBRATION_TEXTS) -> ToxicityModel:
-    """Learn from labelled texts outside the held-out fifth, at most ``labelled`` of them; the lexicon and
-    the calibration sample are bounded too.  Without labels of both kinds every score is the share of
-    label 1."""
-    # one row a token: written once, read for the totals and for the log-odds
-    spark = docs.sparkSession
-    out = tb.shared_dir(spark, "toxic-tokens")
-    ids = without_copies(labelled_texts(docs, labelled_ids(labels, label, labelled)))
-    token_table(labelled_texts(docs, ids)).write.parquet(out)
-    table = spark.read.parquet(out)
-    sums = table.agg(F.sum("y0").alias("n0"), F.sum("y1").alias("n1")).first()
-    n0, n1 = sums.n0 or 0, sums.n1 or 0
-    model = ToxicityModel()
-    if not n0 or not n1:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
+    """(doc_id, y, text) of at most n labelled documents outside the held-out fifth, written once to the shared
+    folder: the texts of docs are read once, whatever is learned from them."""
+    out = tb.shared_dir(docs.sparkSession, "toxic-sample")
+    labelled_texts(docs, labelled_ids(labels, label, n)).write.parquet(out)
+    return docs.sparkSession.read.parquet(out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED_TEXTS, calibration_texts: int = CALIBRATION_TEXTS, constants: Constants = Constants()) -> ToxicityModel:
+    """Learn from labelled texts outside the held-out fifth, at most ``labelled`` of them; the lexicon is
+    bounded by what they hold, and ``calibration_texts`` of them fit the calibration.  Without labels of both
+    kinds every score is the share of label 1."""
+    sample = labelled_sample(docs, labels, label, labelled)
+    table = count_tokens(sample)
+    model = learn(table, constants)
+    if model is None:
+        model = ToxicityModel(constants=constants)
         known = labels.where(~tb.held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).where(F.col(label).isin(0, 1))
         counts = {r.y: r.n for r in known.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
         model.prior = counts.get(1, 0) / max(1, sum(counts.values()))
         return model
-    share = (F.col("y0") + F.col("y1")) * PRIOR
-    a1, a0, all_prior = F.col("y1") + share, F.col("y0") + share, PRIOR * (n0 + n1)
+    some = hashed_sample(sample.select("doc_id").distinct(), calibration_texts)
+    _calibrate(model, sample.join(F.broadcast(some), "doc_id", "left_semi").select("y", "text"))
+    return model
+
+
+def count_tokens(sample: DataFrame) -> DataFrame:
+    """``token_table`` of the sample's texts but their copies, written once: it is read for totals and log-odds."""
+    out = tb.shared_dir(sample.sparkSession, "toxic-tokens")
+    kept = without_copies(sample).select("doc_id")  # bounded as the sample is
+    token_table(sample.join(F.broadcast(kept), "doc_id", "left_semi")).write.parquet(out)
+    return sample.sparkSession.read.parquet(out)
+
+
+def learn(table: DataFrame, constants: Constants) -> ToxicityModel | None:
+    """The lexicon of a token table: all tokens whose log-odds are clear (None without texts of both labels)."""
+    sums = table.agg(F.sum("y0").alias("n0"), F.sum("y1").alias("n1")).first()
+    n0, n1 = sums.n0 or 0, sums.n1 or 0
+    if not n0 or not n1:
+        return None
+    share = (F.col("y0") + F.col("y1")) * constants.prior
+    a1, a0, all_prior = F.col("y1") + share, F.col("y0") + share, constants.prior * (n0 + n1)
     odds = F.log(a1 / (n1 + all_prior - a1)) - F.log(a0 / (n0 + all_prior - a0))
     z = odds / F.sqrt(1 / a1 + 1 / a0)
-    clear = table.select("token", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "token").limit(lexicon_tokens)
-    got = clear.toArrow()  # bounded by lexicon_tokens
-    model.lexicon = dict(zip(got.column("token").to_pylist(), zip(got.column("odds").to_pylist(), got.column("z").to_pylist(), strict=True), strict=True))
-    _calibrate(model, labelled_texts(docs, labelled_ids(labels, label, calibration_texts)).select("y", "text"))
-    return model
+    # a clear token stands in several texts of the sample, so the sample's bound is one of the lexicon
+    got = table.select("token", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= constants.least_z).toArrow()
+    held = dict(zip(got.column("token").to_pylist(), zip(got.column("odds").to_pylist(), got.column("z").to_pylist(), strict=True), strict=True))
+    return ToxicityModel(lexicon=dict(sorted(held.items())), constants=constants)
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, grid: list[Constants], label: str = "toxic", labelled: int = LABELLED_TEXTS, calibration_texts: int = CALIBRATION_TEXTS) -> list[tuple[float, Constants]]:
+    """(mean log-loss, constants), best first, over four folds of the rows that may be learned from: a fold's
+    texts are scored by models that have not seen them.  Folds go by the remainder that the held-out rule takes,
+    and no held-out row takes part."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    sample = labelled_sample(docs, labels, label, labelled).withColumn("fold", remainder)
+    losses = {c: 0.0 for c in grid}
+    n = 0
+    for fold in range(1, 5):
+        train, test = sample.where(F.col("fold") != fold).drop("fold"), sample.where(F.col("fold") == fold)
+        table = count_tokens(train)
+        some = hashed_sample(train.select("doc_id").distinct(), calibration_texts)
+        calibrating = train.join(F.broadcast(some), "doc_id", "left_semi").select("y", "text")
+        for constants in grid:
+            model = learn(table, constants)
+            if model is None:
+                continue
+            _calibrate(model, calibrating)
+
+            def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+                for batch in tb.slices(batches, "text"):
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)), pa.float64())], names=["y", "p"])
+
+            got = test.select("y", "text").mapInArrow(run, "y int, p double").toArrow()
+            y, p = got.column("y").to_numpy(), np.clip(got.column("p").to_numpy(), 1e-6, 1 - 1e-6)
+            losses[constants] -= float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        n += test.count()
+    return sorted((total / max(1, n), c) for c, total in losses.items())
 
 
 def _calibrate(model: ToxicityModel, some: DataFrame) -> None:
