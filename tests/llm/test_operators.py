@@ -118,6 +118,38 @@ def test_op2_held_out(spark):
     assert auc(y, score) > 0.95 and (predicted[y == 1] == 1).mean() > 0.98 and (predicted[y == 0] == 0).mean() > 0.75
 
 
+def test_op2_scores_by_recomputed_sizes(spark, docs, texts):
+    """Every score again from the library's own compressed sizes and a plain logistic fit."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and not held(r.doc_id)}
+    sample = sorted(((zlib.crc32(str(i).encode()), texts[i], y) for i, y in known.items() if i in texts and 0 < len(texts[i]) <= quality.SAMPLE_CHARS))
+
+    def size(text, dictionary):
+        z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(z.compress(text[i : i + 1024])) for i in range(0, len(text), 1024))
+
+    def features(text):
+        g, b = size(text.encode(), model.good), size(text.encode(), model.bad)
+        d, r = (g - b) / (g + b), np.log(min(g, b) / len(text.encode()))
+        return [d, r, d * r, r * r]
+
+    rest = [(t, y) for k, (_, t, y) in enumerate(sample) if k % 3 == 0]
+    x, y = np.array([features(t) for t, _ in rest]), np.array([y for _, y in rest])
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    columns = lambda x: np.column_stack([np.ones(len(x)), np.clip((np.array(x) - mean) / scale, -8, 8)])
+    w, keep = np.zeros(5), np.array([1e-3, 1, 1, 1, 1])
+    for _ in range(20_000):  # plain gradient steps on the penalised likelihood
+        w += 0.5 / len(y) * (columns(x).T @ (y - 1 / (1 + np.exp(-columns(x) @ w))) - keep * w)
+    prior = np.mean(list(known.values()))
+    w[0] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(columns([features(t)]) @ w)[0])) if t else prior, abs=1e-4)
+
+
 def test_op9_held_out(spark):
     y, score, predicted = scored(spark, registry.op9_toxicity, "toxic")
     assert auc(y, score) > 0.9 and (predicted[y == 0] == 0).mean() > 0.98 and (predicted[y == 1] == 1).mean() > 0.85
@@ -533,6 +565,22 @@ def test_interleaved_sequences(spark, tmp_path):
     assert found.where("page_id = 2").count() == 0
 
 
+def test_page_sequences_equal_parsing_each_page(spark, texts):
+    """Real markup: every page's items in order, and a text run that is a document's whole text finds its payload."""
+    known = {hashlib.sha256(t.encode()).hexdigest(): len(t.encode()) for t in texts.values()}
+    want = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        for x in media.parse_html(r.html):
+            digest = hashlib.sha256(x["text"].encode()).hexdigest() if x["kind"] == "text" else None
+            want.append((r.page_id, x["pos"], x["kind"], x["text"] and len(x["text"]), known.get(digest)))
+    got = [(r.page_id, r.pos, r.kind, r.n_chars, r.n_bytes) for r in registry.page_sequences(spark, SF).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 500
+    pages = spark.createDataFrame([(1, f'<p>{t}</p><img src="sha256:{hashlib.sha256(t.encode()).hexdigest()}" alt="c">', "x") for t in ["plain words of one document", ""]], "page_id bigint, html string, text string")
+    docs = spark.createDataFrame([("plain words of one document", 1), (None, 2)], "text string, html int")
+    found = media.page_items(pages, docs, media.tb.shared_dir(spark, "test")).collect()
+    assert sorted((r.pos, r.kind, r.n_bytes, r.caption) for r in found) == [(0, "image", 0, "c"), (0, "text", 27, None), (1, "image", 27, "c")] and all(r.media_file.endswith(".parquet") for r in found)
+
+
 # --- op10
 
 

@@ -1,9 +1,10 @@
 """Media columns: interleaved sequences of texts and media references, payloads joined by digest.
 
 A page's HTML becomes an ordered array of structs, one a text run or media element, with its position,
-reference and caption.  Payloads are kept once a digest in a media table (8-bit mono WAV, which is
-lossless for any bytes); references are resolved by a join on the digest, which only carries digests
-and what is asked for, and the sequences come back in order.
+reference and caption.  Payloads are 8-bit mono WAV, which is lossless for any bytes, in a media table
+with at most one copy of a digest a task of the write; ``media_features`` names one of the copies, so a digest
+resolves to one payload.  References are resolved by a join on the digest that carries the payload's place
+in the media table and what is asked for, never the bytes, and the sequences come back in order.
 """
 
 from __future__ import annotations
@@ -140,21 +141,23 @@ def from_wav(stored: bytes) -> bytes:
 
 
 def store_media(docs: DataFrame, out: str, text: str = "text") -> None:
-    """Write each distinct text of a batch once: (digest, n_bytes, media).  Null counts as empty.
+    """Write each distinct text of a task once: (digest, n_bytes, media).  Null counts as empty.
 
-    The digest is SHA-256 of the text's UTF-8 bytes.  Copies in different batches are written by each
-    (equal rows: the join below takes one a digest), so payloads never pass a shuffle.
+    The digest is SHA-256 of the text's UTF-8 bytes.  Copies in other tasks are written by those too
+    (equal rows, of which ``media_features`` names one a digest), so payloads never pass a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[bytes] = set()  # 32 bytes a text of the task
         for batch in tb.slices(batches, "text"):
             data, at = tb.utf8(batch.column(0))
             raw, seen = data.tobytes(), {}
             for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 payload = raw[b:e]
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest not in seen:
-                    seen[digest] = (e - b, to_wav(pad(payload)))
+                digest = hashlib.sha256(payload)
+                if digest.digest() not in written:
+                    written.add(digest.digest())
+                    seen[digest.hexdigest()] = (e - b, to_wav(pad(payload)))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())], names=["digest", "n_bytes", "media"])
 
     docs.select(F.col(text).alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary").write.option("compression", "zstd").parquet(out)
@@ -172,37 +175,44 @@ def describe(samples: bytes) -> str:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """One row a digest, from the stored bytes: n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature."""
+    """One row a digest, from the stored bytes: media_file (the media table's file that holds the payload, of
+    several the first), n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    media must be read from files.  Copies of a digest in several files give equal rows, of which one stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for digest, n, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            rows: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            for n, stored in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 held = stored.as_py()
                 samples = from_wav(held)
-                for name, value in zip(rows, (digest, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(held), hashlib.sha256(held).hexdigest(), describe(samples)), strict=True):
+                for name, value in zip(rows, (n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(held), hashlib.sha256(held).hexdigest(), describe(samples)), strict=True):
                     rows[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if isinstance(v[0], int) else pa.string()) if v else pa.array([], pa.string()) for v in rows.values()], names=list(rows))
+            kinds = [pa.string() if name in ("payload_sha256", "media_sha256", "feature") else pa.int64() for name in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], names=["digest", "media_file", *rows])
 
-    schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    found = media.select("digest", "n_bytes", "media").mapInArrow(run, schema)
-    return found.groupBy("digest").agg(*[F.max(c).alias(c) for c in found.columns if c != "digest"])
+    schema = "digest string, media_file string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    found = media.select("digest", F.col("_metadata.file_name").alias("media_file"), "n_bytes", "media").mapInArrow(run, schema)
+    one = F.min(F.struct(*[c for c in found.columns if c != "digest"])).alias("one")
+    return found.groupBy("digest").agg(one).select("digest", "one.*")
 
 
 def digest_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
 
 
-def resolve(pages: DataFrame, resolved: DataFrame, key: str, items: str = "items") -> DataFrame:
+def resolve(pages: DataFrame, resolved: DataFrame, key: str, items: str = "items", texts: bool = False) -> DataFrame:
     """(key, pos, kind, text, ref, caption, digest, and resolved's columns): one row an item, in ``pos``
-    order within a page; a reference without a payload, and text, have nulls.
+    order within a page; a reference without a payload, and text, have nulls.  With texts, a text run too has
+    the digest of its bytes, so that it resolves to a payload that is equal to it.
 
     resolved has one row a digest.  A digest that a third of all references name is one row on that
     side; Spark's skew join splits the references' side.
     """
     each = pages.select(F.col(key).alias(key), F.explode(items).alias("item")).select(key, "item.*")
     digest = F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64))
+    if texts:
+        digest = F.when(F.col("kind") == "text", digest_of(F.col("text"))).otherwise(digest)
     return each.withColumn("digest", digest).join(resolved, "digest", "left")
 
 
@@ -212,7 +222,7 @@ def as_page(doc_id: Column, text: Column, caption: Column) -> Column:
 
 
 def document_media(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document as a page with its text as media: doc_id, pos, caption and the payload's features.
+    """Each document as a page with its text as media: doc_id, pos, caption, media_file and the payload's features.
 
     Texts are read twice (to store them, and for their digests); only digests and features shuffle.
     """
@@ -223,4 +233,16 @@ def document_media(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str
     media_features(spark.read.parquet(out)).write.parquet(kept)  # so that the join's skew can be split
     features = spark.read.parquet(kept)
     found = resolve(sequences(pages), features, "doc_id").where("kind = 'audio'")
-    return found.select("doc_id", "pos", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "pos", "caption", "media_file", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def page_items(pages: DataFrame, docs: DataFrame, out: str, key: str = "page_id", html: str = "html", text: str = "text") -> DataFrame:
+    """The items of real pages, one row each: (key, pos, kind, text, ref, caption, digest) and the payload's place
+    and size where a document's text is what a reference names, or what a text run says.
+
+    Null and empty pages give no row; extra columns of either table do not take part."""
+    spark = docs.sparkSession
+    store_media(docs, out, text)
+    media_features(spark.read.parquet(out)).write.parquet(f"{out}-features")
+    features = spark.read.parquet(f"{out}-features").select("digest", "media_file", "n_bytes", "media_sha256")
+    return resolve(sequences(pages.select(F.col(key).alias(key), F.col(html).alias("html"))), features, key, texts=True)

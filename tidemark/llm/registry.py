@@ -58,6 +58,11 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_table(spark, sf_dir, "documents"), tb.shared_dir(spark, "media"))
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.page_items(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), tb.shared_dir(spark, "page-media"))
+    return found.select("page_id", "pos", "kind", "ref", "caption", "digest", F.length("text").alias("n_chars"), "n_bytes", "media_sha256")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -70,7 +75,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup]
+    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup, page_sequences]
     return {f.__name__: f for f in found}
 
 
