@@ -123,6 +123,64 @@ def test_chunks_cover(data):
     assert sum(sizes) == len(data) and all(0 < s <= most for s in sizes) and all(s >= least for s in sizes[:-1])
 
 
+@given(st.integers(0, 60_000), st.integers(), st.lists(st.integers(1, 9000), min_size=1, max_size=12))
+@settings(max_examples=25, deadline=None)
+def test_chunks_do_not_depend_on_pieces(n, seed, sizes):
+    """Any pieces, down to single bytes, give the boundaries of the whole file."""
+    data = random.Random(seed).randbytes(n)
+    chunker, ends, at, found = cas.Chunker(*cas.PROFILES["small"]), [], 0, []
+    for size in [*sizes, len(data)]:
+        found += chunker.feed(data[at : at + size])
+        at += size
+    found += chunker.finish()
+    for chunk in found:
+        ends.append((ends[-1] if ends else 0) + len(chunk))
+    assert b"".join(found) == data and ends == cas.cut_points(data, *cas.PROFILES["small"])
+
+
+def test_chunks_by_the_rule():
+    """Boundaries equal those of a byte-by-byte rolling hash, across windows too."""
+    rng = random.Random(6)
+    data = rng.randbytes(cas.WINDOW + 50_000)
+    least, average, most = cas.PROFILES["small"]
+    table, bits, h, hashes = [int(x) for x in cas.gear_table()], average.bit_length() - 1, 0, []
+    for b in data:
+        h = (h * 2 + table[b]) % 2**32
+        hashes.append(h)
+    ends, start = [], 0
+    while start < len(data):
+        end = min(start + most, len(data))
+        for i in range(start + least, end):
+            if hashes[i] >> (31 - bits if i < start + average else 33 - bits) == 0:
+                end = i + 1
+                break
+        ends.append(end)
+        start = end
+    assert cas.cut_points(data, least, average, most) == ends
+
+
+def test_blocks_give_the_same_chunks(spark):
+    rng = random.Random(7)
+    files = [(f"f{i}", rng.randbytes(n), "small") for i, n in enumerate((0, 1, 5000, 70_000))]
+    whole = spark.createDataFrame(files, "path string, content binary, profile string")
+    blocks = spark.createDataFrame([(p, b, c[i : i + 1000], k) for p, c, k in files for b, i in enumerate(range(0, len(c), 1000))] + [("f1", 7, None, "small")], "path string, block int, content binary, profile string")
+    assert sorted(cas.block_chunks(blocks).collect()) == sorted(cas.content_chunks(whole).collect()) and cas.content_chunks(whole).count() > 8
+
+
+def test_fixed_chunks_are_linear(spark):
+    """Four times the text takes about four times the time, not sixteen; characters outside the basic plane are one."""
+    import time
+
+    took = []
+    for n in (500_000, 500_000, 2_000_000):
+        df = spark.range(1).select(F.lit("p").alias("path"), F.repeat(F.lit("añ😀x"), n // 4).alias("content"))
+        began = time.perf_counter()
+        rows = cas.fixed_chunks(df, 512).agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.max("length").alias("m")).first()
+        took.append(time.perf_counter() - began)
+        assert (rows.n, rows.s, rows.m) == (-(-n // 512), n, 512)
+    assert took[2] < 9 * took[1] + 2
+
+
 def test_chunks_are_local():
     """An insertion near the front moves few boundaries."""
     rng = random.Random(5)
@@ -161,7 +219,9 @@ def test_debounce_gap(spark):
 @pytest.mark.parametrize("files_a_batch", [None, 1])
 def test_rate_limit_in_any_order(spark, tmp_path, files_a_batch):
     """More rows a device than a chunk holds, from shuffled files, in one batch or several: as lockout_log says."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rng = random.Random(8)
     rows = [(d, ts, rng.random() < 0.2 and ts < 24_990) for d in ("busy", "late") for ts in range(25_000)] + [("quiet", 1, False), ("never", 3, True)]
     rng.shuffle(rows)
@@ -172,6 +232,7 @@ def test_rate_limit_in_any_order(spark, tmp_path, files_a_batch):
         reader = reader.option("maxFilesPerTrigger", files_a_batch)
     limited = reader.parquet(f"{tmp_path}/in").groupBy("device").transformWithStateInPandas(ev.rate_limit_state(), "device string, failures long, locked_until long", "Update", "None")
     limited.writeStream.outputMode("update").foreachBatch(ev.idempotent_writer(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cursor").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(provider, before)
     found = spark.read.parquet(f"{tmp_path}/out").groupBy("device").agg(F.max_by("failures", "batch").alias("failures"), F.max_by("locked_until", "batch").alias("locked_until"))
     want = {}
     for r in ev.lockout_log(log.withColumnRenamed("ts", "seq")).orderBy("device", "seq").collect():
@@ -206,9 +267,56 @@ def test_tree_scan(spark, tmp_path):
         f.write_text(name)
     found = tables.local_set(tables.scan_tree(spark, str(tmp_path)))
     assert sorted((r.rel_path, r.size) for r in found.select("rel_path", "size").collect()) == [("a/x.txt", 7), ("d/z.log", 7)]
-    twice = spark.createDataFrame([("é", 1), ("é", 1)], "rel_path string, size int")
-    with pytest.raises(Exception, match="duplicate path"):
-        tables.local_set(twice).collect()
+    for names, fault in ((["é", "e\u0301"], "duplicate path"), (["a/X", "a/x"], "paths that differ in case"), (["A", "a/b"], "a file is an ancestor")):
+        with pytest.raises(Exception, match=fault):
+            tables.local_set(spark.createDataFrame([(n, 1) for n in names], "rel_path string, size int")).collect()
+
+
+def test_walk_policies(spark):
+    """Links to one file count once when followed; links to folders, to nothing and to secrets never; nested empty folders."""
+    rows = [("a", "directory", None), ("a/f", "file", None), ("l2", "symlink", "a/f"), ("l1", "symlink", "a/f"), ("loop", "symlink", "a"), ("gone", "symlink", "zz"), ("key", "symlink", "/h/.ssh/id"), ("e", "directory", None), ("e/s", "directory", None), ("e/s/.env", "file", None), (".h", "directory", None), (".h/f", "file", None)]
+    df = spark.createDataFrame(rows, "rel_path string, kind string, target string")
+    walked = lambda **k: [(r.rel_path, r.kind) for r in tables.walk(df, **k).collect()]
+    assert walked() == [("e", "empty_dir"), ("e/s", "empty_dir"), ("a/f", "file")]
+    assert walked(links="follow") == [("e", "empty_dir"), ("e/s", "empty_dir"), ("a/f", "file"), ("l1", "file")]
+    assert walked(links="preserve", hidden_dirs=True) == [("e", "empty_dir"), ("e/s", "empty_dir"), (".h/f", "file"), ("a/f", "file"), ("gone", "symlink"), ("l1", "symlink"), ("l2", "symlink"), ("loop", "symlink")]
+
+
+def test_state_files_and_versions(spark, tmp_path):
+    good = '{"last_seq": 7, "device_id": "d", "entries": {"p": {"hash": "h", "size": 1, "vclock": {"a": 2}}}}'
+    df = spark.createDataFrame([(good,), ('{"q": {"hash": "g", "size": 2, "status": "synced"}}',), ("{}",)], "content string")
+    got = {r.path: (r.hash, r.status, r.last_seq, r.owner, r.vclock) for r in tables.scan_state(df).collect()}
+    assert got == {"p": ("h", "not_synced", 7, "d", {"a": 2}), "q": ("g", "synced", 0, "", None)}
+    with pytest.raises(Exception, match="unreadable state file"):
+        tables.scan_state(spark.createDataFrame([("{broken",)], "content string")).collect()
+    out = f"file://{tmp_path}/state"
+    tables.write_state(df, out, 1)
+    with pytest.raises(Exception, match="(?i)exist"):
+        tables.write_state(df, out, 1)
+    with pytest.raises(Exception, match="(?i)not.exist|PATH_NOT_FOUND"):
+        tables.read_state(spark, out, 2).collect()
+
+
+def test_entry_without_manifest_fails(spark):
+    index = spark.createDataFrame([("a", "committed", "m1"), ("b", "deleted", None), ("c", "committed", "m2")], "rel_path string, state string, manifest_key string")
+    keys = spark.createDataFrame([("m1",)], "manifest_key string")
+    assert [r.rel_path for r in cas.visible_entries(index.where("rel_path <> 'c'"), keys).collect()] == ["a"]
+    with pytest.raises(Exception, match="missing manifest: c"):
+        cas.visible_entries(index, keys).collect()
+
+
+DECISIONS = {
+    "deny": "config/auth.json .env.local .envrc runner.env.j2 prod.env logs_2.sqlite-wal node_modules node_modules/pkg/index.js .claude/worktrees/agent-a/README.md .claude/backups/x .codex/tmp/arg0/prompt nix/secrets/k .venv/x .direnv/e a/.git/config x/.cache/t .tmp/x",
+    "snapshot": "logs_2.sqlite",
+    "allow": "sessions/demo.jsonl src/main.rs nix/secretsx secrets/nix Cache/x envrc my.envx",
+}
+
+
+@pytest.mark.parametrize("decision", DECISIONS)
+def test_inventory_rules(spark, decision):
+    names = DECISIONS[decision].split()
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    assert [(r.p, r.d) for r in df.select("p", ingress.inventory_decision(F.col("p"), F.lit(False))["decision"].alias("d")).collect()] == [(n, decision) for n in names]
 
 
 def test_eviction_forms_agree(spark):
@@ -224,7 +332,18 @@ def test_eviction_forms_agree(spark):
         left -= size
     assert {r.key for r in lifecycle.evict(df, 2000).collect()} == gone
     assert {r.key for r in lifecycle.evict(df.withColumn("g", F.lit(1)), 2000, group="g").collect()} == gone
+    assert {r.key for r in lifecycle.evict(df, 2000, ranges=7).collect()} == gone
     assert lifecycle.evict(df.limit(0), 2000).count() == 0
+    tied = df.withColumn("mtime", F.lit(1).cast("bigint"))  # one time for all: ranges go by key
+    left, gone = total, set()
+    for key, size, _ in sorted(rows):
+        if left <= 2000:
+            break
+        gone.add(key)
+        left -= size
+    assert {r.key for r in lifecycle.evict(tied, 2000, ranges=5).collect()} == gone
+    two = df.withColumn("g", F.when(F.col("mtime") < 20, "a"))
+    assert {r.key for r in lifecycle.evict(two, 500, group="g", ranges=6).collect()} == {r.key for r in lifecycle.evict(two, 500, group="g", ranges=1).collect()} != set()
 
 
 def test_ancestry_and_policies(spark):
@@ -248,28 +367,6 @@ def test_ancestry_of_long_histories(spark):
     assert got == {p: d for p, d in zip(pairs, ["local_ahead", "remote_ahead", "local_ahead", "neither", "local_ahead", "neither", "local_ahead", "local_ahead", "neither"], strict=True)}
 
 
-def test_ancestry_of_all_orders(spark):
-    """Every order is classified as walking its parents one by one says."""
-    from tidemark import registry
-
-    sf = "/root/testdata/sf0.001"
-    known = {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
-
-    def above(n):
-        found = set()
-        while n in known and n > 1:
-            n //= 2
-            found.add(n)
-        return found
-
-    want = {}
-    for n in known:
-        other = n // 4 if n % 3 == 0 else n * 2 if n % 3 == 1 else n + 1
-        want[f"n{n}", f"n{other}"] = "local_ahead" if other in above(n) else "remote_ahead" if n in above(other) else "neither"
-    got = registry.queries()["commit_ancestry_all"](spark, sf).collect()
-    assert len(got) == len(want) and {(r.local, r.remote): r.direction for r in got} == want
-
-
 def test_registry_merge_rules(spark):
     cols = "device_id string, name string, public_key string, placeholder boolean, revoked boolean, sequence bigint"
     a = spark.createDataFrame([("1", "", "", True, False, 1), ("2", "n", "k2", False, True, 5), ("3", "n", "k3", False, False, 1)], cols)
@@ -288,3 +385,14 @@ def test_entry_without_llm():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "tidemark.llm" not in f.read_text(), f
+
+
+def test_entry_without_what_the_operators_import(tmp_path):
+    """A missing dependency of the training-data operators leaves them out, and nothing else."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import sys; sys.modules['zstandard'] = sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'reconcile_plan' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, check=True)

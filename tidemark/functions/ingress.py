@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,24 +112,40 @@ def fixed_ingress_reason(path: Column) -> Column:
     return F.coalesce(_fences(path), _component_security(path))
 
 
-#: Fixed values of the inventory's rules.
-DENIED_DIRS = [".ssh", ".gnupg", "cache", "backups", "log", "logs", "node_modules", "sops-nix", "target", "tmp", "worktrees"]
+#: Fixed values of the inventory's rules (F19), in the order of the rules' own list: components, or runs of components.
+DENIED_DIRS = """
+.cache .direnv .git .gnupg .ssh .tmp .venv .claude/worktrees .claude/backups .codex/cache .codex/log .codex/plugins/cache
+.codex/tmp .crush/logs .claude/plugins/cache cache backups log logs node_modules nix/secrets plugins/cache sops-nix target
+tmp worktrees
+""".split()
 GENERATED_DIRS = [".artifacts", ".svelte-kit", "build", "dist", "result"]
 CREDENTIAL_FILES = [".credentials.json", ".netrc", ".pgpass", "auth.json", "mcp-auth.json", "mcp-needs-auth-cache.json", "session-env"]
-SIDECAR_SUFFIXES = r"(-wal|-shm)$"
+DOTENV_FILES, DOTENV_PARTS = [".env", ".envrc"], ".env."
+DATABASES, SIDECARS = [".sqlite", ".sqlite3", ".db"], ["-wal", "-shm"]
+
+
+def _has_run(path: Column, runs: list[str]) -> Column:
+    """Whether one of the runs of components stands in a path."""
+    whole = F.concat(F.lit("/"), path, F.lit("/"))
+    return reduce(lambda a, b: a | b, [F.contains(whole, F.lit(f"/{run}/")) for run in runs])
+
+
+def _ends(name: Column, suffixes: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.endswith(name, F.lit(x)) for x in suffixes])
 
 
 def inventory_decision(path: Column, is_symlink: Column, snapshot_databases: bool = True) -> Column:
-    """struct(decision, reason) of a path under an inventory's root."""
-    parts, name = paths.components(path), paths.name(path)
+    """struct(decision, reason) of a path under an inventory's root; case counts."""
+    name = paths.name(path)
     says = lambda decision, reason: F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
     database = says("snapshot", "sqlite-backup-required") if snapshot_databases else says("deny", "sqlite-excluded-static-profile")
+    dotenv = name.isin(DOTENV_FILES) | F.endswith(name, F.lit(".env")) | F.contains(name, F.lit(DOTENV_PARTS))
     return (
-        F.when(F.arrays_overlap(parts, F.array(*map(F.lit, DENIED_DIRS))), says("deny", "secret-or-runtime-dir"))
-        .when(F.arrays_overlap(parts, F.array(*map(F.lit, GENERATED_DIRS))), says("deny", "generated-output"))
-        .when(name.isin(CREDENTIAL_FILES) | name.rlike(r"^\.env(\..*)?$|\.env$"), says("deny", "credential-or-env"))
-        .when(name.rlike(SIDECAR_SUFFIXES), says("deny", "live-db-sidecar"))
-        .when(name.rlike(r"\.(sqlite|sqlite3|db)$"), database)
+        F.when(_has_run(path, DENIED_DIRS), says("deny", "secret-or-runtime-dir"))
+        .when(_has_run(path, GENERATED_DIRS), says("deny", "generated-output"))
+        .when(name.isin(CREDENTIAL_FILES) | dotenv, says("deny", "credential-or-env"))
+        .when(_ends(name, SIDECARS), says("deny", "live-db-sidecar"))
+        .when(_ends(name, DATABASES), database)
         .when(F.endswith(name, F.lit(".log")), says("deny", "runtime-log"))
         .when(is_symlink, says("deny", "symlink-deferred"))
         .when(F.endswith(name, F.lit(".jsonl")), says("allow", "append-log-active-writer-check-required"))

@@ -208,8 +208,8 @@ def chunk_profile(path: Column) -> Column:
 
 
 def canonical_fault(path: Column) -> Column:
-    """Why a relative path is not canonical (first fault), or null.  The NFC test is the last, so
-    that the UDF runs apart from the native tests; see ``nfc``."""
+    """Why a relative path is not canonical (first fault), or null.  The NFC test is the last; a path of
+    ASCII characters has passed it, so only others meet the UDF's answer."""
     parts = components(path)
     any_part = lambda test: F.exists(parts, test)
     at = F.array_position(parts, ".git")
@@ -226,6 +226,7 @@ def canonical_fault(path: Column) -> Column:
         .when(any_part(lambda c: (F.lower(c) == ".git") & (c != ".git")), "git_alias")
         .when(F.exists(below_git, lambda c: F.array_contains(folded, F.lower(c)) & ~F.array_contains(exact, c)), "git_metadata_alias")
         .when(F.exists(below_git, lambda c: F.endswith(F.lower(c), F.lit(".lock")) & ~F.endswith(c, F.lit(".lock"))), "git_lock_alias")
+        .when(path.rlike(r"[^\x00-\x7f]") & (nfc(path) != path), "not_nfc")
     )
 
 

@@ -5,9 +5,14 @@ H01-H12, J05, J06, J12, J17, L04, L06, L07, L14-L17, A08, A19, S05, V09, V10, W0
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -26,81 +31,155 @@ def content_id(value: Column, domain: str = "") -> Column:
 
 
 def fixed_chunks(files: DataFrame, size: int, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, pos, offset, length, chunk, hash): content in runs of ``size`` characters; none if empty."""
-    body = F.coalesce(F.col(content), F.lit(""))
-    n = F.ceil(F.length(body) / size).cast("int")
-    pos = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    out = files.select(key, body.alias("_body"), F.explode(pos).alias("pos"))
-    chunk = F.substr("_body", F.col("pos") * size + 1, F.lit(size))
-    return out.select(key, "pos", (F.col("pos").cast("long") * size).alias("offset"), chunk.alias("chunk")).select("*", F.length("chunk").cast("long").alias("length"), content_id(F.col("chunk")).alias("hash"))
+    """(key, pos, offset, length, chunk, hash): content in runs of ``size`` characters; none if empty.
 
+    A content is cut once, so a file costs what its length costs."""
+    runs = F.regexp_extract_all(F.coalesce(F.col(content), F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    out = files.select(key, F.posexplode(runs).alias("pos", "chunk"))
+    return out.select(key, "pos", (F.col("pos").cast("long") * size).alias("offset"), "chunk", F.length("chunk").cast("long").alias("length"), content_id(F.col("chunk")).alias("hash"))
 
-def gear_table(seed: int = 1):
-    """256 pseudo-random 64-bit numbers of the rolling hash, from a linear rule."""
-    import numpy as np
 
+#: Bytes before a position that its rolling hash covers, itself included; bytes hashed at once.
+HASH_SPAN, WINDOW = 32, 1 << 18
+
+
+@cache
+def gear_table(seed: int = 1) -> np.ndarray:
+    """256 pseudo-random 32-bit numbers of the rolling hash, from a linear rule."""
     x, out = seed, []
     for _ in range(256):
         x = (x * 6364136223846793005 + 1442695040888963407) & (2**64 - 1)
-        y = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & (2**64 - 1)
-        out.append(y ^ y >> 33)
-    return np.array(out, np.uint64)
+        out.append((x ^ x >> 33) * 0xFF51AFD7ED558CCD >> 32 & (2**32 - 1))
+    return np.array(out, np.uint32)
+
+
+class Chunker:
+    """Content-defined chunks of one file that comes in pieces, with bounded memory.
+
+    A boundary is a byte after which the top bits of the gear hash of the last HASH_SPAN bytes are zero:
+    more bits before the average size, fewer after, and none before the least or beyond the most bytes of
+    a chunk.  What is held is the open chunk and one piece, and boundaries do not depend on the pieces."""
+
+    def __init__(self, least: int, average: int, most: int):
+        self.sizes = least, average, most
+        bits = average.bit_length() - 1
+        self.strict_below, self.loose_below = np.uint32(1 << (31 - bits)), np.uint32(1 << (33 - bits))
+        self.tail, self.held, self.start = b"", bytearray(), 0  # start: where ``held`` begins in the file
+        self.strict, self.loose = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _mark(self, piece: memoryview) -> None:
+        """Candidate boundaries of the next piece, by position in the file."""
+        at = self.start + len(self.held)
+        before = len(self.tail)
+        h = gear_table()[np.frombuffer(self.tail + bytes(piece), np.uint8)]
+        span = 1
+        while span < HASH_SPAN:  # h[i] = sum of table[byte i - k] << k over the last HASH_SPAN bytes, by doubling
+            h[span:] += h[:-span] << np.uint32(span)
+            span *= 2
+        loose = np.flatnonzero(h[before:] < self.loose_below)
+        strict = loose[h[before:][loose] < self.strict_below]
+        self.loose, self.strict = np.concatenate((self.loose, loose + at)), np.concatenate((self.strict, strict + at))
+        self.tail = (self.tail + bytes(piece[-HASH_SPAN:]))[-(HASH_SPAN - 1) :]
+
+    def _cut(self, end: int) -> memoryview:
+        """The open chunk up to a position."""
+        chunk = bytes(self.held[: end - self.start])
+        del self.held[: end - self.start]
+        self.start = end
+        self.strict, self.loose = self.strict[np.searchsorted(self.strict, end) :], self.loose[np.searchsorted(self.loose, end) :]
+        return chunk
+
+    def _boundary(self, n: int) -> int:
+        """The end of the open chunk, of a file that has n bytes at least."""
+        least, average, most = self.sizes
+        middle, limit = min(self.start + average, n), min(self.start + most, n)
+        i = np.searchsorted(self.strict, self.start + least)
+        if i < len(self.strict) and self.strict[i] < middle:
+            return int(self.strict[i]) + 1
+        i = np.searchsorted(self.loose, max(middle, self.start + least))
+        return int(self.loose[i]) + 1 if i < len(self.loose) and self.loose[i] < limit else limit
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        """Chunks that end for certain within what has come so far."""
+        for begin in range(0, len(data), WINDOW):
+            piece = memoryview(data)[begin : begin + WINDOW]
+            self._mark(piece)
+            self.held += piece
+            while len(self.held) >= self.sizes[2]:
+                yield self._cut(self._boundary(self.start + len(self.held)))
+
+    def finish(self) -> Iterator[bytes]:
+        """The chunks that are left at the end of the file."""
+        n = self.start + len(self.held)
+        while n - self.start > self.sizes[0]:
+            yield self._cut(self._boundary(n))
+        if self.held:
+            yield self._cut(n)
 
 
 def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
-    """Ends of content-defined chunks of one file, by a gear hash with normalised masks.
-
-    A boundary is a byte after which the top bits of the hash of the last 64 bytes are zero: more bits
-    before the average size, fewer after.  Deterministic; covers the input; none for empty input."""
-    import numpy as np
-
-    if not data:
-        return []
-    table = gear_table()
-    value = table[np.frombuffer(data, np.uint8)]
-    h = value.copy()
-    span = 1
-    while span < 64:  # h[i] = sum of value[i - k] << k over the last 64 bytes, by doubling
-        older = np.zeros_like(h)
-        older[span:] = h[:-span]
-        h += older << np.uint64(span)
-        span *= 2
-    bits = average.bit_length() - 1
-    strict = np.flatnonzero(h >> np.uint64(64 - bits - 1) == 0)
-    loose = np.flatnonzero(h >> np.uint64(64 - bits + 1) == 0)
-    ends, start, n = [], 0, len(data)
-    while n - start > least:
-        middle, limit = min(start + average, n), min(start + most, n)
-        i = np.searchsorted(strict, start + least)
-        if i < len(strict) and strict[i] < middle:
-            end = int(strict[i]) + 1
-        else:
-            i = np.searchsorted(loose, max(middle, start + least))
-            end = int(loose[i]) + 1 if i < len(loose) and loose[i] < limit else limit
-        ends.append(end)
-        start = end
-    if start < n:
-        ends.append(n)
-    return ends
+    """Ends of the chunks of one file.  Deterministic; they cover the input; none for empty input."""
+    chunker, ends = Chunker(least, average, most), [0]
+    for chunk in chain(chunker.feed(data), chunker.finish()):
+        ends.append(ends[-1] + len(chunk))
+    return ends[1:]
+
+
+_CHUNK_ROWS = "k string, pos int, offset long, length long, hash string"
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "pos", "offset", "length", "hash"])
 
 
 def content_chunks(files: DataFrame, key: str = "path", content: str = "content", profile: str = "profile") -> DataFrame:
-    """(key, pos, offset, length, hash) of each file (bytes or text) under its row's profile.
+    """(key, pos, offset, length, hash) of each file (bytes or text) under its row's profile.
     Only lengths and hashes leave the tasks; null and empty contents have no chunk."""
-    import hashlib
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, data, size in zip(batch["k"], batch["c"], batch["p"], strict=True):
-                start = 0
-                for pos, end in enumerate(cut_points(bytes(data or b""), *PROFILES[size or "small"])):
-                    rows.append((k, pos, start, end - start, hashlib.sha256(bytes(data[start:end])).hexdigest()))
-                    start = end
-            yield pd.DataFrame(rows, columns=["k", "pos", "offset", "length", "hash"])
+            for k, data, size in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                start, chunker, body = 0, Chunker(*PROFILES[size or "small"]), data.as_buffer() if data.is_valid else b""
+                for pos, chunk in enumerate(chain(chunker.feed(body), chunker.finish())):
+                    rows.append((k, pos, start, len(chunk), hashlib.sha256(chunk).hexdigest()))
+                    start += len(chunk)
+            yield _chunk_batch(rows)
 
     given = files.select(F.col(key).cast("string").alias("k"), F.col(content).cast("binary").alias("c"), F.col(profile).alias("p"))
-    return given.mapInPandas(run, "k string, pos int, offset long, length long, hash string").withColumnRenamed("k", key)
+    return given.mapInArrow(run, _CHUNK_ROWS).withColumnRenamed("k", key)
+
+
+def block_chunks(blocks: DataFrame, key: str = "path", block: str = "block", content: str = "content", profile: str = "profile") -> DataFrame:
+    """``content_chunks`` of files that come as rows of consecutive blocks, for files of any size: a task
+    holds a batch of blocks and the open chunk of one file.  Null blocks count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker, now, pos, at = None, None, 0, 0
+
+        def taken(chunks: Iterator[bytes]) -> list[tuple]:
+            nonlocal pos, at
+            rows = []
+            for chunk in chunks:
+                rows.append((now, pos, at, len(chunk), hashlib.sha256(chunk).hexdigest()))
+                pos, at = pos + 1, at + len(chunk)
+            return rows
+
+        for batch in batches:
+            rows = []
+            for k, data, size in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if chunker is None or k != now:
+                    rows += taken(chunker.finish()) if chunker is not None else []
+                    chunker, now, pos, at = Chunker(*PROFILES[size or "small"]), k, 0, 0
+                rows += taken(chunker.feed(data.as_buffer() if data.is_valid else b""))
+            yield _chunk_batch(rows)
+        if chunker is not None:
+            yield _chunk_batch(taken(chunker.finish()))
+
+    given = blocks.select(F.col(key).cast("string").alias("k"), F.col(block).alias("b"), F.col(content).cast("binary").alias("c"), F.col(profile).alias("p"))
+    return given.repartition("k").sortWithinPartitions("k", "b").mapInArrow(run, _CHUNK_ROWS).withColumnRenamed("k", key)
 
 
 def manifests(chunks: DataFrame, key: str = "path") -> DataFrame:
@@ -158,7 +237,7 @@ def cleanup_plan(orphan_rows: DataFrame, now: int, grace_seconds: int) -> DataFr
     """Orphans (hash, last_modified) with skip / delete / within_grace; future times are young."""
     age = F.lit(now) - F.col("last_modified")
     plan = F.when(F.col("last_modified").isNull(), "skip").when(age >= grace_seconds, "delete").otherwise("within_grace")
-    return orphan_rows.withColumn("plan", plan)
+    return orphan_rows.withColumn("plan", plan).orderBy("hash")
 
 
 def delete_readiness(rows: DataFrame, now: int, grace_seconds: int) -> DataFrame:
@@ -181,7 +260,7 @@ def index_faults(entries: DataFrame) -> DataFrame:
 
 
 def inspect_index(wanted: DataFrame, index: DataFrame, manifest_keys: DataFrame) -> DataFrame:
-    """Status of each wanted path (rel_path) by its index row (rel_path, state, manifest_key,
+    """Status of each wanted path (rel_path) by its index row (rel_path, state, manifest_key,
     parsed) and the stored manifests (manifest_key)."""
     i = index.select("rel_path", "state", "manifest_key", "parsed", F.lit(True).alias("_row"))
     m = manifest_keys.select("manifest_key", F.lit(True).alias("_stored"))
@@ -197,6 +276,14 @@ def inspect_index(wanted: DataFrame, index: DataFrame, manifest_keys: DataFrame)
     return joined.select("rel_path", status.alias("status"))
 
 
+def visible_entries(index: DataFrame, manifest_keys: DataFrame) -> DataFrame:
+    """Committed rows (rel_path, state, manifest_key); one without its stored manifest fails the scan."""
+    stored = manifest_keys.select("manifest_key", F.lit(True).alias("_stored")).distinct()
+    shown = index.where("state = 'committed'").select("rel_path", "manifest_key").join(stored, "manifest_key", "left")
+    missing = F.raise_error(F.concat(F.lit("entry points to a missing manifest: "), F.col("rel_path")))
+    return shown.select(F.when(F.col("_stored").isNull(), missing).otherwise(F.col("rel_path")).alias("rel_path"), "manifest_key")
+
+
 def recover_pending(pending: DataFrame, finals: DataFrame, staged: DataFrame) -> DataFrame:
     """Preparing rows (rel_path, manifest_key, staged_key): committed if the final or the staged
     manifest (key, ok) is stored and verified, else an error."""
@@ -258,14 +345,14 @@ def decompress(frame: pd.Series) -> pd.Series:
     return frame.map(lambda x: z.decompress(bytes(x)), na_action="ignore")
 
 
-def read_range(frames: DataFrame, start: int, end: int, key: str = "path") -> DataFrame:
-    """Bytes [start, end) of each file, from the overlapping frames alone."""
-    hit = overlapping_frames(frames, F.lit(start), F.lit(end), key).withColumn("_data", decompress("frame"))
+def read_range(frames: DataFrame, start: int, end: int | None = None, key: str = "path") -> DataFrame:
+    """Bytes [start, end) of each file (end None: all that follow), from the overlapping frames alone."""
+    end = F.lit(end) if end is not None else F.lit((1 << 63) - 1)
+    hit = overlapping_frames(frames, F.lit(start), end, key).withColumn("_data", decompress("frame"))
     low = F.greatest(F.lit(start) - F.col("begin"), F.lit(0)).cast("int")
-    size = (F.least(F.lit(end), F.col("begin") + F.col("uncompressed")) - F.greatest(F.lit(start), F.col("begin"))).cast("int")
-    part = hit.select(key, "pos", F.hex(F.substr("_data", low + 1, size)).alias("_h"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "_h")))
-    return part.groupBy(key).agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["_h"]), "")).alias("content"))
+    size = (F.least(end, F.col("begin") + F.col("uncompressed")) - F.greatest(F.lit(start), F.col("begin"))).cast("int")
+    part = hit.select(key, "pos", F.substr("_data", low + 1, size).alias("_b"))
+    return part.groupBy(key).agg(F.expr("listagg(_b) WITHIN GROUP (ORDER BY pos)").alias("content"))
 
 
 def seek_table(frames: DataFrame, key: str = "path") -> DataFrame:

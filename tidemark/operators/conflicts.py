@@ -24,14 +24,13 @@ def upsert(held: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def groups(items: DataFrame) -> DataFrame:
-    """Conflicts (rel_path, ...) by enclosing repository, one row a group: repo_root (null: flat), n,
-    and the paths in order; the flat group sorts last."""
-    rows = items.withColumn("repo_root", paths.repo_root(F.col("rel_path")))
-    return rows.groupBy("repo_root").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("rel_path")).alias("paths")).orderBy(F.col("repo_root").asc_nulls_last())
+    """Conflicts (rel_path, ...) by enclosing repository: a row a path, (repo_root, rel_path), in order of
+    both; the flat group (null) is last.  A range sort, so no group is gathered anywhere."""
+    return items.select(paths.repo_root(F.col("rel_path")).alias("repo_root"), "rel_path").distinct().orderBy(F.col("repo_root").asc_nulls_last(), "rel_path")
 
 
 def group_counts(items: DataFrame) -> DataFrame:
-    """A04 without lists, for groups of any size: n, branch heads, first and last path."""
+    """A04 by group, without lists: n, branch heads, first and last path."""
     rows = items.withColumn("repo_root", paths.repo_root(F.col("rel_path")))
     return rows.groupBy("repo_root").agg(F.count("*").alias("n"), F.count(paths.head_ref(F.col("rel_path"))).alias("heads"), F.min("rel_path").alias("first_path"), F.max("rel_path").alias("last_path"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import clocks, paths
+from tidemark.operators import checkpoints
 
 
 def pressured_age(max_age: int, used: int, total: int, threshold: float) -> int:
@@ -34,28 +35,31 @@ def bounded_sweep(tagged: DataFrame, most: int) -> DataFrame:
     return ready.orderBy("last_synced", "path").limit(most) if most else ready
 
 
-def evict(entries: DataFrame, max_bytes: int, group: str | None = None, buckets: int = 64) -> DataFrame:
-    """Entries (key, size, mtime) to evict, oldest first, until the rest fits.
-
-    An entry goes if the total less all older entries still exceeds the limit.  Older bytes are a
-    running sum: over one cache (``group``: a column that tells caches apart) by a window; without
-    groups in two steps, range buckets of mtime first and then inside the bucket, so that no task
-    holds all entries."""
-    order = [F.col("mtime"), F.col("key")]
-    if group is not None:
-        by = Window.partitionBy(group)
-        older = F.coalesce(F.sum("size").over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return entries.withColumn("_left", F.sum("size").over(by) - older).where(F.col("_left") > max_bytes).drop("_left")
-    bounds = entries.approxQuantile("mtime", [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
-    bucket = F.lit(0)
-    for edge in sorted(set(bounds)):
-        bucket = bucket + (F.col("mtime") > edge).cast("int")
-    placed = entries.withColumn("_bucket", bucket)
-    sums = placed.groupBy("_bucket").agg(F.sum("size").alias("_bytes"))
-    over_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    before = sums.select("_bucket", F.coalesce(F.sum("_bytes").over(over_all), F.lit(0)).alias("_before"), F.sum("_bytes").over(Window.partitionBy()).alias("_total"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_bucket").where(F.col("_total") - F.col("_before") - F.col("_inside") > max_bytes).select(*entries.columns)
+#: Entries that one range of an eviction's order holds on average.
+ENTRIES_A_RANGE = 1_000_000
+
+
+def evict(entries: DataFrame, max_bytes: int, group: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Entries (key, size, mtime) to evict, oldest first (then by key), until the rest fits.
+
+    An entry goes if the total less all older entries still exceeds the limit, of all entries or of its
+    ``group`` (a column that tells caches apart).  Older bytes are a running sum in two steps: entries are
+    dealt by ranges of the whole order, so equal times and large groups are split too, and a range adds the
+    bytes of the ranges before it.  The ranges are checkpointed, since both steps must see the same ones;
+    without ``ranges`` their number follows from the entries."""
+    checkpoints.ensure(entries.sparkSession)
+    if ranges is None:
+        ranges = max(1, -(-entries.count() // ENTRIES_A_RANGE))
+    by = [F.col(group)] if group is not None else []
+    placed = entries.repartitionByRange(ranges, *by, F.col("mtime"), F.col("key")).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = placed.groupBy(*by, "_range").agg(F.sum("size").alias("_bytes"))  # a row a group and range
+    before = F.coalesce(F.sum("_bytes").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[c.alias("_group") for c in by], F.col("_range").alias("_of"), before.alias("_before"), F.sum("_bytes").over(Window.partitionBy(*by)).alias("_total"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy(*by, "_range").orderBy("mtime", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same = same & c.eqNullSafe(F.col("_group"))
+    return placed.withColumn("_inside", inside).join(sums, same).where(F.col("_total") - F.col("_before") - F.col("_inside") > max_bytes).select(*entries.columns)
 
 
 def latest(rows: DataFrame, key: str, *newest_first: Column) -> DataFrame:

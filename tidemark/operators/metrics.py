@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import paths
 
-#: Upper bounds of the task histogram's buckets, in seconds.
+#: Upper bounds of the duration histogram, in seconds.
 BUCKETS = [0.05, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 120.0]
 
 
@@ -43,9 +43,11 @@ def histogram(tasks: DataFrame, label: str, seconds: str, buckets: list[float] =
 
 
 def push_summary(log: DataFrame) -> DataFrame:
-    """One row over push-log lines (seq, path, chunks, bytes, uploaded_bytes, elapsed_ms, flag):
-    counts, sums, tri-state flag counts, bytes not uploaded, and the path of each maximum (first seen wins)."""
+    """One row over push-log lines (seq, ts, path, chunks, bytes, uploaded_bytes, elapsed_ms, flag,
+    concurrency): counts, sums, tri-state flag counts, bytes not uploaded, the few distinct concurrency values,
+    subtotals of packs and pack indexes, first and last time, and the path of each maximum (first seen wins)."""
     first_max = lambda c: F.max_by("path", F.struct(c, -F.col("seq")))
+    of = lambda suffix, name: [F.count_if(F.endswith("path", F.lit(suffix))).alias(f"{name}_rows"), *[F.coalesce(F.sum(F.when(F.endswith("path", F.lit(suffix)), F.col(c))), F.lit(0)).cast("long").alias(f"{name}_{c}") for c in ("chunks", "bytes")]]
     return log.agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("flag") == "true").alias("flag_true"),
@@ -54,6 +56,11 @@ def push_summary(log: DataFrame) -> DataFrame:
         F.sum("chunks").cast("long").alias("chunks"),
         F.sum("bytes").cast("long").alias("bytes"),
         F.sum(F.greatest(F.col("bytes") - F.col("uploaded_bytes"), F.lit(0))).cast("long").alias("bytes_not_uploaded"),
+        F.array_join(F.array_sort(F.collect_set("concurrency")).cast("array<string>"), ",").alias("concurrency"),
+        *of(".pack", "pack"),
+        *of(".idx", "pack_index"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
         first_max("chunks").alias("most_chunks"),
@@ -62,6 +69,13 @@ def push_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def push_totals(files: DataFrame) -> DataFrame:
+    """A10: one row over pushed files (chunks, bytes, uploaded_bytes): uploaded, skipped, chunks and bytes."""
+    sent = F.col("uploaded_bytes") > 0
+    total = lambda c: F.coalesce(F.sum(F.when(sent, F.col(c))), F.lit(0)).cast("long")
+    return files.agg(F.count_if(sent).alias("uploaded"), F.count_if(~sent).alias("skipped"), total("chunks").alias("chunks"), total("bytes").alias("bytes"), total("uploaded_bytes").alias("uploaded_bytes"))
+
+
 def parse_push_line(line: Column) -> Column:
     """``key=value`` fields of one log line as a map."""
     return F.str_to_map(F.regexp_replace(line, r"^\S+ ", ""), F.lit(" "), F.lit("="))

@@ -72,7 +72,12 @@ def rollup(files: DataFrame, prefix: str = "", path: str = "path") -> DataFrame:
     rest = remainder(F.col(path), prefix)
     first = F.substring_index("rest", "/", 1)
     found = files.select(rest.alias("rest")).where("rest IS NOT NULL")
-    return found.select(F.when(F.contains("rest", F.lit("/")), F.concat(first, F.lit("/"))).otherwise(first).alias("entry"), F.contains("rest", F.lit("/")).alias("is_dir")).distinct()
+    return found.select(F.when(F.contains("rest", F.lit("/")), F.concat(first, F.lit("/"))).otherwise(first).alias("entry"), F.contains("rest", F.lit("/")).alias("is_dir")).distinct().orderBy("entry")
+
+
+def roots(files: DataFrame, path: str = "path") -> DataFrame:
+    """The distinct first components, in byte order."""
+    return files.select(F.substring_index(path, "/", 1).alias("root")).distinct().orderBy("root")
 
 
 def read_dir(index: DataFrame, prefix: str = "", path: str = "path") -> DataFrame:
@@ -164,5 +169,5 @@ def get_attributes(wanted: DataFrame, index: DataFrame, path: str = "path") -> D
 
 
 def read_slice(content: Column, offset: Column, size: Column) -> Column:
-    """Bytes [offset, offset + size)."""
-    return F.substr(content, offset + 1, size)
+    """Bytes [offset, offset + size) of a content, as bytes."""
+    return F.substr(content.cast("binary"), offset + 1, size)

@@ -17,12 +17,13 @@ _SAME = """CASE WHEN l.hash = r.hash THEN 'up_to_date'
     WHEN ca2 <= r.ca AND l.cb <= r.cb AND (ca2 < r.ca OR l.cb < r.cb) THEN 'remote_newer' ELSE 'conflict' END"""
 
 
-def _plan_sql(delete_local: bool, delete_remote: bool) -> str:
-    return f"""WITH keys AS (SELECT rel_path FROM local_side UNION SELECT rel_path FROM remote_side UNION SELECT rel_path FROM tracked),
+def _plan_sql(delete_local: bool, delete_remote: bool, sides: str = "local_side remote_side tracked") -> str:
+    own, other, held = sides.split()
+    return f"""WITH keys AS (SELECT rel_path FROM {own} UNION SELECT rel_path FROM {other} UNION SELECT rel_path FROM {held}),
 j AS (SELECT k.rel_path, l.rel_path IS NOT NULL AS here, r.rel_path IS NOT NULL AND r.state <> 'deleted' AS there, coalesce(r.state = 'deleted', false) AS tomb, t.rel_path IS NOT NULL AS known,
   l.hash AS lh, r.hash AS rh, t.hash AS th, l.ca, l.cb, r.ca AS rca, r.cb AS rcb,
   l.ca + CASE WHEN t.hash IS NOT NULL AND t.hash <> l.hash AND l.ca <= r.ca AND l.cb <= r.cb AND (l.ca < r.ca OR l.cb < r.cb) THEN 1 ELSE 0 END AS ca2
-  FROM keys k LEFT JOIN local_side l USING (rel_path) LEFT JOIN remote_side r ON r.rel_path = k.rel_path LEFT JOIN tracked t ON t.rel_path = k.rel_path),
+  FROM keys k LEFT JOIN {own} l USING (rel_path) LEFT JOIN {other} r ON r.rel_path = k.rel_path LEFT JOIN {held} t ON t.rel_path = k.rel_path),
 v AS (SELECT rel_path, CASE
   WHEN here AND there THEN CASE WHEN lh = rh THEN 'up_to_date'
     WHEN ca2 >= rca AND cb >= rcb AND (ca2 > rca OR cb > rcb) THEN 'local_newer'
@@ -30,6 +31,7 @@ v AS (SELECT rel_path, CASE
   WHEN here AND NOT known THEN 'new_local'
   WHEN there AND known THEN {"'orphan_remote'" if delete_remote else "'up_to_date'"}
   WHEN there THEN 'new_remote'
+  WHEN here AND lh <> th AND (rel_path LIKE '%/.git/%') THEN 'local_newer'
   WHEN here AND tomb THEN {"'deleted_remotely'" if delete_local else "'up_to_date'"}
   ELSE 'up_to_date' END AS reason FROM j),
 p AS (SELECT rel_path, CASE reason WHEN 'local_newer' THEN 'push' WHEN 'new_local' THEN 'push' WHEN 'remote_newer' THEN 'pull' WHEN 'new_remote' THEN 'pull'
@@ -50,6 +52,28 @@ def reconcile_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan(spark, d)
 
 
+GIT_SIDES = "git_local git_remote git_tracked"
+
+
+@query(_plan_sql(True, True, GIT_SIDES) + " SELECT rel_path, action, reason FROM p", GIT_SIDES)
+def reconcile_git_refs(spark: SparkSession, d: str) -> DataFrame:
+    """J02 with refs: one that changed here and is gone remotely is pushed, never deleted."""
+    local, remote = load(spark, d, "git_local").select("rel_path", "hash", "clock"), load(spark, d, "git_remote").select("rel_path", "hash", "clock", "state")
+    return reconcile.plan(local, remote, load(spark, d, "git_tracked").select("rel_path", "hash"), DEVICE, delete_local_orphans=True, delete_remote_orphans=True)
+
+
+@query("""SELECT l.rel_path, CASE WHEN l.doc_id % 6 = 0 OR l.hash <> r.hash THEN 'differs' ELSE 'equal' END AS same, concat('logical-content-v1:', CASE WHEN l.doc_id % 6 = 0 THEN 'symlink' ELSE 'regular_file' END, ':', l.hash) AS identity,
+ sha256(concat('manifest-object-v1', chr(0), l.rel_path)) AS manifest_id, sha256(concat('symlink-v1', chr(0), l.rel_path)) AS symlink_id, sha256(concat('namespace-reservation-v1', chr(0), lower(l.rel_path))) AS reservation_id FROM local_side l JOIN remote_side r ON r.rel_path = l.rel_path""", SIDES)
+def content_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Identities with their kinds, and ids with their domains."""
+    k = F.col("doc_id")
+    here = load(spark, d, "local_side").select("doc_id", "rel_path", reconcile.identity(F.when(k % 6 == 0, "symlink").otherwise("regular_file"), F.col("hash")).alias("identity"))
+    there = load(spark, d, "remote_side").select("rel_path", reconcile.identity(F.lit("regular_file"), F.col("hash")).alias("other"))
+    path = F.col("rel_path")
+    ids = [cas.content_id(path, "manifest-object-v1").alias("manifest_id"), cas.content_id(path, "symlink-v1").alias("symlink_id"), cas.content_id(paths.casefold(path), "namespace-reservation-v1").alias("reservation_id")]
+    return here.join(there, "rel_path").select("rel_path", F.when(F.col("identity") == F.col("other"), "equal").otherwise("differs").alias("same"), "identity", *ids)
+
+
 @query(_plan_sql(True, True) + " SELECT rel_path, action, reason FROM p", SIDES)
 def reconcile_plan_deleting(spark: SparkSession, d: str) -> DataFrame:
     return plan(spark, d, delete_local_orphans=True, delete_remote_orphans=True)
@@ -150,13 +174,14 @@ def manifest_build(spark: SparkSession, d: str) -> DataFrame:
     return cas.manifests(chunk_rows(spark, d)).select("path", F.array_join("chunks", "\n").alias("chunks"), "n_chunks", "file_size")
 
 
-@query("SELECT rel_path AS path, true AS size_ok, true AS hash_ok FROM tree", "tree")
+@query("SELECT rel_path AS path, length(text) AS n_chars, hash, true AS size_ok, true AS hash_ok FROM tree", "tree")
 def reassemble_check(spark: SparkSession, d: str) -> DataFrame:
-    """Manifests to chunks and back: every file must come out as it went in."""
+    """Manifests to chunks and back: every file must come out as it went in, by its own digest."""
     chunks = chunk_rows(spark, d)
     built = cas.reassemble(cas.manifests(chunks), chunks.groupBy("hash").agg(F.first("chunk").alias("chunk")))
     expected = load(spark, d, "tree").select(F.col("rel_path").alias("path"), F.col("size").alias("file_size"), F.col("hash").alias("file_hash"))
-    return cas.integrity(built, expected)
+    sums = built.select("path", F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("hash"))
+    return sums.join(cas.integrity(built, expected), "path")
 
 
 _STORE = f"{CHUNKS}, objects AS (SELECT hash, max(CASE WHEN doc_id % 17 = 0 THEN NULL ELSE doc_id * 600 END) AS last_modified FROM chunks GROUP BY hash), used AS (SELECT DISTINCT hash FROM chunks WHERE doc_id % 9 <> 0)"
@@ -217,6 +242,13 @@ def index_inspect(spark: SparkSession, d: str) -> DataFrame:
     return cas.inspect_index(load(spark, d, "tree").select("rel_path"), index, remote.where("doc_id % 9 <> 0").select("manifest_key"))
 
 
+@query("SELECT rel_path, manifest_key FROM remote_side WHERE state = 'committed'", "remote_side")
+def visible_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every visible entry has its manifest, or the scan fails."""
+    remote = load(spark, d, "remote_side")
+    return cas.visible_entries(remote.select("rel_path", "state", "manifest_key"), remote.select("manifest_key"))
+
+
 @query("""SELECT rel_path, CASE WHEN doc_id % 3 = 0 THEN 'commit_final' WHEN doc_id % 4 = 0 THEN 'commit_staged' ELSE 'error' END AS recovery FROM remote_side""", "remote_side")
 def recover_pending(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "remote_side")
@@ -224,12 +256,12 @@ def recover_pending(spark: SparkSession, d: str) -> DataFrame:
     return cas.recover_pending(r.select("rel_path", "manifest_key", F.col("manifest_key").alias("staged_key")), ok(3), ok(4))
 
 
-@query("""SELECT rel_path, CASE WHEN doc_id % 12 = 0 THEN 'missing_manifest' WHEN doc_id % 7 = 0 THEN 'kind' WHEN doc_id % 5 = 1 THEN 'size' WHEN doc_id % 9 = 2 THEN 'path' END AS fault FROM tree""", "tree")
+@query("""SELECT rel_path, CASE WHEN doc_id % 12 = 0 THEN 'missing_manifest' WHEN doc_id % 7 = 0 THEN 'kind' WHEN doc_id % 5 = 1 THEN 'size' WHEN doc_id % 11 = 3 THEN 'chunks' WHEN doc_id % 9 = 2 THEN 'path' END AS fault FROM tree""", "tree")
 def binding_faults(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     t = load(spark, d, "tree")
     index = t.select("rel_path", F.col("rel_path").alias("manifest_key"), F.lit("regular_file").alias("kind"), F.col("size").alias("file_size"), F.lit(1).alias("n_chunks"))
-    stored = t.where("doc_id % 12 <> 0").select(F.col("rel_path").alias("manifest_key"), F.when(k % 7 == 0, "symlink").otherwise("regular_file").alias("kind"), F.when(k % 5 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("file_size"), F.lit(1).alias("n_chunks"), F.when(k % 9 == 2, "elsewhere").otherwise(F.col("rel_path")).alias("rel_path"))
+    stored = t.where("doc_id % 12 <> 0").select(F.col("rel_path").alias("manifest_key"), F.when(k % 7 == 0, "symlink").otherwise("regular_file").alias("kind"), F.when(k % 5 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("file_size"), F.when(k % 11 == 3, 2).otherwise(1).alias("n_chunks"), F.when(k % 9 == 2, "elsewhere").otherwise(F.col("rel_path")).alias("rel_path"))
     return cas.binding_faults(index, stored)
 
 
@@ -251,17 +283,43 @@ def range_frames(spark: SparkSession, d: str) -> DataFrame:
     return cas.overlapping_frames(frames, F.lit(700), F.lit(1500)).select("path", F.col("pos").cast("long").alias("pos"))
 
 
+def _profiled(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "tree").select(F.col("rel_path").alias("path"), "text", paths.chunk_profile(F.col("rel_path")).alias("profile"))
+
+
 @query()
 def cdc_chunks(spark: SparkSession, d: str) -> DataFrame:
-    files = load(spark, d, "tree").select(F.col("rel_path").alias("path"), "text", paths.chunk_profile(F.col("rel_path")).alias("profile"))
-    return cas.content_chunks(files, content="text")
+    return cas.content_chunks(_profiled(spark, d), content="text")
+
+
+def _rejoined(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each file's bytes put together again from its chunks' places, and how many of their hashes hold."""
+    body = F.col("text").cast("binary")
+    part = F.substr(body, F.col("offset").cast("int") + 1, F.col("length").cast("int"))
+    rows = files.join(chunks, "path").select("path", "pos", "length", part.alias("part"), (F.sha2(part, 256) == F.col("hash")).alias("ok"))
+    return rows.groupBy("path").agg(F.sum("length").alias("n_bytes"), F.sha2(F.expr("listagg(part) WITHIN GROUP (ORDER BY pos)"), 256).alias("hash"), (F.count_if("ok") == F.count("*")).alias("hashes_hold"))
+
+
+@query("SELECT rel_path AS path, octet_length(encode(text))::BIGINT AS n_bytes, hash, true AS hashes_hold FROM tree WHERE text <> ''", "tree")
+def cdc_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks cover each file once and in order."""
+    files = _profiled(spark, d)
+    return _rejoined(files, cas.content_chunks(files, content="text"))
+
+
+@query("SELECT rel_path AS path, octet_length(encode(text))::BIGINT AS n_bytes, hash, true AS hashes_hold FROM tree WHERE text <> ''", "tree")
+def cdc_blocks_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The same from files that come as blocks of 700 characters."""
+    files = _profiled(spark, d)
+    blocks = cas.fixed_chunks(files.select("path", "text"), 700, content="text").join(files.select("path", "profile"), "path")
+    return _rejoined(files, cas.block_chunks(blocks, block="pos", content="chunk"))
 
 
 @query("SELECT rel_path AS path, octet_length(encode(text))::BIGINT AS n_bytes, substring(hash, 1, 64) AS hash FROM tree WHERE text <> ''", "tree")
 def seekable_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Compress to frames and read everything back: the digest of what was read must be the file's."""
     frames = cas.compress_frames(load(spark, d, "tree").select(F.col("rel_path").alias("path"), "text"), frame_bytes=4096, content="text")
-    whole = cas.read_range(frames, 0, 1 << 30)
+    whole = cas.read_range(frames, 0)
     return whole.select("path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("hash"))
 
 
@@ -271,11 +329,11 @@ def range_read(spark: SparkSession, d: str) -> DataFrame:
     return cas.read_range(frames, 5000, 6000).select("path", F.lower(F.hex("content")).alias("content"))
 
 
-@query(f"WITH {CHUNKS} SELECT path, pos, true AS opened FROM chunks", "tree")
+@query(f"WITH {CHUNKS} SELECT path, pos, hash AS opened FROM chunks", "tree")
 def gcm_chunks(spark: SparkSession, d: str) -> DataFrame:
     secret = F.lit("0123456789abcdef").cast("binary")
     opened = cas.decrypt_chunks(cas.encrypt_chunks(chunk_rows(spark, d), secret), secret)
-    return opened.select("path", F.col("pos").cast("long").alias("pos"), (F.col("opened") == F.col("chunk")).alias("opened"))
+    return opened.select("path", F.col("pos").cast("long").alias("pos"), F.sha2("opened", 256).alias("opened"))
 
 
 @query()

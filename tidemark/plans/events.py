@@ -93,6 +93,53 @@ def replay_stream(spark: SparkSession, d: str) -> DataFrame:
     return ev.latest_by_path(spark.read.parquet(out).drop("batch"))
 
 
+@query("SELECT seq, device_id, type FROM log_events WHERE seq % 3 = 1", "log_events")
+def ephemeral_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Only what arrives after the consumer has started."""
+    source, out, cursor = work_folder(spark, "ephemeral"), work_folder(spark, "arrived"), work_folder(spark, "cursor")
+    log = _log(spark, d).select("seq", "device_id", "type")
+    log.where("seq % 3 <> 1").write.parquet(source)
+    stream = ev.skip_backlog(spark, source, "seq long, device_id string, type string", cursor)
+    log.where("seq % 3 = 1").write.mode("append").parquet(source)
+    ev.run_available(stream, cursor, ev.idempotent_writer(out))
+    return spark.read.schema("seq long, device_id string, type string, batch long").parquet(out).drop("batch")
+
+
+@query("SELECT device_id, count(*) AS n, max(seq) AS last_seq FROM log_events GROUP BY device_id", "log_events")
+def periodic_stream(spark: SparkSession, d: str) -> DataFrame:
+    """ST11: a query on a timer, stopped once it has taken what is there."""
+    source, out = work_folder(spark, "periodic"), work_folder(spark, "ticks")
+    _log(spark, d).select("seq", "device_id").write.parquet(source)
+    running = ev.run_every(ev.stream_table(spark, source, "seq long, device_id string"), work_folder(spark, "cursor"), ev.idempotent_writer(out), 1)
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(out).groupBy("device_id").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+
+
+_STATE = "state_entries AS (SELECT rel_path AS path, hash, size, mtime, status, remote_path FROM tracked)"
+
+
+@query(f"WITH {_STATE} SELECT path, hash, size, mtime, status, remote_path, '' AS device_id FROM state_entries", "tracked")
+def state_scan(spark: SparkSession, d: str) -> DataFrame:
+    """State files of a few entries each, half of them in the older plain form, read back as rows."""
+    entry = F.struct("hash", "size", "mtime", "remote_path", "status")
+    files = load(spark, d, "tracked").groupBy(F.floor(F.col("doc_id") / 20).alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("rel_path", entry))).alias("entries"))
+    body = F.when(F.col("file") % 2 == 0, F.to_json(F.struct(F.col("file").alias("last_seq"), F.lit("me").alias("device_id"), "entries"))).otherwise(F.to_json("entries"))
+    return tables.scan_state(files.select(body.alias("content"))).select("path", "hash", "size", "mtime", "status", "remote_path", "device_id")
+
+
+@query("SELECT rel_path, hash, status FROM tracked", "tracked")
+def state_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """One version of the state, whatever is written after it."""
+    out = work_folder(spark, "state")
+    rows = load(spark, d, "tracked").select("rel_path", "hash", "status")
+    tables.write_state(rows, out, 1)
+    tables.write_state(rows.withColumn("status", F.lit("changed")), out, 2)
+    return tables.read_state(spark, out, 1)
+
+
 @query("SELECT type, device_id, count(*) AS n FROM log_events GROUP BY type, device_id", "log_events")
 def counters_stream(spark: SparkSession, d: str) -> DataFrame:
     """A12 as a stream in complete mode."""
@@ -137,12 +184,17 @@ def lockout_log(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """ST06 with keyed state on a stream: failures in a row and the end of the lockout, by device."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, out = work_folder(spark, "attempts"), work_folder(spark, "limits")
     load(spark, d, "log_events").select(F.col("device_id").alias("device"), F.col("seq").alias("ts"), (~F.col("event_type").isin("error", "view")).alias("ok")).write.parquet(source)
     stream = ev.stream_table(spark, source, "device string, ts long, ok boolean")
     limited = stream.groupBy("device").transformWithStateInPandas(ev.rate_limit_state(), "device string, failures long, locked_until long", "Update", "None")
-    limited.writeStream.outputMode("update").foreachBatch(ev.idempotent_writer(out)).option("checkpointLocation", work_folder(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the session's own setting comes back
+        limited.writeStream.outputMode("update").foreachBatch(ev.idempotent_writer(out)).option("checkpointLocation", work_folder(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.parquet(out).groupBy("device").agg(F.max_by("failures", "batch").alias("failures"), F.max_by("locked_until", "batch").alias("locked_until"))
 
 

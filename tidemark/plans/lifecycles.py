@@ -31,7 +31,14 @@ def bounded_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT rel_path AS path, size FROM (SELECT *, {_TAG} AS o FROM tracked) WHERE o = 'unsync'", "tracked")
 def unbounded_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.bounded_sweep(_tagged(spark, d), lifecycle.pressured_age(0, 0, 0, 0.0)).select("path", "size")
+    return lifecycle.bounded_sweep(_tagged(spark, d), 0).select("path", "size")
+
+
+@query(f"SELECT rel_path AS path, size FROM (SELECT *, {_TAG.replace(str(MAX_AGE), str(MAX_AGE // 2))} AS o FROM tracked) WHERE o = 'unsync'", "tracked")
+def pressure_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A disk that is 95 percent full halves the age."""
+    tagged = lifecycle.tag_sweep(load(spark, d, "tracked").withColumn("path", F.col("rel_path")), NOW, lifecycle.pressured_age(MAX_AGE, 95, 100, 0.9))
+    return lifecycle.bounded_sweep(tagged, 0).select("path", "size")
 
 
 _EVICT = "SELECT key, size FROM (SELECT hash AS key, size, sum(size) OVER ({0}) - coalesce(sum(size) OVER ({0} ORDER BY mtime, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remain FROM {1}) WHERE remain > {2}"
@@ -186,11 +193,11 @@ def conflict_upsert(spark: SparkSession, d: str) -> DataFrame:
     return conflicts.upsert(conflicts.ledger(c.where("cycle < 3")), c.where("cycle = 3"))
 
 
-_GIT = "items AS (SELECT path AS rel_path, CASE WHEN path LIKE '%/.git/%' THEN regexp_extract(path, '^(.*?)/\\.git/', 1) END AS repo_root, path LIKE '%/.git/refs/heads/%' AS head, concat('c', doc_id::VARCHAR) AS cache_key FROM inventory WHERE doc_id % 3 <> 1)"
+_GIT = "items AS (SELECT path AS rel_path, CASE WHEN path LIKE '%/.git/%' THEN regexp_extract(path, '^(.*?)/\\.git/', 1) END AS repo_root, path LIKE '%/.git/refs/heads/%' AS head, concat('c', doc_id::VARCHAR) AS cache_key FROM inventory)"
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "inventory").where("doc_id % 3 <> 1").select(F.col("path").alias("rel_path"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("cache_key"))
+    return load(spark, d, "inventory").select(F.col("path").alias("rel_path"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("cache_key"))
 
 
 @query(f"WITH {_GIT} SELECT repo_root, count(*) AS n, count(*) FILTER (head) AS heads, min(rel_path) AS first_path, max(rel_path) AS last_path FROM items GROUP BY repo_root", "inventory")
@@ -198,9 +205,9 @@ def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
     return conflicts.group_counts(_items(spark, d))
 
 
-@query(f"WITH {_GIT} SELECT repo_root, count(*) AS n, array_to_string(list_sort(list(DISTINCT rel_path)), ',') AS paths FROM items GROUP BY repo_root", "inventory")
+@query(f"WITH {_GIT} SELECT DISTINCT repo_root, rel_path FROM items", "inventory")
 def conflict_group_paths(spark: SparkSession, d: str) -> DataFrame:
-    return conflicts.groups(_items(spark, d)).withColumn("paths", F.array_join("paths", ","))
+    return conflicts.groups(_items(spark, d))
 
 
 @query(f"WITH {_GIT} SELECT rel_path, cache_key FROM items ORDER BY rel_path, cache_key", "inventory")
@@ -208,9 +215,12 @@ def conflict_listing(spark: SparkSession, d: str) -> DataFrame:
     return conflicts.listing(_items(spark, d))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (status = 'not_synced') AS not_synced, count(*) FILTER (status = 'synced') AS synced, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'locked') AS locked, count(*) FILTER (status = 'conflict') AS conflict, 0::BIGINT AS inconsistent FROM tracked", "tracked")
+_CONFLICT = "CASE WHEN doc_id % 20 = 9 THEN NULL WHEN doc_id % 15 = 1 THEN 'left over' ELSE conflict END"
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (status = 'not_synced') AS not_synced, count(*) FILTER (status = 'synced') AS synced, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'locked') AS locked, count(*) FILTER (status = 'conflict') AS conflict, count(*) FILTER ((status = 'conflict') <> ({_CONFLICT} IS NOT NULL)) AS inconsistent FROM tracked", "tracked")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return conflicts.status_counts(load(spark, d, "tracked"))
+    return conflicts.status_counts(load(spark, d, "tracked").withColumn("conflict", F.expr(_CONFLICT)))
 
 
 @query(f"SELECT count(*) AS entries, count(conflict) AS conflicts, count(*) FILTER ({NOW} - last_synced > {MAX_AGE} AND NOT exempt) AS unsync_eligible FROM tracked", "tracked")
@@ -218,7 +228,7 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return conflicts.diagnostics(load(spark, d, "tracked"), NOW, MAX_AGE)
 
 
-_FF = "heads AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('r', (doc_id % 7)::VARCHAR, '/.git/refs/heads/b', doc_id::VARCHAR) WHEN 1 THEN concat('r', (doc_id % 7)::VARCHAR, '/.git/objects/', doc_id::VARCHAR) ELSE CASE WHEN doc_id % 7 = 2 THEN 'r2/.git/packed-refs' ELSE concat('f', doc_id::VARCHAR) END END AS rel_path, CASE WHEN doc_id % 7 IN (0, 2) THEN 'local_ahead' WHEN doc_id % 7 = 1 THEN 'remote_ahead' WHEN doc_id % 2 = 0 THEN 'local_ahead' ELSE 'remote_ahead' END AS direction FROM tree WHERE doc_id % 5 <> 4)"
+_FF = "heads AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('r', (doc_id % 7)::VARCHAR, '/.git/refs/heads/b', doc_id::VARCHAR) WHEN 1 THEN concat('r', (doc_id % 7)::VARCHAR, '/.git/objects/', doc_id::VARCHAR) ELSE CASE WHEN doc_id % 7 = 2 THEN 'r2/.git/packed-refs' ELSE concat('f', doc_id::VARCHAR) END END AS rel_path, CASE WHEN doc_id % 7 IN (0, 2) THEN 'local_ahead' WHEN doc_id % 7 = 1 THEN 'remote_ahead' WHEN doc_id % 2 = 0 THEN 'local_ahead' ELSE 'remote_ahead' END AS direction FROM tree)"
 
 
 @query(f"""WITH {_FF}, c AS (SELECT *, CASE WHEN rel_path LIKE '%/.git/%' THEN split_part(rel_path, '/', 1) END AS repo, rel_path LIKE '%/refs/heads/%' AS head, rel_path LIKE '%packed-refs' AS veto FROM heads),
@@ -229,34 +239,24 @@ def ff_reclassify(spark: SparkSession, d: str) -> DataFrame:
     repo = F.concat(F.lit("r"), (k % 7).cast("string"))
     rel = F.when(k % 3 == 0, F.concat(repo, F.lit("/.git/refs/heads/b"), k.cast("string"))).when(k % 3 == 1, F.concat(repo, F.lit("/.git/objects/"), k.cast("string"))).when(k % 7 == 2, "r2/.git/packed-refs").otherwise(F.concat(F.lit("f"), k.cast("string")))
     direction = F.when((k % 7).isin(0, 2), "local_ahead").when(k % 7 == 1, "remote_ahead").when(k % 2 == 0, "local_ahead").otherwise("remote_ahead")
-    rows = load(spark, d, "tree").where("doc_id % 5 <> 4").select(rel.alias("rel_path"), F.lit("conflict").alias("action"), F.lit("conflict").alias("reason"), direction.alias("direction"))
+    rows = load(spark, d, "tree").select(rel.alias("rel_path"), F.lit("conflict").alias("action"), F.lit("conflict").alias("reason"), direction.alias("direction"))
     heads = rows.where(F.contains("rel_path", F.lit("/refs/heads/"))).select("rel_path", "direction")
     return reconcile.reclassify_fast_forwards(rows.drop("direction"), heads)
 
 
-@query("""WITH RECURSIVE pairs AS (SELECT DISTINCT concat('n', o_orderkey::VARCHAR) AS local, concat('n', (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 4 WHEN o_orderkey % 3 = 1 THEN o_orderkey * 2 ELSE o_orderkey + 1 END)::VARCHAR) AS remote FROM orders WHERE o_orderkey < 200),
-edges AS (SELECT concat('n', o_orderkey::VARCHAR) AS child, concat('n', (o_orderkey // 2)::VARCHAR) AS parent FROM orders WHERE o_orderkey > 1),
-up AS (SELECT local, remote, local AS at_, 'local_ahead' AS side FROM pairs UNION SELECT local, remote, remote, 'remote_ahead' FROM pairs UNION SELECT up.local, up.remote, edges.parent, up.side FROM up JOIN edges ON edges.child = up.at_),
-met AS (SELECT DISTINCT local, remote, side FROM up WHERE local <> remote AND at_ = CASE WHEN side = 'local_ahead' THEN remote ELSE local END)
-SELECT p.local, p.remote, coalesce(m.side, 'neither') AS direction FROM pairs p LEFT JOIN met m ON m.local = p.local AND m.remote = p.remote""")
+@query("""WITH pairs AS (SELECT DISTINCT o_orderkey AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 4 WHEN o_orderkey % 3 = 1 THEN o_orderkey * 2 ELSE o_orderkey + 1 END AS b FROM orders),
+tips AS (SELECT a AS tip FROM pairs UNION SELECT b FROM pairs), line AS (SELECT tip, k, tip >> k AS above, tip >> (k - 1) AS below FROM tips, unnest(range(1, 48)) AS u(k) WHERE tip >> (k - 1) > 1),
+known AS (SELECT l.*, bool_and(o.o_orderkey IS NOT NULL) OVER (PARTITION BY tip ORDER BY k) AS unbroken FROM line l LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders) o ON o.o_orderkey = l.below)
+SELECT concat('n', a::VARCHAR) AS local, concat('n', b::VARCHAR) AS remote, CASE WHEN x.tip IS NOT NULL THEN 'local_ahead' WHEN y.tip IS NOT NULL THEN 'remote_ahead' ELSE 'neither' END AS direction
+FROM pairs LEFT JOIN known x ON x.tip = a AND x.above = b AND x.unbroken LEFT JOIN known y ON y.tip = b AND y.above = a AND y.unbroken""")
 def commit_ancestry(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs that its recursive SQL can follow; ``commit_ancestry_all`` has those of all orders."""
-    return _ancestry(spark, d, "o_orderkey < 200")
-
-
-@query()
-def commit_ancestry_all(spark: SparkSession, d: str) -> DataFrame:
-    return _ancestry(spark, d, "true")
-
-
-def _ancestry(spark: SparkSession, d: str, which: str) -> DataFrame:
+    """Every order as a commit whose parent is its half, against another; the SQL takes halves by shifting."""
     from tidemark.sources.tables import read_table
 
     k = F.col("o_orderkey")
     other = F.when(k % 3 == 0, F.floor(k / 4)).when(k % 3 == 1, k * 2).otherwise(k + 1)
     name = lambda x: F.concat(F.lit("n"), x.cast("long").cast("string"))
-    pairs = read_table(spark, d, "orders").where(which).select(name(k).alias("local"), name(other).alias("remote"))
-    return conflicts.ancestry(load(spark, d, "commits"), pairs)
+    return conflicts.ancestry(load(spark, d, "commits"), read_table(spark, d, "orders").select(name(k).alias("local"), name(other).alias("remote")))
 
 
 _STRATEGY = "CASE event_id % 5 WHEN 0 THEN 'keep_local' WHEN 1 THEN 'keep_remote' WHEN 2 THEN 'keep_both' WHEN 3 THEN 'defer' ELSE 'merge' END"
@@ -282,19 +282,34 @@ def task_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(f"""SELECT count(*) AS rows, count(*) FILTER (flag = 'true') AS flag_true, count(*) FILTER (flag = 'false') AS flag_false, count(*) FILTER (flag IS NULL) AS flag_absent, sum(chunks)::BIGINT AS chunks, sum(bytes)::BIGINT AS bytes, sum(greatest(bytes - uploaded_bytes, 0))::BIGINT AS bytes_not_uploaded, min(seq) AS first_seq, max(seq) AS last_seq FROM push_log""", "push_log")
+@query(f"""SELECT count(*) AS rows, count(*) FILTER (flag = 'true') AS flag_true, count(*) FILTER (flag = 'false') AS flag_false, count(*) FILTER (flag IS NULL) AS flag_absent, sum(chunks)::BIGINT AS chunks, sum(bytes)::BIGINT AS bytes, sum(greatest(bytes - uploaded_bytes, 0))::BIGINT AS bytes_not_uploaded, array_to_string(list_sort(list(DISTINCT concurrency)), ',') AS concurrency,
+ count(*) FILTER (l_partkey % 5 = 0) AS pack_rows, coalesce(sum(chunks) FILTER (l_partkey % 5 = 0), 0)::BIGINT AS pack_chunks, coalesce(sum(bytes) FILTER (l_partkey % 5 = 0), 0)::BIGINT AS pack_bytes, count(*) FILTER (l_partkey % 5 = 1) AS pack_index_rows, coalesce(sum(chunks) FILTER (l_partkey % 5 = 1), 0)::BIGINT AS pack_index_chunks, coalesce(sum(bytes) FILTER (l_partkey % 5 = 1), 0)::BIGINT AS pack_index_bytes, min(ts) AS first_ts, max(ts) AS last_ts, min(seq) AS first_seq, max(seq) AS last_seq FROM push_log""", "push_log")
 def push_summary(spark: SparkSession, d: str) -> DataFrame:
     """Without the argmax paths: the table's sequence repeats, see push_argmax."""
-    return metrics.push_summary(load(spark, d, "push_log")).drop("most_chunks", "most_bytes", "slowest")
+    return metrics.push_summary(load(spark, d, "push_log").withColumn("path", F.col("file"))).drop("most_chunks", "most_bytes", "slowest")
 
 
 @query("WITH u AS (SELECT l_partkey, max(bytes) AS bytes, max(chunks) AS chunks, max(elapsed_ms) AS elapsed_ms FROM push_log GROUP BY l_partkey) SELECT (SELECT concat('p', l_partkey::VARCHAR) FROM u ORDER BY chunks DESC, l_partkey LIMIT 1) AS most_chunks, (SELECT concat('p', l_partkey::VARCHAR) FROM u ORDER BY bytes DESC, l_partkey LIMIT 1) AS most_bytes, (SELECT concat('p', l_partkey::VARCHAR) FROM u ORDER BY elapsed_ms DESC, l_partkey LIMIT 1) AS slowest", "push_log")
 def push_argmax(spark: SparkSession, d: str) -> DataFrame:
     """T11 with a unique sequence (the part), so that the first seen is defined."""
-    per = load(spark, d, "push_log").groupBy("path", F.col("l_partkey").alias("seq")).agg(*[F.max(c).alias(c) for c in ("chunks", "bytes", "elapsed_ms", "uploaded_bytes")]).withColumn("flag", F.lit(None).cast("string"))
+    per = load(spark, d, "push_log").groupBy("path", F.col("l_partkey").alias("seq")).agg(*[F.max(c).alias(c) for c in ("chunks", "bytes", "elapsed_ms", "uploaded_bytes")]).withColumn("flag", F.lit(None).cast("string")).withColumn("ts", F.col("seq")).withColumn("concurrency", F.lit(1))
     return metrics.push_summary(per).select("most_chunks", "most_bytes", "slowest")
 
 
+@query("SELECT count(*) FILTER (uploaded_bytes > 0) AS uploaded, count(*) FILTER (uploaded_bytes = 0) AS skipped, sum(chunks) FILTER (uploaded_bytes > 0)::BIGINT AS chunks, sum(bytes) FILTER (uploaded_bytes > 0)::BIGINT AS bytes, sum(uploaded_bytes)::BIGINT AS uploaded_bytes FROM push_log", "push_log")
+def push_totals(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.push_totals(load(spark, d, "push_log"))
+
+
+@query("SELECT seq, file AS path, bytes, flag FROM push_log", "push_log")
+def push_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines read back into their fields."""
+    line = F.concat(F.lit("2026-01-01T00:00:00Z seq="), F.col("seq").cast("string"), F.lit(" path="), F.col("file"), F.lit(" bytes="), F.col("bytes").cast("string"), F.coalesce(F.concat(F.lit(" flag="), "flag"), F.lit("")))
+    fields = load(spark, d, "push_log").select(metrics.parse_push_line(line).alias("f"))
+    get = lambda k: F.try_element_at("f", F.lit(k))
+    return fields.select(get("seq").cast("long").alias("seq"), get("path").alias("path"), get("bytes").cast("long").alias("bytes"), get("flag").alias("flag"))
+
+
 @query("SELECT metric, value, CASE metric WHEN 'orders' THEN 1000 WHEN 'customers' THEN 0 WHEN 'parts' THEN 5 ELSE 0 END AS budget, CASE metric WHEN 'orders' THEN CASE WHEN value <= 1000 THEN 'ok' ELSE 'over' END WHEN 'parts' THEN 'over' ELSE 'observe' END AS verdict FROM (SELECT 'orders' AS metric, count(*) AS value FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'parts', count(*) FROM part)")
 def slo_eval(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.sources.tables import read_table

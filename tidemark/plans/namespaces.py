@@ -10,6 +10,7 @@ from tidemark.operators import namespace, reconcile
 from tidemark.plans.catalog import query
 from tidemark.plans.core import SIDES, _plan_sql, plan
 from tidemark.plans.fixtures import POLICIES, load, policies
+from tidemark.sources import tables
 from tidemark.sources.tables import read_table
 
 GLOBS = ["*.tmp", "img?"]
@@ -50,19 +51,48 @@ def denied_remote(spark: SparkSession, d: str) -> DataFrame:
     return namespace.denied_remote(load(spark, d, "inventory").withColumnRenamed("path", "rel_path"), globs=GLOBS)
 
 
-@query(_plan_sql(False, False) + " SELECT rel_path, action, NULL::VARCHAR AS fault FROM p WHERE false", SIDES)
+#: Paths of which each shape has one fault, and the fault's name.
+_SHAPES = "CASE doc_id % 10 WHEN 0 THEN concat('/', rel_path) WHEN 1 THEN concat('../', rel_path) WHEN 2 THEN concat(rel_path, '.') WHEN 3 THEN concat(rel_path, '?') WHEN 4 THEN concat(rel_path, '/nul.txt') WHEN 5 THEN concat(rel_path, '/.GIT/x') WHEN 6 THEN concat(rel_path, '/.git/Head') WHEN 7 THEN concat(rel_path, '/.ssh/id') WHEN 8 THEN concat(rel_path, 'e', {mark}) ELSE rel_path END"
+_SHAPE_FAULTS = "CASE doc_id % 10 WHEN 0 THEN 'not_relative' WHEN 1 THEN 'dot_component' WHEN 2 THEN 'trailing_dot_or_space' WHEN 3 THEN 'forbidden_character' WHEN 4 THEN 'device_name' WHEN 5 THEN 'git_alias' WHEN 6 THEN 'git_metadata_alias' WHEN 8 THEN 'not_nfc' END"
+
+
+def _shaped(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "tree").select("doc_id", F.expr(_SHAPES.format(mark="decode(X'CC81', 'UTF-8')")).alias("rel_path"))
+
+
+@query(f"SELECT rel_path, action, fault FROM (SELECT doc_id, {_SHAPES.format(mark='chr(769)')} AS rel_path, CASE doc_id % 3 WHEN 0 THEN 'push' WHEN 1 THEN 'pull' ELSE 'up_to_date' END AS action, CASE WHEN doc_id % 10 = 7 THEN 'security: .ssh' ELSE {_SHAPE_FAULTS} END AS fault FROM tree) WHERE action <> 'up_to_date' AND fault IS NOT NULL", "tree")
 def unsafe_actions(spark: SparkSession, d: str) -> DataFrame:
-    """A plan over clean paths has no unsafe action."""
-    return reconcile.unsafe_actions(plan(spark, d)).select("rel_path", "action", "fault")
+    """Actions over paths of all shapes; those that change nothing are not looked at."""
+    action = F.when(F.col("doc_id") % 3 == 0, "push").when(F.col("doc_id") % 3 == 1, "pull").otherwise("up_to_date")
+    return reconcile.unsafe_actions(_shaped(spark, d).withColumn("action", action)).select("rel_path", "action", "fault")
+
+
+@query(_plan_sql(False, False) + " SELECT count(*) AS planned, 0::BIGINT AS unsafe FROM p WHERE action <> 'up_to_date'", SIDES)
+def plan_is_safe(spark: SparkSession, d: str) -> DataFrame:
+    """V11 over the plan itself, whose paths are clean."""
+    rows = plan(spark, d)
+    unsafe = reconcile.unsafe_actions(rows).select("rel_path", F.lit(1).alias("one"))
+    return rows.where("action <> 'up_to_date'").join(unsafe, "rel_path", "left").agg(F.count("*").alias("planned"), F.count("one").alias("unsafe"))
+
 
+#: The inventory's rules as a table of runs of components and a name's tests, in their order.
+_DECISION = """WITH runs AS (SELECT string_split(r, '/') AS run, kind FROM (VALUES ('.cache', 1), ('.direnv', 1), ('.git', 1), ('.gnupg', 1), ('.ssh', 1), ('.tmp', 1), ('.venv', 1), ('.claude/worktrees', 1), ('.claude/backups', 1), ('.codex/cache', 1), ('.codex/log', 1), ('.codex/plugins/cache', 1), ('.codex/tmp', 1), ('.crush/logs', 1), ('.claude/plugins/cache', 1), ('cache', 1), ('backups', 1), ('log', 1), ('logs', 1), ('node_modules', 1), ('nix/secrets', 1), ('plugins/cache', 1), ('sops-nix', 1), ('target', 1), ('tmp', 1), ('worktrees', 1), ('.artifacts', 2), ('.svelte-kit', 2), ('build', 2), ('dist', 2), ('result', 2)) v(r, kind)),
+places AS (SELECT doc_id, string_split(path, '/') AS c, i FROM mirror_rows, unnest(range(1, len(string_split(path, '/')) + 1)) AS u(i)),
+hits AS (SELECT doc_id, min(kind) AS kind FROM places, runs WHERE c[i] = run[1] AND c[i:(i + len(run) - 1)] = run GROUP BY doc_id),
+named AS (SELECT m.doc_id, string_split(path, '/')[-1] AS n, is_symlink, kind FROM mirror_rows m LEFT JOIN hits h ON h.doc_id = m.doc_id),
+ruled AS (SELECT doc_id, CASE WHEN kind = 1 THEN 'deny/secret-or-runtime-dir' WHEN kind = 2 THEN 'deny/generated-output' WHEN n IN ('.credentials.json', '.netrc', '.pgpass', 'auth.json', 'mcp-auth.json', 'mcp-needs-auth-cache.json', 'session-env') OR regexp_matches(n, '^[.]env(rc)?$|[.]env$|[.]env[.]') THEN 'deny/credential-or-env'
+ WHEN regexp_matches(n, '-(wal|shm)$') THEN 'deny/live-db-sidecar' WHEN regexp_matches(n, '[.](sqlite3?|db)$') THEN '{databases}' WHEN regexp_matches(n, '[.]log$') THEN 'deny/runtime-log' WHEN is_symlink THEN 'deny/symlink-deferred' WHEN regexp_matches(n, '[.]jsonl$') THEN 'allow/append-log-active-writer-check-required' ELSE 'allow/default-allow' END AS x FROM named)
+SELECT doc_id, split_part(x, '/', 1) AS decision, split_part(x, '/', 2) AS reason FROM ruled"""
 
-@query("""SELECT doc_id, decision, reason FROM (SELECT doc_id, path, string_split(path, '/')[-1] AS n, string_split(path, '/') AS c, is_symlink,
- CASE WHEN list_has_any(c, ['.ssh', '.gnupg', 'cache', 'backups', 'log', 'logs', 'node_modules', 'sops-nix', 'target', 'tmp', 'worktrees']) THEN 'deny/secret-or-runtime-dir' WHEN list_has_any(c, ['.artifacts', '.svelte-kit', 'build', 'dist', 'result']) THEN 'deny/generated-output'
- WHEN n IN ('.credentials.json', '.netrc', '.pgpass', 'auth.json', 'mcp-auth.json', 'mcp-needs-auth-cache.json', 'session-env') OR n = '.env' OR n LIKE '.env.%' OR n LIKE '%.env' THEN 'deny/credential-or-env' WHEN n LIKE '%-wal' OR n LIKE '%-shm' THEN 'deny/live-db-sidecar'
- WHEN regexp_matches(n, '\\.(sqlite|sqlite3|db)$') THEN 'snapshot/sqlite-backup-required' WHEN n LIKE '%.log' THEN 'deny/runtime-log' WHEN is_symlink THEN 'deny/symlink-deferred' WHEN n LIKE '%.jsonl' THEN 'allow/append-log-active-writer-check-required' ELSE 'allow/default-allow' END AS x,
- split_part(x, '/', 1) AS decision, split_part(x, '/', 2) AS reason FROM inventory)""", "inventory")
+
+@query(_DECISION.replace("{databases}", "snapshot/sqlite-backup-required"), "mirror_rows")
 def inventory_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "inventory").select("doc_id", ingress.inventory_decision(F.col("path"), F.col("is_symlink")).alias("x")).select("doc_id", "x.*")
+    return load(spark, d, "mirror_rows").select("doc_id", ingress.inventory_decision(F.col("path"), F.col("is_symlink")).alias("x")).select("doc_id", "x.*")
+
+
+@query(_DECISION.replace("{databases}", "deny/sqlite-excluded-static-profile"), "mirror_rows")
+def inventory_decisions_static(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "mirror_rows").select("doc_id", ingress.inventory_decision(F.col("path"), F.col("is_symlink"), snapshot_databases=False).alias("x")).select("doc_id", "x.*")
 
 
 @query("SELECT doc_id, array_to_string(string_split(rel_path, '/')[1:i], '/') AS ancestor FROM tree, unnest(range(1, len(string_split(rel_path, '/')))) AS u(i)", "tree")
@@ -126,6 +156,61 @@ def git_classes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "inventory").select("doc_id", paths.repo_root(p).alias("repo_root"), paths.head_ref(p).alias("head_ref"), paths.is_git_ref_class(p).alias("ref_class"), paths.is_git_object_class(p).alias("object_class"))
 
 
+@query("""SELECT doc_id, rel_path AS below, concat('x/', rel_path) AS elsewhere, CASE WHEN doc_id % 3 = 0 THEN substr(hash, 1, 40) WHEN doc_id % 3 = 1 THEN hash END AS sha, rel_path AS real, doc_id % 2 = 0 AS stub, doc_id % 5 = 0 AS routing, CASE WHEN doc_id % 4 <> 0 THEN hash END AS oid, concat('m', doc_id::VARCHAR) AS "cache",
+ concat('version 2', chr(10), 'oid sha256:', hash, chr(10), 'size ', size::VARCHAR, chr(10)) AS stub_text FROM tree""", "tree")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Roots cut off, ref files, placeholders and their names, object routing, digests, cache keys."""
+    k, p, h = F.col("doc_id"), F.col("rel_path"), F.col("hash")
+    ref = F.when(k % 3 == 0, F.concat(F.substr(h, F.lit(1), F.lit(40)), F.lit("\n"))).when(k % 3 == 1, F.concat(h, F.lit(" x"))).otherwise("ref: refs/heads/x")
+    name = F.when(k % 2 == 0, F.concat(p, F.lit(".tcf"))).otherwise(p)
+    kept = F.concat(F.lit("size 1\nbad\nversion 2\nsize "), F.col("size").cast("string"), F.lit("\noid sha256:"), h, F.lit("\n"))
+    routing = F.concat(p, F.when(k % 5 == 0, "/.git/objects/info/alternates").otherwise("/.git/objects/info/packs"))
+    return load(spark, d, "tree").select(
+        "doc_id", paths.relative(F.concat(F.lit("root/"), p), F.lit("root")).alias("below"), paths.relative(F.concat(F.lit("/x/"), p), F.lit("root")).alias("elsewhere"), paths.ref_sha(ref).alias("sha"), paths.real_name(name).alias("real"), paths.is_stub(name).alias("stub"),
+        paths.is_git_object_routing(routing).alias("routing"), paths.oid_hex(F.when(k % 4 == 0, h).otherwise(F.concat(F.lit("sha256:"), h))).alias("oid"), paths.cache_key(F.concat(F.lit("store/manifests/m"), k.cast("string"))).alias("cache"), paths.format_stub(paths.parse_stub(kept)).alias("stub_text"),
+    )
+
+
+@query("SELECT t.rel_path, r.manifest_key, r.state FROM tree t LEFT JOIN remote_side r ON r.rel_path = t.rel_path", "tree remote_side")
+def exact_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """S11"""
+    return namespace.lookup(load(spark, d, "remote_side").select("rel_path", "manifest_key", "state"), load(spark, d, "tree").select("rel_path"), "rel_path")
+
+
+@query("SELECT DISTINCT source AS root FROM tree ORDER BY root", "tree")
+def root_list(spark: SparkSession, d: str) -> DataFrame:
+    """Roots in byte order."""
+    return namespace.roots(load(spark, d, "tree").withColumnRenamed("rel_path", "path"))
+
+
+@query("SELECT rel_path, size FROM tree", "tree")
+def local_set(spark: SparkSession, d: str) -> DataFrame:
+    """The set of a clean tree; clashes fail the scan."""
+    return tables.local_set(load(spark, d, "tree").select("rel_path", "size"))
+
+
+#: What a walk keeps of the listing, by the policy for links.
+_WALK = """kept AS (SELECT * FROM tree_entries e WHERE doc_id % 10 NOT IN (4, 5, 6, 9) AND NOT (doc_id % 10 IN (2, 3) AND (doc_id - doc_id % 10) % 50 = 0)),
+found AS (SELECT rel_path, 'file' AS kind FROM kept WHERE kind = 'file' {links}),
+dirs AS (SELECT rel_path, 'empty_dir' AS kind FROM kept k WHERE kind = 'directory' AND NOT EXISTS (SELECT 1 FROM found f WHERE starts_with(f.rel_path, concat(k.rel_path, '/'))))
+SELECT rel_path, kind FROM found UNION ALL SELECT rel_path, kind FROM dirs"""
+
+
+@query("WITH " + _WALK.format(links="UNION ALL SELECT rel_path, 'symlink' FROM kept WHERE kind = 'symlink'"), "tree_entries")
+def tree_walk_preserving(spark: SparkSession, d: str) -> DataFrame:
+    return tables.walk(load(spark, d, "tree_entries").drop("doc_id"), links="preserve")
+
+
+@query("WITH " + _WALK.format(links=""), "tree_entries")
+def tree_walk_skipping(spark: SparkSession, d: str) -> DataFrame:
+    return tables.walk(load(spark, d, "tree_entries").drop("doc_id"), links="skip")
+
+
+@query("WITH " + _WALK.format(links="UNION ALL SELECT l.rel_path, 'file' FROM kept l JOIN kept f ON f.rel_path = l.target AND f.kind = 'file' WHERE l.kind = 'symlink'"), "tree_entries")
+def tree_walk_following(spark: SparkSession, d: str) -> DataFrame:
+    return tables.walk(load(spark, d, "tree_entries").drop("doc_id"), links="follow")
+
+
 @query("""SELECT doc_id, CASE WHEN mtime = 0 THEN 'unknown' WHEN s >= 86400 THEN concat((s // 86400)::VARCHAR, 'd') WHEN s >= 3600 THEN concat((s // 3600)::VARCHAR, 'h') WHEN s >= 60 THEN concat((s // 60)::VARCHAR, 'm') ELSE '<1m' END AS age,
  CASE WHEN size < 60 THEN concat(size::VARCHAR, 's') WHEN size < 3600 THEN concat((size // 60)::VARCHAR, 'm') WHEN size < 86400 THEN concat((size // 3600)::VARCHAR, 'h') ELSE concat((size // 86400)::VARCHAR, 'd') END AS duration,
  CASE WHEN length(rel_path) > 10 THEN concat(substr(rel_path, 1, 9), '…') ELSE rel_path END AS short, substr(hash, 1, 16) AS prefix, substr(hash, 1, 2) AS shard, concat(rel_path, '.tc') AS stub FROM (SELECT *, greatest(100000 - mtime * 97, 0) AS s FROM (SELECT doc_id, rel_path, size, hash, doc_id AS mtime FROM tree))""", "tree")
@@ -147,11 +232,9 @@ def redacted_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "pages").select("page_id", paths.redact_endpoint(secret).alias("endpoint"), F.col("url").alias("plain"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'not_relative' WHEN doc_id % 8 = 1 THEN 'dot_component' WHEN doc_id % 8 = 2 THEN 'trailing_dot_or_space' WHEN doc_id % 8 = 3 THEN 'forbidden_character' WHEN doc_id % 8 = 4 THEN 'device_name' WHEN doc_id % 8 = 5 THEN 'git_alias' WHEN doc_id % 8 = 6 THEN 'git_metadata_alias' END AS fault FROM tree""", "tree")
+@query(f"SELECT doc_id, {_SHAPE_FAULTS} AS fault FROM tree", "tree")
 def canonical_faults(spark: SparkSession, d: str) -> DataFrame:
-    p, k = F.col("rel_path"), F.col("doc_id") % 8
-    shaped = F.when(k == 0, F.concat(F.lit("/"), p)).when(k == 1, F.concat(F.lit("../"), p)).when(k == 2, F.concat(p, F.lit("."))).when(k == 3, F.concat(p, F.lit("?"))).when(k == 4, F.concat(p, F.lit("/nul.txt"))).when(k == 5, F.concat(p, F.lit("/.GIT/x"))).when(k == 6, F.concat(p, F.lit("/.git/Head"))).otherwise(p)
-    return load(spark, d, "tree").select("doc_id", paths.canonical_fault(shaped).alias("fault"))
+    return _shaped(spark, d).select("doc_id", paths.canonical_fault(F.col("rel_path")).alias("fault"))
 
 
 @query("SELECT doc_id, nfc_normalize(concat(rel_path, 'e', chr(769))) AS path FROM tree", "tree")
@@ -182,11 +265,11 @@ def path_attributes(spark: SparkSession, d: str) -> DataFrame:
     return namespace.get_attributes(wanted, load(spark, d, "remote_side").select(F.col("rel_path").alias("path"), "state"))
 
 
-@query("SELECT rel_path AS path, substr(text, 11, 20) AS part FROM tree WHERE rel_path LIKE 'src1/%'", "tree")
+@query("SELECT rel_path AS path, lower(hex(encode(text)[11:30])) AS part FROM tree WHERE rel_path LIKE 'src1/%'", "tree")
 def read_slices(spark: SparkSession, d: str) -> DataFrame:
     """M02 with S10: a slice of each file below a folder."""
     rows = namespace.children_of(load(spark, d, "tree").withColumnRenamed("rel_path", "path"), "src1")
-    return rows.select("path", namespace.read_slice(F.col("text"), F.lit(10), F.lit(20)).alias("part"))
+    return rows.select("path", F.lower(F.hex(namespace.read_slice(F.col("text"), F.lit(10), F.lit(20)))).alias("part"))
 
 
 @query("""SELECT doc_id, rel_path = 'src1' OR rel_path LIKE 'src1/%' OR rel_path LIKE 'src2/en/%' AS watched, CASE WHEN rel_path LIKE 'src1/%' THEN substring(rel_path, 6) END AS rest, remote_path LIKE 'store/%' AS "within" FROM tracked""", "tracked")

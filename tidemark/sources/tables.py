@@ -1,4 +1,4 @@
-"""Sources and sinks: S01-S13, S18, S20, K01-K10."""
+"""Sources and sinks: S01-S09, S12, S13, S20, K01-K05, K08-K10."""
 
 from __future__ import annotations
 
@@ -29,12 +29,69 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False, **rules) ->
     return rows.where(descended & ingress.path_reason(F.col("rel_path"), F.lit(False), **rules).isNull())
 
 
+def walk(entries: DataFrame, links: str = "skip", **rules) -> DataFrame:
+    """What a walk over a listing (rel_path, kind: file, directory or symlink, target) collects, in order:
+    (rel_path, kind) with kind file, symlink or empty_dir.
+
+    A denied entry goes with all below it, and so does a link whose target has a security component.  Links
+    are preserved as links, skipped, or followed: then one to a listed file counts as a file, the first link
+    by path where several lead to one file; one to a listed folder would walk that folder again, so it is
+    dropped as a cycle, and so is one to nothing.  A folder under which nothing was collected is an empty one."""
+    if links not in ("skip", "preserve", "follow"):
+        raise ValueError(links)
+    path, parent = F.col("rel_path"), F.regexp_extract("rel_path", r"^(.*)/[^/]*$", 1)
+    descended = (parent == "") | ingress.component_reason(parent, **rules).isNull()
+    kept = entries.where(descended & ingress.path_reason(path, F.col("kind") == "directory", **rules).isNull())
+    files = kept.where("kind = 'file'").select("rel_path", F.lit("file").alias("kind"))
+    seen = kept.where(F.col("kind") == "symlink").where(ingress.security_reason(F.coalesce("target", F.lit(""))).isNull())
+    if links == "preserve":
+        files = files.unionByName(seen.select("rel_path", F.lit("symlink").alias("kind")))
+    elif links == "follow":
+        first = seen.groupBy("target").agg(F.min("rel_path").alias("link"))
+        files = files.unionByName(first.join(files.select(F.col("rel_path").alias("target")), "target").select(F.col("link").alias("rel_path"), F.lit("file").alias("kind")))
+    full = files.select(F.explode(paths.ancestors(path)).alias("rel_path")).distinct()
+    empty = kept.where("kind = 'directory'").select("rel_path").join(full, "rel_path", "left_anti")
+    return files.unionByName(empty.select("rel_path", F.lit("empty_dir").alias("kind"))).orderBy("kind", "rel_path")
+
+
 def local_set(files: DataFrame) -> DataFrame:
-    """Keyed by NFC path; a path that two files share is an error when the plan runs."""
+    """Keyed by NFC path.  A path that two files share, two spellings of one case-folded path, and a file
+    that is another's ancestor (case-folded) are errors when the plan runs."""
     keyed = files.withColumn("rel_path", paths.normalise(F.col("rel_path")))
-    per = keyed.groupBy("rel_path").agg(F.count("*").alias("_n"), F.first(F.struct(*[c for c in keyed.columns if c != "rel_path"])).alias("_r"))
-    checked = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate path: "), F.col("rel_path")))).otherwise(F.col("rel_path"))
-    return per.select(checked.alias("rel_path"), "_r.*")
+    per = keyed.groupBy("rel_path").agg(F.count("*").alias("_n"), F.first(F.struct(*[c for c in keyed.columns if c != "rel_path"])).alias("_r")).withColumn("_fold", paths.casefold(F.col("rel_path")))
+    spelled = per.groupBy("_fold").agg(F.count("*").alias("_spellings"))
+    above = per.select(F.explode(paths.ancestors(F.col("_fold"))).alias("_fold")).distinct().withColumn("_above", F.lit(True))
+    checked = per.join(spelled, "_fold").join(above, "_fold", "left")
+    fails = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("rel_path")))
+    sound = F.when(F.col("_n") > 1, fails("duplicate path")).when(F.col("_spellings") > 1, fails("paths that differ in case")).when(F.col("_above"), fails("a file is an ancestor")).otherwise(F.col("rel_path"))
+    return checked.select(sound.alias("rel_path"), "_r.*")
+
+
+#: A tracked entry as the state file has it; fields that older writers lack get their default.
+STATE_ENTRY = "hash string, size bigint, mtime bigint, chunk_count bigint, remote_path string, last_synced bigint, vclock map<string,bigint>, device_id string, conflict string, status string"
+
+
+def scan_state(content: DataFrame, body: str = "content") -> DataFrame:
+    """All entries of state files (JSON text): path and its fields, last_seq and owner.
+
+    A file is an object with ``entries``, or the older plain object of entries; anything else fails the scan."""
+    wrapped = F.from_json(F.col(body), f"last_seq bigint, device_id string, entries map<string, struct<{STATE_ENTRY.replace(' ', ': ').replace(',: ', ', ')}>>")
+    plain = F.from_json(F.col(body), f"map<string, struct<{STATE_ENTRY.replace(' ', ': ').replace(',: ', ', ')}>>")
+    broken = F.raise_error(F.lit("unreadable state file"))
+    entries = F.when(F.get_json_object(body, "$.entries").isNotNull(), wrapped["entries"]).when(F.get_json_object(body, "$").isNull(), broken).otherwise(plain)
+    rows = content.select(F.coalesce(wrapped["last_seq"], F.lit(0)).alias("last_seq"), F.coalesce(wrapped["device_id"], F.lit("")).alias("owner"), F.explode(entries).alias("path", "e"))
+    return rows.select("path", "e.*", "last_seq", "owner").fillna({"device_id": "", "status": "not_synced"})
+
+
+def write_state(rows: DataFrame, out: str, version: int) -> None:
+    """Tracked entries (or policies) as one version of their own, which is never written again."""
+    rows.write.mode("error").parquet(f"{out}/version={version}")
+
+
+def read_state(spark: SparkSession, out: str, version: int) -> DataFrame:
+    """Exactly one written version: no other stands in for it, nothing is repaired or written, and a version
+    that is missing or cannot be read is an error."""
+    return spark.read.parquet(f"{out}/version={version}")
 
 
 def parse_manifest(content: Column) -> Column:
@@ -92,8 +149,15 @@ def trash_keys(objects: DataFrame, prefix: str) -> DataFrame:
     return objects.where(F.startswith("key", F.lit(f"{prefix}/trash/"))).select("key", F.when(stamp != "", path).alias("path"), F.when(stamp != "", stamp.cast("bigint")).alias("trashed_at"), F.when(stamp == "", "unreadable generation").alias("issue"))
 
 
-def write_index(entries: DataFrame, out: str, buckets: int = 16) -> None:
-    """The index as Parquet partitioned by a path hash, so that a lookup reads one."""
+#: Index rows that one bucket holds on average.
+ROWS_A_BUCKET = 1_000_000
+
+
+def write_index(entries: DataFrame, out: str, buckets: int | None = None) -> None:
+    """The index as Parquet partitioned by a path hash, so that a lookup reads one bucket.
+    Without ``buckets`` their number follows from the rows."""
+    if buckets is None:
+        buckets = max(1, -(-entries.count() // ROWS_A_BUCKET))
     entries.withColumn("bucket", F.pmod(F.xxhash64("rel_path"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
 
 

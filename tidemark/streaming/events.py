@@ -123,13 +123,17 @@ def negative_cache(lookups: DataFrame, ttl: int) -> DataFrame:
     return lookups.withColumn("cached_miss", F.coalesce(F.col("ts") - last_miss < ttl, F.lit(False)))
 
 
-def stream_table(spark: SparkSession, path: str, schema, latest_only: bool = False):
-    """A stream of the files that arrive in a folder.  A durable cursor is the sink's
-    checkpoint; ``latest_only`` skips what is already there."""
-    reader = spark.readStream.schema(schema)
-    if latest_only:
-        reader = reader.option("latestFirst", "true").option("maxFileAge", "1ms")
-    return reader.parquet(path)
+def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the files that arrive in a folder; the sink's checkpoint is the durable cursor."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def skip_backlog(spark: SparkSession, path: str, schema, checkpoint: str) -> DataFrame:
+    """A stream of what arrives from now on.  The cursor in ``checkpoint`` is moved past all that is there,
+    without reading it; a query that starts with this checkpoint goes on from that place."""
+    stream = stream_table(spark, path, schema)
+    run_available(stream, checkpoint, lambda batch, batch_id: None)
+    return stream
 
 
 def run_available(stream: DataFrame, checkpoint: str, per_batch: Callable[[DataFrame, int], None]) -> None:
@@ -137,6 +141,11 @@ def run_available(stream: DataFrame, checkpoint: str, per_batch: Callable[[DataF
     stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_every(stream: DataFrame, checkpoint: str, per_batch: Callable[[DataFrame, int], None], seconds: int):
+    """ST11: process what has arrived each ``seconds``; returns the running query, which the caller stops."""
+    return stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def idempotent_writer(out: str) -> Callable[[DataFrame, int], None]:
     """ST04: a batch overwrites its own folder only, so a redelivered batch leaves one copy."""
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
