@@ -162,6 +162,7 @@ def without_copies(labelled: DataFrame) -> DataFrame:
 
     A row goes if, among the rows of its label that share a leading min-hash with it, the one of least doc_id
     (null first) is another and agrees in ALIKE of all min-hashes.  Texts that only share a passage stay."""
+    tb.use_checkpoints(labelled.sparkSession)  # signatures are made once, and each step reads the one before
     names = [f"h{i}" for i in range(LEADING)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +170,12 @@ def without_copies(labelled: DataFrame) -> DataFrame:
             h = min_hashes(batch.column(2)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(h[:, i]) for i in range(LEADING)), pa.array(list(h), pa.list_(pa.int64()))], names=["doc_id", "y", *names, "sign"])
 
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id long, y int, {', '.join(f'{n} long' for n in names)}, sign array<long>")
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id long, y int, {', '.join(f'{n} long' for n in names)}, sign array<long>").checkpoint()
     for name in names:
         first = rows.groupBy("y", name).agg(F.min(F.struct("doc_id", "sign")).alias("first"))
         equal = F.size(F.filter(F.zip_with("sign", F.col("first.sign"), lambda a, b: a == b), lambda x: x))
         copy = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (equal >= ALIKE * MIN_HASHES)
-        rows = rows.join(first, ["y", name]).where(~copy).drop("first")
+        rows = rows.join(first, ["y", name]).where(~copy).drop("first").checkpoint()
     return rows.select("doc_id", "y").distinct()
 
 
