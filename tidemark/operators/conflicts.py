@@ -74,12 +74,13 @@ def ancestry(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     start = pairs.select("local", "remote").distinct().checkpoint()
     seen = start.select(F.col("local").alias("tip")).unionByName(start.select(F.col("remote").alias("tip"))).where("tip IS NOT NULL").distinct().select("tip", F.col("tip").alias("at")).checkpoint()
     hops = edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().checkpoint()
+    known = seen.count()
     while True:
-        step = seen.join(hops, seen["at"] == hops["child"]).select("tip", F.col("parent").alias("at")).distinct()
-        new = step.join(seen, ["tip", "at"], "left_anti").checkpoint()
-        if new.isEmpty():
+        step = seen.join(hops, seen["at"] == hops["child"]).select("tip", F.col("parent").alias("at"))
+        seen = seen.unionByName(step).distinct().checkpoint()
+        before, known = known, seen.count()
+        if known == before:
             break
-        seen = seen.unionByName(new)
         far = hops.select("child", F.col("parent").alias("_via")).join(hops.select(F.col("child").alias("_via"), "parent"), "_via")
         hops = far.select("child", "parent").distinct().checkpoint()
     tips = start.where("local <> remote")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
+from tidemark.operators import checkpoints
 
 #: Manifest bytes as JSON; fields that older writers lack are null and get their default.
 MANIFEST_SCHEMA = "version int, file_hash string, file_size bigint, chunks array<string>, vclock struct<clocks:map<string,bigint>>, written_by string, written_at bigint, rel_path string, mode bigint, mtime array<bigint>, kind string, symlink_target string"
@@ -41,7 +42,8 @@ def walk(entries: DataFrame, links: str = "skip", **rules) -> DataFrame:
         raise ValueError(links)
     path, parent = F.col("rel_path"), F.regexp_extract("rel_path", r"^(.*)/[^/]*$", 1)
     descended = (parent == "") | ingress.component_reason(parent, **rules).isNull()
-    kept = entries.where(descended & ingress.path_reason(path, F.col("kind") == "directory", **rules).isNull())
+    checkpoints.ensure(entries.sparkSession)  # the rules are applied once, whatever the policy reads
+    kept = entries.where(descended & ingress.path_reason(path, F.col("kind") == "directory", **rules).isNull()).checkpoint()
     files = kept.where("kind = 'file'").select("rel_path", F.lit("file").alias("kind"))
     seen = kept.where(F.col("kind") == "symlink").where(ingress.security_reason(F.coalesce("target", F.lit(""))).isNull())
     if links == "preserve":
