@@ -60,6 +60,14 @@ class CountTree:
         self.text, self.encoder = text, encoder
         self._build(*encoder.leaves(text))
 
+    @classmethod
+    def kept(cls, text: str, chars: list[int], tokens: list[int], encoder: Encoder) -> CountTree:
+        """The tree of leaves that were written before: nothing is matched or encoded."""
+        tree = cls.__new__(cls)
+        tree.text, tree.encoder = text, encoder
+        tree._build(chars, tokens)
+        return tree
+
     def _build(self, chars: list[int], tokens: list[int]) -> None:
         self.blocks = [(chars[i : i + FAN_OUT], tokens[i : i + FAN_OUT]) for i in range(0, len(chars), FAN_OUT)] or [([], [])]
         self.width = 1 << (len(self.blocks) - 1).bit_length()
@@ -100,6 +108,8 @@ class CountTree:
         Positions are clipped to the text.  The leaves equal those of a tree built from the edited text."""
         position = min(max(position, 0), len(self.text))
         removed = min(max(removed, 0), len(self.text) - position)
+        if not removed and not inserted:
+            return 0
         new = self.text[:position] + inserted + self.text[position + removed :]
         shift = len(inserted) - removed
         # restart where a match may have looked at the first changed character
@@ -198,6 +208,54 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
     return given.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, reencoded_chars long, text_after_sha256 string")
 
 
+#: Columns of a table of trees: leaves in order, from which the inner sums follow.
+TREES = "doc_id long, text string, chars array<int>, tokens array<int>"
+
+
+def _tree_batch(ids: pa.Array, trees: list[CountTree], *more: pa.Array) -> pa.RecordBatch:
+    leaves = [t.leaves() for t in trees]
+    columns = [ids, pa.array([t.text for t in trees], pa.string()), pa.array([c for c, _ in leaves], pa.list_(pa.int32())), pa.array([n for _, n in leaves], pa.list_(pa.int32())), *more]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "chars", "tokens", *["reencoded_chars"] * len(more)])
+
+
+def plant(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The tree of each document as a row (TREES), to be written and kept.  A null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks_path, pattern)
+        for batch in tb.slices(batches, "text", 2 << 20):
+            yield _tree_batch(batch.column(0), [CountTree(body or "", enc) for body in batch.column(1).to_pylist()])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, TREES)
+
+
+def tend(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Kept trees after a log of edits (doc_id, seq, position, removed, inserted), applied by seq (then by the other
+    columns): the columns of TREES and reencoded_chars, to be written as the next table of trees.
+
+    Only edited documents are touched, and of them only the regions around each edit; the others pass as they are.
+    Edits without a tree do nothing; rows that repeat a doc_id all get its edits."""
+    log = edits.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "position", "removed", "inserted"))).alias("log"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks_path, pattern)
+        for batch in tb.slices(batches, "text", 2 << 20):
+            grown, again = [], []
+            for body, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                tree = CountTree.kept(body or "", chars or [], tokens or [], enc)
+                again.append(sum(tree.edit(c["position"] or 0, c["removed"] or 0, c["inserted"] or "") for c in changes or []))
+                grown.append(tree)
+            yield _tree_batch(batch.column(0), grown, pa.array(again, pa.int64()))
+
+    given = trees.select("doc_id", "text", "chars", "tokens").join(log, "doc_id", "left").select("doc_id", "text", "chars", "tokens", "log")
+    return given.mapInArrow(run, TREES + ", reencoded_chars long")
+
+
+def tree_counts(trees: DataFrame) -> DataFrame:
+    """(doc_id, n_pretokens, n_tokens) of a table of trees, without its texts."""
+    return trees.select("doc_id", F.size("chars").cast("long").alias("n_pretokens"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, n: a + n).alias("n_tokens"))
+
+
 def sampled_edits(doc_id: str = "doc_id", text: str = "text", n: int = 3) -> Column:
     """An edit log for each document from its own content: at n hashed places, up to 40 characters go
     and a passage of up to 60 characters from another hashed place of the same text comes."""
