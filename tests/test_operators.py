@@ -396,3 +396,13 @@ def test_entry_without_what_the_operators_import(tmp_path):
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['zstandard'] = sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'reconcile_plan' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, check=True)
+
+
+def test_clear_deletes_what_was_written_on_the_way(spark):
+    from tidemark.operators import checkpoints
+
+    where = checkpoints.work_folder(spark, "test")
+    spark.range(3).write.parquet(where)
+    assert spark.read.parquet(where).count() == 3 and checkpoints.clear(spark) and not checkpoints.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(where)

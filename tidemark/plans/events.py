@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import clocks, ingress, paths
+from tidemark.operators.checkpoints import work_folder
 from tidemark.plans.catalog import query
 from tidemark.plans.fixtures import load
 from tidemark.sources import tables
@@ -26,12 +25,6 @@ def _fs(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), ts.alias("ts"), F.unix_micros(ts).alias("ts_micros"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint place (the warehouse where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
 @query(_PERIODS)
 def debounce(spark: SparkSession, d: str) -> DataFrame:
     return ev.debounce(_fs(spark, d).drop("ts"), GAP * 1_000_000)
