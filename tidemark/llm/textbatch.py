@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.operators import checkpoints
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
 
 #: Bytes of text that a task turns into arrays at once; only one longer document exceeds it.
@@ -47,21 +49,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent (local tests), the session's warehouse folder serves.
-    """
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Set the checkpoint folder only where the session has none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+shared_dir, use_checkpoints = checkpoints.work_folder, checkpoints.ensure
 
 
 def widened(schema: StructType, name: str, kind: str) -> StructType:
