@@ -81,3 +81,19 @@ def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_null_empty_and_long_rows_pass_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and long texts and repeated rows among documents: no stage fails, drops a
+    column or alters a row, and the last counts no token for a text that is null or empty."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, "some words of a text", None, None, None), (10**9, None, None, None, None), (10**9 + 1, "", "en", None, 0), (10**9 + 2, "word " * 50_000, None, "long", 9), (10**9 + 3, "twice the same row", "en", "s", 1), (10**9 + 3, "twice the same row", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(f"file://{tmp_path}/{name}")
+        made = spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert made.columns == docs.columns and set(rows(made)) <= set(rows(docs)) and made.count(), name
+        docs = made
+    counts = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    blank = {r.doc_id for r in docs.where("text IS NULL OR text = ''").collect()}
+    assert len(counts) == docs.count() and all((r.n_tokens == 0) == (r.doc_id in blank) for r in counts)
