@@ -398,6 +398,17 @@ def test_entry_without_what_the_operators_import(tmp_path):
     subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, check=True)
 
 
+def test_hex_and_snapshots_fail_on_bad_input(spark):
+    assert bytes(spark.range(1).select(cas.from_hex(F.lit("00fF"))).first()[0]) == b"\x00\xff"
+    for bad in ("0", "zz", "00 ", "00\n"):
+        with pytest.raises(Exception, match="not hex"):
+            spark.range(1).select(cas.from_hex(F.lit(bad))).collect()
+    for clash in (["a/x", "A/y"], ["a", "a/b"]):
+        entries = spark.createDataFrame([(f"s/index/{n}", "manifest_hash=m") for n in clash], "key string, content string")
+        with pytest.raises(Exception, match="names clash"):
+            tables.namespace_snapshot(entries, "s").collect()
+
+
 def test_clear_deletes_what_was_written_on_the_way(spark):
     from tidemark.operators import checkpoints
 

@@ -232,4 +232,4 @@ def canonical_fault(path: Column) -> Column:
 
 def is_key_component(value: Column) -> Column:
     """One safe component of a storage key."""
-    return value.rlike(r"^[^/\\\p{Cc}]+$") & ~value.isin(".", "..")
+    return value.rlike(r"^[^/\\\p{Cc}]+\z") & ~value.isin(".", "..")

@@ -30,6 +30,16 @@ def content_id(value: Column, domain: str = "") -> Column:
     return F.sha2(F.concat(F.lit(domain + "\0").cast("binary"), data) if domain else data, 256)
 
 
+def to_hex(value: Column) -> Column:
+    """Bytes as lowercase hex."""
+    return F.lower(F.hex(value))
+
+
+def from_hex(text: Column) -> Column:
+    """The bytes of a hex text; anything else is an error."""
+    return F.when(text.isNull() | text.rlike(r"^([0-9a-fA-F]{2})*\z"), F.unhex(text)).otherwise(F.raise_error(F.concat(F.lit("not hex: "), text)).cast("binary"))
+
+
 def fixed_chunks(files: DataFrame, size: int, key: str = "path", content: str = "content") -> DataFrame:
     """(key, pos, offset, length, chunk, hash): content in runs of ``size`` characters; none if empty.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import clocks, ingress, paths
+from tidemark.operators import cas
 from tidemark.operators.checkpoints import work_folder
 from tidemark.plans.catalog import query
 from tidemark.plans.fixtures import load
@@ -261,6 +262,39 @@ def empty_directories(spark: SparkSession, d: str) -> DataFrame:
     return tables.empty_dirs(_entries(spark, d), "store")
 
 
+@query("SELECT rel_path, 'file' AS kind FROM tree UNION ALL SELECT concat('empty/', doc_id::VARCHAR), 'empty_dir' FROM tree WHERE doc_id % 50 = 0", "tree")
+def namespace_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return tables.namespace_snapshot(_entries(spark, d), "store")
+
+
+@query("SELECT hash AS name, max(doc_id) AS last_modified FROM tree GROUP BY hash", "tree")
+def chunk_keys(spark: SparkSession, d: str) -> DataFrame:
+    """S12"""
+    objects = load(spark, d, "tree").groupBy(F.concat(F.lit("store/chunks/"), "hash").alias("key")).agg(F.max("doc_id").alias("last_modified"))
+    return tables.scan_keys(objects, "store", "chunks")
+
+
+@query("SELECT doc_id, doc_id % 6 IN (0, 1) AS safe FROM tree", "tree")
+def key_components(spark: SparkSession, d: str) -> DataFrame:
+    """V12 over safe names, paths, dots, control characters and nothing."""
+    k, h = F.col("doc_id") % 6, F.col("hash")
+    shaped = F.when(k == 0, h).when(k == 1, F.concat(h, F.lit(".."))).when(k == 2, F.concat(h, F.lit("/x"))).when(k == 3, "..").when(k == 4, F.concat(h, F.lit("\n"))).otherwise("")
+    return load(spark, d, "tree").select("doc_id", paths.is_key_component(shaped).alias("safe"))
+
+
+@query("SELECT doc_id, lower(hex(encode(text))) AS hex, length(text) AS n_chars FROM tree", "tree")
+def hex_codec(spark: SparkSession, d: str) -> DataFrame:
+    """To hex, and back to the text."""
+    coded = load(spark, d, "tree").select("doc_id", cas.to_hex(F.col("text").cast("binary")).alias("hex"))
+    return coded.select("doc_id", "hex", F.length(cas.from_hex(F.col("hex")).cast("string")).cast("long").alias("n_chars"))
+
+
+@query("SELECT t.rel_path, CASE WHEN r.rel_path IS NULL THEN 'committed' ELSE 'conflict' END AS outcome FROM tree t LEFT JOIN remote_side r ON r.rel_path = t.rel_path", "tree remote_side")
+def publish_fresh_plan(spark: SparkSession, d: str) -> DataFrame:
+    staged = load(spark, d, "tree").select("rel_path", F.col("hash").alias("manifest_key"), F.col("doc_id").alias("seq"))
+    return tables.publish_fresh(staged, load(spark, d, "remote_side").select("rel_path", F.col("doc_id").alias("seq"))).select("rel_path", "outcome")
+
+
 @query("SELECT hash AS name, min(doc_id) AS last_modified FROM tree GROUP BY hash", "tree")
 def manifest_keys(spark: SparkSession, d: str) -> DataFrame:
     objects = load(spark, d, "tree").groupBy(F.concat(F.lit("store/manifests/"), "hash").alias("key")).agg(F.min("doc_id").alias("last_modified"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
-from tidemark.operators import checkpoints
+from tidemark.operators import checkpoints, namespace
 
 #: Manifest bytes as JSON; fields that older writers lack are null and get their default.
 MANIFEST_SCHEMA = "version int, file_hash string, file_size bigint, chunks array<string>, vclock struct<clocks:map<string,bigint>>, written_by string, written_at bigint, rel_path string, mode bigint, mtime array<bigint>, kind string, symlink_target string"
@@ -136,6 +136,18 @@ def empty_dirs(entries: DataFrame, prefix: str, marker: str = ingress.DIRECTORY_
     return entries.where(F.startswith("key", F.lit(f"{prefix}/index/")) & F.endswith("key", F.lit(f"/{marker}"))).select(F.regexp_replace(rel, r"/[^/]*$", "").alias("folder")).distinct()
 
 
+def namespace_snapshot(entries: DataFrame, prefix: str) -> DataFrame:
+    """(rel_path, kind) of the live files and the kept empty folders below a prefix.  Two spellings of one
+    case-folded path, or a path that is both file and folder, fail the snapshot."""
+    files = scan_index(entries, prefix).where("state <> 'deleted'").select("rel_path", F.lit("file").alias("kind"))
+    rows = files.unionByName(empty_dirs(entries, prefix).select(F.col("folder").alias("rel_path"), F.lit("empty_dir").alias("kind")))
+    role = F.when((F.col("folder") == F.col("rel_path")) & (F.col("kind") == "file"), "file").otherwise("directory")
+    claims = namespace.with_ancestors(rows, "rel_path").select("rel_path", F.col("folder").alias("claim"), role.alias("role"), paths.casefold(F.col("folder")).alias("folded"))
+    bad = claims.join(namespace.claims_faults(claims).select("folded"), "folded").select("rel_path", F.lit(True).alias("_bad")).distinct()
+    failed = F.raise_error(F.concat(F.lit("names clash at "), F.col("rel_path")))
+    return rows.join(bad, "rel_path", "left").select(F.when(F.col("_bad"), failed).otherwise(F.col("rel_path")).alias("rel_path"), "kind")
+
+
 def scan_keys(objects: DataFrame, prefix: str, kind: str) -> DataFrame:
     """Names of stored manifests or chunks (key[, last_modified]); unsafe names fail the scan."""
     name = F.substr("key", F.lit(len(prefix) + len(kind) + 3))
@@ -172,6 +184,11 @@ def publish(staged: DataFrame, index: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", F.when(F.col("_seq").eqNullSafe(F.col("base_seq")), "committed").otherwise("conflict")).drop("_seq")
 
 
+def publish_fresh(staged: DataFrame, index: DataFrame) -> DataFrame:
+    """Publishing below a fresh prefix: no baseline is read, and an entry that is there all the same is a conflict."""
+    return publish(staged.withColumn("base_seq", F.lit(None).cast("bigint")), index)
+
+
 def write_chunks(chunks: DataFrame, out: str) -> None:
     """Each distinct chunk once, partitioned by the first two digits of its hash."""
     once = chunks.groupBy("hash").agg(F.first("chunk").alias("chunk"), F.max("length").alias("length"))
