@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, line_rules, media, mixing, quality, simhash, token_counts, token_files, topk, toxicity
+from tidemark.llm import byte_bpe, language, line_rules, media, mixing, phrases, quality, simhash, token_counts, token_files, topk, toxicity
 from tidemark.llm import textbatch as tb
 
 
@@ -74,6 +74,40 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=100, most_words=5, top=2000)
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, list_slice(w, i, i + k - 1) AS parts
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words) CROSS JOIN (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, k, phrase, any_value(parts) AS parts, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+inner_parts AS (
+  SELECT g.lang, array_to_string(list_slice(g.parts, i, i + j - 1), ' ') AS phrase, g.f
+  FROM f g, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS j) WHERE j < g.k AND i + j - 1 <= g.k),
+kept AS (
+  SELECT f.* FROM f LEFT JOIN (SELECT lang, phrase, max(f) AS most FROM inner_parts GROUP BY ALL) m USING (lang, phrase)
+  WHERE k >= 2 AND (most IS NULL OR 100 * most < 100 * f.f)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, n,
+    CAST((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM kept c CROSS JOIN (SELECT unnest(range(1, 5)) AS cut)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.parts, 1, cut), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.parts, cut + 1, c.k), ' ')
+  JOIN totals t ON t.lang = c.lang WHERE cut < c.k),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -91,11 +125,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup, op12_exact_topk, page_sequences]
+    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup, op11_phrase_collocations, op12_exact_topk, page_sequences]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the others none is expressible in SQL as a whole (trained models, tokenizers, iterations,
     XXH64, CRC-32): tests/llm compares them with brute force, round trips and held-out labels."""
-    return {"op12_exact_topk": EXACT_TOPK_SQL}
+    return {"op11_phrase_collocations": PHRASES_SQL, "op12_exact_topk": EXACT_TOPK_SQL}
