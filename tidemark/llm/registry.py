@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, line_rules, media, mixing, phrases, quality, simhash, token_counts, token_files, topk, toxicity
+from tidemark.llm import byte_bpe, conversations, language, line_rules, media, mixing, phrases, quality, simhash, token_counts, token_files, topk, toxicity
 from tidemark.llm import textbatch as tb
 
 
@@ -124,8 +124,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup, op11_phrase_collocations, op12_exact_topk, page_sequences]
+    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup, op11_phrase_collocations, op12_exact_topk, op13_conversation_repair, page_sequences]
     return {f.__name__: f for f in found}
 
 
