@@ -5,12 +5,13 @@ makes its stripes (the empty prefix, one a language, then phrases of one word, o
 packed into blocks: a prefix key, the keys of its next words, their counts.  Blocks meet by ranges of prefixes,
 where stripes of one prefix are merged elementwise: this gives the count of every extension.  A prefix whose total,
 known from the level before, is large is dealt out over several ranges by its next words, so no range holds more than
-its share.  Each block gets an answer back: a bit for each extension, whether it is frequent, and the totals of those.
+its share.  Each block gets an answer back: a bit for each extension, whether it is frequent, the numbers of those, and
+a bit for each of them that this slice is to report, so that every phrase is reported once, by the first slice that has it.
 Only phrases whose prefix and rest are frequent go to the next level, which loses none that is frequent itself.
 
-Keys are hashes, so an answer may keep a phrase too many, never one too few.  What is reported is counted again by
-the words themselves.  From these counts, again as stripes, come the sums for each language, the counts of both
-parts of each cut, and the largest extension to either side, which decides whether a phrase is subsumed.
+Words are known by 128 bits (two independent hashes, of the language and of the word); longer phrases exactly, by the
+numbers that ranges give to frequent prefixes and words.  From the counts, again as stripes, come the counts of both parts
+of each cut and the largest extension to either side, which decides whether a phrase is subsumed.
 """
 
 from __future__ import annotations
@@ -39,9 +40,10 @@ _BREAK[list(BREAKS)] = True
 _GAP[list(BREAKS + BLANKS)] = True
 _LOWER[0x41:0x5B] += 0x20
 
-_STATE = "slice long, seq binary, key binary, word binary, total binary, of array<int>, phrase array<string>, n array<long>, langs array<string>, lang_n array<long>"
+_STATE = "slice long, seq binary, grams binary, gid binary, spread binary, words binary, wid binary, of binary, langs array<string>, lang_n array<long>, phrase array<string>, phrase_of array<int>, f array<long>"
+_CARRIED = ("slice", "seq", "grams", "gid", "spread", "words", "wid", "of", "langs", "lang_n")
 _BLOCK = "slice long, r int, prefixes binary, widths binary, nexts binary, counts binary"
-_ANSWER = "slice long, r int, kept binary, totals binary"
+_ANSWER = "slice long, r int, kept binary, numbers binary, reported binary, told binary, totals binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,25 +54,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _joined(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a prefix followed by a word."""
-    return _mix(prefix + _mix(word) * np.uint64(0x9E3779B97F4A7C15))
+def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Whole numbers by planes of bytes, compressed: most upper bytes are zero."""
+    import zstandard
 
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, int(kind[-1])).T
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
 
-def _list(values: pa.Array) -> pa.Array:
-    """One row that holds all the values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
+def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    import zstandard
 
-def _row(number: int, seq, key, word, total, of, phrase: pa.Array, n, langs: list[str], lang_n) -> pa.RecordBatch:
-    raw = [pa.array([x.tobytes()], pa.binary()) for x in (seq.astype("<i4"), key.astype("<u8"), word.astype("<u8"), total.astype("<i8"))]
-    lists = [_list(pa.array(of, pa.int32())), _list(phrase.cast(pa.string())), _list(pa.array(n, pa.int64())), _list(pa.array(langs, pa.string())), _list(pa.array(lang_n, pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array([number]), *raw, *lists], names=[c.split()[0] for c in _STATE.split(", ")])
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(int(kind[-1]), -1).T
+    return np.ascontiguousarray(raw).view(kind)[:, 0].astype(np.int64) if raw.size else np.zeros(0, np.int64)
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    """Ascending numbers, packed by their differences."""
+    return _packed(np.diff(ascending, prepend=ascending.dtype.type(0)), "<i8")
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<i8"))
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def _hashes(words: list[bytes], seed: int) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _row(number: int, seq, grams, gid, spread, words: list[bytes], wid, of, langs: list[str], lang_n, phrase: list[str] = (), phrase_of=(), f=()) -> pa.RecordBatch:
+    import zstandard
+
+    said = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+    values = [number, _packed(seq), _packed(grams), _steps(gid), _packed(spread), said, _packed(wid, "<i8"), _packed(of), langs, lang_n, list(phrase), list(phrase_of), list(f)]
+    kinds = [pa.int64(), *[pa.binary()] * 7, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _STATE.split(", ")])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, lang) to slices: seq holds each word's type (a language and a word), -1 between pieces."""
-    import xxhash
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -95,13 +128,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = langs.indices.to_numpy(zero_copy_only=False)[doc].astype(np.int64)
         types, seen, n = np.unique(lang * len(words.values) + words.ids, return_inverse=True, return_counts=True)
         of, which = np.divmod(types, len(words.values))
+        common = np.argsort(-n, kind="stable")  # small numbers for the common ones
+        rank = np.empty(len(n), np.int64)
+        rank[common] = np.arange(len(n))
         seq = np.full(len(begin) + int(first.sum()), -1, np.int64)
-        seq[np.arange(len(begin)) + np.cumsum(first)] = seen
-        by_word = np.fromiter(map(xxhash.xxh64_intdigest, words.distinct()), np.uint64, len(words.values))
-        by_lang = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 1) for x in names), np.uint64, len(names))
-        phrase = words.values.take(pa.array(which)).cast(pa.large_string())
-        lang_n = np.bincount(lang, minlength=len(names))
-        yield _row(number, seq, by_lang[of], _joined(by_lang[of], by_word[which]), np.zeros(len(types)), of, phrase, n, names, lang_n)
+        seq[np.arange(len(begin)) + np.cumsum(first)] = rank[seen]
+        said = words.distinct()
+        none = np.zeros(0, np.int64)
+        yield _row(number, seq, none, none, none, [said[i] for i in which[common].tolist()], none, of[common], names, np.bincount(lang, minlength=len(names)).tolist())
         number += 1
 
 
@@ -109,23 +143,26 @@ class _Slice:
     """A slice at a level: seq holds the number of the frequent phrase that begins at a word, or -1."""
 
     def __init__(self, row: dict, level: int, ranges: int):
+        import zstandard
+
         self.row, self.number, self.level = row, row["slice"], level
-        self.seq = np.frombuffer(row["seq"], "<i4").astype(np.int64)
-        self.key, self.word = (np.frombuffer(row[c], "<u8") for c in ("key", "word"))
-        total = np.frombuffer(row["total"], "<i8")
-        if level == 1:  # the empty prefix of each language: its stripe is dealt over all ranges
-            self.left = self.right = np.arange(len(self.key))
-            self.n, prefix, word = row["n"], self.key, self.word
-            spread = np.full(len(prefix), ranges, np.uint64)
+        self.seq, self.of, self.wid = _unpacked(row["seq"]), _unpacked(row["of"]), _unpacked(row["wid"], "<i8")
+        self.words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n") if len(self.of) else []
+        if level == 1:  # the stripe of each language's empty prefix is dealt over all ranges
+            self.left = np.arange(len(self.words))
+            self.n = np.bincount(self.seq[self.seq >= 0], minlength=len(self.words))
+            self.prefix = _hashes([x.encode() for x in row["langs"]], 1).view(np.int64)[self.of]
+            self.next = _hashes(self.words, 2).view(np.int64)
+            spread = np.full(len(self.words), ranges, np.int64)
         else:
+            self.grams = _unpacked(row["grams"]).reshape(-1, level - 1)
             self.both = np.flatnonzero((self.seq[:-1] >= 0) & (self.seq[1:] >= 0))
-            pair, self.which, self.n = np.unique(self.seq[self.both] * len(self.key) + self.seq[self.both + 1], return_inverse=True, return_counts=True)
-            self.left, self.right = np.divmod(pair, max(len(self.key), 1))
-            prefix, word = self.key[self.left], self.word[self.right]
-            spread = np.maximum(-(-total[self.left] // STRIPE_ENTRIES), 1).astype(np.uint64)
-        self.prefix, self.next = prefix, (word >> np.uint64(32)).astype(np.uint32)
-        r = ((_mix(prefix) >> np.uint64(1)) + self.next.astype(np.uint64) % spread) % np.uint64(ranges)
-        self.order = np.lexsort((self.next, prefix, r))
+            pair, self.which, self.n = np.unique(self.seq[self.both] * len(self.grams) + self.seq[self.both + 1], return_inverse=True, return_counts=True)
+            self.left, self.right = np.divmod(pair, max(len(self.grams), 1))
+            self.prefix, self.next = _from_steps(row["gid"])[self.left], self.wid[self.grams[self.right, -1]]
+            spread = _unpacked(row["spread"])[self.left]
+        r = ((_mix(self.prefix) >> np.uint64(1)) + _mix(self.next) % spread.astype(np.uint64)) % np.uint64(ranges)
+        self.order = np.lexsort((self.next, self.prefix, r))
         self.range = r[self.order].astype(np.int64)
 
     def blocks(self) -> pa.RecordBatch:
@@ -137,7 +174,7 @@ class _Slice:
             own = prefix[begin:end]
             head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             widths = np.diff(head, append=end - begin)
-            rows.append((self.number, int(self.range[begin]), own[head].astype("<u8").tobytes(), widths.astype("<u4").tobytes(), following[begin:end].astype("<u4").tobytes(), n[begin:end].astype("<u4").tobytes()))
+            rows.append((self.number, int(self.range[begin]), _steps(own[head]), _packed(widths), _packed(following[begin:end], "<i8"), _packed(n[begin:end])))
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=names)
@@ -146,65 +183,71 @@ class _Slice:
         """The slice at the next level; None if no phrase of it is frequent."""
         answers = sorted(answers, key=lambda a: a["r"])
         size = dict(zip(*np.unique(self.range, return_counts=True), strict=True))
-        kept = np.concatenate([np.unpackbits(np.frombuffer(a["kept"], np.uint8), count=int(size[a["r"]])) for a in answers]).astype(bool)
-        total = np.concatenate([np.frombuffer(a["totals"], "<i8") for a in answers])
-        stay = self.order[kept]
+        kept, number, reported, total = [], [], [], []
+        for a in answers:
+            kept.append(_flags(a["kept"], int(size[a["r"]])))
+            number.append(_from_steps(a["numbers"]))
+            reported.append(_flags(a["reported"], len(number[-1])))
+            total.append(np.zeros(len(number[-1]), np.int64))
+            total[-1][_flags(a["told"], len(number[-1]))] = _unpacked(a["totals"], "<i8")
+        kept, number, reported, total = map(np.concatenate, (kept, number, reported, total))
+        stay, gid = self.order[kept], (self.range[kept] << 32) | number
         if not len(stay):
             return None
-        left, right = self.left[stay], self.right[stay]
+        left = self.left[stay]
         numbers = np.full(len(self.prefix), -1, np.int64)
         numbers[stay] = np.arange(len(stay))
+        if self.level == 1:
+            grams = left[:, None]
+            seq = np.where(self.seq >= 0, numbers[self.seq], -1)
+        else:
+            grams = np.column_stack([self.grams[left], self.grams[self.right[stay], -1]])
+            seq = np.full(len(self.seq), -1, np.int64)
+            seq[self.both] = numbers[self.which]
+        of = self.of[grams[reported, 0]]
+        phrase = [b" ".join([self.words[w] for w in g]).decode() for g in grams[reported].tolist()]
+        used, place = np.unique(grams, return_inverse=True)
+        seq = seq[(seq >= 0) | (np.concatenate(([-1], seq[:-1])) >= 0)]
+        none = np.zeros(0, np.int64)
         if last:
-            seq = np.zeros(0, np.int64)
+            carried = (none, none, none, none, [], none, none)
         else:
-            if self.level == 1:
-                seq = np.where(self.seq >= 0, numbers[self.seq], -1)
-            else:
-                seq = np.full(len(self.seq), -1, np.int64)
-                seq[self.both] = numbers[self.which]
-            seq = seq[(seq >= 0) | (np.concatenate(([-1], seq[:-1])) >= 0)]
-        phrase = self.row["phrase"].take(pa.array(left))
-        if self.level > 1:
-            rest = self.row["phrase"].take(pa.array(right))
-            ends = rest if self.level == 2 else pc.list_element(pc.split_pattern(rest, " ", max_splits=1, reverse=True), 1)
-            phrase = pc.binary_join_element_wise(phrase, ends, " ")
-        return _row(self.number, seq, _joined(self.prefix[stay], self.word[right]), self.word[right], total, self.row["of"][left], phrase, self.n[stay], self.row["langs"], self.row["lang_n"])
+            wid = gid[np.argsort(left)] if self.level == 1 else self.wid[used]
+            carried = (seq, place, gid, np.maximum(-(-total // STRIPE_ENTRIES), 1), [self.words[i] for i in used.tolist()], wid, self.of[used])
+        return _row(self.number, *carried, self.row["langs"], self.row["lang_n"], phrase, of.tolist(), total[reported].tolist())
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Each slice of a batch; its long lists as they lie in Arrow's memory."""
     for i in range(batch.num_rows):
-        row = {}
-        for name, column in zip(batch.schema.names, batch.columns, strict=True):
-            if name in ("phrase", "n", "of"):
-                row[name] = column.slice(i, 1).flatten()
-                if name != "phrase":
-                    row[name] = row[name].to_numpy(zero_copy_only=False)
-            else:
-                row[name] = column[i].as_py()
-        yield row
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
 def _merged(least: int):
     """Of a range, all blocks: stripes of one prefix are added elementwise; each block learns which extensions are frequent."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slice")  # so that the same slice reports a phrase whenever this runs again
         columns = {c: table.column(c).to_pylist() for c in ("slice", "r", "prefixes", "widths", "nexts", "counts")}
-        width = [np.frombuffer(x, "<u4") for x in columns["widths"]]
-        prefix = np.concatenate([np.repeat(np.frombuffer(p, "<u8"), w) for p, w in zip(columns["prefixes"], width, strict=True)])
-        following = np.concatenate([np.frombuffer(x, "<u4") for x in columns["nexts"]])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in columns["counts"]]).astype(np.int64)
+        width = [_unpacked(x) for x in columns["widths"]]
+        prefix = np.concatenate([np.repeat(_from_steps(p), w) for p, w in zip(columns["prefixes"], width, strict=True)])
+        following = np.concatenate([_unpacked(x, "<i8") for x in columns["nexts"]])
+        n = np.concatenate([_unpacked(x) for x in columns["counts"]])
         order = np.lexsort((following, prefix))
         new = np.ones(len(order), bool)
         new[1:] = (prefix[order][1:] != prefix[order][:-1]) | (following[order][1:] != following[order][:-1])
         sums = np.add.reduceat(n[order], np.flatnonzero(new))
-        total = np.empty(len(order), np.int64)
-        total[order] = sums[np.cumsum(new) - 1]
+        place, first = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+        place[order], first[order] = np.cumsum(new) - 1, new
+        total, number = sums[place], (np.cumsum(sums >= least) - 1)[place]
         ends = np.cumsum([int(w.sum()) for w in width]).tolist()
-        parts = [total[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)]
-        kept = [np.packbits(p >= least).tobytes() for p in parts]
-        totals = [p[p >= least].astype("<i8").tobytes() for p in parts]
-        return pa.table([pa.array(columns["slice"], pa.int64()), pa.array(columns["r"], pa.int32()), pa.array(kept, pa.binary()), pa.array(totals, pa.binary())], names=["slice", "r", "kept", "totals"])
+        out = []
+        for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+            kept = total[begin:end] >= least
+            own, reported = total[begin:end][kept], first[begin:end][kept]
+            told = reported | (own > STRIPE_ENTRIES)
+            out.append((_bits(kept), _steps(number[begin:end][kept]), _bits(reported), _bits(told), _packed(own[told], "<i8")))
+        made = [pa.array([x[i] for x in out], pa.binary()) for i in range(5)]
+        return pa.table([pa.array(columns["slice"], pa.int64()), pa.array(columns["r"], pa.int32()), *made], names=[c.split()[0] for c in _ANSWER.split(", ")])
 
     return run
 
@@ -226,9 +269,9 @@ def _extend(slices: DataFrame, level: int, ranges: int, least: int, last: bool)
                     yield made
             tb.give_back()
 
-    answers = slices.select("slice", "seq", "key", "word", "total", "n").mapInArrow(send, _BLOCK).groupBy("r").applyInArrow(_merged(least), _ANSWER)
-    back = answers.groupBy("slice").agg(F.collect_list(F.struct("r", "kept", "totals")).alias("answers"))  # a bit for each extension of a slice
-    return slices.join(back, "slice").mapInArrow(take, _STATE)
+    answers = slices.select(*_CARRIED).mapInArrow(send, _BLOCK).groupBy("r").applyInArrow(_merged(least), _ANSWER)
+    back = answers.groupBy("slice").agg(F.collect_list(F.struct("r", "kept", "numbers", "reported", "told", "totals")).alias("answers"))  # a bit for each extension of a slice
+    return slices.select(*_CARRIED).join(back, "slice").mapInArrow(take, _STATE)
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = 5, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -244,8 +287,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = 5, text:
         before = spark.read.schema(_STATE).parquet(f"{out}/{level - 1}")
         _extend(before, level, ranges, least, level == most_words).write.parquet(f"{out}/{level}")
     found = spark.read.schema(_STATE).parquet(*[f"{out}/{level}" for level in range(1, most_words + 1)])
-    each = found.select("langs", F.inline(F.arrays_zip("phrase", "n", "of"))).select(F.col("langs")[F.col("of")].alias("lang"), "phrase", "n")
-    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), of_lang
+    each = found.select("langs", F.inline(F.arrays_zip("phrase", "phrase_of", "f")))
+    return each.select(F.col("langs")[F.col("phrase_of")].alias("lang"), "phrase", "f"), of_lang
 
 
 def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, top: int = 2000, covered: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
