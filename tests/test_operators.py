@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import clocks, ingress, paths
-from tidemark.operators import cas, conflicts, lifecycle, namespace, reconcile
+from tidemark.operators import cas, conflicts, devices, lifecycle, namespace, reconcile, trees
 from tidemark.sources import tables
 from tidemark.streaming import events as ev
 
@@ -349,7 +349,7 @@ def test_eviction_forms_agree(spark):
 def test_ancestry_and_policies(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "a")], "child string, parent string")
     pairs = spark.createDataFrame([("c", "a"), ("a", "c"), ("c", "x"), ("c", "c"), ("zz", "a")], "local string, remote string")
-    got = {(r.local, r.remote): r.direction for r in conflicts.ancestry(edges, pairs).collect()}
+    got = {(r.local, r.remote): r.direction for r in trees.ancestry(edges, pairs).collect()}
     assert got == {("c", "a"): "local_ahead", ("a", "c"): "remote_ahead", ("c", "x"): "neither", ("c", "c"): "neither", ("zz", "a"): "neither"}
     files = spark.createDataFrame([("a/b/c",), ("ab/c",), ("a",)], "path string")
     policy = spark.createDataFrame([("a", "always", 5), ("a/b", "on_demand", None)], "folder string, sync_mode string, download_threshold bigint")
@@ -363,18 +363,38 @@ def test_ancestry_of_long_histories(spark):
     """A line of 300 commits with a merge of a side line, beyond any fixed number of generations."""
     edges = [(f"c{i}", f"c{i - 1}") for i in range(1, 300)] + [(f"s{i}", f"s{i - 1}") for i in range(1, 100)] + [("s0", "c50"), ("c250", "s99")]
     pairs = [("c299", "c0"), ("c0", "c299"), ("c299", "s0"), ("s99", "c51"), ("s99", "c50"), ("c249", "s5"), ("c65", "c0"), ("c64", "c0"), ("c7", "c7")]
-    got = {(r.local, r.remote): r.direction for r in conflicts.ancestry(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame(pairs, "local string, remote string")).collect()}
+    got = {(r.local, r.remote): r.direction for r in trees.ancestry(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame(pairs, "local string, remote string")).collect()}
     assert got == {p: d for p, d in zip(pairs, ["local_ahead", "remote_ahead", "local_ahead", "neither", "local_ahead", "neither", "local_ahead", "local_ahead", "neither"], strict=True)}
 
 
+REGISTRY = "device_id string, name string, public_key string, placeholder boolean, revoked boolean, sequence bigint, position bigint, description string"
+
+
 def test_registry_merge_rules(spark):
-    cols = "device_id string, name string, public_key string, placeholder boolean, revoked boolean, sequence bigint"
-    a = spark.createDataFrame([("1", "", "", True, False, 1), ("2", "n", "k2", False, True, 5), ("3", "n", "k3", False, False, 1)], cols)
-    b = spark.createDataFrame([("1", "x", "k1", False, False, 3), ("2", "m", "k2", False, False, 2), ("3", "n", "other", False, False, 1), ("4", "z", "k4", False, False, 1)], cols)
-    got = {r.device_id: r for r in namespace.merge_registry(a, b).collect()}
-    assert (got["1"].public_key, got["1"].name, got["1"].sequence) == ("k1", "x", 3)
-    assert got["2"].revoked and got["2"].sequence == 5 and not got["2"].changed
-    assert got["3"].key_clash and got["4"].added
+    """A placeholder takes the incoming row whole and then refuses a second key; ids fill; names and keys stay."""
+    a = spark.createDataFrame([("1", "laptop", "", True, True, 9, 0, "mine"), ("2", "n", "k2", False, True, 5, 1, None), ("", "desk", "k3", False, False, 1, 2, "")], REGISTRY)
+    b = spark.createDataFrame([("1", "laptop", "age1k", False, False, 2, 0, None), ("2", "other name", "k2", False, False, 7, 1, "filled"), ("9", "desk", "k3", False, False, 1, 2, "new"), ("9", "new name", "", True, True, 0, 3, None), ("5", "", "k5", False, False, None, 4, None), (None, None, "", True, False, 3, 5, None)], REGISTRY)
+    rows = {r.name: r for r in devices.merge_registry(a, b).collect()}
+    assert tuple(rows["laptop"])[:6] == ("1", "laptop", "age1k", False, False, 2) and rows["laptop"].description is None and rows["laptop"].changed
+    assert tuple(rows["n"])[:6] == ("2", "n", "k2", False, True, 7) and rows["n"].description == "filled"
+    assert tuple(rows["desk"])[:6] == ("9", "desk", "k3", False, True, 1) and rows["desk"].description == "new"
+    assert rows[""].added and rows[""].sequence == 3 and len(rows) == 4
+    second = spark.createDataFrame([("2", "laptop", "age1z", False, False, 1, 7, None)], REGISTRY)
+    clashing = b.unionByName(second)
+    assert {r.name: r.refused for r in devices.merge_registry(a, clashing, strict=False).collect() if r.refused} == {"laptop": 1}
+    with pytest.raises(Exception, match="two real keys differ for device laptop"):
+        devices.merge_registry(a, clashing).collect()
+    assert devices.merge_registry(a.limit(0), b.limit(0)).collect() == []
+    twice = devices.merge_registry(a, b).drop("added", "changed")
+    assert not any(r.changed or r.added for r in devices.merge_registry(twice, b.where("name <> ''")).collect())
+
+
+def test_purge_and_session_rules(spark):
+    rows = [("/tmpfoo/a", "p/x", False), ("/private/tmp/a", "p/x", False), ("/tmp/a", "p/x", False), ("/tmp/b", "p/x", True), ("a", "px/y", True)]
+    state = spark.createDataFrame([(*r, None) for r in rows], "path string, remote_path string, on_disk boolean, conflict string")
+    assert {r.path for r in lifecycle.stale(state, "p//").collect()} == {"/private/tmp/a", "/tmp/a", "a"}
+    sessions = spark.createDataFrame([(None, False), (500, False), (501, False), (499, False), (None, True)], "expires_at long, revoked boolean").withColumn("prefixes", F.array().cast("array<string>"))
+    assert sorted(str(r.expires_at) for r in lifecycle.live_sessions(sessions, 500).collect()) == ["500", "501", "None"]
 
 
 def test_entry_without_llm():
@@ -417,3 +437,52 @@ def test_clear_deletes_what_was_written_on_the_way(spark):
     assert spark.read.parquet(where).count() == 3 and checkpoints.clear(spark) and not checkpoints.clear(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(where)
+
+
+def test_ancestry_with_merges(spark):
+    """Random histories with merges against plain reachability, with and without generation numbers."""
+    import functools
+    import random
+
+    r = random.Random(7)
+    edges = [(f"c{i:03d}", f"c{p:03d}") for i in range(1, 50) for p in r.sample(range(max(0, i - 9), i), min(i, r.choice([0, 1, 1, 2, 3])))]
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+
+    @functools.cache
+    def above(v):
+        return frozenset().union(*({p} | above(p) for p in up.get(v, ())))
+
+    @functools.cache
+    def generation(v):
+        return 1 + max((generation(p) for p in up.get(v, ())), default=0)
+
+    pairs = list({(f"c{r.randrange(50):03d}", f"c{r.randrange(50):03d}") for _ in range(300)}) + [("zz", "c001"), (None, "c001"), ("c001", None)]
+    want = {(a, b): "local_ahead" if a != b and b in above(a) else "remote_ahead" if a != b and a in above(b) else "neither" for a, b in pairs}
+    asked = spark.createDataFrame(pairs, "local string, remote string")
+    plain = spark.createDataFrame(edges + edges[:3] + [(None, "c001"), ("c001", None), ("c002", "c002")], "child string, parent string")
+    numbered = spark.createDataFrame([(c, p, generation(c)) for c, p in edges], "child string, parent string, generation long")
+    for given in (plain, numbered):
+        assert {(x.local, x.remote): x.direction for x in trees.ancestry(given, asked).collect()} == want
+    with pytest.raises(ValueError, match="cycle"):
+        trees.ancestry(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string"), asked)
+
+
+def test_ancestry_of_a_long_chain(spark):
+    """20,000 commits, each against its parent: no closure, so rows stay as many as commits."""
+    n = 20_000
+    edges = spark.range(1, n).selectExpr("concat('c', id) child", "concat('c', id - 1) parent")
+    pairs = spark.range(1, n).selectExpr("concat('c', id) local", "concat('c', id - 1) remote")
+    assert {r.direction: r["count"] for r in trees.ancestry(edges, pairs).groupBy("direction").count().collect()} == {"local_ahead": n - 1}
+
+
+def test_interval_cells_cover_exactly(spark):
+    spans = [(0, 0), (0, 7), (3, 12), (5, 5), (1, 1023), (512, 1022)]
+    rows = spark.createDataFrame(spans, "low long, high long").select("low", "high", trees.cells_of(F.col("low"), F.col("high"), 10).alias("cells"))
+    for r in rows.collect():
+        covered = sorted(x for c in r.cells for x in range(c.block << c.level, (c.block + 1) << c.level))
+        assert covered == list(range(r.low, r.high + 1))
+        if r.high == 12:
+            held = {(c.level, c.block) for c in r.cells}
+            assert all(len(held & {(j, x >> j) for j in range(11)}) == (r.low <= x <= r.high) for x in range(20))

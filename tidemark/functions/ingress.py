@@ -113,11 +113,11 @@ def fixed_ingress_reason(path: Column) -> Column:
 
 
 #: Fixed values of the inventory's rules (F19), in the order of the rules' own list: components, or runs of components.
-DENIED_DIRS = """
-.cache .direnv .git .gnupg .ssh .tmp .venv .claude/worktrees .claude/backups .codex/cache .codex/log .codex/plugins/cache
-.codex/tmp .crush/logs .claude/plugins/cache cache backups log logs node_modules nix/secrets plugins/cache sops-nix target
-tmp worktrees
-""".split()
+DENIED_DIRS = [
+    ".cache", ".direnv", ".git", ".gnupg", ".ssh", ".tmp", ".venv", ".claude/worktrees", ".claude/backups", ".codex/cache",
+    ".codex/log", ".codex/plugins/cache", ".codex/tmp", ".crush/logs", ".claude/plugins/cache", "cache", "backups", "log",
+    "logs", "node_modules", "nix/secrets", "plugins/cache", "sops-nix", "target", "tmp", "worktrees",
+]
 GENERATED_DIRS = [".artifacts", ".svelte-kit", "build", "dist", "result"]
 CREDENTIAL_FILES = [".credentials.json", ".netrc", ".pgpass", "auth.json", "mcp-auth.json", "mcp-needs-auth-cache.json", "session-env"]
 DOTENV_FILES, DOTENV_PARTS = [".env", ".envrc"], ".env."

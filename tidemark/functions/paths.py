@@ -89,7 +89,7 @@ def is_git_ref_class(path: Column) -> Column:
     """Refs, packed-refs and HEAD, of a repository or of a submodule's directory."""
     low = F.lower(path)
     own = F.contains(low, F.lit(".git/refs/")) | F.endswith(low, F.lit(".git/packed-refs")) | F.endswith(low, F.lit(".git/head"))
-    return is_git_internal(path) & (own | low.rlike(r"\.git/modules/.*(/refs/|/packed-refs$|/head$)"))
+    return is_git_internal(path) & (own | low.rlike(r"\.git/modules(?=/).*(/refs/|/packed-refs$|/head$)"))
 
 
 def is_git_object_class(path: Column) -> Column:

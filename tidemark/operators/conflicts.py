@@ -1,4 +1,4 @@
-"""Conflict ledger, groups, listing, resolution and fast-forward ancestry: ST12, A02-A04, T02, C11, J18."""
+"""Conflict ledger, groups, listing and resolution: ST12, A02-A04, T02, C11."""
 
 from __future__ import annotations
 
@@ -59,32 +59,3 @@ def resolution(strategy: Column, is_git: Column, may_pull: Column, may_push: Col
         out = out.when(~is_git | (strategy != "keep_both"), says(False, "refused per file"))
         return out.when(~(may_pull & may_push), says(False, "needs pull and push")).otherwise(says(True, "park remote heads"))
     return out.when((strategy == "keep_remote") & ~may_pull, says(False, "needs pull")).when((strategy == "keep_local") & ~may_push, says(False, "needs push")).when((strategy == "keep_both") & ~(may_pull & may_push), says(False, "needs pull and push")).otherwise(says(True, "planned"))
-
-
-def ancestry(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(local, remote, direction) of commit pairs by reachability over parent edges (child, parent).
-
-    Ancestors of all tips at once, for histories of any length: round k adds those 2^k generations beyond
-    the known ones, by the edges doubled k times, and the last round is the first that adds none (all
-    ancestors below 2^k generations are known then, so none is further off).  Equal tips and tips
-    without a common line give ``neither``."""
-    from tidemark.operators import checkpoints
-
-    checkpoints.ensure(pairs.sparkSession)
-    start = pairs.select("local", "remote").distinct().checkpoint()
-    seen = start.select(F.col("local").alias("tip")).unionByName(start.select(F.col("remote").alias("tip"))).where("tip IS NOT NULL").distinct().select("tip", F.col("tip").alias("at")).checkpoint()
-    hops = edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().checkpoint()
-    known = seen.count()
-    while True:
-        step = seen.join(hops, seen["at"] == hops["child"]).select("tip", F.col("parent").alias("at"))
-        seen = seen.unionByName(step).distinct().checkpoint()
-        before, known = known, seen.count()
-        if known == before:
-            break
-        far = hops.select("child", F.col("parent").alias("_via")).join(hops.select(F.col("child").alias("_via"), "parent"), "_via")
-        hops = far.select("child", "parent").distinct().checkpoint()
-    tips = start.where("local <> remote")
-    ahead = tips.join(seen.select(F.col("tip").alias("local"), F.col("at").alias("remote")), ["local", "remote"]).withColumn("side", F.lit("local_ahead"))
-    behind = tips.join(seen.select(F.col("tip").alias("remote"), F.col("at").alias("local")), ["local", "remote"]).withColumn("side", F.lit("remote_ahead"))
-    met = ahead.unionByName(behind.select(*ahead.columns))
-    return start.join(met, ["local", "remote"], "left").select("local", "remote", F.coalesce("side", F.lit("neither")).alias("direction"))

@@ -108,10 +108,11 @@ def directory_unsync(plan: DataFrame, folder: str) -> DataFrame:
 
 
 def stale(state: DataFrame, prefix: str) -> DataFrame:
-    """rows that a purge drops: no conflict, and a remote path outside the prefix or a vanished
-    temporary path."""
-    outside = ~F.startswith("remote_path", F.lit(f"{prefix}/"))
-    return state.where(F.col("conflict").isNull() & (outside | (F.startswith("path", F.lit("/tmp")) & ~F.col("on_disk"))))
+    """rows that a purge drops: no conflict, and a remote path outside the prefix (its last slashes do not count) or a
+    vanished path below /tmp or /private/tmp."""
+    outside = ~F.startswith("remote_path", F.lit(f"{prefix.rstrip('/')}/"))
+    temporary = F.startswith("path", F.lit("/tmp/")) | F.startswith("path", F.lit("/private/tmp/"))
+    return state.where(F.col("conflict").isNull() & (outside | (temporary & ~F.col("on_disk"))))
 
 
 def conflicts(state: DataFrame) -> DataFrame:
@@ -138,12 +139,25 @@ def rotation_report(scan: DataFrame) -> DataFrame:
     return scan.agg(*[n(x).alias(x) for x in ("rotated", "already_rotated", "skipped_keyless", "skipped_per_device", "error")], F.max("path").alias("last_path")).withColumn("status", F.when(F.col("error") > 0, "incomplete").otherwise("ready_to_swap"))
 
 
+def safe_prefix(prefix: Column) -> Column:
+    """a permission prefix without outer slashes; null if it is empty, has an empty, ``.`` or ``..`` component, a
+    backslash or a control character."""
+    clean = F.regexp_replace(prefix, "^/+|/+$", "")
+    unsafe = (clean == "") | clean.rlike(r"[\\\p{Cc}]") | F.exists(F.split(clean, "/", -1), lambda c: c.isin("", ".", ".."))
+    return F.when(~unsafe, clean)
+
+
 def live_sessions(sessions: DataFrame, now: int, prefix: str | None = None) -> DataFrame:
-    """Sessions (expires_at, revoked, prefixes) that hold, and may use a prefix."""
-    held = sessions.where((F.col("expires_at") > now) & ~F.col("revoked"))
+    """Sessions (expires_at, revoked, prefixes) that hold, and may use a prefix.
+
+    One without an expiry never ends, and one that expires now still holds.  No prefix in the list allows all; an unsafe
+    prefix, wanted or listed, allows nothing."""
+    held = sessions.where((F.col("expires_at").isNull() | (F.col("expires_at") >= now)) & ~F.col("revoked"))
     if prefix is None:
         return held
-    return held.where((F.size("prefixes") == 0) | F.exists("prefixes", lambda p: (F.lit(prefix) == p) | F.startswith(F.lit(prefix), F.concat(p, F.lit("/")))))
+    wanted = safe_prefix(F.lit(prefix))
+    allowed = F.exists("prefixes", lambda p: F.coalesce((wanted == safe_prefix(p)) | F.startswith(wanted, F.concat(safe_prefix(p), F.lit("/"))), F.lit(False)))
+    return held.where((F.size("prefixes") == 0) | allowed)
 
 
 def keep_both(group: DataFrame) -> DataFrame:

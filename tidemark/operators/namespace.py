@@ -1,4 +1,4 @@
-"""Policies, listings and namespace checks: J08-J11, J13-J16, F08-F10, F16, V02-V04, V07, V08, S10, S11, M01, M02."""
+"""Policies, listings and namespace checks: J08-J11, J13-J15, F08-F10, F16, V02-V04, V07, V08, S10, S11, M01, M02."""
 
 from __future__ import annotations
 
@@ -143,23 +143,6 @@ def rebind_events(events: DataFrame, index: DataFrame) -> DataFrame:
     return events.join(i, "rel_path", "left").withColumn("now", now).drop("state")
 
 
-def merge_registry(local: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Device rows (device_id, name, public_key, placeholder, revoked, sequence) of two registries.
-
-    Rows meet by device_id.  Two different real keys are an error; a real key replaces a placeholder;
-    empty fields are filled; revoked is sticky; the sequence is the larger."""
-    a = local.select("device_id", F.struct(*[c for c in local.columns if c != "device_id"]).alias("a"))
-    b = incoming.select("device_id", F.struct(*[c for c in incoming.columns if c != "device_id"]).alias("b"))
-    both = a.join(b, "device_id", "full_outer")
-    filled = lambda c: F.coalesce(F.when(F.col(f"a.{c}") != "", F.col(f"a.{c}")), F.col(f"b.{c}"), F.col(f"a.{c}"))
-    real = lambda s: F.coalesce(~F.col(f"{s}.placeholder"), F.lit(False)) & (F.coalesce(F.col(f"{s}.public_key"), F.lit("")) != "")
-    clash = real("a") & real("b") & (F.col("a.public_key") != F.col("b.public_key"))
-    key = F.when(real("a"), F.col("a.public_key")).when(real("b"), F.col("b.public_key")).otherwise(filled("public_key"))
-    out = both.select("device_id", filled("name").alias("name"), key.alias("public_key"), (F.coalesce("a.revoked", F.lit(False)) | F.coalesce("b.revoked", F.lit(False))).alias("revoked"), F.greatest("a.sequence", "b.sequence").alias("sequence"), clash.alias("key_clash"), F.col("a").isNull().alias("added"), F.col("a").alias("_a"))
-    changed = F.col("added") | ~F.col("name").eqNullSafe(F.col("_a.name")) | ~F.col("public_key").eqNullSafe(F.col("_a.public_key")) | (F.col("revoked") != F.coalesce("_a.revoked", F.lit(False))) | ~F.col("sequence").eqNullSafe(F.col("_a.sequence"))
-    return out.withColumn("changed", changed & ~F.col("key_clash")).drop("_a")
-
-
 def get_attributes(wanted: DataFrame, index: DataFrame, path: str = "path") -> DataFrame:
     """(path, kind): file for a live row, directory for an ancestor of one, else not_found."""
     live = index.where("state <> 'deleted'").select(F.col(path))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import clocks, ingress
-from tidemark.operators import conflicts, lifecycle, metrics, reconcile
+from tidemark.operators import conflicts, lifecycle, metrics, reconcile, trees
 from tidemark.plans.catalog import query
 from tidemark.plans.core import SIDES, _plan_sql, plan
 from tidemark.plans.fixtures import load
@@ -106,9 +106,9 @@ def directory_unsync(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.directory_unsync(_targets(spark, d), "src1").select("path", "outcome")
 
 
-@query("SELECT path, remote_path FROM tracked WHERE conflict IS NULL AND (remote_path NOT LIKE 'store/%' OR (path LIKE '/tmp%' AND NOT on_disk))", "tracked")
+@query("SELECT path, remote_path FROM tracked WHERE conflict IS NULL AND (remote_path NOT LIKE 'store/%' OR ((path LIKE '/tmp/%' OR path LIKE '/private/tmp/%') AND NOT on_disk))", "tracked")
 def stale_purge(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.stale(load(spark, d, "tracked"), "store").select("path", "remote_path")
+    return lifecycle.stale(load(spark, d, "tracked"), "store//").select("path", "remote_path")
 
 
 @query("SELECT w.rel_path AS path, coalesce(c.size, 0) AS bytes_freed, c.size IS NOT NULL AS was_cached FROM tracked w LEFT JOIN (SELECT rel_path, size FROM tree WHERE doc_id % 4 = 1) c ON c.rel_path = w.rel_path", "tracked tree")
@@ -124,11 +124,14 @@ def rotation_report(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.rotation_report(lifecycle.rotation_scan(rows, "old", "new", after="src1"))
 
 
-@query("SELECT device_id, name FROM devices WHERE sequence * 100 > 500 AND NOT revoked AND (sequence % 2 = 0 OR sequence % 7 = 1)", "devices")
+@query("SELECT name, sequence FROM devices WHERE (sequence % 9 = 4 OR sequence * 100 >= 500) AND NOT revoked AND sequence % 7 < 4", "devices")
 def session_access(spark: SparkSession, d: str) -> DataFrame:
+    """Some sessions never expire, one does at this very second; lists that allow, and unsafe or other prefixes that do not."""
     s = F.col("sequence")
-    sessions = load(spark, d, "devices").withColumn("expires_at", s * 100).withColumn("prefixes", F.when(s % 2 == 0, F.array().cast("array<string>")).when(s % 7 == 1, F.array(F.lit("store/a"))).otherwise(F.array(F.lit("store/ab"))))
-    return lifecycle.live_sessions(sessions, 500, "store/a/x").select("device_id", "name")
+    lists = [[], ["store/a"], ["/store/a/x/"], ["//", "store"], ["store/ab"], ["store//a", "store/./a", "store/../store/a"], ["store\\a", "store/a\t", ""]]
+    prefixes = F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in lists)), (s % 7 + 1).cast("int"))
+    sessions = load(spark, d, "devices").withColumn("expires_at", F.when(s % 9 != 4, s * 100)).withColumn("prefixes", prefixes)
+    return lifecycle.live_sessions(sessions, 500, "/store/a/x").select("name", "sequence")
 
 
 @query("""WITH g AS (SELECT doc_id, concat('r', (doc_id % 5)::VARCHAR) AS repo, CASE doc_id % 4 WHEN 0 THEN concat('.git/refs/heads/b', doc_id::VARCHAR) WHEN 1 THEN '.git/index' WHEN 2 THEN concat('.git/logs/', doc_id::VARCHAR) ELSE CASE WHEN doc_id % 5 = 3 THEN '.git/packed-refs' ELSE concat('.git/refs/heads/c', doc_id::VARCHAR) END END AS tail, hash FROM tree),
@@ -256,7 +259,7 @@ def commit_ancestry(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     other = F.when(k % 3 == 0, F.floor(k / 4)).when(k % 3 == 1, k * 2).otherwise(k + 1)
     name = lambda x: F.concat(F.lit("n"), x.cast("long").cast("string"))
-    return conflicts.ancestry(load(spark, d, "commits"), read_table(spark, d, "orders").select(name(k).alias("local"), name(other).alias("remote")))
+    return trees.ancestry(load(spark, d, "commits"), read_table(spark, d, "orders").select(name(k).alias("local"), name(other).alias("remote")))
 
 
 _STRATEGY = "CASE event_id % 5 WHEN 0 THEN 'keep_local' WHEN 1 THEN 'keep_remote' WHEN 2 THEN 'keep_both' WHEN 3 THEN 'defer' ELSE 'merge' END"

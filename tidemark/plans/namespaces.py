@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
-from tidemark.operators import namespace, reconcile
+from tidemark.operators import devices, namespace, reconcile
 from tidemark.plans.catalog import query
 from tidemark.plans.core import SIDES, _plan_sql, plan
 from tidemark.plans.fixtures import POLICIES, load, policies
@@ -156,6 +156,14 @@ def git_classes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "inventory").select("doc_id", paths.repo_root(p).alias("repo_root"), paths.head_ref(p).alias("head_ref"), paths.is_git_ref_class(p).alias("ref_class"), paths.is_git_object_class(p).alias("object_class"))
 
 
+@query("SELECT doc_id, doc_id % 8 < 6 AS ref_class FROM tree", "tree")
+def git_module_classes(spark: SparkSession, d: str) -> DataFrame:
+    """P05 below .git/modules: refs of a submodule, of one without a name, and what only looks like them."""
+    tails = ["m/refs/heads/x", "m/HEAD", "HEAD", "refs/x", "packed-refs", "a/b/packed-refs", "m/objects/aa", "m/headless"]
+    tail = F.element_at(F.array(*map(F.lit, tails)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return load(spark, d, "tree").select("doc_id", paths.is_git_ref_class(F.concat(F.lit("r/.git/modules/"), tail)).alias("ref_class"))
+
+
 @query("""SELECT doc_id, rel_path AS below, concat('x/', rel_path) AS elsewhere, CASE WHEN doc_id % 3 = 0 THEN substr(hash, 1, 40) WHEN doc_id % 3 = 1 THEN hash END AS sha, rel_path AS real, doc_id % 2 = 0 AS stub, doc_id % 5 = 0 AS routing, CASE WHEN doc_id % 4 <> 0 THEN hash END AS oid, concat('m', doc_id::VARCHAR) AS "cache",
  concat('version 2', chr(10), 'oid sha256:', hash, chr(10), 'size ', size::VARCHAR, chr(10)) AS stub_text FROM tree""", "tree")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -278,10 +286,18 @@ def prefix_filters(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "tracked").select("doc_id", namespace.within_roots(p, ["src1", "src2/en"]).alias("watched"), namespace.remainder(p, "src1").alias("rest"), namespace.key_within(F.col("remote_path"), "store").alias("within"))
 
 
-@query("""SELECT coalesce(a.device_id, b.device_id) AS device_id, coalesce(nullif(a.name, ''), b.name, a.name) AS name, CASE WHEN a.public_key <> '' THEN a.public_key WHEN b.public_key <> '' THEN b.public_key ELSE a.public_key END AS public_key, coalesce(a.revoked, false) OR coalesce(b.revoked, false) AS revoked, greatest(a.sequence, b.sequence) AS sequence,
- coalesce(a.public_key <> '' AND b.public_key <> '' AND a.public_key <> b.public_key, false) AS key_clash, a.device_id IS NULL AS added FROM devices a FULL OUTER JOIN incoming_devices b ON a.device_id = b.device_id""", "devices incoming_devices")
+@query("""WITH met AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS held, b.k IS NOT NULL AS come, struct_pack(id := a.device_id, name := a.name, key := a.public_key, revoked := a.revoked, seq := a.sequence) AS a,
+ struct_pack(id := b.device_id, name := b.name, key := b.public_key, revoked := b.revoked, seq := b.sequence) AS b FROM devices a FULL JOIN incoming_devices b ON a.k = b.k),
+first AS (SELECT k, NOT held AS added, held AND come AND a.key <> '' AND b.key <> '' AND a.key <> b.key AS clash, CASE WHEN NOT come THEN a WHEN NOT held THEN b WHEN a.key <> '' AND b.key <> '' AND a.key <> b.key THEN a WHEN b.key <> '' AND a.key = '' THEN b
+ ELSE struct_pack(id := CASE WHEN a.id = '' THEN b.id ELSE a.id END, name := a.name, key := a.key, revoked := a.revoked OR b.revoked, seq := greatest(a.seq, b.seq)) END AS x FROM met),
+again AS (SELECT f.*, c.k IS NOT NULL AND x.name = c.name AS meets, struct_pack(id := c.device_id, name := c.name, key := c.public_key, revoked := c.revoked, seq := c.sequence) AS c FROM first f LEFT JOIN incoming_again c ON c.k = f.k),
+rows_of AS (SELECT CASE WHEN meets AND x.key = '' THEN c ELSE x END AS x, added, clash::BIGINT + (meets AND x.key <> '')::BIGINT AS refused FROM again
+ UNION ALL SELECT struct_pack(id := c.device_id, name := c.name, key := c.public_key, revoked := c.revoked, seq := c.sequence), true, 0 FROM incoming_again c WHERE c.k NOT IN (SELECT k FROM again WHERE meets))
+SELECT x.id AS device_id, x.name AS name, x.key AS public_key, x.revoked AS revoked, x.seq AS sequence, added, refused FROM rows_of""", "devices incoming_devices incoming_again")
 def registry_merge(spark: SparkSession, d: str) -> DataFrame:
-    return namespace.merge_registry(load(spark, d, "devices").drop("capable"), load(spark, d, "incoming_devices")).drop("changed")
+    """Rows that meet by id alone, by name alone, placeholders that are replaced (and then refuse a second key), ids that are filled."""
+    incoming = load(spark, d, "incoming_devices").unionByName(load(spark, d, "incoming_again"))
+    return devices.merge_registry(load(spark, d, "devices").drop("k", "capable"), incoming.drop("k"), strict=False).select("device_id", "name", "public_key", "revoked", "sequence", "added", "refused")
 
 
 @query("""SELECT seq, e.rel_path, CASE WHEN i.state IS NULL THEN 'missing' WHEN i.state = 'deleted' THEN 'deleted' ELSE 'live' END AS "now" FROM log_events e LEFT JOIN (SELECT rel_path, max(CASE WHEN seq % 3 = 0 THEN 'deleted' ELSE 'committed' END) AS state FROM log_events WHERE rel_path IS NOT NULL AND seq % 5 = 0 GROUP BY rel_path) i ON i.rel_path = e.rel_path""", "log_events")

@@ -31,8 +31,9 @@ def encode(events: DataFrame) -> DataFrame:
 
 
 def accepted(events: DataFrame, own_device: str) -> DataFrame:
-    """without own events, and without mutations of paths that no configuration lets in."""
-    denied = F.col("type").isin(MUTATIONS) & ingress.fixed_ingress_reason(F.coalesce("rel_path", F.lit(""))).isNotNull()
+    """without own events, and without changes of paths that no configuration lets in (renames name two
+    paths and are checked when they are applied)."""
+    denied = F.col("type").isin([t for t in MUTATIONS if t != "file_renamed"]) & ingress.fixed_ingress_reason(F.coalesce("rel_path", F.lit(""))).isNotNull()
     return events.where((F.col("device_id") != own_device) & ~denied)
 
 
@@ -62,8 +63,8 @@ def pull_decision(conflict_mode: str = "auto") -> Column:
 
 
 def watch_ignored(path: Column, ignored: list[str] = (".git", "target", "node_modules")) -> Column:
-    """placeholders, and paths with an ignored component."""
-    return F.endswith(path, F.lit(".tc")) | F.arrays_overlap(paths.components(path), F.array(*map(F.lit, ignored)))
+    """placeholders (a bare ``.tc`` has no extension), and paths with an ignored component."""
+    return F.rlike(path, F.lit(r"[^/]\.tc$")) | F.arrays_overlap(paths.components(path), F.array(*map(F.lit, ignored)))
 
 
 def debounce(events: DataFrame, gap_micros: int) -> DataFrame:
