@@ -486,3 +486,43 @@ def test_interval_cells_cover_exactly(spark):
         if r.high == 12:
             held = {(c.level, c.block) for c in r.cells}
             assert all(len(held & {(j, x >> j) for j in range(11)}) == (r.low <= x <= r.high) for x in range(20))
+
+
+def odd_paths(n=400):
+    import random
+
+    r = random.Random(11)
+    names = ["a", "b", "ab", "a.b", "A", "a\x01", "é", "日", ".", "a b", "-"]
+    return sorted({"/".join(r.choice(names) for _ in range(r.randint(1, 6))) for _ in range(n)})
+
+
+def test_folder_questions_by_order(spark):
+    """Over many parts, with names that sort around the separator: below, claims and nearest marks against plain prefixes."""
+    from tidemark.operators import folders
+
+    paths_ = odd_paths()
+    live = set(paths_[::3])
+    rows = spark.createDataFrame([(p, p in live) for p in paths_], "path string, live boolean").repartition(7)
+    below = {r.path: r.has_below for r in folders.with_below(rows, F.col("live")).collect()}
+    assert below == {p: any(q.startswith(f"{p}/") for q in live) for p in paths_}
+    claims = [(r.claim, r.folded) for r in folders.folder_claims(rows, F.lower("path")).collect()]
+    want = {"/".join(p.split("/")[:i]) for p in paths_ for i in range(1, p.count("/") + 1)}
+    assert sorted(claims) == sorted((c, c.lower()) for c in want)
+    marks = {p: i for i, p in enumerate(paths_[::9])}
+    given = spark.createDataFrame([(p, i) for p, i in marks.items()] + [(None, -1)], "folder string, n int")
+    found = {r.path: r.mark.n for r in folders.nearest_above(rows, given).collect()}
+    nearest = {p: next((marks[a] for a in ["/".join(p.split("/")[:i]) for i in range(p.count("/") + 1, 0, -1)] if a in marks), None) for p in paths_}
+    assert found == {p: n for p, n in nearest.items() if n is not None}
+    assert folders.nearest_above(rows.limit(0), given).collect() == [] and folders.nearest_above(rows, given.limit(0)).collect() == []
+
+
+def test_folder_plans_multiply_no_path(spark):
+    """Beyond the broadcast bound no plan explodes ancestors; attributes of null, repeated and root paths are defined."""
+    rows = spark.createDataFrame([("a/b/c", "live"), ("a/x", "deleted"), ("d", "live"), ("d/e", "live")], "path string, state string")
+    wanted = spark.createDataFrame([("a",), ("a/b",), ("a/b/c",), ("a/x",), ("",), (None,), ("d",), ("d",), ("zz",)], "path string")
+    got = sorted((str(r.path), r.kind) for r in namespace.get_attributes(wanted, rows).collect())
+    assert got == sorted([("a", "directory"), ("a/b", "directory"), ("a/b/c", "file"), ("a/x", "not_found"), ("", "directory"), ("None", "not_found"), ("d", "file"), ("d", "file"), ("zz", "not_found")])
+    policy = spark.createDataFrame([("a", "always", 5)], "folder string, sync_mode string, download_threshold bigint")
+    for df in (namespace.get_attributes(wanted, rows), namespace.ancestor_collisions(rows), namespace.nearest_policy(rows, policy, broadcast_rows=10**9), lifecycle.removable_directories(rows, wanted)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Python" not in plan and "Arrow" not in plan

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import clocks, paths
 from tidemark.operators import checkpoints
+from tidemark.operators import folders as tree
 
 
 def pressured_age(max_age: int, used: int, total: int, threshold: float) -> int:
@@ -190,7 +191,9 @@ def rename(index: DataFrame, moves: DataFrame, seq: Column, path: str = "path")
 
 def removable_directories(index: DataFrame, folders: DataFrame, path: str = "path") -> DataFrame:
     """Folders (path) without a live row below them."""
-    used = index.where("state <> 'deleted'").select(F.explode(paths.ancestors(F.col(path))).alias(path)).distinct()
+    live = index.where("state <> 'deleted'").select(path, F.lit(True).alias("live"))
+    both = live.unionByName(folders.select(path, F.lit(False).alias("live"))).groupBy(path).agg(F.bool_or("live").alias("live"))
+    used = tree.with_below(both, F.col("live"), path).where("has_below").select(path)
     return folders.join(used, path, "left_anti")
 
 

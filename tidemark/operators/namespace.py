@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
+from tidemark.operators import folders
 
 #: Policies up to which they are broadcast; beyond that the ancestor join shuffles.
 BROADCAST_POLICIES = 100_000
@@ -20,12 +21,16 @@ def with_ancestors(rows: DataFrame, path: str = "path") -> DataFrame:
 def nearest_policy(files: DataFrame, policies: DataFrame, path: str = "path", broadcast_rows: int | None = None) -> DataFrame:
     """Files with the policy (folder, sync_mode, download_threshold) of the path or its nearest ancestor.
 
-    The longest-prefix join is an equi-join on exploded ancestors; the deepest match wins.  Policies
-    are broadcast when their counted rows (``broadcast_rows``) are few; a counted limit beyond it shuffles."""
+    Few policies, by their counted rows (``broadcast_rows``), are broadcast to the ancestors of each path, and the deepest
+    match wins.  More of them are laid between the paths in the order of the tree (``folders.nearest_above``)."""
     small = broadcast_rows if broadcast_rows is not None else policies.count()
-    side = policies.select("folder", F.struct("sync_mode", "download_threshold", F.col("folder").alias("policy_folder")).alias("policy"))
-    hits = with_ancestors(files.select(path), path).join(F.broadcast(side) if small <= BROADCAST_POLICIES else side, "folder")
-    best = hits.groupBy(path).agg(F.max_by("policy", "depth").alias("policy"))
+    if small <= BROADCAST_POLICIES:
+        side = policies.select("folder", F.struct("sync_mode", "download_threshold", F.col("folder").alias("policy_folder")).alias("policy"))
+        best = with_ancestors(files.select(path), path).join(F.broadcast(side), "folder").groupBy(path).agg(F.max_by("policy", "depth").alias("policy"))
+    else:
+        marks = policies.select("folder", "sync_mode", "download_threshold", F.col("folder").alias("policy_folder"))
+        mark = F.struct("mark.sync_mode", "mark.download_threshold", "mark.policy_folder").alias("policy")
+        best = folders.nearest_above(files, marks, path).select(path, mark)
     return files.join(best, path, "left").select(*files.columns, "policy.*")
 
 
@@ -108,21 +113,15 @@ def by_basename(names: DataFrame, files: DataFrame, path: str = "path") -> DataF
 
 def ancestor_collisions(files: DataFrame, path: str = "path") -> DataFrame:
     """Files that are also a folder of another file."""
-    folders = files.select(F.explode(paths.ancestors(F.col(path))).alias(path)).distinct()
-    return files.select(path).join(folders, path, "left_semi")
+    hit = folders.with_below(files.select(path).distinct(), F.lit(True), path).where("has_below").select(path)
+    return files.select(path).join(hit, path, "left_semi")
 
 
 def namespace_faults(files: DataFrame, folded: Column, path: str = "path") -> DataFrame:
     """(folded, spellings, roles) of claims that clash: one claim for the leaf and one for
     each folder; a folded path must have one spelling and one role."""
     leaf = files.select(F.col(path).alias("claim"), F.lit("file").alias("role"), folded.alias("folded"))
-    return claims_faults(leaf.unionByName(folder_claims(files, folded, path)))
-
-
-def folder_claims(files: DataFrame, folded: Column, path: str = "path") -> DataFrame:
-    """Claims of all ancestors, with folded spellings cut from the folded path."""
-    both = F.arrays_zip(paths.ancestors(F.col(path)).alias("claim"), paths.ancestors(folded).alias("folded"))
-    return files.select(F.explode(both).alias("c")).select("c.claim", F.lit("directory").alias("role"), "c.folded").distinct()
+    return claims_faults(leaf.unionByName(folders.folder_claims(files, folded, path)))
 
 
 def claims_faults(claims: DataFrame) -> DataFrame:
@@ -145,10 +144,11 @@ def rebind_events(events: DataFrame, index: DataFrame) -> DataFrame:
 
 def get_attributes(wanted: DataFrame, index: DataFrame, path: str = "path") -> DataFrame:
     """(path, kind): file for a live row, directory for an ancestor of one, else not_found."""
-    live = index.where("state <> 'deleted'").select(F.col(path))
-    kinds = live.select(F.col(path), F.lit(2).alias("k")).unionByName(live.select(F.explode(paths.ancestors(F.col(path))).alias(path), F.lit(1).alias("k"))).groupBy(path).agg(F.max("k").alias("k"))
-    joined = wanted.join(kinds, path, "left")
-    return joined.select(path, F.when(F.col(path) == "", "directory").when(F.col("k") == 2, "file").when(F.col("k") == 1, "directory").otherwise("not_found").alias("kind"))
+    live = index.where("state <> 'deleted'").select(path, F.lit(True).alias("live"))
+    both = live.unionByName(wanted.select(path, F.lit(False).alias("live"))).groupBy(path).agg(F.bool_or("live").alias("live"))
+    kinds = folders.with_below(both, F.col("live"), path)
+    joined = wanted.select(path).join(kinds, path, "left")
+    return joined.select(path, F.when(F.col(path) == "", "directory").when(F.col("live"), "file").when(F.col("has_below"), "directory").otherwise("not_found").alias("kind"))
 
 
 def read_slice(content: Column, offset: Column, size: Column) -> Column:
