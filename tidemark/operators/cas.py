@@ -218,6 +218,66 @@ def integrity(assembled: DataFrame, expected: DataFrame, key: str = "path") -> D
     return assembled.join(expected, key, "left").select(key, ((F.length("content") == F.col("file_size")) & (F.col("missing") == 0)).alias("size_ok"), (content_id(F.col("content")) == F.col("file_hash")).alias("hash_ok"))
 
 
+def hydrate(manifest_rows: DataFrame, store: DataFrame, key: str = "path") -> DataFrame:
+    """(key, n_bytes, sha256, fault, at) of files read chunk by chunk, none held whole.
+
+    manifest_rows: (key, chunks, file_size, file_hash), store: (hash, chunk), one row a hash.  Chunks come sorted and are
+    checked as they come: one that is absent (``missing``) or is not what its hash says (``chunk``), or that takes
+    the file beyond its declared size (``overrun``), ends the file at that chunk; n_bytes and sha256 cover what came before
+    it.  At the end the whole size and hash count (``size``, ``hash``; at is null); a null file_hash leaves both out, as
+    for manifests that declare none.  A file without chunks is empty.  Rows that repeat a key are one file."""
+    each = manifest_rows.select(F.col(key).cast("string").alias("k"), F.posexplode("chunks").alias("pos", "hash")).join(store.select("hash", F.col("chunk").cast("binary").alias("chunk")), "hash", "left")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    body = each.select("k", "pos", "hash", "chunk", none("file_size", "long"), none("file_hash", "string"))
+    head = manifest_rows.select(F.col(key).cast("string").alias("k"), F.lit(-1).alias("pos"), none("hash", "string"), none("chunk", "binary"), F.col("file_size").cast("long").alias("file_size"), "file_hash")
+    kinds = pa.schema([("k", pa.string()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("fault", pa.string()), ("at", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def done(f: dict) -> dict:
+            found = f["digest"].hexdigest()
+            if f["fault"] is None and f["file_hash"] is not None:
+                f["fault"] = "size" if f["n_bytes"] != f["file_size"] else "hash" if found != f["file_hash"] else None
+            return {"k": f["k"], "n_bytes": f["n_bytes"], "sha256": found, "fault": f["fault"], "at": f["at"]}
+
+        for batch in batches:
+            out = []
+            k, pos, hashes, chunks, sizes, wanted = batch.columns
+            for i in range(batch.num_rows):
+                name = k[i].as_py()
+                if held is None or name != held["k"]:
+                    if held is not None:
+                        out.append(done(held))
+                    held = {"k": name, "n_bytes": 0, "digest": hashlib.sha256(), "fault": None, "at": None, "file_size": None, "file_hash": None, "last": -1}
+                at = pos[i].as_py()
+                if at < 0:
+                    held["file_size"], held["file_hash"] = sizes[i].as_py(), wanted[i].as_py()
+                    continue
+                if held["fault"] is not None or at == held["last"]:
+                    continue
+                held["last"] = at
+                chunk = chunks[i].as_buffer() if chunks[i].is_valid else None
+                if chunk is None:
+                    fault = "missing"
+                elif hashlib.sha256(chunk).hexdigest() != hashes[i].as_py():
+                    fault = "chunk"
+                elif held["file_hash"] is not None and held["file_size"] is not None and held["n_bytes"] + chunk.size > held["file_size"]:
+                    fault = "overrun"
+                else:
+                    held["digest"].update(chunk)
+                    held["n_bytes"] += chunk.size
+                    continue
+                held["fault"], held["at"] = fault, at
+            if out:
+                yield pa.RecordBatch.from_pylist(out, kinds)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([done(held)], kinds)
+
+    sorted_rows = head.unionByName(body).repartition("k").sortWithinPartitions("k", "pos").select("k", "pos", "hash", "chunk", "file_size", "file_hash")
+    return sorted_rows.mapInArrow(run, "k string, n_bytes long, sha256 string, fault string, at long").withColumnRenamed("k", key)
+
+
 def reachable(*sources: DataFrame) -> DataFrame:
     """Distinct hashes of sources that have ``chunks`` (arrays) or ``hash``."""
     found = [s.select(F.explode("chunks").alias("hash")) if "chunks" in s.columns else s.select("hash") for s in sources]
@@ -322,6 +382,25 @@ def frame_offsets(frames: DataFrame, key: str = "path") -> DataFrame:
     return frames.withColumn("begin", F.coalesce(F.sum("uncompressed").over(before), F.lit(0))).withColumn("stored_at", F.coalesce(F.sum("compressed").over(before), F.lit(0)))
 
 
+def requested_frames(frames: DataFrame, requests: DataFrame, key: str = "path") -> DataFrame:
+    """J17 for many requests: each (key, start, end, ...) with the frames (key, pos, begin, uncompressed) that it touches.
+
+    Offsets are cut into cells as wide as the largest frame, so a frame lies in two of them at most; a request takes the cells up to
+    its file's end.  Equal cells meet, the overlap is tested after, and a pair counts in its first common cell.  Empty requests
+    and frames meet nothing; a negative start counts from 0, a null end means the file's end."""
+    f = frames.where("uncompressed > 0").select(key, "pos", "begin", (F.col("begin") + F.col("uncompressed")).alias("until"))
+    widest = frames.agg(F.max("uncompressed")).first()[0] or 1
+    cell = 1 << max(0, int(widest) - 1).bit_length()
+    ends = f.groupBy(key).agg(F.max("until").alias("_size"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell)))
+    r = requests.join(ends, key).withColumns({"_from": F.greatest("start", F.lit(0)), "_to": F.least(F.coalesce("end", "_size"), F.col("_size"))}).where("_from < _to")
+    wanted = r.withColumn("_cell", cells("_from", "_to"))
+    held = f.withColumn("_cell", cells("begin", "until"))
+    first = F.floor(F.greatest("_from", "begin") / cell)
+    met = wanted.join(held, [key, "_cell"]).where((F.col("begin") < F.col("_to")) & (F.col("until") > F.col("_from")) & (F.col("_cell") == first))
+    return met.select(*requests.columns, "pos", "begin")
+
+
 def overlapping_frames(frames: DataFrame, start: Column, end: Column, key: str = "path") -> DataFrame:
     """Frames that hold bytes of [start, end)."""
     return frame_offsets(frames, key).where((F.col("begin") < end) & (F.col("begin") + F.col("uncompressed") > start))

@@ -184,6 +184,32 @@ def reassemble_check(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(cas.integrity(built, expected), "path")
 
 
+@query(f"""WITH {CHUNKS}, declared AS (SELECT rel_path AS path, octet_length(encode(text)) AS bytes, octet_length(encode(text)) + CASE WHEN doc_id % 5 = 2 THEN -1 WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END AS file_size, doc_id % 11 = 4 AS other_hash FROM tree),
+run AS (SELECT path, pos, hash, octet_length(encode(chunk)) AS n, sum(octet_length(encode(chunk))) OVER (PARTITION BY path ORDER BY pos) AS upto FROM chunks),
+faults AS (SELECT path, pos, upto - n AS before, CASE WHEN hash LIKE '1%' THEN 'missing' WHEN hash LIKE '0%' THEN 'chunk' WHEN upto > file_size THEN 'overrun' END AS fault FROM run JOIN declared USING (path)),
+first AS (SELECT path, min(pos) AS "at", arg_min(fault, pos) AS fault, arg_min(before, pos) AS before FROM faults WHERE fault IS NOT NULL GROUP BY path)
+SELECT d.path, coalesce(before, bytes)::BIGINT AS n_bytes, coalesce(fault, CASE WHEN bytes <> file_size THEN 'size' WHEN other_hash THEN 'hash' END) AS fault, "at" FROM declared d LEFT JOIN first USING (path)""", "tree")
+def hydrate_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Files over a store with absent and altered chunks, of which some declare a wrong size or hash."""
+    chunks, k = chunk_rows(spark, d), F.col("doc_id")
+    declared = load(spark, d, "tree").select(F.col("rel_path").alias("path"), (F.octet_length("text") + F.when(k % 5 == 2, -1).when(k % 5 == 3, 1).otherwise(0)).alias("file_size"), F.when(k % 11 == 4, "x").otherwise(F.col("hash")).alias("file_hash"))
+    manifests = declared.join(cas.manifests(chunks).select("path", "chunks"), "path", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<string>")))
+    store = chunks.groupBy("hash").agg(F.first("chunk").alias("chunk")).where("hash NOT LIKE '1%'").withColumn("chunk", F.when(F.col("hash").startswith("0"), F.concat("chunk", F.lit("x"))).otherwise(F.col("chunk")))
+    return cas.hydrate(manifests, store).select("path", "n_bytes", "fault", "at")
+
+
+@query(f"""WITH {CHUNKS}, frames AS (SELECT path, pos, length, sum(length) OVER (PARTITION BY path ORDER BY pos) - length AS "begin" FROM chunks),
+asked AS (SELECT rel_path AS path, doc_id, doc_id % 900 AS start, doc_id % 900 + CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 600 WHEN 2 THEN 5000 ELSE 1 END AS stop FROM tree)
+SELECT doc_id, pos, "begin"::BIGINT AS "begin" FROM asked a JOIN frames f ON f.path = a.path AND f."begin" < a.stop AND f."begin" + f.length > a.start WHERE a.start < a.stop""", "tree")
+def requested_frames(spark: SparkSession, d: str) -> DataFrame:
+    """A request for a range of every file, of which some are empty and some pass the file's end."""
+    k = F.col("doc_id")
+    frames = cas.frame_offsets(chunk_rows(spark, d).select("path", "pos", F.col("length").alias("uncompressed"), F.col("length").alias("compressed")))
+    size = F.when(k % 4 == 0, 0).when(k % 4 == 1, 600).when(k % 4 == 2, 5000).otherwise(1)
+    asked = load(spark, d, "tree").select(F.col("rel_path").alias("path"), "doc_id", (k % 900).alias("start"), (k % 900 + size).alias("end"))
+    return cas.requested_frames(frames, asked).select("doc_id", F.col("pos").cast("long").alias("pos"), "begin")
+
+
 _STORE = f"{CHUNKS}, objects AS (SELECT hash, max(CASE WHEN doc_id % 17 = 0 THEN NULL ELSE doc_id * 600 END) AS last_modified FROM chunks GROUP BY hash), used AS (SELECT DISTINCT hash FROM chunks WHERE doc_id % 9 <> 0)"
 
 
