@@ -526,3 +526,94 @@ def test_folder_plans_multiply_no_path(spark):
     for df in (namespace.get_attributes(wanted, rows), namespace.ancestor_collisions(rows), namespace.nearest_policy(rows, policy, broadcast_rows=10**9), lifecycle.removable_directories(rows, wanted)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_hot_keys_are_scanned_by_segments(spark, monkeypatch):
+    """One path with nearly all events and frames; segments of a few rows give what one scan gives."""
+    import random
+
+    from tidemark.operators import scans
+
+    monkeypatch.setattr(scans, "SEGMENT_ROWS", 16)
+    r = random.Random(2)
+    rows, t = [], 0
+    for i in range(900):
+        t += r.choice([0, 0, 1, 30, 99, 100, 101, 2500])
+        rows.append(("hot", t, i, r.choice("abc")))
+    rows += [("cold", 5, 1000, "a"), (None, 5, 1001, "a"), ("hot", None, 1002, "z"), ("neg", -70, 1, "a"), ("neg", 29, 2, "b"), ("neg", 130, 3, "c")]
+    want, last = [], {}
+    for path, ts, seq, kind in sorted((x for x in rows if x[0] and x[1] is not None), key=lambda x: x[1:3]):
+        if path in last and ts - last[path][2] < 100:
+            last[path][2:] = [ts, last[path][3] + 1, kind]
+        else:
+            last[path] = [path, ts, ts, 1, kind]
+            want.append(last[path])
+    events = spark.createDataFrame(rows, "path string, ts_micros long, seq long, kind string")
+    assert scans.segment_width(events, "ts_micros", 16) > 0
+    numbered = scans.numbered_periods(events.where("path IS NOT NULL AND ts_micros IS NOT NULL"), "path", "ts_micros", ["ts_micros", "seq"], 100, 150)
+    found = numbered.groupBy("path", "period").agg(F.min("ts_micros"), F.max("ts_micros"), F.count("*"), F.max_by("kind", F.struct("ts_micros", "seq"))).drop("period")
+    assert sorted(map(list, found.collect())) == sorted(map(list, ev.debounce(events, 100).collect())) == sorted(want)
+    frames = spark.createDataFrame([("f", i, i % 5, 1) for i in range(300)] + [(None, 3, 7, 2), (None, 40, 1, 2), ("g", 0, 9, 9)], "path string, pos int, uncompressed long, compressed long")
+    sums = {(x.path, x.pos): (x.a, x.b) for x in scans.prefix_sums(frames, "path", "pos", {"a": "uncompressed", "b": "compressed"}, 16).collect()}
+    assert sums == {("f", i): (sum(j % 5 for j in range(i)), i) for i in range(300)} | {(None, 3): (0, 0), (None, 40): (7, 2), ("g", 0): (0, 0)}
+
+
+def test_admission_follows_the_order(spark, tmp_path):
+    """A refused path claims nothing, so the one that contradicts only it is admitted."""
+    out = f"file://{tmp_path}/claims"
+    namespace.write_claims(spark.createDataFrame([("Docs/a.txt",), ("b",)], "path string"), out)
+    asked = [("docs/new", 1, "spelling_collision"), ("Docs/new", 2, "admitted"), ("b/c", 3, "role_collision"), ("B", 4, "spelling_collision"), ("x/y", 5, "admitted"), ("X", 6, "spelling_collision"), ("x", 7, "role_collision"), ("Docs/a.txt", 8, "admitted"), ("P", 9, "admitted"), ("p/q", 10, "spelling_collision"), ("p/Q/r", 11, "spelling_collision"), ("Docs/NEW/z", 12, "spelling_collision"), ("docs2/Q", 13, "admitted"), ("docs2/q", 14, "spelling_collision"), ("docs2/Q", 15, "admitted")]
+    batch = spark.createDataFrame([x[:2] for x in asked] + [(None, 99)], "path string, seq long")
+    held = spark.read.parquet(out)
+    assert sorted((r.path, r.seq, r.outcome) for r in namespace.admit(held, batch).collect()) == sorted(asked)
+    chain = spark.createDataFrame([("C/a", 1), ("c/b", 2), ("c/b/x", 3), ("D", 4)], "path string, seq long")
+    assert {r.seq: r.outcome for r in namespace.admit(held, chain).collect()} == {1: "admitted", 2: "spelling_collision", 3: "spelling_collision", 4: "admitted"}
+    assert namespace.admit(held, batch.limit(0)).collect() == []
+
+
+def test_upsert_touches_only_its_buckets(spark, tmp_path):
+    """Other buckets keep their files, a stale base fails, and a repeated upsert changes nothing."""
+    out, where = f"file://{tmp_path}/index", tmp_path / "index"
+    rows = spark.range(200).selectExpr("concat('p', id) rel_path", "id value", "1L seq")
+    tables.create_index(rows, out, buckets=8)
+    files = lambda: {d.name: sorted(f.name for f in d.glob("*.parquet")) for d in where.glob("bucket=*")}
+    before = files()
+    change = spark.createDataFrame([("p7", 70, 2), ("new", 1, 2)], "rel_path string, value long, seq long")
+    assert tables.upsert_index(out, change, 0) == 1
+    after = files()
+    touched = {r.bucket for r in spark.read.parquet(out).where("rel_path IN ('p7', 'new')").select("bucket").collect()}
+    assert {b for b in before if before[b] != after.get(b)} == {f"bucket={b}" for b in touched} and len(touched) < len(before)
+    with pytest.raises(RuntimeError, match="stale base"):
+        tables.upsert_index(out, change, 0)
+    assert tables.upsert_index(out, change, 1) == 2 and tables.index_version(spark, out) == (2, 8)
+    got = {r.rel_path: r.value for r in spark.read.parquet(out).collect()}
+    assert got == {f"p{i}": i for i in range(200)} | {"p7": 70, "new": 1} and spark.read.parquet(out).count() == 201
+
+
+def test_hydrate_names_the_first_fault(spark):
+    import hashlib
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    store = [(sha(b"ab"), b"ab"), (sha(b"cd"), b"cX"), (sha(b"ef"), b"ef")]
+    ab, cd, ef, no = sha(b"ab"), sha(b"cd"), sha(b"ef"), sha(b"no")
+    files = [("ok", [ab, ef, ab], 6, sha(b"abefab"), (6, None, None)), ("empty", [], 0, sha(b""), (0, None, None)), ("short", [], 3, sha(b""), (0, "size", None)), ("bad", [ab, cd, no], 6, "x", (2, "chunk", 1)), ("gone", [ab, no, cd], 6, "x", (2, "missing", 1)), ("over", [ab, ef, ef], 3, "x", (2, "overrun", 1)), ("hash", [ab], 2, "x", (2, "hash", None)), ("old", [ab, ef], 0, None, (4, None, None)), ("oldbad", [cd], 0, None, (0, "chunk", 0))]
+    rows = spark.createDataFrame([f[:4] for f in files], "path string, chunks array<string>, file_size long, file_hash string")
+    found = {r.path: (r.n_bytes, r.fault, r.at) for r in cas.hydrate(rows.repartition(3), spark.createDataFrame(store, "hash string, chunk binary")).collect()}
+    assert found == {f[0]: f[4] for f in files}
+    assert cas.hydrate(rows.limit(0), spark.createDataFrame(store, "hash string, chunk binary")).collect() == []
+
+
+def test_requests_meet_their_frames_once(spark):
+    import random
+
+    r = random.Random(6)
+    frames, at = [], {}
+    for i in range(120):
+        p = r.choice("ab")
+        n = r.choice([0, 1, 7, 30, 64])
+        frames.append((p, i, at.get(p, 0), n))
+        at[p] = at.get(p, 0) + n
+    asked = [(r.choice("abz"), s := r.randint(-20, 2500), r.choice([None, s, s - 5, s + 1, s + 400, 1 << 40]), i) for i in range(80)]
+    want = sorted((i, pos) for p, s, e, i in asked for q, pos, b, n in frames if p == q and n and max(s, 0) < (at[p] if e is None else min(e, at[p])) and b < (at[p] if e is None else e) and b + n > max(s, 0))
+    got = cas.requested_frames(spark.createDataFrame(frames, "path string, pos int, begin long, uncompressed long"), spark.createDataFrame(asked, "path string, start long, end long, id int"))
+    assert sorted((x.id, x.pos) for x in got.collect()) == want and want

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
+from tidemark.operators import scans
+
 #: Least seconds that an unreferenced chunk of an indexed store is kept.
 GRACE_FLOOR = 86_400
 #: Least, average and most bytes of a chunk, by profile.
@@ -377,9 +379,9 @@ def cached_hydrate(wanted: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def frame_offsets(frames: DataFrame, key: str = "path") -> DataFrame:
-    """Where each frame (key, pos, uncompressed, compressed) begins, in both byte orders."""
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return frames.withColumn("begin", F.coalesce(F.sum("uncompressed").over(before), F.lit(0))).withColumn("stored_at", F.coalesce(F.sum("compressed").over(before), F.lit(0)))
+    """Where each frame (key, pos, uncompressed, compressed) begins, in both byte orders; a file's frames are
+    summed by runs of positions, so one of any size spreads over tasks."""
+    return scans.prefix_sums(frames, key, "pos", {"begin": "uncompressed", "stored_at": "compressed"})
 
 
 def requested_frames(frames: DataFrame, requests: DataFrame, key: str = "path") -> DataFrame:

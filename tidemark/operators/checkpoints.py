@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -18,6 +18,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table on the way: lineage ends here, and later reads see the same rows in the same files."""
+    out = work_folder(rows.sparkSession, name)
+    rows.write.parquet(out)
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
+
+
 def ensure(spark: SparkSession) -> None:
     """Set the checkpoint folder only where the session has none."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths
-from tidemark.operators.trees import _kept
+from tidemark.operators.checkpoints import kept
 
 #: Stands for the separator in keys; no path can hold it.
 _END = "\x00"
@@ -20,7 +20,7 @@ _END = "\x00"
 def in_order(rows: DataFrame, path: str = "path") -> DataFrame:
     """Rows with ``_key`` and ``_part``: parts are ranges of keys, numbered in their order.  A table, so parts stay as they are."""
     keyed = rows.withColumn("_key", F.replace(F.col(path), F.lit("/"), F.lit(_END)))
-    return _kept(keyed.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()), "listing")
+    return kept(keyed.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()), "listing")
 
 
 def _with_carry(table: DataFrame, value: Column, before: bool, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
 from tidemark.operators import folders
+from tidemark.operators.checkpoints import kept
 
 #: Policies up to which they are broadcast; beyond that the ancestor join shuffles.
 BROADCAST_POLICIES = 100_000
@@ -129,6 +130,55 @@ def claims_faults(claims: DataFrame) -> DataFrame:
     return per.where("spellings > 1 OR roles > 1")
 
 
+#: Buckets of held claims: a batch reads only those that its own claims fall into.
+CLAIM_BUCKETS = 64
+
+
+def claims_of(files: DataFrame, path: str = "path") -> DataFrame:
+    """V07 for each path by itself: (path, claim, role, folded, bucket) of the leaf and of every folder above it."""
+    rows = with_ancestors(files.select(path, paths.casefold(F.col(path)).alias("_folded")), path)
+    role = F.when(F.col("folder") == F.col(path), "file").otherwise("directory")
+    folded = F.array_join(F.slice(paths.components(F.col("_folded")), F.lit(1), F.col("depth") + 1), "/")
+    return rows.select(path, F.col("folder").alias("claim"), role.alias("role"), folded.alias("folded"), F.pmod(F.xxhash64(folded), F.lit(CLAIM_BUCKETS)).alias("bucket"))
+
+
+def write_claims(files: DataFrame, out: str, path: str = "path") -> None:
+    """The claims of a namespace as a table by buckets of the folded path, each claim once."""
+    claims_of(files, path).select("claim", "role", "folded", "bucket").distinct().repartition("bucket").write.mode("append").partitionBy("bucket").parquet(out)
+
+
+def admit(held: DataFrame, incoming: DataFrame, path: str = "path") -> DataFrame:
+    """Incoming (path, seq) with ``outcome``: admitted, spelling_collision or role_collision, in order of seq.
+
+    held: claims as ``write_claims`` stores them.  A path is admitted if each of its claims agrees, in spelling and in role, with what
+    is held and with what earlier admitted paths claim; a refused path claims nothing.  Each round admits all paths that no
+    earlier open path contradicts and refuses those that what is admitted contradicts, so rounds follow the longest chain
+    of contradictions.  Only buckets of the batch's own claims are read.  Sequence numbers are distinct; a path that comes
+    again agrees with itself; null paths are left out."""
+    wanted = incoming.where(F.col(path).isNotNull() & F.col("seq").isNotNull())
+    claims = kept(claims_of(wanted, path).distinct().join(wanted.select(path, "seq"), path), "claims")
+    buckets = [r.bucket for r in claims.select("bucket").distinct().collect()]  # CLAIM_BUCKETS at most
+    keys = claims.select("folded").distinct()
+    known = held.where(F.col("bucket").isin(buckets)).join(keys, "folded", "left_semi").select("folded", F.col("claim").alias("_claim"), F.col("role").alias("_role"))
+    open_, done = claims.select(path, "seq", "claim", "role", "folded"), None
+    spelling, role = F.col("claim") != F.col("_claim"), F.col("role") != F.col("_role")
+    while True:
+        against = open_.join(known.distinct(), "folded").where(spelling | role)
+        refused = against.groupBy(path, "seq").agg(F.when(F.bool_or(spelling), "spelling_collision").otherwise("role_collision").alias("outcome"))
+        refused = kept(refused, "refused")
+        still = open_.join(refused.select(path, "seq"), [path, "seq"], "left_anti")
+        first = still.groupBy("folded", "claim", "role").agg(F.min("seq").alias("since"))
+        other = first.select("folded", F.col("claim").alias("_claim"), F.col("role").alias("_role"), F.col("since").alias("_since"))
+        blocked = still.join(other, "folded").where((spelling | role) & (F.col("_since") < F.col("seq"))).select(path, "seq").distinct()
+        admitted = kept(still.join(blocked, [path, "seq"], "left_anti"), "admitted")
+        said = refused.unionByName(admitted.select(path, "seq").distinct().withColumn("outcome", F.lit("admitted")))
+        done = said if done is None else done.unionByName(said)
+        open_ = kept(still.join(admitted.select(path, "seq").distinct(), [path, "seq"], "left_anti"), "open")
+        if open_.isEmpty():
+            return wanted.join(done, [path, "seq"])
+        known = admitted.select("folded", F.col("claim").alias("_claim"), F.col("role").alias("_role"))
+
+
 def denied_remote(remote: DataFrame, **rules) -> DataFrame:
     """Remote paths that the deny rules hold back, with the reason."""
     return remote.select("rel_path", ingress.component_reason(F.col("rel_path"), **rules).alias("reason")).where("reason IS NOT NULL")

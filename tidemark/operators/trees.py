@@ -14,19 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import checkpoints
+from tidemark.operators.checkpoints import kept
 
 #: Parts of a node's children that are numbered apart, so that no node's children meet in one task.
 SIBLING_PARTS = 64
 
 
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a table on the way."""
-    out = checkpoints.work_folder(rows.sparkSession, name)
-    rows.write.parquet(out)
-    return rows.sparkSession.read.schema(rows.schema).parquet(out)
-
-
 def _jumped(t: DataFrame, *carried: str) -> DataFrame:
     """Each row with the pointers of the three rows above it, and what they carry, as up1 .. up4."""
     out = t.withColumnsRenamed({"up": "up1", **{c: f"{c}1" for c in carried}})
@@ -44,7 +37,7 @@ def jump_tables(parents: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if now.where("up IS NOT NULL").isEmpty():
             return levels, now.select("v", "depth")
         depth = sum((F.coalesce(f"depth{i}", F.lit(0)) for i in (2, 3, 4)), F.col("depth1"))
-        far = _kept(_jumped(now, "depth").select("v", "up1", "up2", "up3", F.col("up4").alias("up"), depth.alias("depth")), "jumps")
+        far = kept(_jumped(now, "depth").select("v", "up1", "up2", "up3", F.col("up4").alias("up"), depth.alias("depth")), "jumps")
         levels.append(far.select("v", "up1", "up2", "up3"))
         now = far.select("v", "up", "depth")
     raise ValueError("the parents have a cycle")
@@ -54,7 +47,7 @@ def forest_labels(parents: DataFrame, stored: bool = False) -> DataFrame:
     """(v, root, pre, last) for forest rows (v, up); up is null for a root.  A cycle is an error.
 
     stored: the rows are a table already, so they are not written again."""
-    rows = parents.select("v", "up") if stored else _kept(parents.select("v", "up"), "forest")
+    rows = parents.select("v", "up") if stored else kept(parents.select("v", "up"), "forest")
     limit = max(rows.count(), 1).bit_length() // 2 + 2
 
     def sizes(t: DataFrame) -> DataFrame:
@@ -69,7 +62,7 @@ def forest_labels(parents: DataFrame, stored: bool = False) -> DataFrame:
 
     def settled(t: DataFrame, step) -> DataFrame:
         for _ in range(limit):
-            t = _kept(t, "jumps")
+            t = kept(t, "jumps")
             if t.where("up IS NOT NULL").isEmpty():
                 return t
             t = step(t)
@@ -77,7 +70,7 @@ def forest_labels(parents: DataFrame, stored: bool = False) -> DataFrame:
 
     sized = settled(rows.select("v", "up", F.coalesce("up", "v").alias("top"), F.lit(1).cast("long").alias("size")), sizes)
     each = rows.join(sized.select("v", F.col("top").alias("root"), "size"), "v").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SIBLING_PARTS)))
-    each = _kept(each, "sized")
+    each = kept(each, "sized")
     inner = Window.partitionBy("up", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("up").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = each.where("up IS NOT NULL").groupBy("up", "part").agg(F.sum("size").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(outer), F.lit(0))).drop("all")
@@ -126,7 +119,7 @@ def ancestry(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     numbered = "generation" in edges.columns
     nodes = known.select(F.col("child").alias("v"), F.col("parent").alias("up")).unionByName(known.select(F.col("parent").alias("v"), F.lit(None).cast(dict(known.dtypes)["parent"]).alias("up")))
     forest = nodes.groupBy("v").agg(F.min("up").alias("up"), F.max("up").alias("other"))
-    forest = _kept(forest, "parents")
+    forest = kept(forest, "parents")
     levels, depth = jump_tables(forest)
     start = pairs.select("local", "remote").distinct()
     of = lambda s: depth.select(F.col("v").alias(s), F.col("depth").alias(s[0]))
@@ -140,7 +133,7 @@ def ancestry(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     found = (F.col("at") == F.col("goal")) & (F.col("local") != F.col("remote"))
     by_tree = climb.select("local", "remote", F.when(found, F.when(F.col("up"), "local_ahead").otherwise("remote_ahead")).alias("direction"))
     if not forest.where("up <> other").isEmpty():
-        by_tree = _kept(by_tree, "pairs")
+        by_tree = kept(by_tree, "pairs")
         label = forest_labels(forest, stored=True)
         named = lambda s: label.select(F.col("v").alias(s), F.struct("root", "pre", "last").alias(s[0]))
         still = by_tree.where("direction IS NULL AND local <> remote").join(named("local"), "local").join(named("remote"), "remote")
@@ -160,7 +153,7 @@ def _searched(open_pairs: DataFrame, crossing: DataFrame, label: DataFrame, gene
         merges = merges.join(level.select(F.col("of").alias("parent"), F.col("generation").alias("height")), "parent", "left").withColumn("height", F.coalesce("height", F.lit(0)))
     else:
         merges = merges.withColumn("height", F.lit(0))
-    cells = _kept(merges.select("parent", "parent_root", "parent_pre", "height", F.col("child_root").alias("root"), F.explode(cells_of(F.col("child_pre"), F.col("child_last"), bits)).alias("cell")).select("*", "cell.*").drop("cell"), "cells")
+    cells = kept(merges.select("parent", "parent_root", "parent_pre", "height", F.col("child_root").alias("root"), F.explode(cells_of(F.col("child_pre"), F.col("child_last"), bits)).alias("cell")).select("*", "cell.*").drop("cell"), "cells")
 
     def sides(tip: str, goal: str, name: str) -> DataFrame:
         out = open_pairs.select("local", "remote", F.lit(name).alias("side"), F.col(f"{tip[0]}.root").alias("at_root"), F.col(f"{tip[0]}.pre").alias("at_pre"), F.col(goal[0]).alias("goal"))
@@ -169,7 +162,7 @@ def _searched(open_pairs: DataFrame, crossing: DataFrame, label: DataFrame, gene
         return out.join(level.select(F.col("of").alias(goal), F.col("generation").alias("floor")), goal, "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
 
     both = sides("local", "remote", "local_ahead")
-    now = _kept(both.unionByName(sides("remote", "local", "remote_ahead").select(*both.columns)), "sides")
+    now = kept(both.unionByName(sides("remote", "local", "remote_ahead").select(*both.columns)), "sides")
     key = ["local", "remote", "side"]
     seen, found = None, []
     while not now.isEmpty():
@@ -178,11 +171,11 @@ def _searched(open_pairs: DataFrame, crossing: DataFrame, label: DataFrame, gene
         if seen is not None:
             reached = reached.join(seen, [*key, "parent"], "left_anti")
         hit = (F.col("parent_root") == F.col("goal.root")) & F.col("parent_pre").between(F.col("goal.pre"), F.col("goal.last"))
-        reached = _kept(reached.withColumn("hit", hit), "reached")
+        reached = kept(reached.withColumn("hit", hit), "reached")
         answered = reached.where("hit").select(*key).distinct()
         found.append(answered)
         now = reached.join(answered, key, "left_anti").select(*key, F.col("parent_root").alias("at_root"), F.col("parent_pre").alias("at_pre"), "goal", "floor")
-        seen = reached.select(*key, "parent") if seen is None else _kept(seen.unionByName(reached.select(*key, "parent")), "seen")
+        seen = reached.select(*key, "parent") if seen is None else kept(seen.unionByName(reached.select(*key, "parent")), "seen")
     out = None
     for one in found:
         out = one if out is None else out.unionByName(one)
@@ -195,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every node's larger neighbours to its least one, then every node to the least of its smaller
     ones; edges never grow in number, and a table is written a round, until nothing changes."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = _kept(pairs, "links"), None
+    now, before = kept(pairs, "links"), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
@@ -206,4 +199,4 @@ def components(edges: DataFrame) -> DataFrame:
         outer = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("to").alias("b")).distinct()
         inner = outer.groupBy("a").agg(F.min("b").alias("to"))
         moved = outer.join(inner, "a").where("b <> to").select(F.col("b").alias("a"), F.col("to").alias("b"))
-        now = _kept(moved.unionByName(inner.select("a", F.col("to").alias("b"))).distinct(), "links")
+        now = kept(moved.unionByName(inner.select("a", F.col("to").alias("b"))).distinct(), "links")

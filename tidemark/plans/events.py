@@ -340,6 +340,34 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("rel_path", "doc_id", "hash")
 
 
+@query("""SELECT rel_path, CASE WHEN doc_id % 9 = 0 THEN 'second' WHEN doc_id % 7 = 0 THEN 'first' ELSE hash END AS hash, doc_id % 9 = 0 AND doc_id % 2 = 0 AS deleted FROM tree
+UNION ALL SELECT concat('fresh/', doc_id::VARCHAR), 'first', false FROM tree WHERE doc_id % 7 = 0""", "tree")
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Two sets of changes into the touched buckets of an index, and the first one again, which changes nothing."""
+    out, t = work_folder(spark, "index"), load(spark, d, "tree")
+    columns = lambda rows, name, value, seq, gone: rows.select(name.alias("rel_path"), value.alias("hash"), F.when(gone, "deleted").otherwise("committed").alias("state"), F.lit(seq).cast("long").alias("seq"))
+    rel, never = F.col("rel_path"), F.lit(False)
+    tables.create_index(columns(t, rel, F.col("hash"), 1, never), out, buckets=16)
+    seventh = t.where("doc_id % 7 = 0")
+    first = columns(seventh, rel, F.lit("first"), 2, never).unionByName(columns(seventh, F.concat(F.lit("fresh/"), F.col("doc_id").cast("string")), F.lit("first"), 2, never))
+    second = columns(t.where("doc_id % 9 = 0"), rel, F.lit("second"), 3, F.col("doc_id") % 2 == 0)
+    version = 0
+    for changes in (first, second, first):
+        version = tables.upsert_index(out, changes, version)
+    return spark.read.parquet(out).select("rel_path", "hash", (F.col("state") == "deleted").alias("deleted"))
+
+
+@query("""SELECT folder, sync_mode, download_threshold FROM policies""".replace("policies", "(SELECT DISTINCT * FROM (SELECT * FROM policy_rows UNION ALL SELECT * FROM policy_overrides))"), "policy_rows policy_overrides")
+def policy_flush(spark: SparkSession, d: str) -> DataFrame:
+    """The policy table written as a version after an older one, and read back."""
+    from tidemark.plans.fixtures import policies
+
+    out, rows = work_folder(spark, "policies"), policies(spark, d)
+    tables.write_state(rows.where("sync_mode <> 'never'"), out, 1)
+    tables.write_state(rows, out, 2)
+    return tables.read_state(spark, out, 2)
+
+
 @query("SELECT DISTINCT hash, substr(hash, 1, 2) AS shard, length(text)::BIGINT AS length FROM tree", "tree")
 def chunk_store(spark: SparkSession, d: str) -> DataFrame:
     """Distinct chunks in a store partitioned by the first digits of the hash."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
 from tidemark.operators import devices, namespace, reconcile
+from tidemark.operators.checkpoints import work_folder
 from tidemark.plans.catalog import query
 from tidemark.plans.core import SIDES, _plan_sql, plan
 from tidemark.plans.fixtures import POLICIES, load, policies
@@ -121,6 +122,21 @@ def namespace_collisions(spark: SparkSession, d: str) -> DataFrame:
     return namespace.namespace_faults(load(spark, d, "inventory").withColumn("path", cased), F.lower("path"))
 
 
+@query("""WITH asked AS (SELECT doc_id AS seq, doc_id // 10 AS g, doc_id % 5 AS kind, CASE doc_id % 5 WHEN 0 THEN concat('BASE/', doc_id::VARCHAR) WHEN 1 THEN 'base' WHEN 2 THEN concat('new/N', (doc_id // 10)::VARCHAR) WHEN 3 THEN concat('new/n', (doc_id // 10)::VARCHAR, '/', doc_id::VARCHAR) ELSE concat('fresh/', doc_id::VARCHAR) END AS path FROM tree WHERE doc_id % 3 <> 0),
+firsts AS (SELECT g, arg_min(kind, seq) AS kind FROM asked WHERE kind IN (2, 3) GROUP BY g)
+SELECT seq, path, CASE WHEN a.kind = 0 THEN 'spelling_collision' WHEN a.kind = 1 THEN 'role_collision' WHEN a.kind IN (2, 3) AND a.kind <> f.kind THEN 'spelling_collision' ELSE 'admitted' END AS outcome FROM asked a LEFT JOIN firsts f ON f.g = a.g""", "tree")
+def admitted_names(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of new names against held claims and against each other."""
+    t, k = load(spark, d, "tree"), F.col("doc_id")
+    text = lambda c: c.cast("string")
+    out = work_folder(spark, "claims")
+    namespace.write_claims(t.where("doc_id % 3 = 0").select(F.concat(F.lit("base/"), text(k)).alias("path")), out)
+    group = text(F.floor(k / 10))
+    path = F.when(k % 5 == 0, F.concat(F.lit("BASE/"), text(k))).when(k % 5 == 1, "base").when(k % 5 == 2, F.concat(F.lit("new/N"), group)).when(k % 5 == 3, F.concat(F.lit("new/n"), group, F.lit("/"), text(k))).otherwise(F.concat(F.lit("fresh/"), text(k)))
+    asked = t.where("doc_id % 3 <> 0").select(k.alias("seq"), path.alias("path"))
+    return namespace.admit(spark.read.parquet(out), asked).select("seq", "path", "outcome")
+
+
 @query("""WITH both_ AS (SELECT rel_path AS path FROM tree UNION ALL SELECT source FROM tree WHERE doc_id % 10 = 3), up AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/') AS path FROM both_, unnest(range(1, len(string_split(path, '/')))) AS u(i))
 SELECT path, count(*) AS n FROM both_ WHERE path IN (SELECT path FROM up) GROUP BY path""", "tree")
 def ancestor_collisions(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
-from tidemark.operators import checkpoints, namespace
+from tidemark.operators import checkpoints, lifecycle, namespace
+from tidemark.operators.checkpoints import kept
 
 #: Manifest bytes as JSON; fields that older writers lack are null and get their default.
 MANIFEST_SCHEMA = "version int, file_hash string, file_size bigint, chunks array<string>, vclock struct<clocks:map<string,bigint>>, written_by string, written_at bigint, rel_path string, mode bigint, mtime array<bigint>, kind string, symlink_target string"
@@ -175,6 +176,53 @@ def write_index(entries: DataFrame, out: str, buckets: int | None = None) -> Non
     entries.withColumn("bucket", F.pmod(F.xxhash64("rel_path"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
 
 
+def _versions(spark: SparkSession, out: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_versions")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _claim_version(spark: SparkSession, out: str, number: int, buckets: int) -> None:
+    """Take a version's name; whoever comes second fails."""
+    files, folder = _versions(spark, out)
+    try:
+        files.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}-of-{buckets}"), False).close()
+    except Exception as taken:
+        raise RuntimeError(f"stale base: version {number} of {out} is there already") from taken
+
+
+def index_version(spark: SparkSession, out: str) -> tuple[int, int]:
+    """(version, buckets) of an index that ``create_index`` made."""
+    files, folder = _versions(spark, out)
+    number, _, buckets = max(f.getPath().getName() for f in files.listStatus(folder)).partition("-of-")
+    return int(number), int(buckets)
+
+
+def create_index(entries: DataFrame, out: str, buckets: int | None = None) -> None:
+    """``write_index`` as version 0 of an index that takes upserts."""
+    count = buckets if buckets is not None else max(1, -(-entries.count() // ROWS_A_BUCKET))
+    write_index(entries, out, count)
+    _claim_version(entries.sparkSession, out, 0, count)
+
+
+def upsert_index(out: str, changes: DataFrame, base: int) -> int:
+    """Rows (rel_path, ..., seq) into an index at version ``base``; returns the new version.
+
+    Only the buckets that hold a changed path are read and written (dynamic partition overwrite), the others keep
+    their files.  The highest seq of a path wins, so a repeated upsert changes nothing; a ``deleted`` row stays as a tombstone.
+    A base that is no longer the last version fails before anything is written, and of two writers from one base one fails."""
+    spark = changes.sparkSession
+    now, buckets = index_version(spark, out)
+    if now != base:
+        raise RuntimeError(f"stale base: {out} is at version {now}, not {base}")
+    dealt = kept(changes.withColumn("bucket", F.pmod(F.xxhash64("rel_path"), F.lit(buckets)).cast("int")), "changes")
+    touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # as many as the index has folders, at most
+    held = spark.read.parquet(out).where(F.col("bucket").isin(touched)).select(*dealt.columns)
+    both = kept(lifecycle.apply_changes(held, dealt, "rel_path"), "upserted")
+    _claim_version(spark, out, base + 1, buckets)
+    both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+    return base + 1
+
+
 def publish(staged: DataFrame, index: DataFrame) -> DataFrame:
     """Staged entries (rel_path, manifest_key, base_seq, seq) against the index (rel_path, seq, ...):
     committed where the index is still at base_seq (null: absent), else conflict.  Pure plan: the caller

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import clocks, ingress, paths
+from tidemark.operators import scans
 
 #: Events as they travel: one JSON object with its type, every other field optional.
 EVENT_SCHEMA = "type string, device_id string, rel_path string, hash string, size bigint, vclock map<string,bigint>, manifest_path string, timestamp bigint, merged_vclock map<string,bigint>, old_path string, new_path string, last_seq bigint"
@@ -71,10 +72,11 @@ def debounce(events: DataFrame, gap_micros: int) -> DataFrame:
     """ST01, batch: events (path, ts_micros, seq, kind) to quiet periods: (path, started, ended, n, kind).
 
     A period ends once a path is quiet for the gap or longer (exactly the gap ends it too); the last
-    kind stays."""
-    by = Window.partitionBy("path").orderBy("ts_micros", "seq")
-    new = F.coalesce(F.col("ts_micros") - F.lag("ts_micros").over(by) >= gap_micros, F.lit(True))
-    numbered = events.withColumn("_new", new.cast("int")).withColumn("period", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    kind stays.  Paths are scanned by segments of time, so one with all events spreads over tasks.  Rows without a path
+    or a time are left out."""
+    kept = events.where("path IS NOT NULL AND ts_micros IS NOT NULL")
+    width = max(scans.segment_width(kept, "ts_micros"), gap_micros)
+    numbered = scans.numbered_periods(kept, "path", "ts_micros", ["ts_micros", "seq"], gap_micros, width)
     return numbered.groupBy("path", "period").agg(F.min("ts_micros").alias("started"), F.max("ts_micros").alias("ended"), F.count("*").alias("n"), F.max_by("kind", F.struct("ts_micros", "seq")).alias("kind")).drop("period")
 
 
