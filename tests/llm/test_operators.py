@@ -766,3 +766,27 @@ def test_unlabelled(odd, labels):
     one = labels.where("quality = 1")
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, one)).collect()} == {0.0}
     assert all(0 <= r.score <= 1 for r in quality.score(odd, quality.fit(odd, one)).collect())
+
+
+def test_targets_of_any_number_of_sources(spark):
+    """Levels against plain water filling, and more sources than one task should order."""
+    rng = random.Random(1)
+    for k in range(3):
+        names = [None, "a", "b", "é", "Z", "", "zz", *(f"s{i}" for i in range(60 * k))]
+        sizes = [(rng.choice(names), rng.choice([0, 0, 1, 5, 100, 4000])) for _ in range(30 + 200 * k)]
+        found = {x.source: x.target for x in mixing.source_targets(spark.createDataFrame([(*x, 1) for x in sizes], "source string, size long, docs long")).collect()}
+        order = sorted({s for s, _ in sizes if s is not None}) + [None] * any(s is None for s, _ in sizes)
+        limit = {s: 2 * sum(z for x, z in sizes if x == s) for s in order}
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        full, level = set(), 0.0
+        while len(full) < len(order):
+            level = (0.75 * sum(limit.values()) - sum(limit[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+            more = {s for s in order if level * weight[s] >= limit[s]}
+            if more <= full:
+                break
+            full |= more
+        want = {s: limit[s] if s in full else level * weight[s] for s in order}
+        assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-6 * max(1, want[s]) for s in order)
+    many = spark.range(300_000).selectExpr("concat('s', id) source", "id % 1000 size", "1L docs")
+    assert abs(mixing.source_targets(many).agg(F.sum("target")).first()[0] - 0.75 * 300 * 999_000) < 1
+    assert mixing.source_targets(many.limit(0)).collect() == []

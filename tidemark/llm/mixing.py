@@ -22,8 +22,8 @@ from tidemark.llm import textbatch as tb
 
 #: Weights of the sources in code-point order, repeating; words shared out as a percent of all; copies at most.
 WEIGHTS, SHARE_PERCENT, MOST_COPIES = (3, 1, 2), 150, 2
-#: Blocks into which a group of documents of one source and size is split.
-BLOCKS = 256
+#: Blocks into which a group of documents of one source and size is split: so many at least, and one for so many documents of all.
+LEAST_BLOCKS, ROWS_A_BLOCK = 256, 1 << 16
 #: Newton steps before the solution counts as failed, steps in one job, and the gap to a target at which they
 #: stop (relative, and in words).
 NEWTON_STEPS, STEPS_A_JOB, GAP, GAP_WORDS = 80, 4, 1e-7, 1e-3
@@ -31,8 +31,6 @@ NEWTON_STEPS, STEPS_A_JOB, GAP, GAP_WORDS = 80, 4, 1e-7, 1e-3
 FIXED = 1_000_000
 #: Sources up to which their table (a row a source) is broadcast; beyond it the joins shuffle.
 BROADCAST_SOURCES = 100_000
-#: Sources at most: their targets depend on one order of all of them, which one task sorts (a short row each).
-MOST_SOURCES = 5_000_000
 #: Greedy passes that close the gap left by rounding.
 CLOSING_PASSES = 6
 
@@ -46,30 +44,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_p
     """(source, source_size, source_docs, target) from rows (source, size, docs).
 
     Sources in code-point order, null last, take the weights in turn.  A target stops at most_copies
-    times its source's size, and the excess goes to the others by weight until none is above: with
-    sources ordered by limit / weight, those below the final level are full.  One row a source.
+    times its source's size, and the excess goes to the others by weight until none is above: the level (words a
+    weight) rises by Newton steps from below, each one sum over the sources, until no further source is full.  Places are
+    numbered within ranges of sources, so no task holds more than a range.  One row a source.
     """
+    tb.use_checkpoints(sizes.sparkSession)
     per_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("source_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = per_source.withColumn("place", F.row_number().over(by_name) - 1)
+    by_name = F.col("source").asc_nulls_last()
+    ranges = per_source.repartitionByRange(by_name).withColumn("range", F.spark_partition_id()).checkpoint()
+    earlier = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    begins = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(earlier, F.lit(0)).alias("begin"))
+    place = F.col("begin") + F.row_number().over(Window.partitionBy("range").orderBy(by_name)) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    full = ranked.withColumn("weight", weight).withColumn("limit", F.lit(float(most_copies)) * F.col("source_size"))
-    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), "place")
-    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levelled = full.select(
-        "*",
-        (F.lit(share_percent / 100.0) * F.sum("source_size").over(everything)).alias("to_share"),
-        F.coalesce(F.sum("limit").over(before), F.lit(0.0)).alias("filled"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("weight_left"),
-    ).withColumn("level", (F.col("to_share") - F.col("filled")) / F.col("weight_left"))
-    # the level at which the first source is not full holds for it and all after it
-    open_level = F.min(F.when(F.col("level") * F.col("weight") < F.col("limit"), F.struct("place_by_limit", "level"))).over(everything)["level"]
-    return (
-        levelled.withColumn("place_by_limit", F.row_number().over(by_limit))
-        .withColumn("open_level", open_level)
-        .select("source", "source_size", "source_docs", F.least("limit", F.coalesce(F.col("open_level") * F.col("weight"), "limit")).alias("target"))
-    )
+    placed = ranges.join(begins, "range").withColumn("place", place).withColumn("weight", weight)
+    full = placed.select("source", "source_size", "source_docs", "weight", (F.lit(float(most_copies)) * F.col("source_size")).alias("limit")).checkpoint()
+    size, open_weight = full.agg(F.sum("source_size"), F.sum("weight")).first()
+    to_share, filled, level = share_percent / 100.0 * (size or 0), 0.0, -1.0
+    while open_weight and (to_share - filled) / open_weight > level:
+        level = (to_share - filled) / open_weight
+        is_full = F.lit(level) * F.col("weight") >= F.col("limit")
+        filled, open_weight = full.agg(F.coalesce(F.sum(F.when(is_full, F.col("limit"))), F.lit(0.0)), F.sum(F.when(~is_full, F.col("weight")))).first()
+    target = F.least("limit", F.lit(level) * F.col("weight")) if open_weight else F.col("limit")
+    return full.select("source", "source_size", "source_docs", target.alias("target"))
 
 
 def _by_source(table: DataFrame, n_sources: int) -> DataFrame:
@@ -163,15 +159,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     out = tb.shared_dir(spark, "mix-sizes")
     given.write.parquet(out)  # narrow rows, read by every later step; the texts are read once
     given = spark.read.parquet(out)
-    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(BLOCKS))
+    n_blocks = max(LEAST_BLOCKS, given.count() // ROWS_A_BLOCK)
+    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(n_blocks))
     blocks = given.groupBy("source", "source_key", "size", block.alias("block")).agg(F.count("*").alias("in_block"))
     sizes = blocks.groupBy("source", "source_key", "size").agg(F.sum("in_block").alias("docs")).checkpoint()
     targets = source_targets(sizes, weights, share_percent, most_copies)
     mean = F.col("source_size") / F.col("source_docs")
     targets = targets.select("source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("source_key"), "source_size", mean.alias("mean"), "target", (F.lit(float(most_copies)) * F.col("source_size")).alias("limit")).checkpoint()
     n_sources = targets.count()
-    if n_sources > MOST_SOURCES:
-        raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be ordered")
     groups = sizes.join(_by_source(targets.select("source_key", "mean"), n_sources), "source_key").select("source_key", "size", "docs", F.coalesce(F.try_divide(F.col("size"), F.col("mean")), F.lit(0.0)).alias("z"))
     of_source = targets.select("source_key", "target", "limit")
     copies = group_copies(groups, of_source, solve_tilts(groups, of_source, n_sources, most_copies), n_sources, most_copies)

@@ -316,4 +316,9 @@ def one_of_each(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text:
     group has none.  Texts pass one shuffle, by doc_id."""
     found = near_duplicates(docs, radius, doc_id, text, words)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[doc_id].eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates()
+    out = tb.shared_dir(docs.sparkSession, "staying")
+    stay.write.parquet(out)  # ids alone, read for rows with and without one
+    stay = docs.sparkSession.read.schema(stay.schema).parquet(out)
+    named = docs.where(F.col(doc_id).isNotNull()).join(stay.where("_stay IS NOT NULL"), docs[doc_id] == F.col("_stay"), "left_semi").dropDuplicates()
+    nameless = docs.where(F.col(doc_id).isNull()).join(F.broadcast(stay.where("_stay IS NULL")), F.col("_stay").isNull(), "left_semi").dropDuplicates()  # one row at most
+    return named.unionByName(nameless)
