@@ -3,8 +3,9 @@
 Events are the letters of a word and its end, each after up to ORDER - 1 letters of that word (its
 start counts as one).  Counts come from every learned document, by a shuffle on the n-gram; the model
 keeps, for all languages together, one sorted hash array a length with a row of log-probabilities, and
-one a context length with back-off weights.  Where the n-grams are too many to send to tasks, the same
-model stays in tables (``TableModel``) that texts meet by joins; none is left out.  A text goes to the language of least cross-entropy per
+one a context length with back-off weights.  Where these are too many to hold at once, they are cut into shards by the two
+letters before the last, which n-grams and contexts of an event share: a task scores a slice's events shard by
+shard and holds one at a time; none is left out.  A text goes to the language of least cross-entropy per
 event; calibration gives a probability, and a bound per language beyond which a text is not accepted.
 """
 
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from tidemark.llm import textbatch as tb
 from tidemark.llm.calibrate import hashed_sample
 
 ORDER = 5
-#: Most cells (highest-order n-grams by languages) of a model that tasks receive; a larger one stays in tables.
-MODEL_CELLS = 6_000_000
+#: Most cells (highest-order n-grams by languages) that a task holds at once; a larger model comes in shards (of so many at least).
+MODEL_CELLS, LEAST_SHARD = 6_000_000, 4096
 #: Cells (events by languages) that are scored together.
 CELLS_AT_ONCE = 1 << 21
 #: Documents that set the temperature and the bounds of acceptance.
@@ -114,26 +116,42 @@ class LanguageModel:
     unseen: float = -12.0
     temperature: float = 1.0
     bounds: dict[str, float] = field(default_factory=dict)
+    #: Broadcast (grams of lengths 3 up, contexts of lengths 2 up) by shard; without any, all is above.
+    shards: list = field(default_factory=list)
+
+    def _parts(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[list, list]]]:
+        """(numbers of events, the arrays that score them): a shard's arrays are read when its turn comes, and not kept."""
+        if not self.shards:
+            yield np.arange(len(grams)), (self.grams, self.contexts)
+            return
+        of = _shard(grams[:, 2].astype(np.int64), grams[:, 3].astype(np.int64), len(self.shards))
+        for number, sent in enumerate(self.shards):
+            events = np.flatnonzero(of == number)
+            if len(events):
+                more, contexts = sent.load_from_path(sent._path) if getattr(sent, "_path", None) else sent.value
+                yield events, (self.grams + more, self.contexts + contexts)
 
     def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By word: summed log-probability by language, events, letters."""
         grams, word, letter = _events(words)
         sums = np.zeros((len(words), len(self.langs)))
         step = max(1, CELLS_AT_ONCE // max(1, len(self.langs)))
-        for begin in range(0, len(grams), step):  # in runs: a row of scores an event, for however many languages
-            of = word[begin : begin + step]
-            head = np.flatnonzero(np.diff(of, prepend=-1))
-            sums[of[head]] += np.add.reduceat(self._event_scores(grams[begin : begin + step]), head, axis=0, dtype=np.float64)
+        for events, tables in self._parts(grams):
+            for begin in range(0, len(events), step):  # in runs: a row of scores an event, for however many languages
+                some = events[begin : begin + step]
+                of = word[some]
+                head = np.flatnonzero(np.diff(of, prepend=-1))
+                sums[of[head]] += np.add.reduceat(self._event_scores(grams[some], *tables), head, axis=0, dtype=np.float64)
         begin = np.searchsorted(word, np.arange(len(words) + 1))
         letters = np.concatenate(([0], np.cumsum(letter)))
         return sums, np.diff(begin), letters[begin[1:]] - letters[begin[:-1]]
 
-    def _event_scores(self, grams: np.ndarray) -> np.ndarray:
+    def _event_scores(self, grams: np.ndarray, learned: list, contexts: list) -> np.ndarray:
         """By event: log-probability by language, from the longest suffix that was learned."""
         total = np.zeros((len(grams), len(self.langs)), np.float32)
         waiting, weight = np.arange(len(grams)), np.zeros((len(grams), len(self.langs)), np.float32)
         for size in range(ORDER, 0, -1):
-            keys, rows = self.grams[size - 1]
+            keys, rows = learned[size - 1]
             h = _hash(grams[waiting, ORDER - size :])
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
@@ -142,7 +160,7 @@ class LanguageModel:
             if not len(waiting):
                 break
             if size > 1:
-                keys, rows = self.contexts[size - 2]
+                keys, rows = contexts[size - 2]
                 h = _hash(grams[waiting, ORDER - size : -1])
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
@@ -180,12 +198,9 @@ class LanguageModel:
         return e / e.sum(1, keepdims=True)
 
 
-@dataclass
-class TableModel(LanguageModel):
-    """The same model as tables in a shared folder, for n-grams of any number: ``grams-k`` (letters, log p)
-    and ``contexts-k`` (letters, log back-off weight), arrays with an element a language."""
-
-    folder: str = ""
+def _shard(before, last, many: int):
+    """The shard of an event whose last two letters before its own are given (arrays or columns of longs)."""
+    return (before * 1_000_003 + last) % many
 
 
 def _rows_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,8 +265,9 @@ def _kept(rows: DataFrame, where: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(where)
 
 
-def _tabulate(langs: list[str], learned: DataFrame, folder: str) -> TableModel:
-    """``_kneser_ney`` by aggregations and joins on the n-gram: every count, discount and continuation."""
+def _tabulate(langs: list[str], learned: DataFrame, folder: str) -> LanguageModel:
+    """``_kneser_ney`` by aggregations and joins on the n-gram, as tables ``grams-k`` (letters, log p) and ``contexts-k``
+    (letters, log back-off weight) of the folder, arrays with an element a language."""
     many = len(langs)
     n = lambda i: F.col("n")[i]
     held = learned.groupBy(*_columns(ORDER)).agg(_each(many, lambda i: F.coalesce(F.sum(F.when(F.col("lang") == langs[i], F.col("n"))), F.lit(0))).alias("n"))
@@ -261,7 +277,7 @@ def _tabulate(langs: list[str], learned: DataFrame, folder: str) -> TableModel:
         if size > 1:
             held = counts[size].groupBy(*_columns(size - 1)).agg(_each(many, lambda i: F.count_if(n(i) > 0)).alias("n"))
     alphabet = max(2, counts[1].count())
-    model = TableModel(langs, unseen=-float(np.log(100.0 * alphabet)), folder=folder)
+    model = LanguageModel(langs, unseen=-float(np.log(100.0 * alphabet)))
     for size in range(1, ORDER + 1):
         rare = counts[size].agg(_each(many, lambda i: F.count_if(n(i) == 1)).alias("once"), _each(many, lambda i: F.count_if(n(i) == 2)).alias("twice")).first()
         discount = [min(0.9, max(0.1, a / max(a + 2 * b, 1))) for a, b in zip(rare.once, rare.twice, strict=True)]
@@ -279,66 +295,56 @@ def _tabulate(langs: list[str], learned: DataFrame, folder: str) -> TableModel:
     return model
 
 
-def _gram_scores(grams: DataFrame, model: TableModel) -> DataFrame:
-    """(c0..c4, s): log-probabilities of distinct n-grams, from the longest suffix that was learned."""
-    read = grams.sparkSession.read
-    wanted = {ORDER: grams}
-    for size in range(ORDER - 1, 0, -1):
-        wanted[size] = wanted[size + 1].select(*_columns(size)).distinct()
-    unseen = _each(len(model.langs), lambda i: F.lit(model.unseen))
-    found = wanted[1].join(read.parquet(f"{model.folder}/grams-1"), _columns(1), "left").select("c4", F.coalesce("p", unseen).alias("s"))
-    for size in range(2, ORDER + 1):
-        names = _columns(size)
-        both = wanted[size].join(read.parquet(f"{model.folder}/grams-{size}"), names, "left")
-        both = both.join(read.parquet(f"{model.folder}/contexts-{size}").drop("total"), names[:-1], "left")
-        both = both.join(found.withColumnRenamed("s", "lower"), names[1:])
-        shorter = F.when(F.col("b").isNull(), F.col("lower")).otherwise(F.zip_with("b", "lower", lambda x, y: x + y))
-        found = both.select(*names, F.coalesce("p", shorter).alias("s"))
-    return found
-
-
-def _table_entropies(docs: DataFrame, model: TableModel, keep: list[str]) -> DataFrame:
-    """(*keep, h, n, letters) of rows with a text: each distinct word is scored once by joins on its n-grams,
-    and each distinct text (by digest) sums its words."""
-    out = tb.shared_dir(docs.sparkSession, "language-scores")
-    many, names = len(model.langs), _columns(ORDER)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, "text", SLICE_BYTES):
-            found = tb.words(*tb.utf8(batch.column(1)))
-            of_doc = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
-            both, seen = np.unique(of_doc * max(1, len(found.values)) + found.ids, return_counts=True)
-            doc, word = np.divmod(both, max(1, len(found.values)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), found.values.take(pa.array(word)).cast(pa.binary()), pa.array(seen)], names=["key", "word", "times"])
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, word, letter = _events(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word)), *(pa.array(grams[:, i].astype(np.int32)) for i in range(ORDER)), pa.array(letter)], names=["word", *names, "letter"])
-
-    key = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key")
-    texts = docs.select(key, F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    said = texts.mapInArrow(count, "key binary, word binary, times long").groupBy("key", "word").agg(F.max("times").alias("times"))  # copies of a text say the same
-    said = _kept(said, f"{out}/words")
-    spelled = _kept(said.select("word").distinct().mapInArrow(spell, f"word binary, {', '.join(f'{c} int' for c in names)}, letter boolean"), f"{out}/spelled")
-    scores = _gram_scores(_kept(spelled.select(*names).distinct(), f"{out}/grams"), model)
-    by_word = spelled.join(scores, names).groupBy("word").agg(_each(many, lambda i: F.sum(F.col("s")[i])).alias("s"), F.count("*").alias("events"), F.count_if("letter").alias("letters"))
-    times = F.col("times")
-    by_text = said.join(by_word, "word").groupBy("key").agg(_each(many, lambda i: -F.sum(times * F.col("s")[i]) / F.sum(times * F.col("events"))).alias("h"), F.sum(times * F.col("events")).alias("n"), F.sum(times * F.col("letters")).alias("letters"))
-    none = _each(many, lambda _: F.lit(0.0))
-    return docs.select(*keep, key).join(by_text, "key", "left").select(*keep, F.coalesce("h", none).alias("h"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("letters", F.lit(0)).alias("letters"))
+def _sorted(rows: pa.Table, names: list[str], many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, a row of values each) of rows (letters, v)."""
+    letters = np.column_stack([rows.column(c).to_numpy() for c in names]).astype(np.uint32) if rows.num_rows else np.zeros((0, len(names)), np.uint32)
+    values = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, many)
+    keys = _hash(letters)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
+def _sharded(model: LanguageModel, spark, folder: str, cells: int, most: int) -> LanguageModel:
+    """The tables' arrays: lengths that do not show both letters of a shard go with the model, the others with their shards."""
+    many, most = len(model.langs), max(most, LEAST_SHARD)
+    read = lambda name, value: spark.read.parquet(f"{folder}/{name}").withColumnRenamed(value, "v")
+    model.grams = [_sorted(read(f"grams-{k}", "p").toArrow(), _columns(k), many) for k in (1, 2)]
+    model.contexts = [_sorted(read("contexts-2", "b").toArrow(), _columns(2)[:-1], many)]
+    fill = lambda names: [F.col(c) if c in names else F.lit(0).alias(c) for c in _columns(ORDER)]
+    parts = [read(f"grams-{k}", "p").select(F.lit(k).alias("size"), F.lit(False).alias("context"), *fill(_columns(k)), "v") for k in range(3, ORDER + 1)]
+    parts += [read(f"contexts-{k}", "b").select(F.lit(k).alias("size"), F.lit(True).alias("context"), *fill(_columns(k)[:-1]), "v") for k in range(3, ORDER + 1)]
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other)
+    number = lambda n: _shard(F.col("c2").cast("long"), F.col("c3").cast("long"), n)
+    n = max(1, -(-2 * cells // most))
+    for _ in range(4):  # n-grams of two frequent letters lie together
+        largest = rows.where(f"size = {ORDER} AND NOT context").groupBy(number(n)).count().agg(F.max("count")).first()[0] or 0
+        if largest * many <= most:
+            break
+        n *= 2
+    rows.withColumn("shard", number(n)).repartition("shard").write.partitionBy("shard").parquet(f"{folder}/shards")
+    stored = spark.read.parquet(f"{folder}/shards")
+    for i in range(n):
+        own = stored.where(F.col("shard") == i).toArrow()
+        pick = lambda k, context: own.filter(pa.compute.and_(pa.compute.equal(own["size"], k), pa.compute.equal(own["context"], context)))  # noqa: B023, E731
+        arrays = [[_sorted(pick(k, context), _columns(k)[:-1] if context else _columns(k), many) for k in range(3, ORDER + 1)] for context in (False, True)]
+        model.shards.append(spark.sparkContext.broadcast(tuple(arrays)))
+    return model
 
 
 def fit(docs: DataFrame, model_cells: int = MODEL_CELLS, calibration_texts: int = CALIBRATION_TEXTS) -> LanguageModel:
     """Count over all documents that may be learned from, and calibrate on a bounded sample of the same
-    documents.  Every n-gram counts: up to ``model_cells`` cells the model is held in arrays, beyond in tables."""
+    documents.  Every n-gram counts: up to ``model_cells`` cells the arrays are made at once, beyond by aggregations and
+    joins, and cut into shards of at most so many."""
     folder = tb.shared_dir(docs.sparkSession, "languages")
     learned = _kept(count_ngrams(docs), f"{folder}/learned")
     langs = sorted(r.lang for r in learned.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([])
-    if learned.select(*_columns(ORDER)).distinct().count() * len(langs) > model_cells:
-        model: LanguageModel = _tabulate(langs, learned, folder)
+    cells = learned.select(*_columns(ORDER)).distinct().count() * len(langs)
+    if cells > model_cells:
+        model = _sharded(_tabulate(langs, learned, folder), docs.sparkSession, folder, cells, model_cells)
     else:
         rows = learned.toArrow()
         number = {name: i for i, name in enumerate(langs)}
@@ -360,8 +366,7 @@ def _calibrate(model: LanguageModel, docs: DataFrame, n: int) -> None:
 
     ids = hashed_sample(known.select("doc_id"), n)
     some = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
-    scored = _table_entropies(some, model, ["lang"]) if isinstance(model, TableModel) else some.mapInArrow(run, "lang string, h array<double>, n long, letters long")
-    rows = scored.where("letters > 0").toArrow()
+    rows = some.mapInArrow(run, "lang string, h array<double>, n long, letters long").where("letters > 0").toArrow()
     if not rows.num_rows:
         return
     h, events = np.array(rows.column("h").to_pylist()), rows.column("n").to_numpy()
@@ -380,8 +385,7 @@ def _calibrate(model: LanguageModel, docs: DataFrame, n: int) -> None:
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, accepted) for each row; ``und`` for null texts and
-    texts without a letter.  Ties go to the first language in order.  Narrow, without a shuffle, unless the
-    model is in tables."""
+    texts without a letter.  Ties go to the first language in order.  Narrow, without a shuffle."""
     schema = "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,13 +393,5 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
             lang, p, h, accepted = model.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(p), pa.array(h), pa.array(accepted)], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            lang, p, least, accepted = model.decide(h, batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(p), pa.array(least), pa.array(accepted)], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
-
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    if isinstance(model, TableModel):
-        return _table_entropies(given, model, ["doc_id"]).mapInArrow(decide, schema)
     return given.mapInArrow(run, schema)
