@@ -617,3 +617,17 @@ def test_requests_meet_their_frames_once(spark):
     want = sorted((i, pos) for p, s, e, i in asked for q, pos, b, n in frames if p == q and n and max(s, 0) < (at[p] if e is None else min(e, at[p])) and b < (at[p] if e is None else e) and b + n > max(s, 0))
     got = cas.requested_frames(spark.createDataFrame(frames, "path string, pos int, begin long, uncompressed long"), spark.createDataFrame(asked, "path string, start long, end long, id int"))
     assert sorted((x.id, x.pos) for x in got.collect()) == want and want
+
+
+def test_chunker_as_a_table_function(spark):
+    """The same boundaries as whole contents give, whatever the blocks; empty and null blocks, and two files in one task."""
+    import random
+
+    r = random.Random(8)
+    bodies = {p: bytes(r.randrange(256) for _ in range(n)) for p, n in (("a", 60_000), ("b", 1), ("c", 0), ("d", 9000))}
+    whole = spark.createDataFrame([(p, b, "small") for p, b in bodies.items()], "path string, content binary, profile string")
+    blocks = [(p, i // 1700, b[i : i + 1700], None) for p, b in bodies.items() for i in range(0, max(len(b), 1), 1700)] + [("a", 10_000, None, None)]
+    cas.register_chunker(spark)
+    spark.createDataFrame(blocks, "path string, block int, content binary, profile string").createOrReplaceTempView("test_blocks")
+    found = spark.sql("SELECT * FROM block_chunks(TABLE(test_blocks) PARTITION BY path ORDER BY block)").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, cas.content_chunks(whole).collect())) and len(found) > 10

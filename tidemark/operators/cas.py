@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
@@ -194,6 +194,37 @@ def block_chunks(blocks: DataFrame, key: str = "path", block: str = "block", con
     return given.repartition("k").sortWithinPartitions("k", "b").mapInArrow(run, _CHUNK_ROWS).withColumnRenamed("k", key)
 
 
+def register_chunker(spark: SparkSession, name: str = "block_chunks") -> None:
+    """H04 for SQL: a table function that cuts the blocks of each file, of any size, as ``block_chunks`` does:
+
+    SELECT * FROM block_chunks(TABLE(SELECT path, block, content, profile FROM blocks) PARTITION BY path ORDER BY block)
+
+    Spark deals a file's blocks to one call in their order; the call holds one block and the open chunk.  Files are apart, null blocks
+    count as empty, and a null profile means ``small``."""
+    from pyspark.sql.functions import udtf
+
+    class BlockChunks:
+        def __init__(self):
+            self.chunker, self.path, self.pos, self.at = None, None, 0, 0
+
+        def _rows(self, chunks: Iterator[bytes]) -> Iterator[tuple]:
+            for chunk in chunks:
+                yield self.path, self.pos, self.at, len(chunk), hashlib.sha256(chunk).hexdigest()
+                self.pos, self.at = self.pos + 1, self.at + len(chunk)
+
+        def eval(self, row):
+            if self.chunker is None:
+                self.chunker, self.path = Chunker(*PROFILES[row["profile"] or "small"]), row["path"]
+            content = row["content"]
+            yield from self._rows(self.chunker.feed(content.encode() if isinstance(content, str) else bytes(content or b"")))
+
+        def terminate(self):
+            if self.chunker is not None:
+                yield from self._rows(self.chunker.finish())
+
+    spark.udtf.register(name, udtf(BlockChunks, returnType="path string, pos int, offset long, length long, hash string"))
+
+
 def manifests(chunks: DataFrame, key: str = "path") -> DataFrame:
     """One row a file: chunk hashes in order, size (A19) and the manifest's id."""
     rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("_c"), F.sum("length").cast("long").alias("file_size"))

@@ -31,6 +31,12 @@ def ensure(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete one table on the way that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> bool:
     """Delete all that this application's queries have written on the way.  Call it once their results are
     written elsewhere: results that are still lazy read from there.  Returns whether there was anything."""

@@ -341,6 +341,16 @@ def cdc_blocks_rejoined(spark: SparkSession, d: str) -> DataFrame:
     return _rejoined(files, cas.block_chunks(blocks, block="pos", content="chunk"))
 
 
+@query("SELECT rel_path AS path, octet_length(encode(text))::BIGINT AS n_bytes, hash, true AS hashes_hold FROM tree WHERE text <> ''", "tree")
+def cdc_sql_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """H04 from SQL text: a table function over each file's blocks in their order."""
+    files = _profiled(spark, d)
+    blocks = cas.fixed_chunks(files.select("path", "text"), 700, content="text").join(files.select("path", "profile"), "path")
+    cas.register_chunker(spark)
+    blocks.select("path", F.col("pos").alias("block"), F.col("chunk").alias("content"), "profile").createOrReplaceTempView("blocks_of_files")
+    return _rejoined(files, spark.sql("SELECT * FROM block_chunks(TABLE(blocks_of_files) PARTITION BY path ORDER BY block)"))
+
+
 @query("SELECT rel_path AS path, octet_length(encode(text))::BIGINT AS n_bytes, substring(hash, 1, 64) AS hash FROM tree WHERE text <> ''", "tree")
 def seekable_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Compress to frames and read everything back: the digest of what was read must be the file's."""

@@ -197,11 +197,36 @@ def index_version(spark: SparkSession, out: str) -> tuple[int, int]:
     return int(number), int(buckets)
 
 
+def create_buckets(rows: DataFrame, key: str, out: str, buckets: int | None = None) -> None:
+    """Rows by buckets of a hash of their key, as version 0 of a table whose buckets can be replaced."""
+    count = buckets if buckets is not None else max(1, -(-rows.count() // ROWS_A_BUCKET))
+    in_bucket(rows, key, count).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
+    _claim_version(rows.sparkSession, out, 0, count)
+
+
+def in_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def current_base(spark: SparkSession, out: str, base: int) -> int:
+    """The number of buckets of a table that is still at version ``base``; else an error."""
+    now, buckets = index_version(spark, out)
+    if now != base:
+        raise RuntimeError(f"stale base: {out} is at version {now}, not {base}")
+    return buckets
+
+
+def replace_buckets(rows: DataFrame, out: str, base: int, buckets: int) -> int:
+    """The buckets of rows (..., bucket) in place of those of version ``base``; the others keep their files.  Returns the new
+    version.  Of two writers from one base one fails; one that is lost after its claim repeats its change from the new version."""
+    _claim_version(rows.sparkSession, out, base + 1, buckets)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+    return base + 1
+
+
 def create_index(entries: DataFrame, out: str, buckets: int | None = None) -> None:
-    """``write_index`` as version 0 of an index that takes upserts."""
-    count = buckets if buckets is not None else max(1, -(-entries.count() // ROWS_A_BUCKET))
-    write_index(entries, out, count)
-    _claim_version(entries.sparkSession, out, 0, count)
+    """The index by path buckets, which takes upserts."""
+    create_buckets(entries, "rel_path", out, buckets)
 
 
 def upsert_index(out: str, changes: DataFrame, base: int) -> int:
@@ -209,18 +234,14 @@ def upsert_index(out: str, changes: DataFrame, base: int) -> int:
 
     Only the buckets that hold a changed path are read and written (dynamic partition overwrite), the others keep
     their files.  The highest seq of a path wins, so a repeated upsert changes nothing; a ``deleted`` row stays as a tombstone.
-    A base that is no longer the last version fails before anything is written, and of two writers from one base one fails."""
+    A base that is no longer the last version fails before anything is written."""
     spark = changes.sparkSession
-    now, buckets = index_version(spark, out)
-    if now != base:
-        raise RuntimeError(f"stale base: {out} is at version {now}, not {base}")
-    dealt = kept(changes.withColumn("bucket", F.pmod(F.xxhash64("rel_path"), F.lit(buckets)).cast("int")), "changes")
+    buckets = current_base(spark, out, base)
+    dealt = kept(in_bucket(changes, "rel_path", buckets), "changes")
     touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # as many as the index has folders, at most
     held = spark.read.parquet(out).where(F.col("bucket").isin(touched)).select(*dealt.columns)
     both = kept(lifecycle.apply_changes(held, dealt, "rel_path"), "upserted")
-    _claim_version(spark, out, base + 1, buckets)
-    both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
-    return base + 1
+    return replace_buckets(both.repartition("bucket"), out, base, buckets)
 
 
 def publish(staged: DataFrame, index: DataFrame) -> DataFrame:
