@@ -125,6 +125,31 @@ def test_kept_trees_take_later_edits(spark, odd, tmp_path):
         assert all(counts[i] == sum(encoder.leaves(t)[1]) for i, t in now.items())
 
 
+def test_kept_trees_by_buckets(spark, odd, tmp_path):
+    """Logs change only buckets of edited documents, broadcast or joined; texts are not shuffled; a stale base fails."""
+    import pathlib
+
+    encoder, out = token_counts.Encoder(RANKS, PATTERN), f"file://{tmp_path}/trees"
+    given = odd.where("doc_id IS NULL OR doc_id <> 101")
+    token_counts.keep_trees(token_counts.plant(given, RANKS, PATTERN), out, buckets=6)
+    now = {r.doc_id: r.text or "" for r in given.collect()}
+    files = lambda: {d.name: sorted(f.name for f in d.glob("*.parquet")) for d in pathlib.Path(f"{tmp_path}/trees").glob("bucket=*")}
+    logs = [([(4, 1, 2, 1, "é'll x"), (4, 0, 0, 0, "ab"), (999, 0, 0, 0, "no tree"), (None, 0, 0, 0, "no id")], 1 << 20), ([(102, 5, 10**9, 3, "tail"), (0, 0, 0, 0, "was empty"), (14, 0, 3, None, None)], 1)]
+    for version, (log, most) in enumerate(logs):
+        edits = spark.createDataFrame(log, "doc_id long, seq int, position int, removed int, inserted string")
+        before = files()
+        assert token_counts.tend_kept(spark, out, edits, version, RANKS, PATTERN, log_bytes=most) == version + 1
+        for i, _, at, gone, new in sorted((x for x in log if x[0] is not None and x[0] in now), key=lambda x: x[:2]):
+            at = min(at, len(now[i]))
+            now[i] = now[i][:at] + (new or "") + now[i][at + (gone or 0) :]
+        rows = {r.doc_id: r for r in spark.read.parquet(out).collect()}
+        assert {i: r.text for i, r in rows.items()} == now and all((r.chars, r.tokens) == encoder.leaves(now[i]) for i, r in rows.items())
+        touched = {f"bucket={r.bucket}" for r in spark.read.parquet(out).where(F.col("doc_id").isin([x[0] for x in log if x[0] is not None])).select("bucket").collect()}
+        assert all(files()[b] == before[b] for b in before if b not in touched and b != f"bucket={spark.range(1).selectExpr('pmod(xxhash64(999L), 6) b').first().b}")
+        with pytest.raises(RuntimeError, match="stale base"):
+            token_counts.tend_kept(spark, out, edits, version, RANKS, PATTERN)
+
+
 # --- op2, op3, op9: held-out rows
 
 

@@ -21,6 +21,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def kept_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents are kept, two logs of edits (each for some of the documents) change them, and they are counted."""
+    ranks, docs = public_tokenizers.path("byte_bpe_50k.tiktoken"), _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tb.shared_dir(spark, "trees")
+    token_counts.keep_trees(token_counts.plant(docs, ranks, public_tokenizers.PATTERN), out, max(1, docs.count() // token_counts.TREES_A_BUCKET))
+    edits = docs.withColumn("edits", token_counts.sampled_edits()).select("doc_id", F.posexplode("edits").alias("seq", "e")).select("doc_id", "seq", "e.*")
+    version = 0
+    for part in (0, 1):
+        version = token_counts.tend_kept(spark, out, edits.where(F.col("doc_id") % 7 == part), version, ranks, public_tokenizers.PATTERN)
+    return token_counts.tree_counts(spark.read.parquet(out))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -129,7 +141,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup, op11_phrase_collocations, op12_exact_topk, op13_conversation_repair, page_sequences]
+    found = [op1_token_counts, op2_quality_classifier, op3_language_id, op4_source_mixing, op5_token_files, op6_quality_rules, op7_byte_bpe, op8_media_columns, op9_toxicity, op10_simhash_neardup, op11_phrase_collocations, op12_exact_topk, op13_conversation_repair, page_sequences, kept_token_counts]
     return {f.__name__: f for f in found}
 
 

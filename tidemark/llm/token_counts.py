@@ -12,12 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
 from tidemark.llm.byte_bpe import WHITE, read_ranks
+from tidemark.operators.checkpoints import discard, kept
+from tidemark.sources import tables
 
 #: Characters beyond a match's end that the pattern may look at.
 LOOK_AHEAD = 2
@@ -237,18 +241,66 @@ def tend(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -> D
     Edits without a tree do nothing; rows that repeat a doc_id all get its edits."""
     log = edits.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "position", "removed", "inserted"))).alias("log"))
 
+    given = trees.select("doc_id", "text", "chars", "tokens").join(log, "doc_id", "left").select("doc_id", "text", "chars", "tokens", "log")
+    return given.mapInArrow(_tending(ranks_path, pattern), TREES + ", reencoded_chars long")
+
+
+def _tending(ranks_path: str, pattern: str):
+    """Rows of TREES and ``log``: those with edits grow, the others pass as they lie in Arrow's memory."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for batch in tb.slices(batches, "text", 2 << 20):
-            grown, again = [], []
-            for body, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                tree = CountTree.kept(body or "", chars or [], tokens or [], enc)
-                again.append(sum(tree.edit(c["position"] or 0, c["removed"] or 0, c["inserted"] or "") for c in changes or []))
-                grown.append(tree)
-            yield _tree_batch(batch.column(0), grown, pa.array(again, pa.int64()))
-
-    given = trees.select("doc_id", "text", "chars", "tokens").join(log, "doc_id", "left").select("doc_id", "text", "chars", "tokens", "log")
-    return given.mapInArrow(run, TREES + ", reencoded_chars long")
+        for whole in batches:
+            edited = whole.column(4).is_valid()
+            rest = whole.filter(pc.invert(edited))
+            if rest.num_rows:
+                yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array(np.zeros(rest.num_rows, np.int64))], names=["doc_id", "text", "chars", "tokens", "reencoded_chars"])
+            for batch in tb.slices(iter([whole.filter(edited)]), "text", 2 << 20):
+                grown, again = [], []
+                for body, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    tree = CountTree.kept(body or "", chars or [], tokens or [], enc)
+                    again.append(sum(tree.edit(c["position"] or 0, c["removed"] or 0, c["inserted"] or "") for c in changes))
+                    grown.append(tree)
+                yield _tree_batch(batch.column(0), grown, pa.array(again, pa.int64()))
+
+    return run
+
+
+#: Bytes of a log that are sent to all tasks at once; trees of a bucket, about.
+LOG_BYTES, TREES_A_BUCKET = 32 << 20, 20_000
+
+
+def keep_trees(trees: DataFrame, out: str, buckets: int | None = None) -> None:
+    """Trees as a table by buckets of doc_id, which ``tend_kept`` changes bucket by bucket."""
+    rows = trees.select("doc_id", "text", "chars", "tokens")
+    tables.create_buckets(rows, "doc_id", out, buckets or max(1, rows.count() // TREES_A_BUCKET))
+
+
+def tend_kept(spark: SparkSession, out: str, edits: DataFrame, base: int, ranks_path: str, pattern: str, log_bytes: int = LOG_BYTES) -> int:
+    """A log of edits, as for ``tend``, into kept trees at version ``base``; returns the new version.
+
+    Only buckets of edited documents are read and replaced.  The log comes to the trees: buckets are taken together as
+    long as their part of the log is at most ``log_bytes``, which is broadcast, so no text is shuffled; a bucket whose part is larger
+    is joined by doc_id.  Documents without edits pass as they are; edits without a tree do nothing."""
+    buckets = tables.current_base(spark, out, base)
+    log = kept(tables.in_bucket(edits.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "position", "removed", "inserted"), "doc_id", buckets), "log")
+    sizes = log.groupBy("bucket").agg(F.sum(F.coalesce(F.octet_length("inserted"), F.lit(0)) + 64).alias("n")).orderBy("bucket").collect()  # a row a bucket
+    groups: list[tuple[int, list[int]]] = []
+    for r in sizes:
+        if not groups or groups[-1][0] + r.n > log_bytes:
+            groups.append((0, []))
+        groups[-1] = (groups[-1][0] + r.n, [*groups[-1][1], r.bucket])
+    staged = tb.shared_dir(spark, "tended")
+    for size, some in groups:
+        own = log.where(F.col("bucket").isin(some)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "position", "removed", "inserted"))).alias("log"))
+        held = spark.read.parquet(out).where(F.col("bucket").isin(some)).join(F.broadcast(own) if size <= log_bytes else own, "doc_id", "left")
+        grown = held.select("doc_id", "text", "chars", "tokens", "log").mapInArrow(_tending(ranks_path, pattern), TREES + ", reencoded_chars long")
+        tables.in_bucket(grown.drop("reencoded_chars"), "doc_id", buckets).write.mode("append").partitionBy("bucket").parquet(staged)
+    if not groups:
+        return base
+    version = tables.replace_buckets(spark.read.parquet(staged), out, base, buckets)
+    discard(spark, staged)
+    return version
 
 
 def tree_counts(trees: DataFrame) -> DataFrame:
