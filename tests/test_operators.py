@@ -631,3 +631,10 @@ def test_chunker_as_a_table_function(spark):
     spark.createDataFrame(blocks, "path string, block int, content binary, profile string").createOrReplaceTempView("test_blocks")
     found = spark.sql("SELECT * FROM block_chunks(TABLE(test_blocks) PARTITION BY path ORDER BY block)").collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, cas.content_chunks(whole).collect())) and len(found) > 10
+
+
+def test_first_fault_of_a_path(spark):
+    """Of two faults the earlier test names the path: decomposed letters count before bad components."""
+    given = [("../e\u0301", "not_nfc"), ("/e\u0301", "not_relative"), ("a/./b", "dot_component"), ("e\u0301.", "not_nfc"), ("\u00e9/b", None)]
+    rows = spark.createDataFrame(given, "path string, fault string")
+    assert all(r.fault == r.found for r in rows.withColumn("found", paths.canonical_fault(F.col("path"))).collect())

@@ -208,7 +208,7 @@ def chunk_profile(path: Column) -> Column:
 
 
 def canonical_fault(path: Column) -> Column:
-    """Why a relative path is not canonical (first fault), or null.  The NFC test is the last; a path of
+    """Why a relative path is not canonical (first fault), or null.  The NFC test is the second; a path of
     ASCII characters has passed it, so only others meet the UDF's answer."""
     parts = components(path)
     any_part = lambda test: F.exists(parts, test)
@@ -218,6 +218,7 @@ def canonical_fault(path: Column) -> Column:
     folded = F.array(*[F.lit(c.lower()) for c in GIT_COMPONENTS])
     return (
         F.when((path == "") | F.startswith(path, F.lit("/")) | F.contains(path, F.lit("\\")) | path.rlike(r"\p{Cc}"), "not_relative")
+        .when(path.rlike(r"[^\x00-\x7f]") & (nfc(path) != path), "not_nfc")
         .when(any_part(lambda c: c.isin("", ".", "..")), "dot_component")
         .when(any_part(lambda c: c.rlike(r"[. ]$")), "trailing_dot_or_space")
         .when(any_part(lambda c: c.rlike(WINDOWS_FORBIDDEN)), "forbidden_character")
@@ -226,7 +227,6 @@ def canonical_fault(path: Column) -> Column:
         .when(any_part(lambda c: (F.lower(c) == ".git") & (c != ".git")), "git_alias")
         .when(F.exists(below_git, lambda c: F.array_contains(folded, F.lower(c)) & ~F.array_contains(exact, c)), "git_metadata_alias")
         .when(F.exists(below_git, lambda c: F.endswith(F.lower(c), F.lit(".lock")) & ~F.endswith(c, F.lit(".lock"))), "git_lock_alias")
-        .when(path.rlike(r"[^\x00-\x7f]") & (nfc(path) != path), "not_nfc")
     )
 
 
