@@ -78,12 +78,14 @@ def scan_state(content: DataFrame, body: str = "content") -> DataFrame:
     """All entries of state files (JSON text): path and its fields, last_seq and owner.
 
     A file is an object with ``entries``, or the older plain object of entries; anything else fails the scan."""
-    wrapped = F.from_json(F.col(body), f"last_seq bigint, device_id string, entries map<string, struct<{STATE_ENTRY.replace(' ', ': ').replace(',: ', ', ')}>>")
-    plain = F.from_json(F.col(body), f"map<string, struct<{STATE_ENTRY.replace(' ', ': ').replace(',: ', ', ')}>>")
-    broken = F.raise_error(F.lit("unreadable state file"))
-    entries = F.when(F.get_json_object(body, "$.entries").isNotNull(), wrapped["entries"]).when(F.get_json_object(body, "$").isNull(), broken).otherwise(plain)
-    rows = content.select(F.coalesce(wrapped["last_seq"], F.lit(0)).alias("last_seq"), F.coalesce(wrapped["device_id"], F.lit("")).alias("owner"), F.explode(entries).alias("path", "e"))
-    return rows.select("path", "e.*", "last_seq", "owner").fillna({"device_id": "", "status": "not_synced"})
+    named = lambda c: F.try_element_at(F.col("_file"), F.lit(c))
+    files = content.select(F.from_json(F.col(body), "map<string,string>").alias("_file"))  # entries stay text until each is a row
+    wrapped = named("entries").isNotNull()
+    entries = F.when(F.col("_file").isNull(), F.raise_error(F.lit("unreadable state file")).cast("map<string,string>")).when(wrapped, F.from_json(named("entries"), "map<string,string>")).otherwise(F.col("_file"))
+    seq, owner = F.when(wrapped, named("last_seq").cast("bigint")), F.when(wrapped, named("device_id"))
+    rows = files.select(F.coalesce(seq, F.lit(0)).alias("last_seq"), F.coalesce(owner, F.lit("")).alias("owner"), F.explode(entries).alias("path", "_text"))
+    entry = F.when(F.rlike("_text", F.lit(r"^\s*\{")), F.col("_text")).otherwise(F.raise_error(F.concat(F.lit("unreadable state entry: "), F.col("path"))))
+    return rows.select("path", F.from_json(entry, STATE_ENTRY).alias("e"), "last_seq", "owner").select("path", "e.*", "last_seq", "owner").fillna({"device_id": "", "status": "not_synced"})
 
 
 def write_state(rows: DataFrame, out: str, version: int) -> None:
