@@ -125,6 +125,51 @@ def test_kept_trees_take_later_edits(spark, odd, tmp_path):
         assert all(counts[i] == sum(encoder.leaves(t)[1]) for i, t in now.items())
 
 
+def test_op9_scores_from_plain_counts(spark, docs, texts):
+    """The lexicon, the extreme-value law and every score again, from texts that each word is looked up in."""
+    labels, c = spark.read.parquet(f"{SF}/labels.parquet"), toxicity.Constants()
+    model = toxicity.fit(docs, labels)
+    sample = toxicity.labelled_sample(docs, labels, "toxic", toxicity.LABELLED_TEXTS)
+    known, once = {r.doc_id: (r.y, r.text) for r in sample.collect()}, {r.doc_id for r in toxicity.without_copies(sample).collect()}
+    token = lambda w: toxicity._tokens([w])[0]
+    seen = collections.defaultdict(lambda: [0, 0])
+    for i in once:
+        y, text = known[i]
+        for w in {w.encode() for w in WORD.findall(text)}:
+            for key in (token(w), *toxicity._prefixes(token(w))) if token(w) else ():
+                seen[key][y] += 1
+    n = [sum(v[y] for v in seen.values()) for y in (0, 1)]
+    odds = {}
+    for key, (y0, y1) in seen.items():
+        share = (y0 + y1) * c.prior
+        a1, a0, everything = y1 + share, y0 + share, c.prior * sum(n)
+        x = np.log(a1 / (n[1] + everything - a1)) - np.log(a0 / (n[0] + everything - a0))
+        z = x / np.sqrt(1 / a1 + 1 / a0)
+        if abs(z) >= c.least_z:
+            odds[key] = (x, z)
+    assert odds.keys() == model.lexicon.keys() and all(model.lexicon[k] == pytest.approx(v, rel=1e-9) for k, v in odds.items())
+
+    def word_score(w):
+        t = token(w.encode())
+        near = [odds[k] for k in toxicity._prefixes(t) if k in odds] if t else []
+        return 0.0 if not t else (odds[t][0] if t in odds else max(near, key=lambda x: abs(x[1]))[0] if near else 0.0) - c.drift
+
+    def segments(text):
+        words = WORD.findall(text or "")
+        return len(words), [s for _, _, s in toxicity.maximal_segments(np.array([word_score(w) for w in words]))]
+
+    clean = [(m, max(found, default=0.0)) for y, text in known.values() for m, found in [segments(text)] if y == 0 and m]
+    spread = np.std([b for _, b in clean])
+    rate = float(np.clip(np.pi / (np.sqrt(6) * spread), 0.3, 3.0)) if spread > 0 else 3.0
+    scale = len(clean) / sum(m * np.exp(-rate * b) for m, b in clean)
+    assert (model.rate, model.scale) == pytest.approx((rate, scale), rel=1e-9)
+    for r in toxicity.score(docs, model).collect():
+        m, found = segments(texts[r.doc_id])
+        each = [-np.log(max(e, 1e-300)) for s in found if (e := scale * m * np.exp(-rate * s)) <= c.significant]
+        x = np.array([[np.log1p(sum(each)), np.log1p(max(each, default=0.0))]])
+        assert r.passages == len(each) and r.score == pytest.approx(float(model.calibration(x)[0]), rel=1e-6)
+
+
 def test_kept_trees_by_buckets(spark, odd, tmp_path):
     """Logs change only buckets of edited documents, broadcast or joined; texts are not shuffled; a stale base fails."""
     import pathlib
