@@ -638,3 +638,67 @@ def test_first_fault_of_a_path(spark):
     given = [("../e\u0301", "not_nfc"), ("/e\u0301", "not_relative"), ("a/./b", "dot_component"), ("e\u0301.", "not_nfc"), ("\u00e9/b", None)]
     rows = spark.createDataFrame(given, "path string, fault string")
     assert all(r.fault == r.found for r in rows.withColumn("found", paths.canonical_fault(F.col("path"))).collect())
+
+
+def walked_in_order(rows):
+    """A depth-first walk of a listing in the order of its names that follows links, with a set of real folders met."""
+    kind, target = {p: k for p, k, _ in rows}, {p: t for p, _, t in rows}
+
+    def real(path, depth=0):
+        parts = path.split("/")
+        for i in range(1, len(parts) + 1):
+            head = "/".join(parts[:i])
+            if kind.get(head) == "symlink":
+                return None if depth > 60 else real("/".join([target[head], *parts[i:]]), depth + 1)
+        return path if path in kind else None
+
+    out, seen = [], set()
+
+    def walk(at, folder):
+        before = sum(k == "file" for _, k in out)
+        inside = sorted((p for p in kind if p.rpartition("/")[0] == folder), key=lambda p: p.rpartition("/")[2].encode())
+        for p in inside:
+            name = p.rpartition("/")[2]
+            shown = f"{at}/{name}" if at else name
+            if name.startswith(".") and kind[p] == "directory":
+                continue
+            if kind[p] == "file":
+                out.append((shown, "file"))
+                continue
+            goal = real(p) if kind[p] == "symlink" else p
+            if goal is None or goal in seen:
+                continue
+            seen.add(goal)
+            if kind[goal] == "directory":
+                walk(shown, goal)
+            else:
+                out.append((shown, "file"))
+        if sum(k == "file" for _, k in out) == before and at:
+            out.append((at, "empty_dir"))
+
+    walk("", "")
+    return sorted(out)
+
+
+def test_walk_follows_links_to_folders(spark):
+    """Random listings with links to folders, through links, upwards, in cycles and out of hidden folders, against a plain walk."""
+    import random
+
+    r = random.Random(21)
+    rows, base = [], []
+    for tree in range(6):
+        folders = [f"t{tree}"]
+        for i in range(8):
+            folders.append(f"{r.choice(folders)}/{r.choice(['a', 'm', 'z', '.h', 'q'])}{i}")
+        entries = {f: ("directory", None) for f in folders}
+        for i in range(6):
+            entries[f"{r.choice(folders)}/{r.choice('bky')}f{i}"] = ("file", None)
+        files = [p for p, (k, _) in entries.items() if k == "file"]
+        links = [f"{r.choice(folders)}/{r.choice('0cw')}l{i}" for i in range(7)]
+        for p in links:
+            goal = r.choice([*folders, *files, *links, f"{r.choice(links)}/{r.choice(['a', 'm'])}{r.randrange(8)}", "/out/side"])
+            entries[p] = ("symlink", goal)
+        base += [(p, k, t) for p, (k, t) in entries.items()]
+    rows = base
+    df = spark.createDataFrame(rows, "rel_path string, kind string, target string")
+    assert sorted((x.rel_path, x.kind) for x in tables.walk(df, links="follow").collect()) == walked_in_order(rows)

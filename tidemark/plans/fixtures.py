@@ -60,6 +60,7 @@ TABLES: dict[str, tuple[str, list[str], str]] = {
     "git_remote": ("documents", ["doc_id", f"{_GIT_PATH} AS rel_path", f"SHA({_REMOTE}) AS hash", "1 + doc_id % 2 AS ca", "doc_id % 3 AS cb", "CASE WHEN doc_id % 10 < 4 THEN 'deleted' ELSE 'committed' END AS state"], "doc_id % 5 <> 4"),
     "git_tracked": ("documents", ["doc_id", f"{_GIT_PATH} AS rel_path", "SHA(text) AS hash"], "doc_id % 3 <> 0"),
     "tree_entries": ("documents", ["doc_id", f"{_ENTRY} AS rel_path", "CASE doc_id % 10 WHEN 0 THEN 'directory' WHEN 5 THEN 'directory' WHEN 7 THEN 'directory' WHEN 8 THEN 'directory' WHEN 1 THEN 'symlink' WHEN 9 THEN 'symlink' ELSE 'file' END AS kind", f"CASE doc_id % 10 WHEN 1 THEN concat('t/d', {_UP}, '/f', cast(doc_id + CASE WHEN doc_id % 20 = 1 THEN 1 ELSE 2 END as string)) WHEN 9 THEN '/home/x/.ssh/id' END AS target"], "true"),
+    "linked_entries": ("documents", ["doc_id", "replace(CASE doc_id % 10 WHEN 0 THEN 'w/a@' WHEN 1 THEN 'w/z@' WHEN 2 THEN 'w/z@/f' WHEN 3 THEN 'w/z@/sub' WHEN 4 THEN 'w/z@/sub/h' WHEN 5 THEN 'w/z@/up' WHEN 6 THEN 'w/c@' WHEN 7 THEN 'w/d@' WHEN 8 THEN 'w/0@' ELSE 'w/o@' END, '@', cast(cast((doc_id - doc_id % 10) / 10 as int) as string)) AS rel_path", "CASE WHEN doc_id % 10 IN (1, 3) THEN 'directory' WHEN doc_id % 10 IN (2, 4) THEN 'file' ELSE 'symlink' END AS kind", "replace(CASE doc_id % 10 WHEN 0 THEN 'w/z@' WHEN 5 THEN 'w/z@' WHEN 6 THEN 'w/d@' WHEN 7 THEN 'w/c@' WHEN 8 THEN 'w/a@/sub' WHEN 9 THEN '/outside/x' END, '@', cast(cast((doc_id - doc_id % 10) / 10 as int) as string)) AS target"], "true"),
     "policy_rows": ("documents", ["source AS folder", "CASE length(source) % 2 WHEN 0 THEN 'on_demand' ELSE 'always' END AS sync_mode", "cast(2000 as bigint) AS download_threshold"], "true"),
     "policy_overrides": ("documents", ["concat(source, '/de') AS folder", "'never' AS sync_mode", "cast(NULL as bigint) AS download_threshold"], "lang = 'de'"),
     "log_events": ("events", ["event_id AS seq", "concat('dev', cast(user_id % 8 as string)) AS device_id", "CASE event_type WHEN 'click' THEN 'file_synced' WHEN 'view' THEN 'file_synced' WHEN 'purchase' THEN 'conflict_resolved' WHEN 'error' THEN 'file_deleted' ELSE 'device_online' END AS type", "CASE WHEN event_type = 'signup' THEN NULL WHEN event_id % 19 = 0 THEN concat('u', cast(user_id as string), '/.ssh/key') ELSE concat('u', cast(user_id as string), '/f', cast(event_id % 7 as string)) END AS rel_path", "user_id", "event_type", "event_id"], "true"),

@@ -235,6 +235,16 @@ def tree_walk_following(spark: SparkSession, d: str) -> DataFrame:
     return tables.walk(load(spark, d, "tree_entries").drop("doc_id"), links="follow")
 
 
+@query("""SELECT concat('w/0', g::VARCHAR, '/h') AS rel_path, 'file' AS kind FROM (SELECT DISTINCT doc_id // 10 AS g FROM documents WHERE doc_id % 10 = 9)
+UNION ALL SELECT concat('w/a', g::VARCHAR, '/f'), 'file' FROM (SELECT DISTINCT doc_id // 10 AS g FROM documents WHERE doc_id % 10 = 9)""")
+def tree_walk_linked_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Folders met first through links, one of them through a link on its target's way; links up, in a cycle and outside."""
+    rows = load(spark, d, "linked_entries")
+    whole = rows.withColumn("g", F.floor(F.col("doc_id") / 10))
+    full = whole.where("doc_id % 10 = 9").select("g")  # a last group that is cut short has no such row
+    return tables.walk(whole.join(full, "g", "left_semi").drop("g", "doc_id"), links="follow")
+
+
 @query("""SELECT doc_id, CASE WHEN mtime = 0 THEN 'unknown' WHEN s >= 86400 THEN concat((s // 86400)::VARCHAR, 'd') WHEN s >= 3600 THEN concat((s // 3600)::VARCHAR, 'h') WHEN s >= 60 THEN concat((s // 60)::VARCHAR, 'm') ELSE '<1m' END AS age,
  CASE WHEN size < 60 THEN concat(size::VARCHAR, 's') WHEN size < 3600 THEN concat((size // 60)::VARCHAR, 'm') WHEN size < 86400 THEN concat((size // 3600)::VARCHAR, 'h') ELSE concat((size // 86400)::VARCHAR, 'd') END AS duration,
  CASE WHEN length(rel_path) > 10 THEN concat(substr(rel_path, 1, 9), '…') ELSE rel_path END AS short, substr(hash, 1, 16) AS prefix, substr(hash, 1, 2) AS shard, concat(rel_path, '.tc') AS stub FROM (SELECT *, greatest(100000 - mtime * 97, 0) AS s FROM (SELECT doc_id, rel_path, size, hash, doc_id AS mtime FROM tree))""", "tree")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ingress, paths
-from tidemark.operators import checkpoints, lifecycle, namespace
+from tidemark.operators import checkpoints, folders, lifecycle, namespace
 from tidemark.operators.checkpoints import kept
 
 #: Manifest bytes as JSON; fields that older writers lack are null and get their default.
@@ -37,8 +37,9 @@ def walk(entries: DataFrame, links: str = "skip", **rules) -> DataFrame:
 
     A denied entry goes with all below it, and so does a link whose target has a security component.  Links
     are preserved as links, skipped, or followed: then one to a listed file counts as a file, the first link
-    by path where several lead to one file; one to a listed folder would walk that folder again, so it is
-    dropped as a cycle, and so is one to nothing.  A folder under which nothing was collected is an empty one."""
+    by path where several lead to one file.  A folder is walked once, under the first path in the order of the tree that leads to it:
+    its own, or that of a link to it or to a folder above it (``_followed``).  Links to nothing, outside the listing or in
+    a cycle are dropped.  A folder under which nothing was collected is an empty one."""
     if links not in ("skip", "preserve", "follow"):
         raise ValueError(links)
     path, parent = F.col("rel_path"), F.regexp_extract("rel_path", r"^(.*)/[^/]*$", 1)
@@ -50,6 +51,11 @@ def walk(entries: DataFrame, links: str = "skip", **rules) -> DataFrame:
     if links == "preserve":
         files = files.unionByName(seen.select("rel_path", F.lit("symlink").alias("kind")))
     elif links == "follow":
+        real = _real_targets(entries.where("kind = 'symlink'").select("rel_path", "target"))
+        to_folder = checkpoints.kept(seen_links(entries, **rules).join(real, "rel_path").join(entries.where("kind = 'directory'").select(F.col("rel_path").alias("real")), "real").where(ingress.security_reason(F.col("real")).isNull()), "folder-links")
+        if not to_folder.isEmpty():
+            return _followed(entries, to_folder, real, **rules)
+        seen = seen.drop("target").join(real.withColumnRenamed("real", "target"), "rel_path").where(ingress.security_reason(F.col("target")).isNull())
         first = seen.groupBy("target").agg(F.min("rel_path").alias("link"))
         files = files.unionByName(first.join(files.select(F.col("rel_path").alias("target")), "target").select(F.col("link").alias("rel_path"), F.lit("file").alias("kind")))
     full = files.select(F.explode(paths.ancestors(path)).alias("rel_path")).distinct()
@@ -57,6 +63,78 @@ def walk(entries: DataFrame, links: str = "skip", **rules) -> DataFrame:
     return files.unionByName(empty.select("rel_path", F.lit("empty_dir").alias("kind"))).orderBy("kind", "rel_path")
 
 
+#: Links on one way that are put in at most, as file systems do.
+LINK_ROUNDS = 40
+
+
+def seen_links(entries: DataFrame, **rules) -> DataFrame:
+    """Links (rel_path) whose own name is not denied and whose target has no security component."""
+    named = ingress.path_reason(F.col("rel_path"), F.lit(False), **rules).isNull()
+    return entries.where((F.col("kind") == "symlink") & named & ingress.security_reason(F.coalesce("target", F.lit(""))).isNull()).select("rel_path")
+
+
+def _real_targets(links: DataFrame) -> DataFrame:
+    """(rel_path, real): each link's target with all links on its way put in, one a round; those that a file system would
+    give up on have no row: links in a cycle (they come to themselves or below), and chains of over LINK_ROUNDS links."""
+    known = checkpoints.kept(links.where("target IS NOT NULL").select("rel_path", F.col("target").alias("real")), "targets")
+    now = known
+    for _ in range(LINK_ROUNDS):
+        chain = F.concat(paths.ancestors(F.col("real")), F.array("real"))
+        on_way = now.select("rel_path", "real", F.posexplode(chain).alias("depth", "prefix"))  # links alone, not the listing
+        hit = on_way.join(known.select(F.col("rel_path").alias("prefix"), F.col("real").alias("to")), "prefix").groupBy("rel_path").agg(F.min_by(F.struct("prefix", "to"), "depth").alias("x"))
+        hit = checkpoints.kept(hit.select("rel_path", "x.*"), "substitutions")
+        if hit.isEmpty():
+            return now
+        put = F.coalesce(F.concat("to", F.substr("real", F.length("prefix") + 1)), F.col("real"))
+        moved = checkpoints.kept(now.join(hit, "rel_path", "left").select("rel_path", put.alias("real")), "moved")
+        cyclic = moved.where((F.col("real") == F.col("rel_path")) | F.startswith("real", F.concat("rel_path", F.lit("/")))).select("rel_path")
+        now = moved.join(cyclic, "rel_path", "left_anti")
+        if not cyclic.isEmpty():
+            known = checkpoints.kept(known.join(cyclic, "rel_path", "left_anti"), "targets")
+    return now.join(hit.select("rel_path"), "rel_path", "left_anti")
+
+
+def _placed(rows: DataFrame, marks: DataFrame, path: str, into: str) -> DataFrame:
+    """Rows with the path under which a walk meets them (null: never), given where marked folders (folder, at) are met."""
+    near = folders.nearest_above(rows, marks, path)
+    moved = F.concat("mark.at", F.substr(path, F.length("mark.folder") + 1))
+    return rows.join(near, path, "left").withColumn(into, F.when(F.col("mark").isNull(), F.col(path)).otherwise(moved)).drop("mark")
+
+
+def _followed(entries: DataFrame, to_folder: DataFrame, real: DataFrame, **rules) -> DataFrame:
+    """``walk`` where links lead to folders (rel_path, real).
+
+    The walk meets a folder under the least path, in the order of the tree, of all that lead to it: its parent's path and its name,
+    or the path of a link to it.  These are found as shortest paths are: from the real paths, every round takes the least arrival
+    of what the round before knows, until none changes.  Only folders that are met elsewhere than at their parent's
+    path, or never (denied names), are marked; all others follow from the nearest mark above them."""
+    path = F.col("rel_path")
+    listed = checkpoints.kept(entries.withColumn("ok", ingress.path_reason(path, F.col("kind") == "directory", **rules).isNull()), "listed")
+    never = listed.where("kind = 'directory' AND NOT ok").select(F.col("rel_path").alias("folder"), F.lit(None).cast("string").alias("at"))
+    key = lambda c: F.replace(F.col(c), F.lit("/"), F.lit("\x00"))
+    parent, name = F.regexp_extract("real", r"^(.*)/[^/]*$", 1), F.regexp_extract("real", r"([^/]*)$", 1)
+    goals = to_folder.select("real").distinct().join(listed.where("ok").select(F.col("rel_path").alias("real"), "ok"), "real", "left").withColumns({"parent": parent, "name": name})
+    marks, before = checkpoints.kept(never, "marks"), None
+    while True:
+        arrivals = _placed(to_folder.select("rel_path", "real"), marks, "rel_path", "at").where("at IS NOT NULL")
+        least = arrivals.groupBy("real").agg(F.min_by("at", key("at")).alias("at"))
+        own = _placed(goals, marks, "parent", "above").withColumn("own", F.when(F.col("ok"), F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat("above", F.lit("/"), "name"))))
+        better = own.join(least, "real").where(F.col("own").isNull() | (key("at") < key("own"))).select(F.col("real").alias("folder"), "at")
+        marks = checkpoints.kept(never.join(better.select("folder"), "folder", "left_anti").unionByName(better), "marks")
+        state = marks.agg(F.count("*"), F.sum(F.xxhash64("folder", "at").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    met = checkpoints.kept(_placed(listed.where("ok OR kind = 'directory'").select("rel_path", "kind"), marks, "rel_path", "at").where("at IS NOT NULL"), "met")
+    files = met.where("kind = 'file'").select("at")
+    links = met.where("kind = 'symlink'").join(seen_links(entries, **rules), "rel_path", "left_semi").join(real, "rel_path").where(ingress.security_reason(F.col("real")).isNull())
+    first = links.join(listed.where("kind = 'file'").select(F.col("rel_path").alias("real")), "real").groupBy("real").agg(F.min_by("at", key("at")).alias("at")).select("at")
+    found = files.unionByName(first).select(F.col("at").alias("path"), F.lit(True).alias("live"))
+    both = found.unionByName(met.where("kind = 'directory'").select(F.col("at").alias("path"), F.lit(False).alias("live"))).groupBy("path").agg(F.bool_or("live").alias("live"))
+    asked = folders.with_below(both, F.col("live"))
+    return asked.where("live OR NOT has_below").select(F.col("path").alias("rel_path"), F.when(F.col("live"), "file").otherwise("empty_dir").alias("kind")).orderBy("kind", "rel_path")
+
+
 def local_set(files: DataFrame) -> DataFrame:
     """Keyed by NFC path.  A path that two files share, two spellings of one case-folded path, and a file
     that is another's ancestor (case-folded) are errors when the plan runs."""
