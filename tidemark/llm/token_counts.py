@@ -250,17 +250,17 @@ def _tending(ranks_path: str, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for whole in batches:
+        for whole in tb.slices(batches, "text", 2 << 20):
             edited = whole.column(4).is_valid()
-            rest = whole.filter(pc.invert(edited))
+            rest, batch = whole.filter(pc.invert(edited)), whole.filter(edited)
             if rest.num_rows:
                 yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array(np.zeros(rest.num_rows, np.int64))], names=["doc_id", "text", "chars", "tokens", "reencoded_chars"])
-            for batch in tb.slices(iter([whole.filter(edited)]), "text", 2 << 20):
-                grown, again = [], []
-                for body, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                    tree = CountTree.kept(body or "", chars or [], tokens or [], enc)
-                    again.append(sum(tree.edit(c["position"] or 0, c["removed"] or 0, c["inserted"] or "") for c in changes))
-                    grown.append(tree)
+            grown, again = [], []
+            for body, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                tree = CountTree.kept(body or "", chars or [], tokens or [], enc)
+                again.append(sum(tree.edit(c["position"] or 0, c["removed"] or 0, c["inserted"] or "") for c in changes))
+                grown.append(tree)
+            if grown:
                 yield _tree_batch(batch.column(0), grown, pa.array(again, pa.int64()))
 
     return run
