@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -208,6 +209,24 @@ def test_cas_edges(spark):
     assert cas.grace(0, indexed=False) == 0
 
 
+def test_frames_are_handed_on_in_bounded_batches(spark):
+    """One batch of many long texts, and of frames that open to far more than they hold: no batch on the way out exceeds
+    BATCH_BYTES, and the bytes come back in any range."""
+    bodies = [*(random.Random(i).randbytes(1 << 20) for i in range(12)), b"", None, bytes(20 << 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(bodies))]), pa.array(bodies, pa.binary())], names=["k", "c"])
+    framed = list(cas._framed(iter([batch]), 1 << 20, 3))
+    assert len(framed) > 2 and all(sum(b.column(3).to_pylist()) <= cas.BATCH_BYTES for b in framed)
+    rows = [r for b in framed for r in b.to_pylist()]
+    asked = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows]) for c in ("k", "pos", "frame", "uncompressed")] + [pa.array([7] * len(rows)), pa.array([1 << 20] * len(rows))], names=["k", "pos", "frame", "uncompressed", "low", "size"])
+    opened = list(cas._opened(iter([asked])))
+    assert len(opened) >= 8 and all(sum(map(len, b.column(2).to_pylist())) <= cas.BATCH_BYTES for b in opened)
+    got = {(r["k"], r["pos"]): r["_b"] for b in opened for r in b.to_pylist()}
+    assert got == {(str(k), i >> 20): x[i + 7 : i + (1 << 20)] for k, x in enumerate(bodies) for i in range(0, len(x or b""), 1 << 20)}
+    files = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in enumerate(bodies)], "path long, content binary")
+    whole = cas.read_range(cas.compress_frames(files, frame_bytes=300_000), 1_000, 900_000).collect()
+    assert {int(r.path): bytes(r.content) for r in whole} == {i: x[1_000:900_000] for i, x in enumerate(bodies) if x}
+
+
 def test_debounce_gap(spark):
     """Exactly the gap ends a period; repeated and out-of-order delivery change nothing else."""
     rows = [("p", 0, 1, "created"), ("p", 99, 2, "modified"), ("p", 199, 3, "deleted"), ("q", 5, 4, "created")]

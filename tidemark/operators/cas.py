@@ -11,11 +11,10 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tidemark.operators import scans
@@ -439,41 +438,68 @@ def overlapping_frames(frames: DataFrame, start: Column, end: Column, key: str =
     return frame_offsets(frames, key).where((F.col("begin") < end) & (F.col("begin") + F.col("uncompressed") > start))
 
 
-def compress_frames(files: DataFrame, frame_bytes: int = 1 << 20, level: int = 3, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, pos, uncompressed, compressed, frame): independent zstandard frames; none if empty."""
+#: Bytes of frames, or of what they hold, that a task makes before it hands them on; one larger frame alone exceeds it.
+BATCH_BYTES = 4 << 20
+
+
+def _framed(batches: Iterator[pa.RecordBatch], frame_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, content) to frames, handed on every BATCH_BYTES, however many rows a batch has and however long they are."""
     import zstandard
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdCompressor(level=level)
-        for batch in batches:
-            rows = []
-            for k, data in zip(batch["k"], batch["c"], strict=True):
-                data = bytes(data or b"")
-                for pos, i in enumerate(range(0, len(data), frame_bytes)):
-                    frame = z.compress(data[i : i + frame_bytes])
-                    rows.append((k, pos, len(data[i : i + frame_bytes]), len(frame), frame))
-            yield pd.DataFrame(rows, columns=["k", "pos", "uncompressed", "compressed", "frame"])
+    z = zstandard.ZstdCompressor(level=level)
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "pos", "uncompressed", "compressed", "frame"])
+
+    for batch in batches:
+        rows, held = [], 0
+        for k, data in zip(batch.column(0), batch.column(1), strict=True):
+            body = memoryview(data.as_buffer() if data.is_valid else b"")
+            for pos, i in enumerate(range(0, len(body), frame_bytes)):
+                piece = body[i : i + frame_bytes]
+                frame = z.compress(piece)
+                if rows and held + len(frame) > BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+                rows.append((k.as_py(), pos, len(piece), len(frame), frame))
+                held += len(frame)
+        if rows:
+            yield made(rows)
+
+
+def compress_frames(files: DataFrame, frame_bytes: int = 1 << 20, level: int = 3, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, pos, uncompressed, compressed, frame): independent zstandard frames; none if empty."""
     given = files.select(F.col(key).cast("string").alias("k"), F.col(content).cast("binary").alias("c"))
-    return given.mapInPandas(run, "k string, pos int, uncompressed long, compressed long, frame binary").withColumnRenamed("k", key)
+    return given.mapInArrow(lambda batches: _framed(batches, frame_bytes, level), "k string, pos int, uncompressed long, compressed long, frame binary").withColumnRenamed("k", key)
 
 
-@F.pandas_udf(BinaryType())
-def decompress(frame: pd.Series) -> pd.Series:
-    """One frame's bytes."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, pos, frame, uncompressed, low, size) to the bytes [low, low + size) of each frame, handed on every BATCH_BYTES."""
     import zstandard
 
     z = zstandard.ZstdDecompressor()
-    return frame.map(lambda x: z.decompress(bytes(x)), na_action="ignore")
+    for batch in batches:
+        sizes = batch.column(3).to_pylist()
+        begin, held, parts = 0, 0, []
+        for i, (data, low, size) in enumerate(zip(batch.column(2), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            if parts and held + sizes[i] > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(parts)).columns[:2], pa.array(parts, pa.binary())], names=[*batch.schema.names[:2], "_b"])
+                begin, held, parts = i, 0, []
+            parts.append(z.decompress(data.as_buffer())[low : low + size] if data.is_valid else None)
+            held += sizes[i]
+        if parts:
+            yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(parts)).columns[:2], pa.array(parts, pa.binary())], names=[*batch.schema.names[:2], "_b"])
 
 
 def read_range(frames: DataFrame, start: int, end: int | None = None, key: str = "path") -> DataFrame:
     """Bytes [start, end) of each file (end None: all that follow), from the overlapping frames alone."""
     end = F.lit(end) if end is not None else F.lit((1 << 63) - 1)
-    hit = overlapping_frames(frames, F.lit(start), end, key).withColumn("_data", decompress("frame"))
-    low = F.greatest(F.lit(start) - F.col("begin"), F.lit(0)).cast("int")
-    size = (F.least(end, F.col("begin") + F.col("uncompressed")) - F.greatest(F.lit(start), F.col("begin"))).cast("int")
-    part = hit.select(key, "pos", F.substr("_data", low + 1, size).alias("_b"))
+    hit = overlapping_frames(frames, F.lit(start), end, key)
+    low = F.greatest(F.lit(start) - F.col("begin"), F.lit(0)).alias("low")
+    size = (F.least(end, F.col("begin") + F.col("uncompressed")) - F.greatest(F.lit(start), F.col("begin"))).alias("size")
+    kinds = StructType([hit.schema[key], hit.schema["pos"], StructField("_b", BinaryType())])
+    part = hit.select(key, "pos", "frame", "uncompressed", low, size).mapInArrow(_opened, kinds)
     return part.groupBy(key).agg(F.expr("listagg(_b) WITHIN GROUP (ORDER BY pos)").alias("content"))
 
 
