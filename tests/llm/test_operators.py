@@ -195,6 +195,42 @@ def test_kept_trees_by_buckets(spark, odd, tmp_path):
             token_counts.tend_kept(spark, out, edits, version, RANKS, PATTERN)
 
 
+def test_kept_trees_handle_only_what_edits_touch(spark, odd, tmp_path, monkeypatch):
+    """Python gets edited documents alone, new buckets are written once and moved, and planting matches each distinct segment once."""
+    real, out = token_counts._tending, f"file://{tmp_path}/trees"
+
+    def only_edited(*args):
+        run = real(*args)
+
+        def watched(batches):
+            for batch in batches:
+                assert batch.column(4).null_count == 0
+                yield from run(iter([batch]))
+
+        return watched
+
+    def twice(*_):
+        raise AssertionError("buckets are written again")
+
+    monkeypatch.setattr(token_counts, "_tending", only_edited)
+    monkeypatch.setattr(token_counts.tables, "replace_buckets", twice)
+    given = odd.where("doc_id IS NULL OR doc_id <> 101")
+    token_counts.keep_trees(token_counts.plant(given, RANKS, PATTERN), out, buckets=3)
+    log = [(4, 0, 0, 1, "ab"), (102, 0, 3, 2, "x"), (999, 0, 0, 0, "no tree")]
+    assert token_counts.tend_kept(spark, out, spark.createDataFrame(log, "doc_id long, seq int, position int, removed int, inserted string"), 0, RANKS, PATTERN) == 1
+    want = {r.doc_id: r.text or "" for r in given.collect()}
+    want |= {4: "ab" + want[4][1:], 102: want[102][:3] + "x" + want[102][5:]}
+    assert {r.doc_id: r.text for r in spark.read.parquet(out).collect()} == want and not list((tmp_path / "trees").glob("_staged*"))
+    for pattern in (PATTERN, PATTERN + "|#"):
+        encoder = token_counts.Encoder(RANKS, pattern)
+        texts = [*want.values(), "two words " * 20_000]
+        chars, tokens = encoder.leaf_columns(pa.array(texts))
+        assert list(zip(chars.to_pylist(), tokens.to_pylist(), strict=True)) == [encoder.leaves(t) for t in texts]
+    again = token_counts.Encoder(RANKS, PATTERN)
+    again.leaf_columns(pa.array(["two words " * 20_000]))
+    assert len(again.cache.new) < 8
+
+
 # --- op2, op3, op9: held-out rows
 
 

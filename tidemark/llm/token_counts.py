@@ -10,6 +10,8 @@ since from there on both texts match alike.  Sums are then updated along the cha
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +22,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
 from tidemark.llm.byte_bpe import WHITE, read_ranks
-from tidemark.operators.checkpoints import discard, kept
+from tidemark.operators.checkpoints import kept
 from tidemark.sources import tables
 
 #: Characters beyond a match's end that the pattern may look at.
 LOOK_AHEAD = 2
 #: Pre-tokens in one leaf of a new tree; a leaf that would hold over four times as many rebuilds it.
 FAN_OUT = 64
+#: A segment that is one pre-token.
+ASCII_WORD = re.compile(rb" ?[A-Za-z]+")
 
 
 class Encoder:
@@ -39,6 +43,7 @@ class Encoder:
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.coding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
         self.known: dict[str, int] = {}
+        self.cuts, self.cache = pattern == tb.CUT_PATTERN, tb.Cache()
 
     def count(self, piece: str) -> int:
         if (n := self.known.get(piece)) is None:
@@ -53,6 +58,24 @@ class Encoder:
         pieces = self.find.findall(text)
         return list(map(len, pieces)), list(map(self.count, pieces))
 
+    def _pairs(self, pieces: list[bytes]) -> list[bytes]:
+        """``leaves`` of segments as pairs of numbers; one of ASCII letters, after a space or none, is one pre-token."""
+        out, word, pair, encode = [], ASCII_WORD.fullmatch, struct.Struct("<ii").pack, self.coding.encode_ordinary
+        for piece in pieces:
+            text = piece.decode()
+            if self.cuts and word(piece):
+                out.append(pair(len(text), len(encode(text))))
+            else:
+                out.append(b"".join(map(pair, *self.leaves(text))))
+        return out
+
+    def leaf_columns(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """``leaves`` of each text as two columns of lists; each distinct segment of a slice is matched once."""
+        found = tb.segments(*tb.utf8(texts), cuts=self.cuts)
+        flat, at = tb.expand(found, self.cache.encode(found.distinct(), self._pairs), np.dtype([("chars", "<i4"), ("tokens", "<i4")]))
+        ends = pa.array(at, pa.int32())
+        return tuple(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(flat[name]))) for name in ("chars", "tokens"))
+
 
 class CountTree:
     """Segment tree of one document: leaves are short runs of pre-tokens, node i has children 2i and 2i + 1.
@@ -216,10 +239,10 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
 TREES = "doc_id long, text string, chars array<int>, tokens array<int>"
 
 
-def _tree_batch(ids: pa.Array, trees: list[CountTree], *more: pa.Array) -> pa.RecordBatch:
+def _tree_batch(ids: pa.Array, trees: list[CountTree], again: list[int]) -> pa.RecordBatch:
     leaves = [t.leaves() for t in trees]
-    columns = [ids, pa.array([t.text for t in trees], pa.string()), pa.array([c for c, _ in leaves], pa.list_(pa.int32())), pa.array([n for _, n in leaves], pa.list_(pa.int32())), *more]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "chars", "tokens", *["reencoded_chars"] * len(more)])
+    columns = [ids, pa.array([t.text for t in trees], pa.string()), pa.array([c for c, _ in leaves], pa.list_(pa.int32())), pa.array([n for _, n in leaves], pa.list_(pa.int32())), pa.array(again, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "chars", "tokens", "reencoded_chars"])
 
 
 def plant(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,8 +250,9 @@ def plant(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for batch in tb.slices(batches, "text", 2 << 20):
-            yield _tree_batch(batch.column(0), [CountTree(body or "", enc) for body in batch.column(1).to_pylist()])
+        for batch in tb.slices(batches, "text", 4 << 20):
+            texts = pc.fill_null(batch.column(1), "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *enc.leaf_columns(texts)], names=["doc_id", "text", "chars", "tokens"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, TREES)
 
@@ -261,7 +285,7 @@ def _tending(ranks_path: str, pattern: str):
                 again.append(sum(tree.edit(c["position"] or 0, c["removed"] or 0, c["inserted"] or "") for c in changes))
                 grown.append(tree)
             if grown:
-                yield _tree_batch(batch.column(0), grown, pa.array(again, pa.int64()))
+                yield _tree_batch(batch.column(0), grown, again)
 
     return run
 
@@ -281,7 +305,8 @@ def tend_kept(spark: SparkSession, out: str, edits: DataFrame, base: int, ranks_
 
     Only buckets of edited documents are read and replaced.  The log comes to the trees: buckets are taken together as
     long as their part of the log is at most ``log_bytes``, which is broadcast, so no text is shuffled; a bucket whose part is larger
-    is joined by doc_id.  Documents without edits pass as they are; edits without a tree do nothing."""
+    is joined by doc_id.  Documents without edits pass from file to file, past Python; edits without a tree do nothing.  New
+    buckets are written once, beside the table, and moved into it when all are there."""
     buckets = tables.current_base(spark, out, base)
     log = kept(tables.in_bucket(edits.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "position", "removed", "inserted"), "doc_id", buckets), "log")
     sizes = log.groupBy("bucket").agg(F.sum(F.coalesce(F.octet_length("inserted"), F.lit(0)) + 64).alias("n")).orderBy("bucket").collect()  # a row a bucket
@@ -290,17 +315,15 @@ def tend_kept(spark: SparkSession, out: str, edits: DataFrame, base: int, ranks_
         if not groups or groups[-1][0] + r.n > log_bytes:
             groups.append((0, []))
         groups[-1] = (groups[-1][0] + r.n, [*groups[-1][1], r.bucket])
-    staged = tb.shared_dir(spark, "tended")
+    staged = tables.beside(out)
     for size, some in groups:
         own = log.where(F.col("bucket").isin(some)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "position", "removed", "inserted"))).alias("log"))
-        held = spark.read.parquet(out).where(F.col("bucket").isin(some)).join(F.broadcast(own) if size <= log_bytes else own, "doc_id", "left")
-        grown = held.select("doc_id", "text", "chars", "tokens", "log").mapInArrow(_tending(ranks_path, pattern), TREES + ", reencoded_chars long")
-        tables.in_bucket(grown.drop("reencoded_chars"), "doc_id", buckets).write.mode("append").partitionBy("bucket").parquet(staged)
-    if not groups:
-        return base
-    version = tables.replace_buckets(spark.read.parquet(staged), out, base, buckets)
-    discard(spark, staged)
-    return version
+        own = F.broadcast(own) if size <= log_bytes else own
+        held = spark.read.parquet(out).where(F.col("bucket").isin(some)).select("doc_id", "text", "chars", "tokens", "bucket")
+        grown = held.drop("bucket").join(own, "doc_id").mapInArrow(_tending(ranks_path, pattern), TREES + ", reencoded_chars long").drop("reencoded_chars")
+        after = held.join(own, "doc_id", "left_anti").unionByName(tables.in_bucket(grown, "doc_id", buckets))
+        after.write.mode("append").partitionBy("bucket").parquet(staged)
+    return tables.move_buckets(spark, staged, out, base, buckets) if groups else base
 
 
 def tree_counts(trees: DataFrame) -> DataFrame:

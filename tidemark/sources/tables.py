@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,6 +306,25 @@ def replace_buckets(rows: DataFrame, out: str, base: int, buckets: int) -> int:
     return base + 1
 
 
+def beside(out: str) -> str:
+    """A new folder for buckets that ``move_buckets`` will move into a table: on its file system, hidden from its readers."""
+    return f"{out}/_staged-{uuid.uuid4().hex}"
+
+
+def move_buckets(spark: SparkSession, staged: str, out: str, base: int, buckets: int) -> int:
+    """``replace_buckets`` of buckets that were written to a folder ``beside`` the table: they are moved, not written again."""
+    _claim_version(spark, out, base + 1, buckets)
+    files, path = _versions(spark, out)[0], spark._jvm.org.apache.hadoop.fs.Path
+    for made in files.listStatus(path(staged)):  # as many as the table has buckets, at most
+        name = made.getPath().getName()
+        if name.startswith("bucket="):
+            files.delete(path(out, name), True)
+            if not files.rename(made.getPath(), path(out, name)):
+                raise RuntimeError(f"{name} of {staged} cannot be moved")
+    files.delete(path(staged), True)
+    return base + 1
+
+
 def create_index(entries: DataFrame, out: str, buckets: int | None = None) -> None:
     """The index by path buckets, which takes upserts."""
     create_buckets(entries, "rel_path", out, buckets)
