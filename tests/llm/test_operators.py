@@ -538,6 +538,23 @@ def test_encoders_equal_their_libraries():
         bpe.decode(np.array([60_000], "<u4"), np.array([0, 1]))
 
 
+def test_words_of_ascii_letters_take_the_short_way(monkeypatch):
+    """Neither the pattern nor the character table is asked for them, and the ids are those of whole texts."""
+    encoder, asked = token_files.TextEncoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    real = token_files.ONE_WORD
+
+    class Watched:
+        def fullmatch(self, piece):
+            asked.append(piece)
+            return real.fullmatch(piece)
+
+    monkeypatch.setattr(token_files, "ONE_WORD", Watched())
+    texts = ["plain words, Here again", " lead and  two", "é naïve Übung", "don't x1 a", "", "end "]
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and not any(re.fullmatch(rb" ?[A-Za-z]+", x) for x in asked)
+
+
 def test_cuts_keep_every_pre_token():
     """Pieces put together give what the libraries give for whole texts, whatever stands at the cuts."""
     import tiktoken

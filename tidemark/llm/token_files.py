@@ -156,15 +156,22 @@ class TextEncoder:
         self.cache = tb.Cache()
 
     def _many(self, pieces: list[bytes]) -> list[bytes]:
-        """One-word pieces go to the library's model itself, the rest through its pre-tokenizer too."""
+        """One-word pieces go to the library's model itself, the rest through its pre-tokenizer too.  Most are ASCII letters, which
+        the vocabulary writes as they are, after a space or none: these need neither the pattern nor the table of characters."""
         out: list[bytes] = [b""] * len(pieces)
         rest = []
-        word, tokenize, characters = ONE_WORD.fullmatch, self.model.tokenize, self.characters
+        word, tokenize, characters, space = ONE_WORD.fullmatch, self.model.tokenize, self.characters, self.characters[0x20]
         for i, piece in enumerate(pieces):
-            if self.cuts and word(piece):
-                out[i] = array("I", [t.id for t in tokenize(piece.decode("latin-1").translate(characters))]).tobytes()
+            if self.cuts and piece.isalpha():
+                text = piece.decode()
+            elif self.cuts and piece[:1] == b" " and piece[1:].isalpha():
+                text = space + piece[1:].decode()
+            elif self.cuts and word(piece):
+                text = piece.decode("latin-1").translate(characters)
             else:
                 rest.append(i)
+                continue
+            out[i] = array("I", [t.id for t in tokenize(text)]).tobytes()
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(x.ids, "<u4").tobytes()
         return out
