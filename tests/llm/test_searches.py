@@ -276,3 +276,15 @@ def test_audits_compare_as_strings():
             a, b = r.choice(nodes), r.choice(nodes)
             assert audits.less(a, b) == (audits.text(a) < audits.text(b))
             assert audits.text(audits.ancestor(a, audits.depth[a] // 2)) == audits.text(a)[: audits.depth[a] // 2]
+
+
+def test_slices_of_phrases_live_for_one_level(spark, tmp_path, monkeypatch):
+    """Once the levels are counted none of their slices is left on disk, and the counts can be read all the same."""
+    from tidemark.llm import phrases
+
+    monkeypatch.setattr(phrases.tb, "shared_dir", lambda _, name: f"file://{tmp_path}/{name}")
+    docs = spark.createDataFrame([("a b c. a b", "x")] * 3 + [("b c", None), (None, "x")], "text string, lang string")
+    counts, of_lang = phrases.phrase_counts(docs, least=3, most_words=3)
+    assert not list((tmp_path / "phrases").rglob("*.parquet"))
+    assert sorted(map(tuple, counts.collect())) == [("x", "a", 6), ("x", "a b", 6), ("x", "a b c", 3), ("x", "b", 6), ("x", "b c", 3), ("x", "c", 3)]
+    assert sorted(map(tuple, of_lang.collect())) == [("und", 2), ("x", 15)]

@@ -17,6 +17,7 @@ of each cut and the largest extension to either side, which decides whether a ph
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbatch as tb
+from tidemark.operators.checkpoints import discard, kept
 
 #: Extensions that a range of prefixes may hold; there are as many ranges as the words of all texts ask for.
 RANGE_ENTRIES = 1 << 19
@@ -32,6 +34,8 @@ RANGE_ENTRIES = 1 << 19
 STRIPE_ENTRIES = 1 << 17
 #: Candidates that one task ranks before the ranks of a language meet.
 RANK_ROWS = 1 << 16
+#: zstandard level of what is packed: slices and blocks are shuffled and written at every level.
+PACK_LEVEL = 9
 
 #: Bytes that end a piece, and bytes that separate its words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\x20\x09"
@@ -59,7 +63,7 @@ def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
     import zstandard
 
     raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, int(kind[-1])).T
-    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+    return zstandard.ZstdCompressor(level=PACK_LEVEL).compress(raw.tobytes())
 
 
 def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
@@ -96,7 +100,7 @@ def _hashes(words: list[bytes], seed: int) -> np.ndarray:
 def _row(number: int, seq, grams, gid, spread, words: list[bytes], wid, of, langs: list[str], lang_n, phrase: list[str] = (), phrase_of=(), f=()) -> pa.RecordBatch:
     import zstandard
 
-    said = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+    said = zstandard.ZstdCompressor(level=PACK_LEVEL).compress(b"\n".join(words))
     values = [number, _packed(seq), _packed(grams), _steps(gid), _packed(spread), said, _packed(wid, "<i8"), _packed(of), langs, lang_n, list(phrase), list(phrase_of), list(f)]
     kinds = [pa.int64(), *[pa.binary()] * 7, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _STATE.split(", ")])
@@ -281,14 +285,17 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = 5, text:
     given = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     given.mapInArrow(_cut, _STATE).write.parquet(f"{out}/0")
     words = spark.read.schema(_STATE).parquet(f"{out}/0")
-    of_lang = words.select(F.inline(F.arrays_zip("langs", "lang_n"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("lang_n").alias("n"))
+    of_lang = kept(words.select(F.inline(F.arrays_zip("langs", "lang_n"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("lang_n").alias("n")), "words-of-langs")
     ranges = max(1, -(-(of_lang.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES))
+    found = []
     for level in range(1, most_words + 1):
         before = spark.read.schema(_STATE).parquet(f"{out}/{level - 1}")
         _extend(before, level, ranges, least, level == most_words).write.parquet(f"{out}/{level}")
-    found = spark.read.schema(_STATE).parquet(*[f"{out}/{level}" for level in range(1, most_words + 1)])
-    each = found.select("langs", F.inline(F.arrays_zip("phrase", "phrase_of", "f")))
-    return each.select(F.col("langs")[F.col("phrase_of")].alias("lang"), "phrase", "f"), of_lang
+        discard(spark, f"{out}/{level - 1}")  # slices live for one level; what they report is kept by itself
+        each = spark.read.schema(_STATE).parquet(f"{out}/{level}").select("langs", F.inline(F.arrays_zip("phrase", "phrase_of", "f")))
+        found.append(kept(each.select(F.col("langs")[F.col("phrase_of")].alias("lang"), "phrase", "f"), "phrases-of-level"))
+    discard(spark, f"{out}/{most_words}")
+    return reduce(DataFrame.unionByName, found), of_lang
 
 
 def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, top: int = 2000, covered: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
